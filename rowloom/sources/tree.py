@@ -1,0 +1,65 @@
+"""A Python data source that lists a directory tree, hidden names included."""
+
+from __future__ import annotations
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from rowloom.functions.tasks import open_filesystem
+
+
+class TreeListing(DataSource):
+    """``spark.read.format("rowloom_tree").load(directory)``"""
+
+    @classmethod
+    def name(cls):
+        return "rowloom_tree"
+
+    def schema(self):
+        return "path string, rel_path string, length bigint, modified timestamp"
+
+    def reader(self, schema):
+        return TreeReader(self.options["path"].rstrip("/"))
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, base):
+        self.base = base
+
+    def partitions(self):
+        """The root's own files are one partition, each directory below it another."""
+        filesystem, root = open_filesystem(self.base)
+        return [InputPartition(("", False))] + [
+            InputPartition((info.base_name, True))
+            for info in _entries(filesystem, root)
+            if _is_directory(filesystem, info)
+        ]
+
+    def read(self, partition):
+        start, descend = partition.value
+        filesystem, root = open_filesystem(self.base)
+        root = root.rstrip("/")
+        waiting = [f"{root}/{start}".rstrip("/")]
+        while waiting:
+            for info in _entries(filesystem, waiting.pop()):
+                if info.is_file:
+                    rel = info.path[len(root) + 1 :]
+                    yield f"{self.base}/{rel}", rel, info.size, info.mtime
+                elif descend and _is_directory(filesystem, info):
+                    waiting.append(info.path)
+
+
+def _entries(filesystem, directory):
+    from pyarrow import fs
+
+    return filesystem.get_file_info(fs.FileSelector(directory))
+
+
+def _is_directory(filesystem, info):
+    """Links to directories are not followed."""
+    import os
+
+    from pyarrow import fs
+
+    if info.type != fs.FileType.Directory:
+        return False
+    return not (isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(info.path))
