@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from rowloom.scratch import BROADCAST_ROWS, checkpointed, small_side
 
-# Where a row was read: its file, its input block, and a number that rises along the
-# rows of a partition.
-POSITION = ("_file", "_start", "_length", "_m")
+# Helper columns; writers and programs never see names with this prefix.
+PREFIX = "_rowloom_"
+FILE, START, LENGTH = PREFIX + "file", PREFIX + "start", PREFIX + "length"  # where a row was read
+M = PREFIX + "m"  # rises along the rows of a partition
+SEEN, PID, BASE = PREFIX + "seen", PREFIX + "pid", PREFIX + "base"
+RESERVED = ("row_idx", "shard_id")
 
 
 @dataclass(frozen=True)
@@ -35,29 +38,40 @@ class IndexedScan:
     df: DataFrame
     total: int
     in_order: bool
+    files: tuple[str, ...] = ()  # as ``FILE`` spells them, in row order
 
 
 def position_columns() -> list[Column]:
     """Must be selected directly from a file reader."""
     return [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.col("_metadata.file_block_length").alias("_length"),
-        F.monotonically_increasing_id().alias("_m"),
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias(START),
+        F.col("_metadata.file_block_length").alias(LENGTH),
+        F.monotonically_increasing_id().alias(M),
     ]
 
 
+def refuse_reserved(df: DataFrame) -> None:
+    taken = [c for c in df.columns if c.lower() in RESERVED or c.startswith(PREFIX)]
+    if taken:
+        raise ValueError(f"rename the columns {taken}: these names are used for the split")
+
+
 def count_blocks(placed: DataFrame, *more: Column) -> pd.DataFrame:
     """One row per input block in (file, start) order: row count, lowest ``_m``.
 
     Files go by plain path; ``_metadata`` spells them URL-encoded.
     """
-    counted = placed.groupBy("_file", "_start", "_length").agg(
-        F.count("*").alias("rows"), F.min("_m").alias("min_m"), *more
+    counted = placed.groupBy(FILE, START, LENGTH).agg(
+        F.count("*").alias("rows"), F.min(M).alias("min_m"), *more
     )
     blocks = counted.toPandas()
-    blocks["_plain"] = blocks["_file"].map(unquote)
-    return blocks.sort_values(["_plain", "_start"], ignore_index=True).drop(columns="_plain")
+    order = pd.DataFrame({"file": blocks[FILE].map(unquote), "start": blocks[START]})
+    return blocks.iloc[order.sort_values(["file", "start"]).index].reset_index(drop=True)
+
+
+def files_of(blocks: pd.DataFrame) -> tuple[str, ...]:
+    return tuple(blocks[FILE].unique())
 
 
 def before(sizes: pd.Series) -> pd.Series:
@@ -76,14 +90,14 @@ def attach_blocks(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     ``BROADCAST_ROWS`` splits, a sort-merge join beyond.
     """
     spark = placed.sparkSession
-    keys = ["_start"] if blocks["_file"].nunique() == 1 else ["_file", "_start"]
-    side = blocks.drop(columns=[c for c in ("_file", "_start") if c not in keys])
-    side = side.rename(columns={"_length": "_seen_length"})
+    keys = [START] if blocks[FILE].nunique() == 1 else [FILE, START]
+    side = blocks.drop(columns=[c for c in (FILE, START) if c not in keys])
+    side = side.rename(columns={LENGTH: SEEN})
     table = spark.createDataFrame(pa.Table.from_pandas(side, preserve_index=False))
     joined = placed.join(small_side(table, len(blocks)), keys, "left")
     return joined.withColumn(
-        "_m",
-        F.when(F.col("_length") == F.col("_seen_length"), F.col("_m")).otherwise(
+        M,
+        F.when(F.col(LENGTH) == F.col(SEEN), F.col(M)).otherwise(
             F.raise_error(F.lit("input splits changed between counting and reading")).cast("bigint")
         ),
     )
@@ -92,12 +106,12 @@ def attach_blocks(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
 def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
     """``row_idx`` for a scan whose lines or rows are the records."""
     if blocks.empty:
-        return IndexedScan(placed.withColumn("row_idx", F.col("_m")), 0, True)
-    blocks = blocks.assign(base=before(blocks["rows"]) - blocks["min_m"])
-    side = blocks[["_file", "_start", "_length", "base"]]
-    df = attach_blocks(placed, side).withColumn("row_idx", F.col("base") + F.col("_m"))
+        return IndexedScan(placed.withColumn("row_idx", F.col(M)), 0, True)
+    blocks = blocks.assign(**{BASE: before(blocks["rows"]) - blocks["min_m"]})
+    side = blocks[[FILE, START, LENGTH, BASE]]
+    df = attach_blocks(placed, side).withColumn("row_idx", F.col(BASE) + F.col(M))
     in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return IndexedScan(df.drop("base", "_seen_length"), int(blocks["rows"].sum()), in_order)
+    return IndexedScan(df.drop(BASE, SEEN), int(blocks["rows"].sum()), in_order, files_of(blocks))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
@@ -106,18 +120,17 @@ def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
     One range shuffle; the sorted table is written once to the shared folder, because a
     second run could draw other range bounds.  Offsets are per partition.
     """
+    refuse_reserved(df)
     missing = [c for c in order_by if c not in df.columns]
     if missing or not order_by:
         raise ValueError(f"order_by needs columns of the table, got {list(order_by)}")
     spark = df.sparkSession
     placed = checkpointed(df.orderBy(*order_by)).select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_m")
-    )
-    counts = placed.groupBy("_pid").agg(F.count("*").alias("rows"), F.min("_m").alias("min_m"))
-    parts = counts.toPandas().sort_values("_pid", ignore_index=True)
-    parts = parts.assign(base=before(parts["rows"]) - parts["min_m"])
-    side = spark.createDataFrame(pa.Table.from_pandas(parts[["_pid", "base"]], preserve_index=False))
-    indexed = placed.join(small_side(side, len(parts)), "_pid").withColumn("row_idx", F.col("base") + F.col("_m"))
-    return IndexedScan(
-        indexed.drop("_pid", "_m", "base"), int(parts["rows"].sum()), len(parts) <= BROADCAST_ROWS
+        "*", F.spark_partition_id().alias(PID), F.monotonically_increasing_id().alias(M)
     )
+    counts = placed.groupBy(PID).agg(F.count("*").alias("rows"), F.min(M).alias("min_m"))
+    parts = counts.toPandas().sort_values(PID, ignore_index=True)
+    parts = parts.assign(**{BASE: before(parts["rows"]) - parts["min_m"]})
+    side = spark.createDataFrame(pa.Table.from_pandas(parts[[PID, BASE]], preserve_index=False))
+    indexed = placed.join(small_side(side, len(parts)), PID).withColumn("row_idx", F.col(BASE) + F.col(M))
+    return IndexedScan(indexed.drop(PID, M, BASE), int(parts["rows"].sum()), len(parts) <= BROADCAST_ROWS)

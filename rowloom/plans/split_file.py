@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +10,12 @@ from pyspark.sql import functions as F
 from rowloom.functions.expressions import check_sizes, output_path
 from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
-from rowloom.sinks.shards import FORMATS, write_csv_records, write_shards
+from rowloom.sinks.shards import write_csv_records, write_shards
 from rowloom.sources.csv import index_csv
+from rowloom.sources.formats import FORMATS, detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
 
-log = logging.getLogger(__name__)
-
-# File name endings and what they mean.
-SUFFIX_FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
-
-
-def detect_format(path: str) -> str:
-    """Format by file name ending, whatever its case; anything unknown is text."""
-    suffix = posixpath.splitext(path.rstrip("/"))[1].lower()
-    if suffix not in SUFFIX_FORMATS:
-        log.warning("no known format for ending %r of %s, reading it as text", suffix, path)
-    return SUFFIX_FORMATS.get(suffix, "text")
-
-
 def split_file(
     spark: SparkSession,
     path: str,

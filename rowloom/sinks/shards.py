@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import int_div
+from rowloom.operators.row_index import PREFIX, RESERVED
 from rowloom.operators.split import Shards
+from rowloom.sources.csv import LEAD
+from rowloom.sources.formats import FORMATS
 
 # Minimal quoting, empty text as an empty field, blanks kept.
 CSV_OPTIONS = {
@@ -17,7 +22,6 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-FORMATS = ("text", "csv", "parquet")
 
 
 def write_shards(
@@ -40,12 +44,12 @@ def write_shards(
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown shard format {fmt!r}, use one of {', '.join(FORMATS)}")
-    data = [c for c in shards.df.columns if c not in ("shard_id", "row_idx") and not c.startswith("_")]
-    placed = shards.df.select(*data, "shard_id", "row_idx")
+    data = [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
+    shards = replace(shards, df=shards.df.select(*data, "shard_id", "row_idx"))
     if one_file:
-        placed = placed.repartitionById(shards.n, "shard_id")
-    elif not shards.in_order:
-        placed = by_chunks(placed, shards, rows_per_file)
+        placed = shards.df.repartitionById(shards.n, "shard_id")
+    else:
+        placed = shards.df if shards.in_order else by_chunks(shards, rows_per_file)
     ordered = placed.sortWithinPartitions("shard_id", "row_idx").drop("row_idx")
     if one_file:
         _save(ordered.drop("shard_id").write.mode(mode), fmt, path)
@@ -59,36 +63,22 @@ def _save(writer, fmt: str, path: str) -> None:
     writer.format(fmt).save(path)
 
 
-def chunks_per_shard(shards: Shards, rows_per_file: int) -> int:
-    largest = shards.total // shards.n + shards.total % shards.n
-    return max(1, -(-largest // rows_per_file))
-
-
-def shard_offset(shards: Shards) -> Column:
-    """Position of a row inside its shard."""
-    return F.col("row_idx") - F.col("shard_id").cast("bigint") * F.lit(shards.total // shards.n)
-
-
-def by_chunks(df: DataFrame, shards: Shards, rows_per_file: int) -> DataFrame:
-    """One partition per run of ``rows_per_file`` rows of a shard, in row order."""
-    per_shard = chunks_per_shard(shards, rows_per_file)
-    chunk = F.col("shard_id") * F.lit(per_shard) + int_div(shard_offset(shards), rows_per_file).cast("int")
-    return df.repartitionById(shards.n * per_shard, chunk)
+def by_chunks(shards: Shards, rows_per_file: int) -> DataFrame:
+    """One partition per run of ``rows_per_file`` rows, in row order, whatever the shards' sizes."""
+    chunk = int_div(F.col("row_idx"), rows_per_file).cast("int")
+    return shards.df.repartitionById(max(1, -(-shards.total // rows_per_file)), chunk)
 
 
 def write_csv_records(
     shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite"
 ) -> None:
-    """Write CSV records as they were read, the header first in every file.
-
-    Needs the columns value and lead of ``index_csv``.
-    """
-    offset = shard_offset(shards)
+    """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
+    first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
     if shards.in_order:
-        placed, opens = shards.df, F.col("lead") | (offset == 0)
+        placed, opens = shards.df, F.col(LEAD) | first_of_shard
     else:
-        placed = by_chunks(shards.df, shards, rows_per_file)
-        opens = offset % rows_per_file == 0
+        placed = by_chunks(shards, rows_per_file)
+        opens = (F.col("row_idx") % rows_per_file == 0) | first_of_shard
     line = F.when(opens, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value"))
     (
         placed.select(line.alias("value"), "shard_id", "row_idx")

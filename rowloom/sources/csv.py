@@ -20,15 +20,23 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import tasks
 from rowloom.operators.row_index import (
+    FILE,
+    LENGTH,
+    M,
+    PREFIX,
+    START,
     IndexedScan,
     attach_blocks,
     before,
     count_blocks,
+    files_of,
     position_columns,
     rises,
 )
 from rowloom.scratch import BROADCAST_ROWS
 
+LEAD = PREFIX + "lead"
+
 SUMMARY = (
     "file string, start bigint, first_m bigint, last_m bigint, out0 bigint, recs0 bigint, "
     "out1 bigint, recs1 bigint, close_m bigint, head_recs bigint, odd boolean"
@@ -37,9 +45,9 @@ SUMMARY = (
 
 @dataclass(frozen=True)
 class CsvScan(IndexedScan):
-    """Records as text in ``value``; ``lead`` marks the first record of a partition."""
+    """Records as text in ``value``; ``LEAD`` marks the first record of a partition."""
 
-    header: str
+    header: str = ""
 
 
 def index_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvScan:
@@ -57,14 +65,14 @@ def index_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvSca
     )
     if counted.empty:
         raise ValueError(f"{path} is empty: a CSV file needs a header line")
-    header = _header(lines, counted["_file"].iloc[0])
+    header = _header(lines, counted[FILE].iloc[0])
 
     blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None)
-    total = int(blocks["records"].sum()) - blocks["_file"].nunique()
+    total = int(blocks["records"].sum()) - blocks[FILE].nunique()
     if blocks["spans"].any():
-        return CsvScan(_assembled(placed, blocks), total, True, header)
-    return CsvScan(_lines_as_records(placed, blocks), total,
-                   rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS, header)
+        return CsvScan(_assembled(placed, blocks), total, True, files_of(blocks), header)
+    in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
+    return CsvScan(_lines_as_records(placed, blocks), total, in_order, files_of(blocks), header)
 
 
 def _inner_return(value: Column) -> Column:
@@ -94,7 +102,7 @@ def _header(lines: DataFrame, first_file: str) -> str:
 
 def _quote_summary(placed: DataFrame, special: Column) -> pd.DataFrame:
     quoted = placed.filter(special).select(
-        F.col("_file").alias("file"), F.col("_start").alias("start"), F.col("_m").alias("m"), "value"
+        F.col(FILE).alias("file"), F.col(START).alias("start"), F.col(M).alias("m"), "value"
     )
     return quoted.mapInArrow(tasks.summarize_quotes, SUMMARY).toPandas()
 
@@ -112,7 +120,7 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
     n = len(blocks)
     head, holders, records, spans, first, file_no = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n, [0] * n
     file, holder, is_open = None, 0, False
-    columns = zip(blocks["_file"], blocks["_start"], blocks["min_m"], blocks["rows"])
+    columns = zip(blocks[FILE], blocks[START], blocks["min_m"], blocks["rows"])
     for i, (block_file, start, min_m, rows) in enumerate(columns):
         if block_file != file:
             file, is_open, first[i] = block_file, False, True
@@ -150,7 +158,7 @@ def _without_return(value: Column) -> Column:
 def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     """Every line is a record: number the lines, drop the header lines."""
     first = blocks["first"].astype("int64")
-    side = blocks[["_file", "_start", "_length"]].assign(
+    side = blocks[[FILE, START, LENGTH]].assign(
         base=blocks["base"] - blocks["min_m"] - first,
         header_m=blocks["min_m"].where(blocks["first"], -1),
         lead_m=-1,
@@ -160,12 +168,12 @@ def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     side.loc[leaders, "lead_m"] = blocks["min_m"] + first
     return (
         attach_blocks(placed, side)
-        .filter(F.col("_m") != F.col("header_m"))
+        .filter(F.col(M) != F.col("header_m"))
         .select(
             _without_return(F.col("value")).alias("value"),
-            (F.col("base") + F.col("_m")).alias("row_idx"),
-            (F.col("_m") == F.col("lead_m")).alias("lead"),
-            "_file",
+            (F.col("base") + F.col(M)).alias("row_idx"),
+            (F.col(M) == F.col("lead_m")).alias(LEAD),
+            FILE,
         )
     )
 
@@ -177,25 +185,25 @@ def _assembled(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     tasks.
     """
     holder = blocks.loc[blocks["holder"]].reset_index(drop=True)
-    side = blocks[["_file", "_start", "_length", "min_m", "head", "ordinal", "base", "first"]].assign(
+    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first"]].assign(
         holder=blocks["holder"], holder_base=holder["base"], holder_first=holder["first"]
     )
-    continues = F.col("_m") - F.col("min_m") < F.col("head")
+    continues = F.col(M) - F.col("min_m") < F.col("head")
     owned = attach_blocks(placed, side).select(
         "value",
-        "_m",
+        M,
         "ordinal",
-        F.col("_file").alias("file"),
+        F.col(FILE).alias("file"),
         F.when(continues, F.col("holder")).otherwise(F.col("ordinal")).cast("int").alias("owner"),
         F.when(continues, F.col("holder_base")).otherwise(F.col("base")).alias("base"),
         F.when(continues, F.col("holder_first")).otherwise(F.col("first")).alias("header"),
     )
     return (
         owned.repartitionById(len(blocks), "owner")
-        .sortWithinPartitions("ordinal", "_m")
+        .sortWithinPartitions("ordinal", M)
         .select("value", "base", "header", "file")
         .mapInArrow(tasks.assemble_records, "value string, row_idx bigint, lead boolean, file string")
-        .withColumnRenamed("file", "_file")
+        .withColumnsRenamed({"file": FILE, "lead": LEAD})
     )
 
 
@@ -207,15 +215,15 @@ def header_names(header: str) -> list[str]:
 
 
 def parse_records(scan: CsvScan, mode: str = "FAILFAST") -> DataFrame:
-    """Records to string columns, next to ``row_idx`` and ``_file``; empty fields stay ""."""
+    """Records to string columns, next to ``row_idx`` and the file; empty fields stay ""."""
     names = header_names(scan.header)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     options = {"mode": mode, "quote": '"', "escape": '"', "multiLine": "true"}
     # A blank record is a row of empty fields; the parser calls it malformed.
     record = F.from_csv(F.when(F.col("value") != "", F.col("value")), schema, options)
-    parsed = scan.df.select(record.alias("r"), "row_idx", "_file")
+    parsed = scan.df.select(record.alias("r"), "row_idx", FILE)
     fields = [F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
-    return parsed.select(*fields, "row_idx", "_file")
+    return parsed.select(*fields, "row_idx", FILE)
 
 
 def scan_csv_verbatim(
@@ -227,4 +235,4 @@ def scan_csv_verbatim(
     cuts them.
     """
     scan = index_csv(spark, path, multi_line)
-    return parse_records(scan, mode).drop("row_idx", "_file")
+    return parse_records(scan, mode).drop("row_idx", FILE)

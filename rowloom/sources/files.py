@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.functions.tasks import open_filesystem
 from rowloom.sources.tree import TreeListing
 
+log = logging.getLogger(__name__)
+
 LISTING = "path string, rel_path string, length bigint, modified timestamp"
 
 
@@ -37,37 +42,31 @@ def read_small_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def names_matching(spark: SparkSession, pattern: str) -> list[str]:
-    """Names of the regular files that fit a path pattern (one directory level)."""
-    filesystem, jvm_path = _hadoop(spark, pattern)
-    found = filesystem.globStatus(jvm_path)
-    return [status.getPath().getName() for status in found or [] if status.isFile()]
-
-
 def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive: bool = True) -> DataFrame:
-    """Files below ``directory`` whose path ends with ``suffix``, in path order.
+    """Regular files below ``directory`` whose path ends with ``suffix``, in path order.
 
-    A directory that does not exist gives an empty frame.  Spark's listing hides names
-    that begin with ``.`` or ``_``; ``list_tree`` shows them.
+    Empty files and hidden names are listed; tasks walk the directories below the root in
+    parallel.  A directory that does not exist gives an empty frame.
     """
     if not exists(spark, directory):
         return spark.createDataFrame([], LISTING)
     base = qualified(spark, directory)
+    try:
+        open_filesystem(base)
+    except (ValueError, NotImplementedError, OSError) as exc:
+        log.warning("%s: Spark lists it, without empty files and names beginning with . or _", exc)
+        listed = _spark_listing(spark, base, recursive)
+    else:
+        spark.dataSource.register(TreeListing)
+        listed = spark.read.format(TreeListing.name()).option("recursive", str(recursive)).load(base)
+    return listed.filter(F.col("path").endswith(suffix)).orderBy("path")
+
+
+def _spark_listing(spark: SparkSession, base: str, recursive: bool) -> DataFrame:
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     rel_path = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
-    return (
-        reader.load(base)
-        .select("path", rel_path.alias("rel_path"), "length", F.col("modificationTime").alias("modified"))
-        .filter(F.col("path").endswith(suffix))
-        .orderBy("path")
+    return reader.load(base).select(
+        "path", rel_path.alias("rel_path"), "length", F.col("modificationTime").alias("modified")
     )
-
-
-def list_tree(spark: SparkSession, directory: str) -> DataFrame:
-    """All regular files below ``directory``, hidden names too.  One task per subdirectory."""
-    if not exists(spark, directory):
-        return spark.createDataFrame([], LISTING)
-    spark.dataSource.register(TreeListing)
-    return spark.read.format(TreeListing.name()).load(qualified(spark, directory))

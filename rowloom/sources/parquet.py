@@ -6,7 +6,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.operators.row_index import IndexedScan, before, count_blocks, position_columns, rises
+from rowloom.operators.row_index import (
+    BASE,
+    FILE,
+    IndexedScan,
+    before,
+    count_blocks,
+    files_of,
+    position_columns,
+    refuse_reserved,
+    rises,
+)
 from rowloom.scratch import BROADCAST_ROWS, small_side
 
 
@@ -15,26 +25,27 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_parquet(spark: SparkSession, path: str) -> IndexedScan:
-    """All columns, row_idx and ``_file``.
+    """All columns, row_idx and the file.
 
     The row number inside the file comes from the reader, so filters on the result still
     reach the scan; the counting job reads file footers only.  Several files need an
     offset per file, a single file needs no join.
     """
     table = scan_parquet(spark, path)
+    refuse_reserved(table)
     blocks = count_blocks(table.select(*position_columns()))
     total, in_order = int(blocks["rows"].sum()), rises(blocks["min_m"])
     placed = table.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("row_idx")
+        "*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias("row_idx")
     )
-    files = blocks.groupby("_file", as_index=False, sort=False)["rows"].sum()
+    files = blocks.groupby(FILE, as_index=False, sort=False)["rows"].sum()
     if len(files) > 1:
-        files = files.assign(_base=before(files["rows"]))[["_file", "_base"]]
+        files = files.assign(**{BASE: before(files["rows"])})[[FILE, BASE]]
         side = spark.createDataFrame(pa.Table.from_pandas(files, preserve_index=False))
         placed = (
-            placed.join(small_side(side, len(files)), "_file")
-            .withColumn("row_idx", F.col("row_idx") + F.col("_base"))
-            .select(*table.columns, "_file", "row_idx")
+            placed.join(small_side(side, len(files)), FILE)
+            .withColumn("row_idx", F.col("row_idx") + F.col(BASE))
+            .select(*table.columns, FILE, "row_idx")
         )
         in_order = in_order and len(files) <= BROADCAST_ROWS
-    return IndexedScan(placed, total, in_order)
+    return IndexedScan(placed, total, in_order, files_of(blocks))

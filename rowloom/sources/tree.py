@@ -18,17 +18,22 @@ class TreeListing(DataSource):
         return "path string, rel_path string, length bigint, modified timestamp"
 
     def reader(self, schema):
-        return TreeReader(self.options["path"].rstrip("/"))
+        recursive = self.options.get("recursive", "true").lower() == "true"
+        return TreeReader(self.options["path"].rstrip("/"), recursive)
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, base):
+    def __init__(self, base, recursive):
         self.base = base
+        self.recursive = recursive
 
     def partitions(self):
         """The root's own files are one partition, each directory below it another."""
+        own = [InputPartition(("", False))]
+        if not self.recursive:
+            return own
         filesystem, root = open_filesystem(self.base)
-        return [InputPartition(("", False))] + [
+        return own + [
             InputPartition((info.base_name, True))
             for info in _entries(filesystem, root)
             if _is_directory(filesystem, info)

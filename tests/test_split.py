@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from rowloom.operators.row_index import IndexedScan, with_row_index
 from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
-from rowloom.plans.split_file import detect_format, split_file
+from rowloom.plans.split_file import split_file
 from rowloom.sinks.shards import write_shards
+from rowloom.sources.formats import detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
 
