@@ -181,37 +181,42 @@ def _cut(frame):
         start = stop
 
 
-def shard_worker(fn, names, side_name, record):
+def shard_worker(fn, names, side_name, whole, record):
     """Body of ``mapInPandas`` for the per-shard map; see ``operators.apply``."""
 
     def work(frames):
-        import pandas as pd
         from pyspark import SparkFiles, TaskContext
 
+        context = TaskContext.get()
         extra = (SparkFiles.get(side_name),) if side_name else ()
-        attempt = TaskContext.get().attemptNumber()
+        empty = True
         for shard_id, pieces in shard_runs(frames):
-            rows_out, error = 0, None
-            try:
-                for out in fn(shard_id, (p.drop(columns="shard_id") for p in pieces), *extra):
-                    out = out[names].copy()
-                    rows_out += len(out)
-                    out.insert(0, "shard_id", shard_id)
-                    if record:
-                        out["_attempt"] = attempt
-                        out["_status"] = None
-                        out["_error"] = None
-                        out["_rows_out"] = None
-                    yield out
-            except Exception as exc:
-                if not record:
-                    raise
-                error = f"{type(exc).__name__}: {exc}"
-            if record:
-                outcome = {name: [None] for name in names}
-                outcome.update(shard_id=[shard_id], _attempt=[attempt], _error=[error],
-                               _status=["failed" if error else "ok"], _rows_out=[rows_out])
-                yield pd.DataFrame(outcome)
+            empty = False
+            yield from run(shard_id, pieces, extra, context)
+        if empty and whole:  # partition k is shard k: a shard without rows still runs
+            yield from run(context.partitionId(), iter(()), extra, context)
+
+    def run(shard_id, pieces, extra, context):
+        import pandas as pd
+
+        rows_out, error = 0, None
+        try:
+            for out in fn(shard_id, (p.drop(columns="shard_id") for p in pieces), *extra):
+                out = out[names].copy()
+                rows_out += len(out)
+                out.insert(0, "shard_id", shard_id)
+                if record:
+                    out = out.assign(_attempt=None, _status=None, _error=None, _rows_out=None)
+                yield out
+        except Exception as exc:
+            if not record:
+                raise
+            error = f"{type(exc).__name__}: {exc}"
+        if record:
+            outcome = {name: [None] for name in names}
+            outcome.update(shard_id=[shard_id], _attempt=[context.attemptNumber()], _error=[error],
+                           _status=["failed" if error else "ok"], _rows_out=[rows_out])
+            yield pd.DataFrame(outcome)
 
     return work
 

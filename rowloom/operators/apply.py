@@ -128,7 +128,7 @@ def _run(shards: Shards, fn, schema: str, side, whole: bool, record: bool) -> Da
         df = df.repartitionById(shards.n, "shard_id").sortWithinPartitions("shard_id", "row_idx")
     df = df.select(*[c for c in df.columns if c != "row_idx" and not c.startswith(PREFIX)])
     side_name = _ship(df.sparkSession, side) if side is not None else None
-    return df.mapInPandas(tasks.shard_worker(fn, fields.names, side_name, record), out)
+    return df.mapInPandas(tasks.shard_worker(fn, fields.names, side_name, whole, record), out)
 
 
 def _ship(spark: SparkSession, side: DataFrame | str) -> str:

@@ -108,6 +108,13 @@ def test_shard_dir_order_and_skips(spark, tmp_path):
     shards = scan_shard_dir(spark, str(tmp_path), "text", expected=5)
     got = sorted((r.shard_id, r.value) for r in shards.df.filter("value <> 'x'").collect())
     assert got == [(1, "shard 3+%.txt"), (2, "shard1.txt"), (3, "shard10.txt"), (4, "shard2.txt")]
+
+    def count(shard_id, batches):
+        yield pd.DataFrame({"rows": [sum(len(b) for b in batches)]})
+
+    run = record_shards(shards, count, "rows bigint")
+    assert sorted(map(tuple, run.rows.collect())) == [(0, 0), (1, 2), (2, 2), (3, 2), (4, 2)]
+    assert run.outcome.count() == 5
     with pytest.raises(ValueError, match="expected"):
         scan_shard_dir(spark, str(tmp_path), "text", expected=3)
     (tmp_path / "_part.txt").write_text("x")
