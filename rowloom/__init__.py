@@ -3,8 +3,6 @@
 from pyspark import cloudpickle
 
 from rowloom.functions import tasks as _tasks
-from rowloom.sources import tree as _tree
 
 # Task code travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(_tasks)
-cloudpickle.register_pickle_by_value(_tree)

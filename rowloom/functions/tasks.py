@@ -257,3 +257,52 @@ def open_filesystem(path):
     # Names of one store under several connectors.
     uri = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(scheme, scheme) + ":" + rest
     return fs.FileSystem.from_uri(uri)
+
+
+def _entries(filesystem, directory):
+    from pyarrow import fs
+
+    return filesystem.get_file_info(fs.FileSelector(directory))
+
+
+def _is_directory(filesystem, info):
+    """Links to directories are not followed."""
+    import os
+
+    from pyarrow import fs
+
+    if info.type != fs.FileType.Directory:
+        return False
+    return not (isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(info.path))
+
+
+def subdirectories(base):
+    filesystem, root = open_filesystem(base)
+    return [info.base_name for info in _entries(filesystem, root) if _is_directory(filesystem, info)]
+
+
+def tree_walker(base):
+    """Body of ``mapInArrow``: rows (start, descend) in, the files at or below ``start`` out."""
+
+    def walk(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("rel_path", pa.string()), ("length", pa.int64()),
+                            ("modified", pa.timestamp("us", "UTC"))])
+        filesystem, root = open_filesystem(base)
+        root = root.rstrip("/")
+        for batch in batches:
+            for start, descend in zip(batch["start"].to_pylist(), batch["descend"].to_pylist()):
+                waiting = [f"{root}/{start}".rstrip("/")]
+                while waiting:
+                    infos = _entries(filesystem, waiting.pop())
+                    files = [info for info in infos if info.is_file]
+                    if descend:
+                        waiting += [info.path for info in infos if _is_directory(filesystem, info)]
+                    rels = [info.path[len(root) + 1 :] for info in files]
+                    columns = [[f"{base}/{rel}" for rel in rels], rels,
+                               [info.size for info in files], [info.mtime for info in files]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return walk

@@ -7,8 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.tasks import open_filesystem
-from rowloom.sources.tree import TreeListing
+from rowloom.functions import tasks
 
 log = logging.getLogger(__name__)
 
@@ -52,13 +51,13 @@ def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive:
         return spark.createDataFrame([], LISTING)
     base = qualified(spark, directory)
     try:
-        open_filesystem(base)
+        starts = [("", False)] + [(name, True) for name in tasks.subdirectories(base) if recursive]
     except (ValueError, NotImplementedError, OSError) as exc:
         log.warning("%s: Spark lists it, without empty files and names beginning with . or _", exc)
         listed = _spark_listing(spark, base, recursive)
     else:
-        spark.dataSource.register(TreeListing)
-        listed = spark.read.format(TreeListing.name()).option("recursive", str(recursive)).load(base)
+        table = spark.createDataFrame(starts, "start string, descend boolean")
+        listed = table.repartitionByRange(len(starts), "start").mapInArrow(tasks.tree_walker(base), LISTING)
     return listed.filter(F.col("path").endswith(suffix)).orderBy("path")
 
 
