@@ -92,8 +92,12 @@ def assemble_records(batches):
     Input columns: value, base (index of the partition's first data row), header (the
     partition's first record is a header line), file.  Output: value, row_idx, lead
     (first data row of the partition), file.
+
+    Only lines with quotes (or lone carriage returns) are looked at one by one; the runs of
+    lines between them are records, or the inside of one field, as a whole.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     schema = pa.schema([("value", pa.string()), ("row_idx", pa.int64()), ("lead", pa.bool_()), ("file", pa.string())])
     next_idx = None
@@ -101,50 +105,55 @@ def assemble_records(batches):
     pending: list[str] = []
     file = None
 
-    def emit(records):
+    def finished(chunks):
         nonlocal next_idx, skip, lead
-        if skip and records:
-            records, skip = records[1:], False
-        if not records:
-            return None
+        records = pa.concat_arrays(chunks) if chunks else pa.array([], pa.string())
+        if skip and len(records):
+            records, skip = records.slice(1), False
         size = len(records)
-        leads = [False] * size
-        leads[0], lead = lead, False
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(records, pa.string()), pa.array(range(next_idx, next_idx + size), pa.int64()),
-             pa.array(leads, pa.bool_()), pa.array([file] * size, pa.string())], schema=schema)
-        next_idx += size
-        return out
+        numbers = pa.array(range(next_idx, next_idx + size), pa.int64())
+        leads = pa.array([lead] + [False] * (size - 1) if size else [], pa.bool_())
+        next_idx, lead = next_idx + size, lead and not size
+        return pa.RecordBatch.from_arrays([records, numbers, leads, pa.array([file] * size, pa.string())], schema=schema)
 
     for batch in batches:
         if batch.num_rows == 0:
             continue
         if next_idx is None:
-            next_idx = batch.column("base")[0].as_py()
-            skip = batch.column("header")[0].as_py()
-            file = batch.column("file")[0].as_py()
+            next_idx = batch["base"][0].as_py()
+            skip = batch["header"][0].as_py()
+            file = batch["file"][0].as_py()
             lead = True
-        records = []
-        for line in batch.column("value").to_pylist():
-            if not pending and '"' not in line and "\r" not in line:
-                records.append(line)
-                continue
+        values = batch["value"]
+        looked_at = pc.or_(pc.match_substring(values, '"'), pc.match_substring_regex(values, "\\r(?s:.)"))
+        chunks = []
+        at = 0
+        for spot in pc.indices_nonzero(looked_at).to_pylist() + [len(values)]:
+            if spot > at:
+                run = values.slice(at, spot - at)
+                if pending:
+                    pending.append("\n".join(run.to_pylist()) + "\n")
+                else:
+                    chunks.append(pc.utf8_rtrim(run, "\r"))
+            at = spot + 1
+            if spot == len(values):
+                break
+            line = values[spot].as_py()
             pieces = line_pieces(line)
+            done = []
             for i, piece in enumerate(pieces):
                 if ends_in_quote(piece, bool(pending)):
                     last = i == len(pieces) - 1
                     ending = ("\r\n" if line.endswith("\r") else "\n") if last else "\r"
                     pending.append(piece + ending)
                 else:
-                    records.append("".join(pending) + piece)
+                    done.append("".join(pending) + piece)
                     pending = []
-        out = emit(records)
-        if out is not None:
-            yield out
+            if done:
+                chunks.append(pa.array(done, pa.string()))
+        yield finished(chunks)
     if pending:
-        out = emit(["".join(pending)])
-        if out is not None:
-            yield out
+        yield finished([pa.array(["".join(pending)], pa.string())])
 
 
 def shard_runs(frames):

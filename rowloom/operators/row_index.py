@@ -31,13 +31,15 @@ RESERVED = ("row_idx", "shard_id")
 class IndexedScan:
     """A DataFrame with a gap-free ``row_idx`` (0-based) and its row count.
 
-    ``in_order`` says that partition k holds only rows before those of partition k+1, so
-    that writers can keep the order without a shuffle.
+    ``in_order`` says that rows lie in ``row_idx`` order within and across partitions, so
+    that writers can keep the order without a shuffle.  ``widest`` bounds the rows of a
+    partition (0: not known).
     """
 
     df: DataFrame
     total: int
     in_order: bool
+    widest: int = 0
     files: tuple[str, ...] = ()  # as ``FILE`` spells them, in row order
 
 
@@ -74,6 +76,11 @@ def files_of(blocks: pd.DataFrame) -> tuple[str, ...]:
     return tuple(blocks[FILE].unique())
 
 
+def widest(blocks: pd.DataFrame) -> int:
+    """Rows of the largest partition; the upper bits of ``min_m`` number the partitions."""
+    return int(blocks["rows"].groupby(blocks["min_m"] // 2**33).sum().max())
+
+
 def before(sizes: pd.Series) -> pd.Series:
     """Sum of all earlier sizes."""
     return sizes.cumsum() - sizes
@@ -111,7 +118,7 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
     side = blocks[[FILE, START, LENGTH, BASE]]
     df = attach_blocks(placed, side).withColumn("row_idx", F.col(BASE) + F.col(M))
     in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return IndexedScan(df.drop(BASE, SEEN), int(blocks["rows"].sum()), in_order, files_of(blocks))
+    return IndexedScan(df.drop(BASE, SEEN), int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
@@ -133,4 +140,5 @@ def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
     parts = parts.assign(**{BASE: before(parts["rows"]) - parts["min_m"]})
     side = spark.createDataFrame(pa.Table.from_pandas(parts[[PID, BASE]], preserve_index=False))
     indexed = placed.join(small_side(side, len(parts)), PID).withColumn("row_idx", F.col(BASE) + F.col(M))
-    return IndexedScan(indexed.drop(PID, M, BASE), int(parts["rows"].sum()), len(parts) <= BROADCAST_ROWS)
+    total = int(parts["rows"].sum())
+    return IndexedScan(indexed.drop(PID, M, BASE), total, len(parts) <= BROADCAST_ROWS, int(parts["rows"].max() or 0) if total else 0)

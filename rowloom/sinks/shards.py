@@ -24,6 +24,10 @@ CSV_OPTIONS = {
 }
 
 
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+MAX_OPEN_FILES = 64
+
+
 def write_shards(
     shards: Shards,
     path: str,
@@ -47,14 +51,30 @@ def write_shards(
     data = [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
     shards = replace(shards, df=shards.df.select(*data, "shard_id", "row_idx"))
     if one_file:
-        placed = shards.df.repartitionById(shards.n, "shard_id")
-    else:
-        placed = shards.df if shards.in_order else by_chunks(shards, rows_per_file)
-    ordered = placed.sortWithinPartitions("shard_id", "row_idx").drop("row_idx")
-    if one_file:
-        _save(ordered.drop("shard_id").write.mode(mode), fmt, path)
+        one_each = shards.df.repartitionById(shards.n, "shard_id").sortWithinPartitions("row_idx")
+        _save(one_each.drop("shard_id", "row_idx").write.mode(mode), fmt, path)
     else:
-        _save(ordered.write.mode(mode).partitionBy("shard_id"), fmt, path)
+        df = shards.df if shards.in_order else by_chunks(shards, rows_per_file)
+        _save_by_shard(df, shards, fmt, path, mode)
+
+
+def _save_by_shard(df: DataFrame, shards: Shards, fmt: str, path: str, mode: str) -> None:
+    """One directory per shard.
+
+    Partitions in row order touch few shards: their files are open side by side and the
+    rows stream through.  The count is a true bound, as Spark would sort by shard alone
+    beyond it.  Other partitions are sorted.
+    """
+    spark = df.sparkSession
+    streams = shards.in_order and 0 < shards.spread <= MAX_OPEN_FILES
+    if not streams:
+        df = df.sortWithinPartitions("shard_id", "row_idx")
+    before = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, str(shards.spread + 1 if streams else 0))
+    try:
+        _save(df.drop("row_idx").write.mode(mode).partitionBy("shard_id"), fmt, path)
+    finally:
+        spark.conf.set(OPEN_FILES, before)
 
 
 def _save(writer, fmt: str, path: str) -> None:
@@ -80,11 +100,5 @@ def write_csv_records(
         placed = by_chunks(shards, rows_per_file)
         opens = (F.col("row_idx") % rows_per_file == 0) | first_of_shard
     line = F.when(opens, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value"))
-    (
-        placed.select(line.alias("value"), "shard_id", "row_idx")
-        .sortWithinPartitions("shard_id", "row_idx")
-        .drop("row_idx")
-        .write.mode(mode)
-        .partitionBy("shard_id")
-        .text(path)
-    )
+    lines = placed.select(line.alias("value"), "shard_id", "row_idx")
+    _save_by_shard(lines, shards, "text", path, mode)

@@ -32,6 +32,7 @@ from rowloom.operators.row_index import (
     files_of,
     position_columns,
     rises,
+    widest,
 )
 from rowloom.scratch import BROADCAST_ROWS
 
@@ -70,9 +71,9 @@ def index_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvSca
     blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None)
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
     if blocks["spans"].any():
-        return CsvScan(_assembled(placed, blocks), total, True, files_of(blocks), header)
+        return CsvScan(_assembled(placed, blocks), total, True, int(blocks["records"].max()), files_of(blocks), header)
     in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return CsvScan(_lines_as_records(placed, blocks), total, in_order, files_of(blocks), header)
+    return CsvScan(_lines_as_records(placed, blocks), total, in_order, widest(blocks), files_of(blocks), header)
 
 
 def _inner_return(value: Column) -> Column:

@@ -57,7 +57,7 @@ def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive:
         listed = _spark_listing(spark, base, recursive)
     else:
         table = spark.createDataFrame(starts, "start string, descend boolean")
-        listed = table.repartitionByRange(len(starts), "start").mapInArrow(tasks.tree_walker(base), LISTING)
+        listed = table.mapInArrow(tasks.tree_walker(base), LISTING)
     return listed.filter(F.col("path").endswith(suffix)).orderBy("path")
 
 

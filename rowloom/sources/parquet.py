@@ -16,6 +16,7 @@ from rowloom.operators.row_index import (
     position_columns,
     refuse_reserved,
     rises,
+    widest,
 )
 from rowloom.scratch import BROADCAST_ROWS, small_side
 
@@ -48,4 +49,4 @@ def index_parquet(spark: SparkSession, path: str) -> IndexedScan:
             .select(*table.columns, FILE, "row_idx")
         )
         in_order = in_order and len(files) <= BROADCAST_ROWS
-    return IndexedScan(placed, total, in_order, files_of(blocks))
+    return IndexedScan(placed, total, in_order, widest(blocks) if total else 0, files_of(blocks))
