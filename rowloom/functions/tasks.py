@@ -86,28 +86,86 @@ def summarize_quotes(batches):
         yield flush()
 
 
-def assemble_records(batches):
-    """Join the lines of one partition into CSV records and number them.
-
-    Input columns: value, base (index of the partition's first data row), header (the
-    partition's first record is a header line), file.  Output: value, row_idx, lead
-    (first data row of the partition), file.
+class RecordJoiner:
+    """Joins lines into CSV records.
 
     Only lines with quotes (or lone carriage returns) are looked at one by one; the runs of
     lines between them are records, or the inside of one field, as a whole.
     """
+
+    def __init__(self):
+        self.pending = []  # pieces of the record that is still open
+        self.records = []  # Arrow arrays of finished records
+
+    def feed(self, values):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        looked_at = pc.or_(pc.match_substring(values, '"'), pc.match_substring_regex(values, "\\r(?s:.)"))
+        at = 0
+        for spot in pc.indices_nonzero(looked_at).to_pylist():
+            self._run(values.slice(at, spot - at))
+            done = self._line(values[spot].as_py())
+            if done:
+                self.records.append(pa.array(done, pa.string()))
+            at = spot + 1
+        self._run(values.slice(at))
+
+    def _run(self, values):
+        import pyarrow.compute as pc
+
+        if len(values) and self.pending:
+            self.pending.append("\n".join(values.to_pylist()) + "\n")
+        elif len(values):
+            self.records.append(pc.utf8_rtrim(values, "\r"))
+
+    def _line(self, line):
+        done = []
+        pieces = line_pieces(line)
+        for i, piece in enumerate(pieces):
+            if ends_in_quote(piece, bool(self.pending)):
+                last = i == len(pieces) - 1
+                ending = ("\r\n" if line.endswith("\r") else "\n") if last else "\r"
+                self.pending.append(piece + ending)
+            else:
+                done.append("".join(self.pending) + piece)
+                self.pending = []
+        return done
+
+    def close(self):
+        """A quote still open at the end of the file ends there."""
+        import pyarrow as pa
+
+        if self.pending:
+            self.records.append(pa.array(["".join(self.pending)], pa.string()))
+            self.pending = []
+
+    def take(self):
+        import pyarrow as pa
+
+        records, self.records = self.records, []
+        return pa.concat_arrays(records) if records else pa.array([], pa.string())
+
+
+def assemble_records(batches):
+    """Join the lines of one partition into CSV records and number them.
+
+    Input columns: value, tail, base, header, file.  ``tail`` is set on the last line of an
+    input block: "+" and the lines of later blocks that complete its last record, or "-".  ``base``
+    is the index of the block's first data row; ``header`` says that the block begins with
+    a header record.  Output: value, row_idx, lead (first data row of the partition), file.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
     schema = pa.schema([("value", pa.string()), ("row_idx", pa.int64()), ("lead", pa.bool_()), ("file", pa.string())])
-    next_idx = None
-    skip = lead = False
-    pending: list[str] = []
-    file = None
+    joiner = RecordJoiner()
+    next_idx = file = None
+    skip, lead = False, True
 
-    def finished(chunks):
+    def finished():
         nonlocal next_idx, skip, lead
-        records = pa.concat_arrays(chunks) if chunks else pa.array([], pa.string())
+        records = joiner.take()
         if skip and len(records):
             records, skip = records.slice(1), False
         size = len(records)
@@ -117,43 +175,26 @@ def assemble_records(batches):
         return pa.RecordBatch.from_arrays([records, numbers, leads, pa.array([file] * size, pa.string())], schema=schema)
 
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        if next_idx is None:
-            next_idx = batch["base"][0].as_py()
-            skip = batch["header"][0].as_py()
-            file = batch["file"][0].as_py()
-            lead = True
-        values = batch["value"]
-        looked_at = pc.or_(pc.match_substring(values, '"'), pc.match_substring_regex(values, "\\r(?s:.)"))
-        chunks = []
+        tails = batch["tail"]
         at = 0
-        for spot in pc.indices_nonzero(looked_at).to_pylist() + [len(values)]:
-            if spot > at:
-                run = values.slice(at, spot - at)
-                if pending:
-                    pending.append("\n".join(run.to_pylist()) + "\n")
-                else:
-                    chunks.append(pc.utf8_rtrim(run, "\r"))
-            at = spot + 1
-            if spot == len(values):
+        for end in pc.indices_nonzero(pc.is_valid(tails)).to_pylist() + [batch.num_rows]:
+            if at == batch.num_rows:
                 break
-            line = values[spot].as_py()
-            pieces = line_pieces(line)
-            done = []
-            for i, piece in enumerate(pieces):
-                if ends_in_quote(piece, bool(pending)):
-                    last = i == len(pieces) - 1
-                    ending = ("\r\n" if line.endswith("\r") else "\n") if last else "\r"
-                    pending.append(piece + ending)
-                else:
-                    done.append("".join(pending) + piece)
-                    pending = []
-            if done:
-                chunks.append(pa.array(done, pa.string()))
-        yield finished(chunks)
-    if pending:
-        yield finished([pa.array(["".join(pending)], pa.string())])
+            if next_idx is None:
+                next_idx, skip, file = batch["base"][at].as_py(), batch["header"][at].as_py(), batch["file"][at].as_py()
+            joiner.feed(batch["value"].slice(at, end + 1 - at))
+            if end < batch.num_rows:
+                tail = tails[end].as_py()
+                if tail != "-":
+                    joiner.feed(pa.array(tail[1:].split("\n"), pa.string()))
+                joiner.close()
+            yield finished()
+            if end < batch.num_rows:
+                next_idx = None
+            at = end + 1
+    if next_idx is not None:
+        joiner.close()
+        yield finished()
 
 
 def shard_runs(frames):

@@ -34,10 +34,13 @@ from rowloom.operators.row_index import (
     rises,
     widest,
 )
-from rowloom.scratch import BROADCAST_ROWS
+from rowloom.scratch import BROADCAST_ROWS, checkpointed
 
 LEAD = PREFIX + "lead"
 
+# Closing lines of records that cross a split are broadcast up to this size.
+TAIL_BYTES = 64 << 20
+
 SUMMARY = (
     "file string, start bigint, first_m bigint, last_m bigint, out0 bigint, recs0 bigint, "
     "out1 bigint, recs1 bigint, close_m bigint, head_recs bigint, odd boolean"
@@ -51,7 +54,7 @@ class CsvScan(IndexedScan):
     header: str = ""
 
 
-def index_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvScan:
+def index_csv(spark: SparkSession, path: str, multi_line: bool = True, tail_bytes: int = TAIL_BYTES) -> CsvScan:
     """Records of a CSV file, or of several with one header each, in file order.
 
     ``multi_line=False`` promises that no field holds a line break and saves the look at
@@ -70,15 +73,23 @@ def index_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvSca
 
     blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None)
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
-    if blocks["spans"].any():
-        return CsvScan(_assembled(placed, blocks), total, True, int(blocks["records"].max()), files_of(blocks), header)
-    in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return CsvScan(_lines_as_records(placed, blocks), total, in_order, widest(blocks), files_of(blocks), header)
+    files = files_of(blocks)
+    broadcasts = len(blocks) <= BROADCAST_ROWS
+    in_order = rises(blocks["min_m"]) and broadcasts
+    most = widest(blocks.assign(rows=blocks["records"]))
+    if not blocks["spans"].any():
+        return CsvScan(_lines_as_records(placed, blocks), total, in_order, most, files, header)
+    if broadcasts:
+        tails, size = _closing_lines(placed, blocks)
+        if size <= tail_bytes:
+            return CsvScan(_joined_in_place(placed, blocks, tails), total, in_order, most, files, header)
+    most = int(blocks["records"].max())
+    return CsvScan(_joined_after_shuffle(placed, blocks), total, True, most, files, header)
 
 
 def _inner_return(value: Column) -> Column:
-    first = F.instr(value, "\r")
-    return (first > 0) & (first < F.length(value))
+    """A carriage return before the last character."""
+    return value.contains("\r") & (F.instr(value, "\r") < F.length(value))
 
 
 def _header(lines: DataFrame, first_file: str) -> str:
@@ -179,19 +190,59 @@ def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     )
 
 
-def _assembled(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
+ASSEMBLED = "value string, row_idx bigint, lead boolean, file string"
+
+
+def _assembled(lines: DataFrame) -> DataFrame:
+    return lines.select("value", "tail", "base", "header", "file").mapInArrow(
+        tasks.assemble_records, ASSEMBLED
+    ).withColumnsRenamed({"file": FILE, "lead": LEAD})
+
+
+def _closing_lines(placed: DataFrame, blocks: pd.DataFrame) -> tuple[DataFrame, int]:
+    """(per holder block the lines of later blocks that complete its last record, bytes).
+
+    Less than one record for each block; written once to the shared folder.
+    """
+    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "holder"]]
+    lines = attach_blocks(placed, side).filter(F.col(M) - F.col("min_m") < F.col("head"))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", M, "value")))
+    text = F.array_join(F.transform(ordered, lambda line: line["value"]), "\n")
+    tails = checkpointed(lines.groupBy("holder").agg(text.alias("text")))
+    return tails, tails.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame) -> DataFrame:
+    """Join lines into records where they were read; ``tails`` is small."""
+    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first"]].assign(
+        last_m=blocks["min_m"] + blocks["rows"] - 1
+    )
+    own = attach_blocks(placed, side).filter(F.col(M) - F.col("min_m") >= F.col("head"))
+    ending = F.coalesce(F.concat(F.lit("+"), F.col("text")), F.lit("-"))
+    lines = own.join(F.broadcast(tails), F.col("ordinal") == F.col("holder"), "left").select(
+        "value",
+        F.when(F.col(M) == F.col("last_m"), ending).alias("tail"),
+        "base",
+        F.col("first").alias("header"),
+        F.col(FILE).alias("file"),
+    )
+    return _assembled(lines)
+
+
+def _joined_after_shuffle(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     """Send each line to the block that owns its record, then join lines into records.
 
     Almost every line stays with its own block, so a reducer reads from one or two map
     tasks.
     """
     holder = blocks.loc[blocks["holder"]].reset_index(drop=True)
-    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first"]].assign(
-        holder=blocks["holder"], holder_base=holder["base"], holder_first=holder["first"]
+    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first", "holder"]].assign(
+        holder_base=holder["base"], holder_first=holder["first"]
     )
     continues = F.col(M) - F.col("min_m") < F.col("head")
     owned = attach_blocks(placed, side).select(
         "value",
+        F.lit(None).cast("string").alias("tail"),
         M,
         "ordinal",
         F.col(FILE).alias("file"),
@@ -199,13 +250,7 @@ def _assembled(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
         F.when(continues, F.col("holder_base")).otherwise(F.col("base")).alias("base"),
         F.when(continues, F.col("holder_first")).otherwise(F.col("first")).alias("header"),
     )
-    return (
-        owned.repartitionById(len(blocks), "owner")
-        .sortWithinPartitions("ordinal", M)
-        .select("value", "base", "header", "file")
-        .mapInArrow(tasks.assemble_records, "value string, row_idx bigint, lead boolean, file string")
-        .withColumnsRenamed({"file": FILE, "lead": LEAD})
-    )
+    return _assembled(owned.repartitionById(len(blocks), "owner").sortWithinPartitions("ordinal", M))
 
 
 def header_names(header: str) -> list[str]:

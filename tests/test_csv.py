@@ -48,7 +48,9 @@ def test_records_in_many_splits_equal_the_csv_module(spark, small_splits, tmp_pa
             out.write(ending)
     text = out.getvalue()
     path = write_bytes(tmp_path / "t.csv", text)
-    scan = index_csv(spark, path)
+    # Without room for a broadcast the closing lines go through a shuffle.
+    scan = index_csv(spark, path, tail_bytes=-1 if seed >= 4 else 1 << 20)
+    assert ("REPARTITION_BY_NUM" in scan.df._jdf.queryExecution().executedPlan().toString()) == (seed >= 4)
     want = read_csv(text)
     got = [next(iter(read_csv(r)), []) for r in records(scan)]
     assert got == want[1:]
@@ -71,11 +73,13 @@ def test_lone_carriage_returns_end_records(spark, small_splits, tmp_path):
     assert [read_csv(r)[0] for r in records(scan)] == read_csv(text)[1:]
 
 
-def test_several_files_each_with_a_header(spark, small_splits, tmp_path):
+@pytest.mark.parametrize("tail_bytes", [-1, 1 << 20])
+def test_several_files_each_with_a_header(spark, small_splits, tmp_path, tail_bytes):
     for name, first in (("a b.csv", 0), ("b.csv", 50)):
         body = "".join(f'{i},"n\n{i}"\n' for i in range(first, first + 50))
         (tmp_path / name).write_text("id,note\n" + body)
-    scan = index_csv(spark, str(tmp_path))
+    (tmp_path / "c.csv").write_text("id,note\n")
+    scan = index_csv(spark, str(tmp_path), tail_bytes=tail_bytes)
     assert [read_csv(r)[0] for r in records(scan)] == [[str(i), f"n\n{i}"] for i in range(100)]
 
 
@@ -102,3 +106,10 @@ def test_empty_file_is_an_error(spark, tmp_path):
 
 def test_repeated_header_names():
     assert header_names("x,X,y") == ["x0", "X1", "y"]
+
+
+def test_quote_left_open_runs_to_the_end_of_the_file(spark, small_splits, tmp_path):
+    text = "a,b\n1,x\n" + '2,"open\n' + "line\n\n" * 300
+    for tail_bytes in (-1, 1 << 20):
+        scan = index_csv(spark, write_bytes(tmp_path / "t.csv", text), tail_bytes=tail_bytes)
+        assert [read_csv(r)[0] for r in records(scan)] == read_csv(text)[1:]
