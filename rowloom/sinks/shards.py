@@ -40,8 +40,8 @@ def write_shards(
 
     A shard may be far larger than one task: its files, in the order of their part
     numbers, hold consecutive runs of rows.  Partitions that are already in row order are
-    written where they are.  Otherwise one shuffle sends each run of ``rows_per_file``
-    rows to its own task.
+    written where they are.  Otherwise one shuffle sends each run of at most
+    ``rows_per_file`` rows to its own task.
 
     ``one_file=True`` writes ``path/part-K``, exactly one file per shard; shards are then
     the unit of work, so choose ``n`` to fit them.
@@ -53,9 +53,41 @@ def write_shards(
     if one_file:
         one_each = shards.df.repartitionById(shards.n, "shard_id").sortWithinPartitions("row_idx")
         _save(one_each.drop("shard_id", "row_idx").write.mode(mode), fmt, path)
+    elif stays_in_place(shards):
+        _save_by_shard(shards.df, shards, fmt, path, mode)
     else:
-        df = shards.df if shards.in_order else by_chunks(shards, rows_per_file)
-        _save_by_shard(df, shards, fmt, path, mode)
+        _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), shards, fmt, path, mode)
+
+
+def write_csv_records(
+    shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite"
+) -> None:
+    """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
+    first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
+    if stays_in_place(shards):
+        placed, first_of_task = shards.df, F.col(LEAD)
+    else:
+        rows = chunk_rows(shards, rows_per_file)
+        placed, first_of_task = by_chunks(shards, rows), F.col("row_idx") % rows == 0
+    with_header = F.concat(F.lit(header + "\n"), F.col("value"))
+    line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
+    _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), shards, "text", path, mode)
+
+
+def stays_in_place(shards: Shards) -> bool:
+    """Write without a shuffle: rows are in order and no partition holds very many shards."""
+    return shards.in_order and shards.spread <= MAX_OPEN_FILES
+
+
+def chunk_rows(shards: Shards, rows_per_file: int) -> int:
+    """Rows of a task after the shuffle: one file at most, and not too many small shards."""
+    return max(1, min(rows_per_file, (shards.total // shards.n) * MAX_OPEN_FILES // 2))
+
+
+def by_chunks(shards: Shards, rows: int) -> DataFrame:
+    """One partition per run of ``rows`` rows, in row order, whatever the shards' sizes."""
+    chunk = int_div(F.col("row_idx"), rows).cast("int")
+    return shards.df.repartitionById(max(1, -(-shards.total // rows)), chunk)
 
 
 def _save_by_shard(df: DataFrame, shards: Shards, fmt: str, path: str, mode: str) -> None:
@@ -66,7 +98,7 @@ def _save_by_shard(df: DataFrame, shards: Shards, fmt: str, path: str, mode: str
     beyond it.  Other partitions are sorted.
     """
     spark = df.sparkSession
-    streams = shards.in_order and 0 < shards.spread <= MAX_OPEN_FILES
+    streams = stays_in_place(shards) and shards.spread > 0
     if not streams:
         df = df.sortWithinPartitions("shard_id", "row_idx")
     before = spark.conf.get(OPEN_FILES)
@@ -81,24 +113,3 @@ def _save(writer, fmt: str, path: str) -> None:
     if fmt == "csv":
         writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
-
-
-def by_chunks(shards: Shards, rows_per_file: int) -> DataFrame:
-    """One partition per run of ``rows_per_file`` rows, in row order, whatever the shards' sizes."""
-    chunk = int_div(F.col("row_idx"), rows_per_file).cast("int")
-    return shards.df.repartitionById(max(1, -(-shards.total // rows_per_file)), chunk)
-
-
-def write_csv_records(
-    shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite"
-) -> None:
-    """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
-    first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
-    if shards.in_order:
-        placed, opens = shards.df, F.col(LEAD) | first_of_shard
-    else:
-        placed = by_chunks(shards, rows_per_file)
-        opens = (F.col("row_idx") % rows_per_file == 0) | first_of_shard
-    line = F.when(opens, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value"))
-    lines = placed.select(line.alias("value"), "shard_id", "row_idx")
-    _save_by_shard(lines, shards, "text", path, mode)

@@ -184,3 +184,23 @@ def test_in_order_write_has_no_shuffle(spark, tmp_path):
     write_shards(shards, str(tmp_path / "one"), one_file=True)
     files = sorted(glob.glob(str(tmp_path / "one" / "part-*")))
     assert [pq.read_table(f)["id"].to_pylist() for f in files] == blocks(list(range(1000)), 4)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "text", "parquet"])
+def test_many_small_shards_from_one_partition_are_spread_over_tasks(spark, tmp_path, fmt):
+    src = tmp_path / f"d.{'txt' if fmt == 'text' else fmt}"
+    if fmt == "parquet":
+        pq.write_table(pa.table({"value": [str(i) for i in range(700)]}), src)
+    else:
+        src.write_text("value\n" * (fmt == "csv") + "".join(f"{i}\n" for i in range(700)))
+    split_file(spark, str(src), 200, str(tmp_path / "out"))
+    want = blocks([str(i) for i in range(700)], 200)
+    for k in range(200):
+        files = shard_files(tmp_path / "out", k)
+        if fmt == "parquet":
+            got = [v for f in files for v in pq.read_table(f, partitioning=None)["value"].to_pylist()]
+        elif fmt == "text":
+            got = lines_of(tmp_path / "out", k)
+        else:
+            got = [r[0] for r in rows_of(tmp_path / "out", k, ["value"])]
+        assert got == want[k]
