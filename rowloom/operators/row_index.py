@@ -124,21 +124,27 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
     """Row index along a unique key, for tables that have no file order.
 
-    One range shuffle; the sorted table is written once to the shared folder, because a
-    second run could draw other range bounds.  Offsets are per partition.
+    The key is checked first: repeated keys would all land in one range, and their order
+    would be chance.  One range shuffle; the sorted table is written once to the shared
+    folder, because a second run could draw other range bounds.  Offsets are per partition.
     """
     refuse_reserved(df)
     missing = [c for c in order_by if c not in df.columns]
     if missing or not order_by:
         raise ValueError(f"order_by needs columns of the table, got {list(order_by)}")
+    repeated = df.groupBy(*order_by).count().filter("count > 1").first()
+    if repeated is not None:
+        raise ValueError(f"order_by is not unique, for example {repeated.asDict()}: add columns")
     spark = df.sparkSession
     placed = checkpointed(df.orderBy(*order_by)).select(
         "*", F.spark_partition_id().alias(PID), F.monotonically_increasing_id().alias(M)
     )
     counts = placed.groupBy(PID).agg(F.count("*").alias("rows"), F.min(M).alias("min_m"))
     parts = counts.toPandas().sort_values(PID, ignore_index=True)
-    parts = parts.assign(**{BASE: before(parts["rows"]) - parts["min_m"]})
+    if parts.empty:
+        return IndexedScan(placed.withColumn("row_idx", F.col(M)).drop(PID, M), 0, True)
+    parts[BASE] = before(parts["rows"]) - parts["min_m"]
     side = spark.createDataFrame(pa.Table.from_pandas(parts[[PID, BASE]], preserve_index=False))
     indexed = placed.join(small_side(side, len(parts)), PID).withColumn("row_idx", F.col(BASE) + F.col(M))
-    total = int(parts["rows"].sum())
-    return IndexedScan(indexed.drop(PID, M, BASE), total, len(parts) <= BROADCAST_ROWS, int(parts["rows"].max() or 0) if total else 0)
+    in_order = len(parts) <= BROADCAST_ROWS
+    return IndexedScan(indexed.drop(PID, M, BASE), int(parts["rows"].sum()), in_order, int(parts["rows"].max()))

@@ -168,6 +168,13 @@ def test_parquet_directory_keeps_file_order_and_pushes_filters(spark, tmp_path):
 
 def test_key_order(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(5)
+    with pytest.raises(ValueError, match="unique"):
+        with_row_index(df, ["v"])
+    with pytest.raises(ValueError):
+        with_row_index(df, ["missing"])
+    assert with_row_index(df.limit(0), ["k"]).total == 0
+    with pytest.raises(ValueError, match="rename"):
+        with_row_index(df.withColumn("row_idx", F.lit(1)), ["k"])
     scan = with_row_index(df, ["k"])
     assert scan.total == 1000 and scan.df.filter("row_idx <> k").count() == 0
     shards = split_contiguous(scan, 3)
