@@ -13,15 +13,17 @@ from rowloom.operators.row_index import IndexedScan
 
 @dataclass(frozen=True)
 class Shards:
-    """A DataFrame with ``shard_id`` (0 .. n-1) and ``row_idx``; see ``IndexedScan.in_order``.
+    """A DataFrame with ``shard_id`` (0 .. n-1) and ``row_idx``.
 
-    ``spread`` bounds the number of shards within a partition (0: not known).
+    ``in_order`` and ``widest`` as in ``IndexedScan``; ``spread`` bounds the number of
+    shards within a partition (0: not known).
     """
 
     df: DataFrame
     n: int
     total: int
     in_order: bool
+    widest: int = 0
     spread: int = 0
 
 
@@ -29,4 +31,4 @@ def split_contiguous(scan: IndexedScan, n: int) -> Shards:
     """Shard k holds the k-th block of rows.  Plain arithmetic on ``row_idx``, no shuffle."""
     df = scan.df.withColumn("shard_id", shard_of(F.col("row_idx"), scan.total, n))
     spread = scan.widest // (scan.total // n) + 2 if scan.widest else 0
-    return Shards(df, n, scan.total, scan.in_order, spread)
+    return Shards(df, n, scan.total, scan.in_order, scan.widest, spread)

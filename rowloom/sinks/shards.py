@@ -53,10 +53,10 @@ def write_shards(
     if one_file:
         one_each = shards.df.repartitionById(shards.n, "shard_id").sortWithinPartitions("row_idx")
         _save(one_each.drop("shard_id", "row_idx").write.mode(mode), fmt, path)
-    elif stays_in_place(shards):
-        _save_by_shard(shards.df, shards, fmt, path, mode)
+    elif stays_in_place(shards, rows_per_file):
+        _save_by_shard(shards.df, shards.spread, fmt, path, mode)
     else:
-        _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), shards, fmt, path, mode)
+        _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), 0, fmt, path, mode)
 
 
 def write_csv_records(
@@ -64,19 +64,25 @@ def write_csv_records(
 ) -> None:
     """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
     first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
-    if stays_in_place(shards):
-        placed, first_of_task = shards.df, F.col(LEAD)
+    if stays_in_place(shards, rows_per_file):
+        placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
     else:
         rows = chunk_rows(shards, rows_per_file)
-        placed, first_of_task = by_chunks(shards, rows), F.col("row_idx") % rows == 0
+        placed, first_of_task, spread = by_chunks(shards, rows), F.col("row_idx") % rows == 0, 0
     with_header = F.concat(F.lit(header + "\n"), F.col("value"))
     line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
-    _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), shards, "text", path, mode)
+    _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", path, mode)
 
 
-def stays_in_place(shards: Shards) -> bool:
-    """Write without a shuffle: rows are in order and no partition holds very many shards."""
-    return shards.in_order and shards.spread <= MAX_OPEN_FILES
+def stays_in_place(shards: Shards, rows_per_file: int) -> bool:
+    """Write without a shuffle?
+
+    Rows must be in order and no partition may hold very many shards.  An input that cannot
+    be cut (one gzip file, one row group) would leave most cores idle: it is spread.
+    """
+    cores = shards.df.sparkSession.sparkContext.defaultParallelism
+    lopsided = shards.widest > rows_per_file and 2 * shards.total < cores * shards.widest
+    return shards.in_order and shards.spread <= MAX_OPEN_FILES and not lopsided
 
 
 def chunk_rows(shards: Shards, rows_per_file: int) -> int:
@@ -90,19 +96,18 @@ def by_chunks(shards: Shards, rows: int) -> DataFrame:
     return shards.df.repartitionById(max(1, -(-shards.total // rows)), chunk)
 
 
-def _save_by_shard(df: DataFrame, shards: Shards, fmt: str, path: str, mode: str) -> None:
+def _save_by_shard(df: DataFrame, spread: int, fmt: str, path: str, mode: str) -> None:
     """One directory per shard.
 
-    Partitions in row order touch few shards: their files are open side by side and the
-    rows stream through.  The count is a true bound, as Spark would sort by shard alone
-    beyond it.  Other partitions are sorted.
+    Partitions in row order touch at most ``spread`` shards: their files are open side by
+    side and the rows stream through.  The count must be a true bound, as Spark sorts by
+    shard alone beyond it.  With ``spread`` 0 partitions are sorted.
     """
     spark = df.sparkSession
-    streams = stays_in_place(shards) and shards.spread > 0
-    if not streams:
+    if not spread:
         df = df.sortWithinPartitions("shard_id", "row_idx")
     before = spark.conf.get(OPEN_FILES)
-    spark.conf.set(OPEN_FILES, str(shards.spread + 1 if streams else 0))
+    spark.conf.set(OPEN_FILES, str(spread + 1 if spread else 0))
     try:
         _save(df.drop("row_idx").write.mode(mode).partitionBy("shard_id"), fmt, path)
     finally:

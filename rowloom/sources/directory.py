@@ -53,7 +53,7 @@ def scan_shard_dir(spark: SparkSession, directory: str, fmt: str = "auto", expec
     ids = {FILE: list(scan.files), "shard_id": [shard_of[unquote(file)] for file in scan.files]}
     table = spark.createDataFrame(pa.table(ids, pa.schema([(FILE, pa.string()), ("shard_id", pa.int32())])))
     in_order = scan.in_order and len(paths) <= BROADCAST_ROWS
-    return Shards(df.join(small_side(table, len(scan.files)), FILE), len(paths), scan.total, in_order)
+    return Shards(df.join(small_side(table, len(scan.files)), FILE), len(paths), scan.total, in_order, scan.widest)
 
 
 def _reader_format(paths, fmt: str) -> str:

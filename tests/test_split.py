@@ -12,7 +12,7 @@ from rowloom.operators.row_index import IndexedScan, with_row_index
 from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.plans.split_file import split_file
-from rowloom.sinks.shards import write_shards
+from rowloom.sinks.shards import stays_in_place, write_shards
 from rowloom.sources.formats import detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
@@ -211,3 +211,16 @@ def test_many_small_shards_from_one_partition_are_spread_over_tasks(spark, tmp_p
         else:
             got = [r[0] for r in rows_of(tmp_path / "out", k, ["value"])]
         assert got == want[k]
+
+
+def test_input_of_one_task_is_spread_for_writing(spark, tmp_path):
+    import gzip
+
+    lines = [f"{i}" for i in range(1000)]
+    with gzip.open(tmp_path / "d.txt.gz", "wt") as out:
+        out.write("\n".join(lines))
+    shards = split_contiguous(index_text(spark, str(tmp_path / "d.txt.gz")), 3)
+    assert stays_in_place(shards, 1000) and not stays_in_place(shards, 100)
+    write_shards(shards, str(tmp_path / "out"), "text", rows_per_file=100)
+    assert [lines_of(tmp_path / "out", k) for k in range(3)] == blocks(lines, 3)
+    assert len(shard_files(tmp_path / "out", 0)) == 4
