@@ -165,12 +165,12 @@ def merged(pieces: DataFrame) -> DataFrame:
 
 def map_shards_events(spark, sf_dir):
     events = sharded(spark, sf_dir, "events", 16)
-    return map_shards(events, key_summary("event_id"), SUMMARY)
+    return map_shards(events, key_summary("event_id"), SUMMARY, columns=["event_id"])
 
 
 def map_shard_pieces_events(spark, sf_dir):
     events = sharded(spark, sf_dir, "events", 16)
-    return merged(map_shards(events, key_summary("event_id"), SUMMARY, whole=False))
+    return merged(map_shards(events, key_summary("event_id"), SUMMARY, whole=False, columns=["event_id"]))
 
 
 def map_shards_side(spark, sf_dir):
@@ -182,7 +182,9 @@ def map_shards_side(spark, sf_dir):
 
     nation = spark.read.parquet(table(sf_dir, "nation"))
     customers = sharded(spark, sf_dir, "customer")
-    counts = map_shards(customers, by_nation, "n_name string, customers bigint", side=nation, whole=False)
+    counts = map_shards(
+        customers, by_nation, "n_name string, customers bigint", side=nation, whole=False, columns=["c_nationkey"]
+    )
     return counts.groupBy("shard_id", "n_name").agg(F.sum("customers").alias("customers"))
 
 
@@ -194,7 +196,10 @@ def failing_run(spark, sf_dir):
             raise RuntimeError("broken shard")
 
     events = sharded(spark, sf_dir, "events", 10)
-    return record_shards(events, shaky, "event_id bigint, user_id bigint", run_id="events", config={"k": "v"})
+    wanted = ["event_id", "user_id"]
+    return record_shards(
+        events, shaky, "event_id bigint, user_id bigint", run_id="events", config={"k": "v"}, columns=wanted
+    )
 
 
 def map_shards_outcome(spark, sf_dir):
@@ -221,12 +226,14 @@ def scan_shard_dir_events(spark, sf_dir):
 
 def map_files_events(spark, sf_dir):
     path = shard_directory(spark, sf_dir, 11)
-    return map_files(spark, path, key_summary("event_id"), SUMMARY, "parquet")
+    return map_files(spark, path, key_summary("event_id"), SUMMARY, "parquet", columns=["event_id"])
 
 
 def map_file_pieces_events(spark, sf_dir):
     path = shard_directory(spark, sf_dir, 11)
-    return merged(map_files(spark, path, key_summary("event_id"), SUMMARY, "parquet", whole=False))
+    return merged(
+        map_files(spark, path, key_summary("event_id"), SUMMARY, "parquet", whole=False, columns=["event_id"])
+    )
 
 
 def written_shards(spark, sf_dir, rows_each=500):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import tasks
-from rowloom.operators.row_index import PREFIX
+from rowloom.operators.row_index import PREFIX, RESERVED
 from rowloom.operators.split import Shards
 from rowloom.scratch import checkpointed, new_scratch, small_side
 from rowloom.sources.directory import scan_shard_dir
@@ -27,6 +27,7 @@ def map_shards(
     schema: str,
     side: DataFrame | str | None = None,
     whole: bool = True,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Run ``fn`` once per shard; the result is ``shard_id`` plus the columns of ``schema``.
 
@@ -40,9 +41,10 @@ def map_shards(
     large a shard is, and the caller merges the rows with the same ``shard_id``.
 
     ``side`` is handed unchanged to every task as a local path: a file as it is, a
-    DataFrame as a directory of Parquet files.
+    DataFrame as a directory of Parquet files.  ``columns`` names what ``fn`` needs; other
+    columns are not read.
     """
-    return _run(shards, fn, schema, side, whole, record=False)
+    return _run(shards, fn, schema, side, whole, columns, record=False)
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,7 @@ def record_shards(
     side: DataFrame | str | None = None,
     run_id: str = "run",
     config: dict[str, str] | None = None,
+    columns: Sequence[str] | None = None,
 ) -> ShardRun:
     """Like ``map_shards``, but a shard whose program raises does not stop the others.
 
@@ -68,7 +71,7 @@ def record_shards(
     both frames read it from there.
     """
     names = T.StructType.fromDDL(schema).names
-    done = checkpointed(_run(shards, fn, schema, side, True, record=True))
+    done = checkpointed(_run(shards, fn, schema, side, True, columns, record=True))
     outcome = done.filter(F.col("_status").isNotNull()).select(
         F.lit(run_id).alias("run_id"),
         run_name(run_id, F.col("shard_id"), F.col("_attempt")).alias("run_name"),
@@ -110,23 +113,25 @@ def map_files(
     expected: int = 0,
     side: DataFrame | str | None = None,
     whole: bool = True,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """``map_shards`` over a directory of ready-made files, one shard per file."""
-    return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole)
+    return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole, columns)
 
 
 OUTCOME = "_attempt int, _status string, _error string, _rows_out bigint"
 
 
-def _run(shards: Shards, fn, schema: str, side, whole: bool, record: bool) -> DataFrame:
+def _run(shards: Shards, fn, schema: str, side, whole: bool, columns, record: bool) -> DataFrame:
     fields = T.StructType.fromDDL(schema)
     out = T.StructType([T.StructField("shard_id", T.IntegerType())] + fields.fields)
     if record:
         out = T.StructType(out.fields + T.StructType.fromDDL(OUTCOME).fields)
-    df = shards.df
+    data = columns or [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
+    df = shards.df.select(*data, "shard_id", "row_idx")
     if whole:
         df = df.repartitionById(shards.n, "shard_id").sortWithinPartitions("shard_id", "row_idx")
-    df = df.select(*[c for c in df.columns if c != "row_idx" and not c.startswith(PREFIX)])
+    df = df.drop("row_idx")
     side_name = _ship(df.sparkSession, side) if side is not None else None
     return df.mapInPandas(tasks.shard_worker(fn, fields.names, side_name, whole, record), out)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import ancestors, matches_any
-from rowloom.sources.files import exists, list_files, read_small_text
+from rowloom.sources.files import exists, files_below, read_small_text
 
 # Patterns left out when a tree names none, and the files that may name some.
 DEFAULT_EXCLUDES = (
@@ -50,7 +50,7 @@ def file_inventory(
     Contents are not read.
     """
     chosen = ignore_patterns(spark, directory, extra) if patterns is None else [*patterns, *extra]
-    return exclude_paths(list_files(spark, directory), chosen)
+    return exclude_paths(files_below(spark, directory), chosen)
 
 
 def inventory_totals(files: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def pending_outputs(spark: SparkSession, expected: DataFrame, directory: str, co
     A path exists when it is a file there or a directory that holds files.  Catalyst picks
     the join; neither side passes through the driver.
     """
-    listed = list_files(spark, directory).select(F.explode(ancestors(F.col("rel_path"))).alias("_done")).distinct()
+    listed = files_below(spark, directory).select(F.explode(ancestors(F.col("rel_path"))).alias("_done")).distinct()
     wanted = F.rtrim(F.col(column), F.lit("/"))
     return expected.join(listed, wanted == F.col("_done"), "left_anti")
 

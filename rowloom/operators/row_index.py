@@ -94,20 +94,19 @@ def attach_blocks(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     """Join per-block columns to the rows of the scan and check that the splits agree.
 
     The table has one row per input split.  The join is a broadcast up to
-    ``BROADCAST_ROWS`` splits, a sort-merge join beyond.
+    ``BROADCAST_ROWS`` splits, a sort-merge join beyond.  Every column is behind the check,
+    so that a filter on it cannot turn the left join into one that drops rows.
     """
     spark = placed.sparkSession
     keys = [START] if blocks[FILE].nunique() == 1 else [FILE, START]
-    side = blocks.drop(columns=[c for c in (FILE, START) if c not in keys])
-    side = side.rename(columns={LENGTH: SEEN})
+    side = blocks.drop(columns=[c for c in (FILE, START) if c not in keys]).rename(columns={LENGTH: SEEN})
     table = spark.createDataFrame(pa.Table.from_pandas(side, preserve_index=False))
     joined = placed.join(small_side(table, len(blocks)), keys, "left")
-    return joined.withColumn(
-        M,
-        F.when(F.col(LENGTH) == F.col(SEEN), F.col(M)).otherwise(
-            F.raise_error(F.lit("input splits changed between counting and reading")).cast("bigint")
-        ),
-    )
+    changed = F.raise_error(F.lit("input splits changed between counting and reading"))
+    payload = [c for c in table.columns if c not in (*keys, SEEN)]
+    kinds = dict(table.dtypes)
+    checked = {c: F.when(F.col(LENGTH) == F.col(SEEN), F.col(c)).otherwise(changed.cast(kinds[c])) for c in payload}
+    return joined.withColumns(checked).drop(SEEN)
 
 
 def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
@@ -118,7 +117,7 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
     side = blocks[[FILE, START, LENGTH, BASE]]
     df = attach_blocks(placed, side).withColumn("row_idx", F.col(BASE) + F.col(M))
     in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return IndexedScan(df.drop(BASE, SEEN), int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
+    return IndexedScan(df.drop(BASE), int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:

@@ -47,6 +47,11 @@ def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive:
     Empty files and hidden names are listed; tasks walk the directories below the root in
     parallel.  A directory that does not exist gives an empty frame.
     """
+    return files_below(spark, directory, recursive).filter(F.col("path").endswith(suffix)).orderBy("path")
+
+
+def files_below(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
+    """``list_files`` in no order."""
     if not exists(spark, directory):
         return spark.createDataFrame([], LISTING)
     base = qualified(spark, directory)
@@ -54,11 +59,9 @@ def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive:
         starts = [("", False)] + [(name, True) for name in tasks.subdirectories(base) if recursive]
     except (ValueError, NotImplementedError, OSError) as exc:
         log.warning("%s: Spark lists it, without empty files and names beginning with . or _", exc)
-        listed = _spark_listing(spark, base, recursive)
-    else:
-        table = spark.createDataFrame(starts, "start string, descend boolean")
-        listed = table.mapInArrow(tasks.tree_walker(base), LISTING)
-    return listed.filter(F.col("path").endswith(suffix)).orderBy("path")
+        return _spark_listing(spark, base, recursive)
+    table = spark.createDataFrame(starts, "start string, descend boolean")
+    return table.mapInArrow(tasks.tree_walker(base), LISTING)
 
 
 def _spark_listing(spark: SparkSession, base: str, recursive: bool) -> DataFrame:

@@ -45,6 +45,12 @@ def test_pieces_need_no_shuffle_and_merge_to_the_same(spark, shards):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_only_named_columns_are_read(shards):
+    plan = map_shards(shards, summary, SUMMARY, columns=["id"])
+    assert "ReadSchema: struct<id:bigint,_tmp" in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, plan.collect())) == WANT
+
+
 def test_program_may_leave_rows_unread_or_yield_nothing(shards):
     def first(shard_id, batches):
         if shard_id % 2:

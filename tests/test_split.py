@@ -13,6 +13,7 @@ from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.plans.split_file import split_file
 from rowloom.sinks.shards import stays_in_place, write_shards
+from rowloom.sources.csv import index_csv
 from rowloom.sources.formats import detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
@@ -224,3 +225,19 @@ def test_input_of_one_task_is_spread_for_writing(spark, tmp_path):
     write_shards(shards, str(tmp_path / "out"), "text", rows_per_file=100)
     assert [lines_of(tmp_path / "out", k) for k in range(3)] == blocks(lines, 3)
     assert len(shard_files(tmp_path / "out", 0)) == 4
+
+
+@pytest.mark.parametrize("kind", ["text", "csv", "quoted", "cut"])
+def test_changed_splits_are_an_error_not_a_loss(spark, tmp_path, kind):
+    field = {"quoted": '"a,b"', "cut": '"a\nb"'}.get(kind, "ab")
+    path = tmp_path / "d.txt"
+    path.write_text("k,v\n" + "".join(f"{i},{field}\n" for i in range(400)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        df = (index_text if kind == "text" else index_csv)(spark, str(path)).df.filter("row_idx >= 0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        with pytest.raises(Exception, match="splits changed"):
+            df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
