@@ -23,7 +23,8 @@ from rowloom.scratch import BROADCAST_ROWS, checkpointed, small_side
 PREFIX = "_rowloom_"
 FILE, START, LENGTH = PREFIX + "file", PREFIX + "start", PREFIX + "length"  # where a row was read
 M = PREFIX + "m"  # rises along the rows of a partition
-SEEN, PID, BASE = PREFIX + "seen", PREFIX + "pid", PREFIX + "base"
+SEEN, FIRST, LAST = PREFIX + "seen", PREFIX + "first", PREFIX + "last"  # what the count saw
+PID, BASE = PREFIX + "pid", PREFIX + "base"
 RESERVED = ("row_idx", "shard_id")
 
 
@@ -90,23 +91,27 @@ def rises(values: pd.Series) -> bool:
     return bool(values.is_monotonic_increasing)
 
 
-def attach_blocks(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
-    """Join per-block columns to the rows of the scan and check that the splits agree.
+def attach_blocks(placed: DataFrame, blocks: pd.DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Join ``columns`` of the block table to the rows and check that the splits agree.
 
     The table has one row per input split.  The join is a broadcast up to
-    ``BROADCAST_ROWS`` splits, a sort-merge join beyond.  Every column is behind the check,
-    so that a filter on it cannot turn the left join into one that drops rows.
+    ``BROADCAST_ROWS`` splits, a sort-merge join beyond.  A block that now has another
+    length, or other rows before it in its partition, has rows outside its range of ``M``.
+    Every column is behind the check, so that a filter on it cannot turn the left join into
+    one that drops rows.
     """
     spark = placed.sparkSession
     keys = [START] if blocks[FILE].nunique() == 1 else [FILE, START]
-    side = blocks.drop(columns=[c for c in (FILE, START) if c not in keys]).rename(columns={LENGTH: SEEN})
+    side = blocks[[*keys, *columns]].assign(
+        **{SEEN: blocks[LENGTH], FIRST: blocks["min_m"], LAST: blocks["min_m"] + blocks["rows"] - 1}
+    )
     table = spark.createDataFrame(pa.Table.from_pandas(side, preserve_index=False))
     joined = placed.join(small_side(table, len(blocks)), keys, "left")
+    same = (F.col(LENGTH) == F.col(SEEN)) & F.col(M).between(F.col(FIRST), F.col(LAST))
     changed = F.raise_error(F.lit("input splits changed between counting and reading"))
-    payload = [c for c in table.columns if c not in (*keys, SEEN)]
     kinds = dict(table.dtypes)
-    checked = {c: F.when(F.col(LENGTH) == F.col(SEEN), F.col(c)).otherwise(changed.cast(kinds[c])) for c in payload}
-    return joined.withColumns(checked).drop(SEEN)
+    checked = {c: F.when(same, F.col(c)).otherwise(changed.cast(kinds[c])) for c in columns}
+    return joined.withColumns(checked).drop(SEEN, FIRST, LAST)
 
 
 def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
@@ -114,10 +119,9 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
     if blocks.empty:
         return IndexedScan(placed.withColumn("row_idx", F.col(M)), 0, True)
     blocks = blocks.assign(**{BASE: before(blocks["rows"]) - blocks["min_m"]})
-    side = blocks[[FILE, START, LENGTH, BASE]]
-    df = attach_blocks(placed, side).withColumn("row_idx", F.col(BASE) + F.col(M))
+    df = attach_blocks(placed, blocks, [BASE]).withColumn("row_idx", F.col(BASE) + F.col(M)).drop(BASE)
     in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
-    return IndexedScan(df.drop(BASE), int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
+    return IndexedScan(df, int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:

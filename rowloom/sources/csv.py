@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from rowloom.functions import tasks
 from rowloom.operators.row_index import (
     FILE,
-    LENGTH,
     M,
     PREFIX,
     START,
@@ -170,16 +169,16 @@ def _without_return(value: Column) -> Column:
 def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     """Every line is a record: number the lines, drop the header lines."""
     first = blocks["first"].astype("int64")
-    side = blocks[[FILE, START, LENGTH]].assign(
+    numbered = blocks.assign(
         base=blocks["base"] - blocks["min_m"] - first,
         header_m=blocks["min_m"].where(blocks["first"], -1),
         lead_m=-1,
     )
     filled = blocks[blocks["rows"] > first].sort_values("min_m")
     leaders = filled.index[~(filled["min_m"] // 2**33).duplicated()]
-    side.loc[leaders, "lead_m"] = blocks["min_m"] + first
+    numbered.loc[leaders, "lead_m"] = blocks["min_m"] + first
     return (
-        attach_blocks(placed, side)
+        attach_blocks(placed, numbered, ["base", "header_m", "lead_m"])
         .filter(F.col(M) != F.col("header_m"))
         .select(
             _without_return(F.col("value")).alias("value"),
@@ -204,8 +203,9 @@ def _closing_lines(placed: DataFrame, blocks: pd.DataFrame) -> tuple[DataFrame,
 
     Less than one record for each block; written once to the shared folder.
     """
-    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "holder"]]
-    lines = attach_blocks(placed, side).filter(F.col(M) - F.col("min_m") < F.col("head"))
+    lines = attach_blocks(placed, blocks, ["min_m", "head", "ordinal", "holder"]).filter(
+        F.col(M) - F.col("min_m") < F.col("head")
+    )
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", M, "value")))
     text = F.array_join(F.transform(ordered, lambda line: line["value"]), "\n")
     tails = checkpointed(lines.groupBy("holder").agg(text.alias("text")))
@@ -214,10 +214,10 @@ def _closing_lines(placed: DataFrame, blocks: pd.DataFrame) -> tuple[DataFrame,
 
 def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame) -> DataFrame:
     """Join lines into records where they were read; ``tails`` is small."""
-    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first"]].assign(
-        last_m=blocks["min_m"] + blocks["rows"] - 1
+    ended = blocks.assign(last_m=blocks["min_m"] + blocks["rows"] - 1)
+    own = attach_blocks(placed, ended, ["min_m", "head", "ordinal", "base", "first", "last_m"]).filter(
+        F.col(M) - F.col("min_m") >= F.col("head")
     )
-    own = attach_blocks(placed, side).filter(F.col(M) - F.col("min_m") >= F.col("head"))
     ending = F.coalesce(F.concat(F.lit("+"), F.col("text")), F.lit("-"))
     lines = own.join(F.broadcast(tails), F.col("ordinal") == F.col("holder"), "left").select(
         "value",
@@ -236,11 +236,10 @@ def _joined_after_shuffle(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
     tasks.
     """
     holder = blocks.loc[blocks["holder"]].reset_index(drop=True)
-    side = blocks[[FILE, START, LENGTH, "min_m", "head", "ordinal", "base", "first", "holder"]].assign(
-        holder_base=holder["base"], holder_first=holder["first"]
-    )
+    named = blocks.assign(holder_base=holder["base"], holder_first=holder["first"])
+    wanted = ["min_m", "head", "ordinal", "base", "first", "holder", "holder_base", "holder_first"]
     continues = F.col(M) - F.col("min_m") < F.col("head")
-    owned = attach_blocks(placed, side).select(
+    owned = attach_blocks(placed, named, wanted).select(
         "value",
         F.lit(None).cast("string").alias("tail"),
         M,

@@ -241,3 +241,22 @@ def test_changed_splits_are_an_error_not_a_loss(spark, tmp_path, kind):
             df.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_changed_packing_of_whole_files_is_an_error(spark, tmp_path):
+    for i, size in enumerate((400, 300, 299, 298)):
+        (tmp_path / f"{i}.txt").write_text("abcdefghi\n" * (size // 10))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[1], "1")
+        spark.conf.set(keys[2], "1")
+        spark.conf.set(keys[0], "610")
+        df = index_text(spark, str(tmp_path)).df
+        assert df.agg(F.countDistinct("row_idx")).first()[0] == 40 + 30 + 29 + 29
+        spark.conf.set(keys[0], "710")
+        with pytest.raises(Exception, match="splits changed"):
+            df.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
