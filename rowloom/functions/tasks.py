@@ -256,7 +256,7 @@ def shard_worker(fn, names, side_name, whole, record):
                 rows_out += len(out)
                 out.insert(0, "shard_id", shard_id)
                 if record:
-                    out = out.assign(_attempt=None, _status=None, _error=None, _rows_out=None)
+                    out = out.assign(_rowloom_attempt=None, _rowloom_status=None, _rowloom_error=None, _rowloom_rows_out=None)
                 yield out
         except Exception as exc:
             if not record:
@@ -264,8 +264,8 @@ def shard_worker(fn, names, side_name, whole, record):
             error = f"{type(exc).__name__}: {exc}"
         if record:
             outcome = {name: [None] for name in names}
-            outcome.update(shard_id=[shard_id], _attempt=[context.attemptNumber()], _error=[error],
-                           _status=["failed" if error else "ok"], _rows_out=[rows_out])
+            outcome.update(shard_id=[shard_id], _rowloom_attempt=[context.attemptNumber()], _rowloom_error=[error],
+                           _rowloom_status=["failed" if error else "ok"], _rowloom_rows_out=[rows_out])
             yield pd.DataFrame(outcome)
 
     return work

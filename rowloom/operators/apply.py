@@ -72,14 +72,14 @@ def record_shards(
     """
     names = T.StructType.fromDDL(schema).names
     done = checkpointed(_run(shards, fn, schema, side, True, columns, record=True))
-    outcome = done.filter(F.col("_status").isNotNull()).select(
+    outcome = done.filter(F.col("_rowloom_status").isNotNull()).select(
         F.lit(run_id).alias("run_id"),
-        run_name(run_id, F.col("shard_id"), F.col("_attempt")).alias("run_name"),
+        run_name(run_id, F.col("shard_id"), F.col("_rowloom_attempt")).alias("run_name"),
         "shard_id",
-        F.col("_attempt").alias("attempt"),
-        F.col("_status").alias("status"),
-        F.col("_error").alias("error"),
-        F.col("_rows_out").alias("rows_out"),
+        F.col("_rowloom_attempt").alias("attempt"),
+        F.col("_rowloom_status").alias("status"),
+        F.col("_rowloom_error").alias("error"),
+        F.col("_rowloom_rows_out").alias("rows_out"),
     )
     ids = F.create_map(
         F.lit("run_id"), "run_id", F.lit("shard_id"), F.col("shard_id").cast("string"),
@@ -87,7 +87,7 @@ def record_shards(
     )
     outcome = outcome.withColumn("config", overlay(ids, config or {}))
     good = outcome.filter("status = 'ok'").select("shard_id")
-    rows = done.filter(F.col("_status").isNull()).select("shard_id", *names)
+    rows = done.filter(F.col("_rowloom_status").isNull()).select("shard_id", *names)
     return ShardRun(rows.join(small_side(good, shards.n), "shard_id", "left_semi"), outcome)
 
 
@@ -119,7 +119,7 @@ def map_files(
     return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole, columns)
 
 
-OUTCOME = "_attempt int, _status string, _error string, _rows_out bigint"
+OUTCOME = "_rowloom_attempt int, _rowloom_status string, _rowloom_error string, _rowloom_rows_out bigint"
 
 
 def _run(shards: Shards, fn, schema: str, side, whole: bool, columns, record: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rowloom.sinks.shards import CSV_OPTIONS
+from rowloom.sources.formats import is_parquet
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -12,7 +13,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
     The result is a directory of part files, written by all tasks at once.
     """
-    if path.rstrip("/").lower().endswith((".parquet", ".pq")):
+    if is_parquet(path):
         df.write.mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

@@ -260,15 +260,22 @@ def header_names(header: str) -> list[str]:
 
 
 def parse_records(scan: CsvScan, mode: str = "FAILFAST") -> DataFrame:
-    """Records to string columns, next to ``row_idx`` and the file; empty fields stay ""."""
+    """Records to string columns, next to ``row_idx`` and the file; empty fields stay "".
+
+    Rows with fewer or more fields than the header: FAILFAST raises, PERMISSIVE pads and
+    cuts, PAD pads the short ones and raises for the long ones.
+    """
     names = header_names(scan.header)
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    options = {"mode": mode, "quote": '"', "escape": '"', "multiLine": "true"}
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + (mode == "PAD")))
+    options = {"mode": "PERMISSIVE" if mode == "PAD" else mode, "quote": '"', "escape": '"', "multiLine": "true"}
     # A blank record is a row of empty fields; the parser calls it malformed.
     record = F.from_csv(F.when(F.col("value") != "", F.col("value")), schema, options)
     parsed = scan.df.select(record.alias("r"), "row_idx", FILE)
-    fields = [F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
-    return parsed.select(*fields, "row_idx", FILE)
+    values = [F.coalesce(F.col(f"r.c{i}"), F.lit("")) for i in range(len(names))]
+    if mode == "PAD":
+        too_long = F.raise_error(F.lit("a CSV row has more fields than the header")).cast("string")
+        values = [F.when(F.col(f"r.c{len(names)}").isNull(), value).otherwise(too_long) for value in values]
+    return parsed.select(*[value.alias(name) for value, name in zip(values, names)], "row_idx", FILE)
 
 
 def scan_csv_verbatim(

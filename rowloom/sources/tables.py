@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.sources.csv import index_csv, parse_records
-from rowloom.sources.formats import SUFFIX_FORMATS, detect_format
+from rowloom.sources.formats import is_parquet
 
 # Texts that stand for a missing value in a CSV table.
 MISSING = (
@@ -23,9 +25,10 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_
     """Parquet for ``.parquet`` and ``.pq``, anything else as CSV with a header (gzip by ending).
 
     CSV column types are inferred in one aggregation over the whole table: bigint, double,
-    boolean, else string; dates stay text.  ``schema`` (DDL) skips that pass.
+    boolean, else string; dates stay text.  ``schema`` (DDL) skips that pass.  Short rows are
+    padded with missing values, rows with too many fields raise an error.
     """
-    if SUFFIX_FORMATS and path.rstrip("/").lower().endswith((".parquet", ".pq")):
+    if is_parquet(path):
         return spark.read.parquet(path)
     texts = _texts(spark, path, multi_line)
     if schema is not None:
@@ -45,15 +48,15 @@ def _quoted(name: str) -> Column:
 def _texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """String columns, blank lines dropped, missing values null."""
     records = index_csv(spark, path, multi_line)
-    from dataclasses import replace
-
-    parsed = parse_records(replace(records, df=records.df.filter(F.col("value") != "")), "PERMISSIVE")
+    filled = replace(records, df=records.df.filter(F.col("value") != ""))
+    parsed = parse_records(filled, "PAD")
     names = parsed.columns[:-2]
     return parsed.select(*[F.when(~_quoted(c).isin(*MISSING), _quoted(c)).alias(c) for c in names])
 
 
 def infer_types(texts: DataFrame) -> dict[str, str]:
     """Narrowest type that holds every value of a string column; one partial aggregation."""
+
     def fits(c, test):
         return F.coalesce(F.bool_and(_quoted(c).isNull() | test), F.lit(True))
 

@@ -163,6 +163,15 @@ def test_read_table_types(spark, tmp_path):
         read_table(spark, str(tmp_path / "t.csv"), "i int")
 
 
+def test_read_table_ragged_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c\n1,2,3\n4\n")
+    df = read_table(spark, str(tmp_path / "t.csv"))
+    assert sorted(map(tuple, df.collect())) == [(1, 2, 3), (4, None, None)]
+    (tmp_path / "t.csv").write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_table(spark, str(tmp_path / "t.csv")).collect()
+
+
 @pytest.mark.parametrize("name", ["t.csv", "t.parquet", "t.pq", "t"])
 def test_table_round_trip(spark, tmp_path, name):
     df = spark.createDataFrame([(1, 'a "b"\nc', 0.5), (2, " pad ", -1.0), (3, "\\", 2.0)], "k bigint, t string, v double")
