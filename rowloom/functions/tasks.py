@@ -326,9 +326,19 @@ def _is_directory(filesystem, info):
     return not (isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(info.path))
 
 
-def subdirectories(base):
+def tree_starts(base, wanted):
+    """Where tasks begin to list: (directory, walk below it) pairs.
+
+    The top levels are listed one by one until there are ``wanted`` directories to walk.
+    """
     filesystem, root = open_filesystem(base)
-    return [info.base_name for info in _entries(filesystem, root) if _is_directory(filesystem, info)]
+    root = root.rstrip("/")
+    alone, walked = [], [root]
+    while walked and len(walked) < wanted:
+        alone += walked
+        infos = [info for directory in walked for info in _entries(filesystem, directory or "/")]
+        walked = [info.path for info in infos if _is_directory(filesystem, info)]
+    return [(path[len(root) + 1 :], False) for path in alone] + [(path[len(root) + 1 :], True) for path in walked]
 
 
 def tree_walker(base):
@@ -345,7 +355,7 @@ def tree_walker(base):
             for start, descend in zip(batch["start"].to_pylist(), batch["descend"].to_pylist()):
                 waiting = [f"{root}/{start}".rstrip("/")]
                 while waiting:
-                    infos = _entries(filesystem, waiting.pop())
+                    infos = _entries(filesystem, waiting.pop() or "/")
                     files = [info for info in infos if info.is_file]
                     if descend:
                         waiting += [info.path for info in infos if _is_directory(filesystem, info)]

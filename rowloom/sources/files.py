@@ -44,8 +44,7 @@ def read_small_text(spark: SparkSession, path: str) -> str:
 def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive: bool = True) -> DataFrame:
     """Regular files below ``directory`` whose path ends with ``suffix``, in path order.
 
-    Empty files and hidden names are listed; tasks walk the directories below the root in
-    parallel.  A directory that does not exist gives an empty frame.
+    Empty files and hidden names are listed; tasks walk the directories in parallel.  A directory that does not exist gives an empty frame.
     """
     return files_below(spark, directory, recursive).filter(F.col("path").endswith(suffix)).orderBy("path")
 
@@ -55,12 +54,14 @@ def files_below(spark: SparkSession, directory: str, recursive: bool = True) ->
     if not exists(spark, directory):
         return spark.createDataFrame([], LISTING)
     base = qualified(spark, directory)
+    cores = spark.sparkContext.defaultParallelism
     try:
-        starts = [("", False)] + [(name, True) for name in tasks.subdirectories(base) if recursive]
+        tasks.open_filesystem(base)
+        starts = tasks.tree_starts(base, cores) if recursive else [("", False)]
     except (ValueError, NotImplementedError, OSError) as exc:
         log.warning("%s: Spark lists it, without empty files and names beginning with . or _", exc)
         return _spark_listing(spark, base, recursive)
-    table = spark.createDataFrame(starts, "start string, descend boolean")
+    table = spark.createDataFrame(starts, "start string, descend boolean").repartition(min(len(starts), 4 * cores))
     return table.mapInArrow(tasks.tree_walker(base), LISTING)
 
 

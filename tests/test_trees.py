@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions import tasks
 from rowloom.functions.expressions import output_path
 from rowloom.operators.fingerprint import fingerprint, fingerprint_tree
 from rowloom.operators.inventory import (
@@ -47,6 +48,16 @@ def test_listing_suffix_depth_and_missing(spark, tmp_path):
     assert "content" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
+def test_unknown_store_falls_back_to_the_listing_of_spark(spark, tmp_path, monkeypatch):
+    def unknown(path):
+        raise NotImplementedError("no such scheme")
+
+    (tmp_path / "a").write_text("x")
+    monkeypatch.setattr(tasks, "open_filesystem", unknown)
+    for recursive in (True, False):
+        assert names(list_files(spark, str(tmp_path), recursive=recursive)) == ["a"]
+
+
 def test_default_excludes_keep_hidden_names_they_do_not_name(spark, tmp_path):
     make_tree(tmp_path)
     os.symlink(tmp_path, tmp_path / "pkg" / "loop")
@@ -56,6 +67,19 @@ def test_default_excludes_keep_hidden_names_they_do_not_name(spark, tmp_path):
     assert names(file_inventory(spark, str(tmp_path), extra=[".env"])) == ["pkg/__init__.py", "pkg/main.py"]
 
 
+@pytest.mark.parametrize("wide", [1, 3, 30])
+def test_every_file_is_listed_once_whatever_the_shape(spark, tmp_path, wide):
+    want = []
+    for i in range(wide):
+        for rel in (f"d{i}/a", f"d{i}/e/f/g{i}/b", f"d{i}/e/f/h/_c", "top"):
+            (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / rel).write_text("x")
+            want.append(rel)
+    rows = list_files(spark, str(tmp_path)).collect()
+    assert [r.rel_path for r in rows] == sorted(set(want))
+    assert all(r.path == f"file:{tmp_path}/{r.rel_path}" and r.length == 1 for r in rows)
+
+
 def test_ignore_files(spark, tmp_path):
     assert ignore_patterns(spark, str(tmp_path), ["x"]) == [*DEFAULT_EXCLUDES, "x"]
     (tmp_path / ".gitignore").write_text("*.log\n# comment\n\n  data/  \n")
