@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, simhash
+from rowloom.llm import fm_index, kneser_ney, simhash
+from rowloom.llm.common import remainder
 
 
 def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_kneser_ney(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    model = kneser_ney.train(docs.where("not held_out"))
+    scored = kneser_ney.score(docs, model, ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op6_decontamination(spark, sf_dir):
     found = fm_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -25,7 +33,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op6_decontamination, op10_simhash)}
+QUERIES = {q.__name__: q for q in (op5_kneser_ney, op6_decontamination, op10_simhash)}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
