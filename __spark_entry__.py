@@ -40,6 +40,15 @@ from rowloom.sources.parquet import index_parquet
 from rowloom.sources.tables import read_table
 from rowloom.sources.text import index_text
 
+try:
+    import corpus_pipeline
+    from rowloom.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # the subpackage and its pipeline may be left out; anything else missing is an error
+    if missing.name not in ("corpus_pipeline", "rowloom.llm"):
+        raise
+    llm = None
+
 # Patterns of the path filter queries.
 PATH_PATTERNS = ["blog.*", "*.html", "de/", "th?r*[ae]*.example.com", "en/[1-3]*"]
 
@@ -368,7 +377,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fingerprint_documents, fingerprint_event_shards, changed_event_shards, pending_orders,
         table_roundtrip_part, table_roundtrip_csv, table_inferred_types,
     ]
-    return {query.__name__: query for query in found}
+    named = {query.__name__: query for query in found}
+    return named | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else named
 
 
 def numbered(name: str, key: str, n: int | str, columns: str = "*") -> str:
@@ -415,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         tagged(c) for c in ("CAST(doc_id AS VARCHAR)", "text", "lang", "source", "CAST(n_chars AS VARCHAR)")
     )
     url_rel = "rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')"
-    return {
+    found = {
         "split_orders": ranges("orders", "o_orderkey", 8),
         "split_lineitem_file_order": (
             "SELECT CAST(k AS INT) AS shard_id, t.c // 7 + CASE WHEN k = 6 THEN t.c % 7 ELSE 0 END AS rows "
@@ -508,3 +518,7 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice END AS price FROM orders"
         ),
     }
+    if not llm:
+        return found
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found | llm.SQL | whole

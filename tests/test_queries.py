@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, on the smallest test tables."""
 
 import os
+import re
 
 import pytest
 
@@ -17,11 +18,14 @@ def con():
     return duck(SF_DIR)
 
 
+OWN = [name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)]
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
 
