@@ -32,3 +32,22 @@ def tasks_at_once(spark: SparkSession) -> int:
 
 def arrow(df: DataFrame, task, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(task, schema)
+
+
+def hash_share(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of the keys, always the same ones."""
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(share) * (1 << 30)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, rows: int) -> DataFrame:
+    """``text`` and ``label`` of about ``rows`` labelled documents of each label, chosen by hash of the id.
+
+    Every label row that has an id and a label 0 or 1 can be chosen; what is sent to all tasks is
+    bounded by ``rows``.
+    """
+    given = prepared(labels, **{id_column: "bigint", label_column: "int"}).where(f"{id_column} is not null and {label_column} in (0, 1)")
+    counts = {r[label_column]: r["count"] for r in given.groupBy(label_column).count().collect()}
+    share = F.when(F.col(label_column) == 1, rows / max(counts.get(1, 0), rows)).otherwise(rows / max(counts.get(0, 0), rows))
+    chosen = given.where(hash_share(F.col(id_column), share)).select(F.col(id_column).alias("__id"), F.col(label_column).alias("label"))
+    texts = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("__id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").select("text", "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, kneser_ney, simhash
+from rowloom.llm import fm_index, kneser_ney, language, quality, simhash, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -12,6 +12,12 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
+    model = language.learn(docs.where("not held_out"))
+    return language.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op5_kneser_ney(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
     model = kneser_ney.train(docs.where("not held_out"))
@@ -29,11 +35,29 @@ def op6_decontamination(spark, sf_dir):
     )
 
 
+def labelled(spark, sf_dir, n, held):
+    """Documents with their remainder's ``held_out``, and the labels that may be learned from."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", n) == held).alias("held_out"))
+    return docs, read(spark, sf_dir, "labels").where(remainder("doc_id", n) != held)
+
+
+def op7_toxicity(spark, sf_dir):
+    docs, labels = labelled(spark, sf_dir, 3, 1)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), ("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op9_quality(spark, sf_dir):
+    docs, labels = labelled(spark, sf_dir, 5, 0)
+    model = quality.learn(docs.where("not held_out"), labels)
+    return quality.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op5_kneser_ney, op6_decontamination, op10_simhash)}
+QUERIES = {q.__name__: q for q in (op2_language, op5_kneser_ney, op6_decontamination, op7_toxicity, op9_quality, op10_simhash)}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
