@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, kneser_ney, language, quality, simhash, toxicity
+from rowloom.llm import fm_index, kneser_ney, language, mixing, permutation_index, quality, simhash, token_files, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -12,12 +12,21 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_permutation_index(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
     model = language.learn(docs.where("not held_out"))
     return language.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op3_fair_queueing(spark, sf_dir):
+    return mixing.fair_queue_mix(read(spark, sf_dir, "documents")).drop("source")
+
+
 def op5_kneser_ney(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
     model = kneser_ney.train(docs.where("not held_out"))
@@ -47,6 +56,12 @@ def op7_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_token_counts(spark, sf_dir):
+    path, manifest = token_files.write_token_files(read(spark, sf_dir, "documents"))
+    counted = token_files.count_tokens(spark, path)
+    return manifest.join(counted, ["file", "doc_no"]).select("doc_id", "n_tokens")
+
+
 def op9_quality(spark, sf_dir):
     docs, labels = labelled(spark, sf_dir, 5, 0)
     model = quality.learn(docs.where("not held_out"), labels)
@@ -57,7 +72,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_language, op5_kneser_ney, op6_decontamination, op7_toxicity, op9_quality, op10_simhash)}
+QUERIES = {q.__name__: q for q in (
+    op1_permutation_index, op2_language, op3_fair_queueing, op5_kneser_ney, op6_decontamination, op7_toxicity,
+    op8_token_counts, op9_quality, op10_simhash,
+)}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,7 +85,33 @@ def words_of(text: str) -> str:
     return f"regexp_extract_all({LOWERED.format(f'coalesce({text}, {chr(39) * 2})')}, {WORDS})"
 
 
+SPACED = r"'[^\x20\x09-\x0D]+'"
+
+
+def mix_of(documents: str, columns: str) -> str:
+    """SQL of the fair queueing mix over a relation with doc_id, source and text."""
+    return f"""
+sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {SPACED})), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS key FROM {documents}),
+src AS (SELECT source, size, no, 1 + no % 3 AS w FROM (SELECT source, CAST(sum(size) AS HUGEINT) AS size,
+    CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS HUGEINT) AS no FROM sized GROUP BY source)),
+lim AS (SELECT *, w * (sum(size) OVER () - 3 * (sum(size) OVER o - size)) > 3 * size * (sum(w) OVER () - sum(w) OVER o + w) AS capped
+    FROM src WINDOW o AS (ORDER BY CAST(3 * size AS DOUBLE) / CAST(w AS DOUBLE), no ROWS UNBOUNDED PRECEDING)),
+tgt AS (SELECT source, no, size AS source_size, CASE WHEN capped THEN CAST(3 * size AS DOUBLE)
+    ELSE CAST(w * (SELECT sum(CASE WHEN capped THEN size - 3 * size ELSE size END) FROM lim) AS DOUBLE)
+        / CAST((SELECT sum(w) FROM lim WHERE NOT capped) AS DOUBLE) END AS target FROM lim),
+cum AS (SELECT doc_id, sized.source, size, key, no, source_size, target,
+    sum(size) OVER (PARTITION BY no ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS up_to
+    FROM sized JOIN tgt ON sized.source IS NOT DISTINCT FROM tgt.source),
+turn AS (SELECT doc_id, size, CAST(t * source_size + up_to AS DOUBLE) / target AS finish, no, t, key
+    FROM cum, range(3) r(t) WHERE size > 0),
+run AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, no, t, key, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM turn),
+got AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM run WHERE total <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT doc_id, {columns}size, CAST(source_size AS BIGINT) AS source_size, target, coalesce(taken, 0) AS taken FROM cum LEFT JOIN got USING (doc_id)"""
+
+
 SQL = {
+    "op3_fair_queueing": "WITH " + mix_of("documents", "").strip(),
     "op6_decontamination": f"""
 WITH item AS (SELECT item_id, w, least(13, len(w)) AS k FROM
     (SELECT item_id, {words_of('text')} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
