@@ -190,9 +190,8 @@ class Windows:
         return tuple(np.concatenate(x) for x in (begins, sizes, of_text, of_item))
 
 
-def scan(batches, windows, id_column, text_column):
+def scan(batches, windows, fields, text_column):
     """Add the occurrences of one block of windows to what earlier blocks found."""
-    fields = [id_column, text_column]
     for batch in batches:
         for part in slices(batch, text_column, SHARD_BYTES):
             data, bounds = text_bytes(part.column(text_column))
@@ -229,17 +228,19 @@ def scan(batches, windows, id_column, text_column):
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, "n_words", "n_hit", "items", "spans"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Where texts of a benchmark occur in documents; one row for every row of ``docs``.
 
-    ``id_column``, ``text_column``; ``n_words``; ``n_hit`` (words inside an occurrence of a window
+    The columns ``carry``; ``n_words``; ``n_hit`` (words inside an occurrence of a window
     of ``width`` words, or of a whole shorter item); ``items`` (sorted ids of the items with an
     occurring window); ``spans`` (byte offsets from, to, from, to ... of the merged occurrences).
     Null and empty texts have no words and no hits. Items without words or id are left out;
     repeated ids count once. A benchmark larger than ``block_words`` words is searched in blocks,
-    each of which every task gets; an item is never split. Other columns are left out.
+    each of which every task gets; an item is never split. Columns that are not
+    carried are left out.
     """
-    source = prepared(docs, **{id_column: "bigint", text_column: "string"})
+    kinds = dict(docs.select(*carry).dtypes)
+    source = docs.select(*carry, F.col(f"`{text_column}`").cast("string").alias("__text"))
     wanted = prepared(benchmark, **{item_column: "string", item_text: "string"})
 
     def hashed(batches):
@@ -257,12 +258,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     blocks = -(-total // block_words) or 1
     spark = docs.sparkSession
     found = source.select("*", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<bigint>").alias("spans"))
-    state = f"{id_column} bigint, {text_column} string, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"
+    fields = [*carry, "__text"]
+    state = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "__text string, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"])
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(vars(Windows([(r.item, np.frombuffer(r.words, np.uint64)) for r in rows], width)))
-        found = found.select(id_column, text_column, "items", "spans").mapInArrow(lambda batches, s=shared: scan(batches, Windows.of(s.value), id_column, text_column), state)
-    return found
+        found = found.select(*fields, "items", "spans").mapInArrow(lambda batches, s=shared: scan(batches, Windows.of(s.value), fields, "__text"), state)
+    return found.drop("__text")
 
 
 def contaminated():

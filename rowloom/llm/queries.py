@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, kneser_ney, language, mixing, permutation_index, quality, simhash, token_files, toxicity
+from rowloom.llm import fm_index, kneser_ney, language, license_scan, mixing, permutation_index, quality, simhash, token_files, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -27,6 +27,10 @@ def op3_fair_queueing(spark, sf_dir):
     return mixing.fair_queue_mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_licenses(spark, sf_dir):
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op5_kneser_ney(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) == 0).alias("held_out"))
     model = kneser_ney.train(docs.where("not held_out"))
@@ -73,7 +77,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_permutation_index, op2_language, op3_fair_queueing, op5_kneser_ney, op6_decontamination, op7_toxicity,
+    op1_permutation_index, op2_language, op3_fair_queueing, op4_licenses, op5_kneser_ney, op6_decontamination, op7_toxicity,
     op8_token_counts, op9_quality, op10_simhash,
 )}
 
@@ -112,6 +116,17 @@ SELECT doc_id, {columns}size, CAST(source_size AS BIGINT) AS source_size, target
 
 SQL = {
     "op3_fair_queueing": "WITH " + mix_of("documents", "").strip(),
+    "op4_licenses": f"""
+WITH t(license, body) AS (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())}),
+ts AS (SELECT DISTINCT license, list_slice(w, p, p + 4) AS v FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS p
+    FROM (SELECT license, regexp_extract_all({LOWERED.format('body')}, {SPACED}) AS w FROM t))),
+size AS (SELECT license, count(*) AS n, CAST(ceil(log2(count(*))) AS INT) AS half FROM ts GROUP BY license),
+ds AS (SELECT doc_id, p - 1 AS p, list_slice(w, p, p + 4) AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p
+    FROM (SELECT doc_id, regexp_extract_all({LOWERED.format('text')}, {SPACED}) AS w FROM documents WHERE text IS NOT NULL))),
+hit AS (SELECT doc_id, license, half, n, p, v FROM ds JOIN ts USING (v) JOIN size USING (license)),
+win AS (SELECT doc_id, license, n, v, unnest([p // (1 << half), p // (1 << half) - 1]) * (1 << half) AS window_start FROM hit)
+SELECT doc_id, license, CAST(window_start AS BIGINT) AS window_start, CAST(count(DISTINCT v) AS DOUBLE) / CAST(n AS DOUBLE) AS containment
+FROM win WHERE window_start >= 0 GROUP BY doc_id, license, n, window_start HAVING count(DISTINCT v) >= 0.8 * n""",
     "op6_decontamination": f"""
 WITH item AS (SELECT item_id, w, least(13, len(w)) AS k FROM
     (SELECT item_id, {words_of('text')} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
