@@ -107,11 +107,26 @@ def _tagged(value: Column) -> Column:
     return F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
 
 
+def _steady(value: Column, kind: T.DataType) -> Column:
+    """The value in a form whose text depends on neither the time zone nor the order of a map."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _steady(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_steady(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.array_sort(F.transform(F.map_entries(value), lambda x: F.struct(F.to_json(F.struct(_steady(x, entry).alias("e"))))))
+    return value
+
+
 def row_digest(fields: Sequence[T.StructField]) -> Column:
     """sha256 (hex) of a row: each column as ``length:text``, null as ``-``."""
     parts = []
     for field in fields:
-        value = F.col(f"`{field.name}`")
+        value = _steady(F.col("`" + field.name.replace("`", "``") + "`"), field.dataType)
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
             text = F.when(value.isNotNull(), text)

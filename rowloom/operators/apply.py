@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from rowloom.functions import tasks
 from rowloom.operators.row_index import PREFIX, RESERVED
 from rowloom.operators.split import Shards
+from rowloom.sources.files import private_copy
 from rowloom.scratch import checkpointed, new_scratch, small_side
 from rowloom.sources.directory import scan_shard_dir
 
@@ -119,6 +120,9 @@ def map_files(
     return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole, columns)
 
 
+# A side file goes to every executor; larger ones are refused.
+SIDE_BYTES = 1 << 30
+
 OUTCOME = "_rowloom_attempt int, _rowloom_status string, _rowloom_error string, _rowloom_rows_out bigint"
 
 
@@ -137,10 +141,14 @@ def _run(shards: Shards, fn, schema: str, side, whole: bool, columns, record: bo
 
 
 def _ship(spark: SparkSession, side: DataFrame | str) -> str:
-    """Register a side file with the session; executors fetch it once each."""
-    path, recursive = side, False
+    """Register a side file with the session; executors fetch it once each.
+
+    Every call ships a copy under a name of its own: a session takes each name once.
+    """
+    path = side
     if isinstance(side, DataFrame):
-        path, recursive = new_scratch(spark, "side"), True
+        path = new_scratch(spark, "side")
         side.write.parquet(path)
+    path, recursive = private_copy(spark, path, new_scratch(spark, "shipped"), SIDE_BYTES)
     spark.sparkContext.addFile(path, recursive=recursive)
     return posixpath.basename(path)

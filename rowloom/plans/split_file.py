@@ -12,6 +12,7 @@ from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.sinks.shards import write_csv_records, write_shards
 from rowloom.sources.csv import index_csv
+from rowloom.sources.files import qualified
 from rowloom.sources.formats import FORMATS, detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
@@ -24,22 +25,28 @@ def split_file(
     fmt: str = "auto",
     multi_line: bool = True,
     rows_per_file: int = 1_000_000,
+    mode: str = "errorifexists",
 ) -> DataFrame:
     """Write ``n`` shards of ``path`` below ``out_dir``; returns the plan with each shard's path.
 
     Row order is kept, CSV shards repeat the header, Parquet shards keep the schema.  Sizes
-    are checked before anything is written.
+    are checked before anything is written.  Shards that are there already are refused
+    unless ``mode="overwrite"``, which replaces the folder; a folder with the source in it
+    is never replaced.
     """
     check_sizes(n, n)
     fmt = detect_format(path) if fmt == "auto" else fmt
     if fmt not in FORMATS:
         raise ValueError(f"unknown shard format {fmt!r}, use auto or one of {', '.join(FORMATS)}")
+    source, target = qualified(spark, path), qualified(spark, out_dir)
+    if source == target or mode == "overwrite" and source.startswith(target + "/") or target.startswith(source + "/"):
+        raise ValueError(f"{out_dir} and the source {path} overlap")
     if fmt == "csv":
         scan = index_csv(spark, path, multi_line)
-        write_csv_records(split_contiguous(scan, n), scan.header, out_dir, rows_per_file)
+        write_csv_records(split_contiguous(scan, n), scan.header, out_dir, rows_per_file, mode)
     else:
         scan = index_text(spark, path) if fmt == "text" else index_parquet(spark, path)
-        write_shards(split_contiguous(scan, n), out_dir, fmt, rows_per_file)
+        write_shards(split_contiguous(scan, n), out_dir, fmt, rows_per_file, mode=mode)
     stem, suffix = posixpath.splitext(posixpath.basename(path.rstrip("/")))
     place = F.concat(F.lit("shard_id="), F.col("shard_id").cast("string"))
     return shard_plan(spark, scan.total, n, stem, suffix).withColumn("path", output_path(out_dir, place))

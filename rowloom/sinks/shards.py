@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import int_div
 from rowloom.operators.row_index import PREFIX, RESERVED
 from rowloom.operators.split import Shards
 from rowloom.sources.csv import LEAD
+from rowloom.sources.files import holds
 from rowloom.sources.formats import FORMATS
 
 # Minimal quoting, empty text as an empty field, blanks kept.
@@ -34,7 +35,7 @@ def write_shards(
     fmt: str = "parquet",
     rows_per_file: int = 1_000_000,
     one_file: bool = False,
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
 ) -> None:
     """Write every shard to ``path/shard_id=K/``, rows in ``row_idx`` order.
 
@@ -45,10 +46,14 @@ def write_shards(
 
     ``one_file=True`` writes ``path/part-K``, exactly one file per shard; shards are then
     the unit of work, so choose ``n`` to fit them.
+
+    A folder that already holds shards is refused, other files in it stay.
+    ``mode="overwrite"`` replaces the whole folder.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown shard format {fmt!r}, use one of {', '.join(FORMATS)}")
     data = [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
+    mode = beside_others(shards.df.sparkSession, path, mode)
     shards = replace(shards, df=shards.df.select(*data, "shard_id", "row_idx"))
     if one_file:
         one_each = shards.df.repartitionById(shards.n, "shard_id").sortWithinPartitions("row_idx")
@@ -60,9 +65,10 @@ def write_shards(
 
 
 def write_csv_records(
-    shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "overwrite"
+    shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "errorifexists"
 ) -> None:
     """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
+    mode = beside_others(shards.df.sparkSession, path, mode)
     first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
     if stays_in_place(shards, rows_per_file):
         placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
@@ -74,6 +80,16 @@ def write_csv_records(
     _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", path, mode)
 
 
+def beside_others(spark: SparkSession, path: str, mode: str) -> str:
+    """Spark's save mode: shards are added to a folder that holds none yet."""
+    if mode != "errorifexists":
+        return mode
+    found = holds(spark, path, "shard_id=*", "part-*")
+    if found:
+        raise FileExistsError(f'{path} already holds {found[0]}: write elsewhere or with mode="overwrite"')
+    return "append"
+
+
 def stays_in_place(shards: Shards, rows_per_file: int) -> bool:
     """Write without a shuffle?
 

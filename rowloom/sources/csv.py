@@ -53,7 +53,7 @@ class CsvScan(IndexedScan):
     header: str = ""
 
 
-def index_csv(spark: SparkSession, path: str, multi_line: bool = True, tail_bytes: int = TAIL_BYTES) -> CsvScan:
+def index_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, tail_bytes: int = TAIL_BYTES) -> CsvScan:
     """Records of a CSV file, or of several with one header each, in file order.
 
     ``multi_line=False`` promises that no field holds a line break and saves the look at
@@ -63,14 +63,15 @@ def index_csv(spark: SparkSession, path: str, multi_line: bool = True, tail_byte
     placed = lines.select("value", *position_columns())
     special = F.col("value").contains('"') | _inner_return(F.col("value"))
     counted = count_blocks(
-        placed if multi_line else placed.drop("value"),
+        placed,
         (F.count_if(special) if multi_line else F.lit(0).cast("bigint")).alias("special"),
+        F.min_by(F.when(F.col(START) == 0, _without_return(F.col("value"))), M).alias("first_line"),
     )
     if counted.empty:
         raise ValueError(f"{path} is empty: a CSV file needs a header line")
-    header = _header(lines, counted[FILE].iloc[0])
-
+    _same_headers(counted)
     blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None)
+    header = _header(lines, counted[FILE].iloc[0])
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
     files = files_of(blocks)
     broadcasts = len(blocks) <= BROADCAST_ROWS
@@ -91,6 +92,17 @@ def _inner_return(value: Column) -> Column:
     return value.contains("\r") & (F.instr(value, "\r") < F.length(value))
 
 
+def _same_headers(counted: pd.DataFrame) -> None:
+    """Refuse files whose header lines differ: their columns would be mixed up."""
+    heads = counted[counted[START] == 0]
+    other = heads[heads["first_line"] != heads["first_line"].iloc[0]]
+    if len(other):
+        raise ValueError(
+            f"{other[FILE].iloc[0]} begins with {other['first_line'].iloc[0][:200]!r}, "
+            f"{heads[FILE].iloc[0]} with {heads['first_line'].iloc[0][:200]!r}: give files of one header"
+        )
+
+
 def _header(lines: DataFrame, first_file: str) -> str:
     """Header record of the first file; reads more lines only while a quote stays open."""
     first = lines.filter(F.col("_metadata.file_path") == first_file)
@@ -134,6 +146,7 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
     columns = zip(blocks[FILE], blocks[START], blocks["min_m"], blocks["rows"])
     for i, (block_file, start, min_m, rows) in enumerate(columns):
         if block_file != file:
+            _closed(file, is_open)
             file, is_open, first[i] = block_file, False, True
         file_no[i] = file_no[i - 1] + first[i] if i else 0
         fact = facts.get((block_file, start))
@@ -154,6 +167,7 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
             holder = i
         records[i] += begun - head_begun
         is_open = ends_open
+    _closed(file, is_open)
     out = blocks.assign(
         head=head, holder=holders, records=records, spans=spans, first=first, file_no=file_no, ordinal=range(n)
     )
@@ -162,6 +176,11 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
     return out
 
 
+def _closed(file: str | None, is_open: bool) -> None:
+    if is_open:
+        raise ValueError(f"{file} ends inside a quoted field")
+
+
 def _without_return(value: Column) -> Column:
     return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
 

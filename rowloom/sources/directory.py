@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -42,12 +43,14 @@ def scan_shard_dir(spark: SparkSession, directory: str, fmt: str = "auto", expec
     if expected not in (0, len(paths)):
         raise ValueError(f"{expected} shards expected, but {directory} holds {len(paths)} files")
     fmt = _reader_format(paths, fmt)
+    # the files by name: of the folder Spark would read subfolders like k=v too
+    named = [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths]
 
     if fmt == "csv":
-        records = index_csv(spark, base)
+        records = index_csv(spark, named)
         df, scan = parse_records(records), records
     else:
-        scan = index_text(spark, base) if fmt == "text" else index_parquet(spark, base)
+        scan = index_text(spark, named) if fmt == "text" else index_parquet(spark, named)
         df = scan.df
     shard_of = {path: i for i, path in enumerate(paths)}
     ids = {FILE: list(scan.files), "shard_id": [shard_of[unquote(file)] for file in scan.files]}

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import logging
+import uuid
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import tasks
 
-log = logging.getLogger(__name__)
-
 LISTING = "path string, rel_path string, length bigint, modified timestamp"
 
 
@@ -44,7 +43,9 @@ def read_small_text(spark: SparkSession, path: str) -> str:
 def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive: bool = True) -> DataFrame:
     """Regular files below ``directory`` whose path ends with ``suffix``, in path order.
 
-    Empty files and hidden names are listed; tasks walk the directories in parallel.  A directory that does not exist gives an empty frame.
+    Empty files and hidden names are listed; tasks walk the directories in parallel.  A
+    directory that does not exist gives an empty frame.  A store that the tasks cannot list
+    raises: Spark's own listing leaves out empty files and hidden names.
     """
     return files_below(spark, directory, recursive).filter(F.col("path").endswith(suffix)).orderBy("path")
 
@@ -55,21 +56,29 @@ def files_below(spark: SparkSession, directory: str, recursive: bool = True) ->
         return spark.createDataFrame([], LISTING)
     base = qualified(spark, directory)
     cores = spark.sparkContext.defaultParallelism
-    try:
-        tasks.open_filesystem(base)
-        starts = tasks.tree_starts(base, cores) if recursive else [("", False)]
-    except (ValueError, NotImplementedError, OSError) as exc:
-        log.warning("%s: Spark lists it, without empty files and names beginning with . or _", exc)
-        return _spark_listing(spark, base, recursive)
+    tasks.open_filesystem(base)
+    starts = tasks.tree_starts(base, cores) if recursive else [("", False)]
     table = spark.createDataFrame(starts, "start string, descend boolean").repartition(min(len(starts), 4 * cores))
     return table.mapInArrow(tasks.tree_walker(base), LISTING)
 
 
-def _spark_listing(spark: SparkSession, base: str, recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    rel_path = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
-    return reader.load(base).select(
-        "path", rel_path.alias("rel_path"), "length", F.col("modificationTime").alias("modified")
-    )
+
+def holds(spark: SparkSession, directory: str, *patterns: str) -> list[str]:
+    """Paths directly in ``directory`` whose names fit one of the shell patterns."""
+    if not exists(spark, directory):
+        return []
+    filesystem, jvm_path = _hadoop(spark, directory)
+    found = [s.getPath() for s in filesystem.listStatus(jvm_path)]
+    return [p.toString() for p in found if any(fnmatchcase(p.getName(), pattern) for pattern in patterns)]
+
+
+def private_copy(spark: SparkSession, path: str, target: str, most_bytes: int) -> tuple[str, bool]:
+    """Copy a file or folder of at most ``most_bytes`` into the folder ``target``; its new path, is it a folder."""
+    filesystem, jvm_path = _hadoop(spark, path.rstrip("/"))
+    size = filesystem.getContentSummary(jvm_path).getLength()
+    if size > most_bytes:
+        raise ValueError(f"{path} has {size} bytes, more than {most_bytes}: read it as a table and join it")
+    to_filesystem, to_path = _hadoop(spark, f"{target}/{uuid.uuid4().hex}-{jvm_path.getName()}")
+    conf = spark._jsc.hadoopConfiguration()
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(filesystem, jvm_path, to_filesystem, to_path, False, conf)
+    return to_path.toString(), filesystem.getFileStatus(jvm_path).isDirectory()

@@ -21,11 +21,11 @@ from rowloom.operators.row_index import (
 from rowloom.scratch import BROADCAST_ROWS, small_side
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def index_parquet(spark: SparkSession, path: str) -> IndexedScan:
+def index_parquet(spark: SparkSession, path: str | list[str]) -> IndexedScan:
     """All columns, row_idx and the file.
 
     The row number inside the file comes from the reader, so filters on the result still

@@ -25,7 +25,8 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_
     """Parquet for ``.parquet`` and ``.pq``, anything else as CSV with a header (gzip by ending).
 
     CSV column types are inferred in one aggregation over the whole table: bigint, double,
-    boolean, else string; dates stay text.  ``schema`` (DDL) skips that pass.  Short rows are
+    boolean, else string; dates stay text.  Whole numbers beyond bigint stay exact:
+    decimal(38,0), or text if they have more digits.  ``schema`` (DDL) skips that pass.  Short rows are
     padded with missing values, rows with too many fields raise an error.
     """
     if is_parquet(path):
@@ -66,6 +67,8 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
         checks += [
             F.coalesce(F.bool_or(value.isNotNull()), F.lit(False)).alias(f"filled{i}"),
             fits(c, value.rlike(WHOLE) & value.try_cast("bigint").isNotNull()).alias(f"whole{i}"),
+            fits(c, value.rlike(WHOLE)).alias(f"digits{i}"),
+            fits(c, F.trim(value).try_cast("decimal(38,0)").isNotNull()).alias(f"exact{i}"),
             fits(c, value.rlike(NUMBER)).alias(f"number{i}"),
             fits(c, value.isin(*TRUE, *FALSE)).alias(f"truth{i}"),
         ]
@@ -74,6 +77,8 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
     for i, c in enumerate(texts.columns):
         if found[f"filled{i}"] and found[f"whole{i}"]:
             types[c] = "bigint"
+        elif found[f"filled{i}"] and found[f"digits{i}"]:
+            types[c] = "decimal(38,0)" if found[f"exact{i}"] else "string"
         elif found[f"number{i}"]:
             types[c] = "double"
         else:

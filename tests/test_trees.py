@@ -18,7 +18,7 @@ from rowloom.operators.inventory import (
     pending_outputs,
 )
 from rowloom.sinks.tables import write_table
-from rowloom.sources.files import _spark_listing, list_files
+from rowloom.sources.files import list_files
 from rowloom.sources.tables import read_table
 
 
@@ -43,19 +43,17 @@ def test_listing_suffix_depth_and_missing(spark, tmp_path):
     assert rows[0].path == f"file:{tmp_path}/dir/a.csv"
     assert names(list_files(spark, str(tmp_path / "dir") + "/", "", recursive=False)) == ["_empty", "a.csv", "b.txt"]
     assert list_files(spark, str(tmp_path / "missing")).collect() == []
-    plain = _spark_listing(spark, f"file:{tmp_path}/dir", True)
-    assert names(plain) == ["a.csv", "b.txt", "sub/d e+%.csv"]
-    assert "content" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
-def test_unknown_store_falls_back_to_the_listing_of_spark(spark, tmp_path, monkeypatch):
+def test_a_store_that_cannot_be_listed_in_full_raises(spark, tmp_path, monkeypatch):
     def unknown(path):
         raise NotImplementedError("no such scheme")
 
     (tmp_path / "a").write_text("x")
     monkeypatch.setattr(tasks, "open_filesystem", unknown)
     for recursive in (True, False):
-        assert names(list_files(spark, str(tmp_path), recursive=recursive)) == ["a"]
+        with pytest.raises(NotImplementedError):
+            list_files(spark, str(tmp_path), recursive=recursive).collect()
 
 
 def test_default_excludes_keep_hidden_names_they_do_not_name(spark, tmp_path):
@@ -178,7 +176,7 @@ def test_read_table_types(spark, tmp_path):
         "i,f,b,s,d,n,m,big\n007,1.5,True,x,2020-01-01,,1,1\n\n 8,-2e3,false,NA,2020-01-02,NA,NA,99999999999999999999\n"
     )
     df = read_table(spark, str(tmp_path / "t.csv"))
-    assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "string", "string", "double", "bigint", "double"]
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "boolean", "string", "string", "double", "bigint", "decimal(38,0)"]
     assert sorted(map(tuple, df.select("i", "f", "b", "s", "d", "n", "m").collect())) == [
         (7, 1.5, True, "x", "2020-01-01", None, 1), (8, -2000.0, False, None, "2020-01-02", None, None)]
     typed = read_table(spark, str(tmp_path / "t.csv"), "i int, f double, b boolean, s string, d date, n string, m int, big double")
