@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import labelled_sample
+from rowloom.llm.common import kept, labelled_sample
 from rowloom.llm.kernels import ALNUM_WORD, LOWER, find_words, hash_words, mix64, slices, text_bytes
 
 # Terms of one kind stand for each other.
@@ -76,32 +76,16 @@ def swapped(features, kinds):
     return copies
 
 
-def fit(rows, labels, pairs, steps=300):
-    """Weights and bias of the features; ``rows`` are sets of features, ``pairs`` (row, features of a copy)."""
+def fit(rows, labels, pairs, k, steps=300):
+    """Weights and bias of ``k`` columns; ``rows`` are sets of columns, ``pairs`` (row, columns of a copy)."""
     everything = rows + [c for _, c in pairs]
     n = len(rows)
-    positive = labels == 1
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    size = 1 << FEATURE_BITS
-    in_pos = np.bincount(flat[positive[of]], minlength=size)
-    in_all = np.bincount(flat, minlength=size)
-    # chi-squared of presence and label
-    p = positive.mean()
-    expected = in_all * p
-    chi = (in_pos - expected) ** 2 / np.maximum(expected * (1 - p), 1e-9)
-    chi[in_all < LEAST_TEXTS] = 0
-    chosen = np.argsort(-chi, kind="stable")[:FEATURES]
-    chosen = chosen[chi[chosen] > 3.84]
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    column = place[np.concatenate(everything)]
+    column = np.concatenate(everything)
     row = np.repeat(np.arange(len(everything)), [len(r) for r in everything])
-    row, column = row[column >= 0], column[column >= 0]
-    k = len(chosen)
     left = np.array([r for r, _ in pairs], int)
     right = n + np.arange(len(pairs))
     w, first, second = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    p = labels.mean()
     w[k] = np.log(p / (1 - p))
     for t in range(1, steps + 1):
         z = np.bincount(row, w[column], minlength=len(everything)) + w[k]
@@ -113,13 +97,31 @@ def fit(rows, labels, pairs, steps=300):
         g = np.append(np.bincount(column, dz[row], minlength=k) + RIDGE * w[:k], dz.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return chosen, w[:k], float(w[k])
+    return w[:k], float(w[k])
+
+
+def informative(sets: DataFrame, share: float) -> np.ndarray:
+    """The ``FEATURES`` features that go most with the label (chi-squared), sorted."""
+
+    def count(batches):
+        n = np.zeros((2, 1 << FEATURE_BITS), np.int32)
+        for batch in batches:
+            for features, label in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist()):
+                n[label, np.frombuffer(features, "<i4")] += 1
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at].astype(np.int64)), pa.array(n[:, at].sum(0))], names=["feature", "toxic", "n"])
+
+    sums = sets.mapInArrow(count, "feature bigint, toxic bigint, n bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    gap = F.col("toxic") - F.col("n") * share
+    chi = sums.where(F.col("n") >= LEAST_TEXTS).withColumn("chi", gap * gap / (F.col("n") * share * (1 - share))).where("chi > 3.84")
+    return np.sort(np.array([r.feature for r in chi.orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").collect()], np.int64))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = SAMPLE_ROWS, terms: dict[str, list[str]] | None = None) -> dict:
     """The model, from about ``rows`` labelled documents of each label.
 
-    With rows of one label only, every score is that label; without any it is 0.
+    With rows of one label only, every score is that label; without any it is 0. Only the chosen
+    features of the sampled rows and of their copies come to the driver, where the fit runs.
     """
     kinds = term_features(terms or IDENTITY_TERMS)
 
@@ -132,14 +134,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), part.column("label")], names=["features", "label"])
 
     sample = labelled_sample(docs, labels, id_column, text_column, label_column, rows)
-    found = sample.mapInArrow(task, "features binary, label int").orderBy(F.xxhash64("features"), "label").toArrow()
-    y = np.array(found.column("label").to_pylist(), float)
-    if len(np.unique(y)) < 2:
-        return {"features": np.empty(0, int), "weights": np.empty(0), "bias": 30.0 if y.any() else -30.0}
-    sets = [np.frombuffer(b, "<i4").astype(np.int64) for b in found.column("features").to_pylist()]
-    pairs = [(i, c) for i, s in enumerate(sets) for c in swapped(s, kinds)]
-    features, weights, bias = fit(sets, y, pairs)
-    return {"features": features, "weights": weights, "bias": bias}
+    sets = kept(sample.mapInArrow(task, "features binary, label int"), "features")
+    counts = {r.label: r["count"] for r in sets.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return {"features": np.empty(0, int), "weights": np.empty(0), "bias": 30.0 if counts.get(1) else -30.0}
+    chosen = informative(sets, counts[1] / sum(counts.values()))
+
+    def columns(batches):
+        for batch in batches:
+            found, copies = [], []
+            for raw in batch.column("features").to_pylist():
+                features = np.frombuffer(raw, "<i4").astype(np.int64)
+                versions = [np.flatnonzero(np.isin(chosen, v)).astype("<i2").tobytes() for v in [features, *swapped(features, kinds)]]
+                found.append(versions[0])
+                copies.append(versions[1:])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary()), pa.array(copies, pa.list_(pa.binary()))], names=["label", "columns", "copies"])
+
+    found = sets.mapInArrow(columns, "label int, columns binary, copies array<binary>").orderBy("columns", "label").toArrow()
+    own = [np.frombuffer(b, "<i2").astype(np.int32) for b in found.column("columns").to_pylist()]
+    pairs = [(i, np.frombuffer(c, "<i2").astype(np.int32)) for i, copies in enumerate(found.column("copies").to_pylist()) for c in copies]
+    weights, bias = fit(own, np.array(found.column("label").to_pylist(), float), pairs, len(chosen))
+    return {"features": chosen, "weights": weights, "bias": bias}
 
 
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
