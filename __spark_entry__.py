@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import output_path, shard_name
 from rowloom.operators.apply import map_files, map_shards, record_shards
-from rowloom.operators.fingerprint import file_digests, fingerprint
+from rowloom.operators.fingerprint import file_digests, fingerprint, fingerprint_tree
 from rowloom.operators.inventory import (
     changed_only,
     exclude_paths,
     file_inventory,
+    ignore_patterns,
     inventory_totals,
     pending_outputs,
 )
@@ -142,6 +143,27 @@ def index_text_events(spark, sf_dir):
     return index_text(spark, source).df.select("row_idx", "value")
 
 
+def split_csv_named_documents(spark, sf_dir):
+    """Documents as CSV, split into named files, those read back as a shard directory."""
+    source = csv_copy(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"], "doc_id")
+    out = new_scratch(spark, "named")
+    plan = split_file(spark, source, 6, out, fmt="csv", one_file=True)
+    rows = scan_shard_dir(spark, out, expected=6).df
+    ending = F.regexp_extract("shard_name", r"\.(.*)$", 1).alias("ending")
+    return rows.join(plan.select("shard_id", ending), "shard_id").select(
+        "shard_id", "ending", "doc_id", "lang", "source", F.md5("text").alias("text_md5")
+    )
+
+
+def split_text_named_events(spark, sf_dir):
+    """Event lines split into named text files, those read back as a shard directory."""
+    events = spark.read.parquet(table(sf_dir, "events")).orderBy("event_id")
+    source, out = new_scratch(spark, "text"), new_scratch(spark, "named")
+    events.select(F.concat_ws("|", "event_id", "event_type", "props").alias("value")).write.text(source)
+    split_file(spark, source, 9, out, fmt="text", one_file=True)
+    return scan_shard_dir(spark, out, expected=9).df.select("shard_id", "value")
+
+
 def scan_csv_documents(spark, sf_dir):
     source = csv_copy(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"], "doc_id")
     rows = scan_csv_verbatim(spark, source)
@@ -245,17 +267,14 @@ def map_file_pieces_events(spark, sf_dir):
     )
 
 
-def written_shards(spark, sf_dir, rows_each=500):
-    """Events as shards of about ``rows_each`` rows, one directory each."""
-    scan = index_parquet(spark, table(sf_dir, "events"))
-    path = new_scratch(spark, "many")
-    write_shards(split_contiguous(scan, max(1, scan.total // rows_each)), path)
-    return path
-
-
 def list_files_suffix(spark, sf_dir):
-    files = list_files(spark, written_shards(spark, sf_dir), ".parquet")
-    return files.select(F.split_part("rel_path", F.lit("/"), F.lit(1)).alias("directory")).distinct()
+    """Every file of a tree with one file for each source and language."""
+    path = new_scratch(spark, "many")
+    documents = spark.read.parquet(table(sf_dir, "documents"))
+    documents.repartition("source", "lang").write.partitionBy("source", "lang").parquet(path)
+    files = list_files(spark, path, ".parquet")
+    directory = F.regexp_extract("rel_path", "^(.*)/", 1).alias("directory")
+    return files.groupBy(directory).agg(F.count("*").alias("files"), F.count_if(F.col("length") > 0).alias("filled"))
 
 
 def url_paths(spark, sf_dir):
@@ -274,21 +293,45 @@ def exclude_documents_tree(spark, sf_dir):
     return exclude_paths(documents.select(rel.alias("rel_path")), ["src1?", "fr", "*/en/*[02468].txt"])
 
 
+def exclude_default_patterns(spark, sf_dir):
+    """What the default patterns leave of a tree of made-up program files, one for each document."""
+    documents = spark.read.parquet(table(sf_dir, "documents"))
+    folders = F.array(*map(F.lit, ["lib", "venv", "node_modules", "x.egg-info", "venv2", ".git"]))
+    endings = F.array(*map(F.lit, ["py", "pyc", "txt", "pyc.txt"]))
+    folder, ending = (F.element_at(a, (F.col("doc_id") % n + 1).cast("int")) for a, n in ((folders, 6), (endings, 4)))
+    paths = documents.select(F.format_string("%s/%s/%d.%s", "source", folder, "doc_id", ending).alias("rel_path"))
+    return exclude_paths(paths, ignore_patterns(spark, new_scratch(spark, "no-tree")))
+
+
 def text_tree(spark, sf_dir):
-    """Event ids as text shards, about 500 lines each."""
+    """Event ids as text shards of about 500 lines, one file each."""
     events = spark.read.parquet(table(sf_dir, "events")).orderBy("event_id")
     source, out = new_scratch(spark, "text"), new_scratch(spark, "tree")
     events.select(F.concat_ws("|", "event_id", "props").alias("value")).write.text(source)
     scan = index_text(spark, source)
-    write_shards(split_contiguous(scan, max(1, scan.total // 500)), out, "text", rows_per_file=1 << 40)
+    write_shards(split_contiguous(scan, max(1, scan.total // 500)), out, "text", one_file=True)
     return out
 
 
 def file_inventory_totals(spark, sf_dir):
-    files = file_inventory(spark, text_tree(spark, sf_dir), patterns=[".*.crc", "_SUCCESS"])
-    in_shard = files.withColumn("directory", F.split_part("rel_path", F.lit("/"), F.lit(1)))
-    totals = inventory_totals(in_shard)
-    return totals.withColumn("file_count", F.lit(in_shard.select("directory").distinct().count()).cast("bigint"))
+    return inventory_totals(file_inventory(spark, text_tree(spark, sf_dir), patterns=[".*.crc", "_SUCCESS"]))
+
+
+def fingerprint_tree_events(spark, sf_dir):
+    """Counts of a tree, and whether two splits with other tasks give one fingerprint."""
+    events = spark.read.parquet(table(sf_dir, "events"))
+    lines = events.select("event_id", F.concat_ws("|", "event_id", "props").alias("value"))
+    prints = []
+    for parts in (3, 8):
+        # the last part of the source's path is in the names of both trees' files
+        source, out = new_scratch(spark, "text") + "/events", new_scratch(spark, "tree")
+        lines.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").select("value").write.text(source)
+        split_file(spark, source, 7, out, fmt="text", one_file=True)
+        prints.append(fingerprint_tree(spark, out, patterns=[".*.crc"]))
+    first, second = prints
+    return first.join(second.select(F.col("fingerprint").alias("again")), F.col("fingerprint") == F.col("again"), "left").select(
+        "file_count", "total_bytes", F.col("again").isNotNull().alias("same")
+    )
 
 
 def shard_file_digests(spark, sf_dir):
@@ -307,7 +350,7 @@ def fingerprint_documents(spark, sf_dir):
 
 
 def event_prints(shards: Shards) -> DataFrame:
-    columns = ["event_id", "user_id", "event_type", "props"]
+    columns = ["event_id", "ts", "user_id", "event_type", "value", "props"]
     return fingerprint(shards.df, by=["shard_id"], columns=columns)
 
 
@@ -370,11 +413,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         split_orders, split_lineitem_file_order, split_by_key, shard_plan_events,
         split_parquet_embeddings, split_csv_documents, split_text_events,
+        split_csv_named_documents, split_text_named_events,
         index_text_events, scan_csv_documents,
         map_shards_events, map_shard_pieces_events, map_shards_side, map_shards_outcome, map_shards_good_rows,
         scan_shard_dir_events, map_files_events, map_file_pieces_events,
-        list_files_suffix, exclude_paths_pages, exclude_documents_tree, file_inventory_totals, shard_file_digests,
-        fingerprint_documents, fingerprint_event_shards, changed_event_shards, pending_orders,
+        list_files_suffix, exclude_paths_pages, exclude_documents_tree, exclude_default_patterns, file_inventory_totals, shard_file_digests,
+        fingerprint_documents, fingerprint_tree_events, fingerprint_event_shards, changed_event_shards, pending_orders,
         table_roundtrip_part, table_roundtrip_csv, table_inferred_types,
     ]
     named = {query.__name__: query for query in found}
@@ -413,7 +457,7 @@ def summed_prints(digests: str, by: str = "") -> str:
 
 
 def event_digests(props: str) -> str:
-    parts = ["CAST(event_id AS VARCHAR)", "CAST(user_id AS VARCHAR)", "event_type", props]
+    parts = ["CAST(event_id AS VARCHAR)", "CAST(ts AS VARCHAR)", "CAST(user_id AS VARCHAR)", "event_type", "CAST(value AS VARCHAR)", props]
     row = " || ".join(tagged(p) for p in parts)
     return f"SELECT shard_id, sha256({row}) AS d FROM {numbered('events', 'event_id', 20)}"
 
@@ -455,6 +499,15 @@ def oracle_sql() -> dict[str, str]:
             "SELECT shard_id, CAST(event_id AS VARCHAR) || '|' || event_type || '|' || props AS value "
             f"FROM {numbered('events', 'event_id', 9)}"
         ),
+        "split_csv_named_documents": (
+            "SELECT shard_id, 'shard' || lpad(CAST(shard_id AS VARCHAR), 4, '0') || '.csv' AS ending, "
+            "CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS text_md5 "
+            f"FROM {numbered('documents', 'doc_id', 6)}"
+        ),
+        "split_text_named_events": (
+            "SELECT shard_id, CAST(event_id AS VARCHAR) || '|' || event_type || '|' || props AS value "
+            f"FROM {numbered('events', 'event_id', 9)}"
+        ),
         "index_text_events": (
             "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_idx, "
             "CAST(event_id AS VARCHAR) || '|' || CAST(user_id AS VARCHAR) AS value FROM events"
@@ -480,7 +533,10 @@ def oracle_sql() -> dict[str, str]:
         "scan_shard_dir_events": ranges("events", "event_id", 11),
         "map_files_events": ranges("events", "event_id", 11),
         "map_file_pieces_events": ranges("events", "event_id", 11),
-        "list_files_suffix": f"SELECT 'shard_id=' || CAST(k AS VARCHAR) AS directory FROM range({shards_of_500}) r(k)",
+        "list_files_suffix": (
+            "SELECT DISTINCT 'source=' || source || '/lang=' || lang AS directory, CAST(1 AS BIGINT) AS files, "
+            "CAST(1 AS BIGINT) AS filled FROM documents"
+        ),
         "exclude_paths_pages": (
             f"SELECT page_id, rel_path FROM (SELECT page_id, {url_rel} AS rel_path FROM pages) "
             "WHERE NOT regexp_matches(rel_path, '(^|/)blog\\.') AND NOT regexp_matches(rel_path, '\\.html(/|$)') "
@@ -493,6 +549,15 @@ def oracle_sql() -> dict[str, str]:
             "source, lang, doc_id FROM documents) WHERE NOT (length(source) = 5 AND starts_with(source, 'src1')) "
             "AND lang <> 'fr' AND NOT (lang = 'en' AND doc_id % 2 = 0)"
         ),
+        "exclude_default_patterns": (
+            "SELECT source || '/' || CASE doc_id % 6 WHEN 0 THEN 'lib' ELSE 'venv2' END || '/' || CAST(doc_id AS VARCHAR) || '.' || "
+            "CASE doc_id % 4 WHEN 0 THEN 'py' WHEN 2 THEN 'txt' ELSE 'pyc.txt' END AS rel_path "
+            "FROM documents WHERE doc_id % 6 IN (0, 4) AND doc_id % 4 <> 1"
+        ),
+        "fingerprint_tree_events": (
+            f"SELECT CAST(7 AS BIGINT) AS file_count, CAST(sum(strlen({event_line}) + 1) AS BIGINT) AS total_bytes, "
+            "true AS same FROM events"
+        ),
         "file_inventory_totals": (
             f"SELECT {shards_of_500} AS file_count, CAST(sum(strlen({event_line}) + 1) AS BIGINT) AS total_bytes FROM events"
         ),

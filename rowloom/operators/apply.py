@@ -89,7 +89,7 @@ def record_shards(
     outcome = outcome.withColumn("config", overlay(ids, config or {}))
     good = outcome.filter("status = 'ok'").select("shard_id")
     rows = done.filter(F.col("_rowloom_status").isNull()).select("shard_id", *names)
-    return ShardRun(rows.join(small_side(good, shards.n), "shard_id", "left_semi"), outcome)
+    return ShardRun(rows.join(small_side(good, 16 * shards.n), "shard_id", "left_semi"), outcome)
 
 
 def run_name(run_id: str, shard_id: Column, attempt: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.scratch import BROADCAST_ROWS, checkpointed, small_side
+from rowloom.scratch import BROADCAST_BYTES, checkpointed, small_side
 
 # Helper columns; writers and programs never see names with this prefix.
 PREFIX = "_rowloom_"
@@ -82,6 +82,15 @@ def widest(blocks: pd.DataFrame) -> int:
     return int(blocks["rows"].groupby(blocks["min_m"] // 2**33).sum().max())
 
 
+def side_bytes(rows: int, names: pd.Series | None = None) -> int:
+    """Bytes of a table of at most 20 numbers, and a name, per row."""
+    return 160 * rows + (0 if names is None else int(names.str.len().sum()))
+
+
+def broadcasts(blocks: pd.DataFrame) -> bool:
+    return side_bytes(len(blocks), blocks[FILE]) <= BROADCAST_BYTES
+
+
 def before(sizes: pd.Series) -> pd.Series:
     """Sum of all earlier sizes."""
     return sizes.cumsum() - sizes
@@ -95,7 +104,7 @@ def attach_blocks(placed: DataFrame, blocks: pd.DataFrame, columns: Sequence[str
     """Join ``columns`` of the block table to the rows and check that the splits agree.
 
     The table has one row per input split.  The join is a broadcast up to
-    ``BROADCAST_ROWS`` splits, a sort-merge join beyond.  A block that now has another
+    ``BROADCAST_BYTES``, a sort-merge join beyond.  A block that now has another
     length, or other rows before it in its partition, has rows outside its range of ``M``.
     Every column is behind the check, so that a filter on it cannot turn the left join into
     one that drops rows.
@@ -106,7 +115,7 @@ def attach_blocks(placed: DataFrame, blocks: pd.DataFrame, columns: Sequence[str
         **{SEEN: blocks[LENGTH], FIRST: blocks["min_m"], LAST: blocks["min_m"] + blocks["rows"] - 1}
     )
     table = spark.createDataFrame(pa.Table.from_pandas(side, preserve_index=False))
-    joined = placed.join(small_side(table, len(blocks)), keys, "left")
+    joined = placed.join(small_side(table, side_bytes(len(blocks), blocks[FILE])), keys, "left")
     same = (F.col(LENGTH) == F.col(SEEN)) & F.col(M).between(F.col(FIRST), F.col(LAST))
     changed = F.raise_error(F.lit("input splits changed between counting and reading"))
     kinds = dict(table.dtypes)
@@ -120,7 +129,7 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
         return IndexedScan(placed.withColumn("row_idx", F.col(M)), 0, True)
     blocks = blocks.assign(**{BASE: before(blocks["rows"]) - blocks["min_m"]})
     df = attach_blocks(placed, blocks, [BASE]).withColumn("row_idx", F.col(BASE) + F.col(M)).drop(BASE)
-    in_order = rises(blocks["min_m"]) and len(blocks) <= BROADCAST_ROWS
+    in_order = rises(blocks["min_m"]) and broadcasts(blocks)
     return IndexedScan(df, int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
 
 
@@ -148,6 +157,6 @@ def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:
         return IndexedScan(placed.withColumn("row_idx", F.col(M)).drop(PID, M), 0, True)
     parts[BASE] = before(parts["rows"]) - parts["min_m"]
     side = spark.createDataFrame(pa.Table.from_pandas(parts[[PID, BASE]], preserve_index=False))
-    indexed = placed.join(small_side(side, len(parts)), PID).withColumn("row_idx", F.col(BASE) + F.col(M))
-    in_order = len(parts) <= BROADCAST_ROWS
+    indexed = placed.join(small_side(side, side_bytes(len(parts))), PID).withColumn("row_idx", F.col(BASE) + F.col(M))
+    in_order = side_bytes(len(parts)) <= BROADCAST_BYTES
     return IndexedScan(indexed.drop(PID, M, BASE), int(parts["rows"].sum()), in_order, int(parts["rows"].max()))

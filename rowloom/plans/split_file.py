@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,17 @@ from rowloom.operators.split import split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.sinks.shards import write_csv_records, write_shards
 from rowloom.sources.csv import index_csv
-from rowloom.sources.files import qualified
+from rowloom.sources.files import holds, name_parts, qualified
 from rowloom.sources.formats import FORMATS, detect_format
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.text import index_text
 
+# Endings of shard files whose source names none that fits.
+ENDINGS = {"text": ".txt", "csv": ".csv", "parquet": ".parquet"}
+# Endings by which readers would unpack what is written plainly.
+PACKED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def split_file(
     spark: SparkSession,
     path: str,
@@ -26,6 +33,7 @@ def split_file(
     multi_line: bool = True,
     rows_per_file: int = 1_000_000,
     mode: str = "errorifexists",
+    one_file: bool = False,
 ) -> DataFrame:
     """Write ``n`` shards of ``path`` below ``out_dir``; returns the plan with each shard's path.
 
@@ -33,6 +41,11 @@ def split_file(
     are checked before anything is written.  Shards that are there already are refused
     unless ``mode="overwrite"``, which replaces the folder; a folder with the source in it
     is never replaced.
+
+    ``one_file=True`` writes each shard as one file ``stem.shardNNNN.ext`` directly in
+    ``out_dir``, ready for ``scan_shard_dir``; shards are then the unit of work, so choose
+    ``n`` to fit them. Existing files of these names are refused, with ``mode="overwrite"``
+    they alone are replaced.
     """
     check_sizes(n, n)
     fmt = detect_format(path) if fmt == "auto" else fmt
@@ -41,12 +54,24 @@ def split_file(
     source, target = qualified(spark, path), qualified(spark, out_dir)
     if source == target or mode == "overwrite" and source.startswith(target + "/") or target.startswith(source + "/"):
         raise ValueError(f"{out_dir} and the source {path} overlap")
+    stem, suffix = posixpath.splitext(posixpath.basename(path.rstrip("/")))
+    folder, how = out_dir, mode
+    if one_file:
+        if not suffix or suffix.lower() in PACKED:
+            suffix = ENDINGS[fmt]
+        names = [f"{stem}.shard{k:04d}{suffix}" for k in range(n)]
+        taken = {posixpath.basename(found) for found in holds(spark, out_dir, "*")}.intersection(names)
+        if taken and mode != "overwrite":
+            raise FileExistsError(f'{out_dir} already holds {min(taken)}: write elsewhere or with mode="overwrite"')
+        folder, how = f"{out_dir.rstrip('/')}/.rowloom-{uuid.uuid4().hex}", "errorifexists"
     if fmt == "csv":
         scan = index_csv(spark, path, multi_line)
-        write_csv_records(split_contiguous(scan, n), scan.header, out_dir, rows_per_file, mode)
+        write_csv_records(split_contiguous(scan, n), scan.header, folder, rows_per_file, how, one_file)
     else:
         scan = index_text(spark, path) if fmt == "text" else index_parquet(spark, path)
-        write_shards(split_contiguous(scan, n), out_dir, fmt, rows_per_file, mode=mode)
-    stem, suffix = posixpath.splitext(posixpath.basename(path.rstrip("/")))
+        write_shards(split_contiguous(scan, n), folder, fmt, rows_per_file, one_file, how)
+    if one_file:
+        name_parts(spark, folder, out_dir, names, mode == "overwrite")
+        return shard_plan(spark, scan.total, n, stem, suffix).withColumn("path", output_path(out_dir, F.col("shard_name")))
     place = F.concat(F.lit("shard_id="), F.col("shard_id").cast("string"))
     return shard_plan(spark, scan.total, n, stem, suffix).withColumn("path", output_path(out_dir, place))

@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its counted rows stay below this.  The sides here
-# are metadata (one row per input split, per file or per shard, < 200 bytes each).
-BROADCAST_ROWS = 500_000
+# A side is broadcast only when its counted bytes stay below this.  The sides here are
+# metadata (one row per input split, per file or per shard): two million splits at least.
+BROADCAST_BYTES = 512 << 20
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` when its known row count is small, else ask for a sort-merge join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def small_side(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast ``df`` when its known size in bytes is small, else ask for a sort-merge join."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def shared_dir(spark: SparkSession) -> str:

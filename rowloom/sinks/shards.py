@@ -56,8 +56,7 @@ def write_shards(
     mode = beside_others(shards.df.sparkSession, path, mode)
     shards = replace(shards, df=shards.df.select(*data, "shard_id", "row_idx"))
     if one_file:
-        one_each = shards.df.repartitionById(shards.n, "shard_id").sortWithinPartitions("row_idx")
-        _save(one_each.drop("shard_id", "row_idx").write.mode(mode), fmt, path)
+        _save(one_each(shards.df, shards.n).write.mode(mode), fmt, path)
     elif stays_in_place(shards, rows_per_file):
         _save_by_shard(shards.df, shards.spread, fmt, path, mode)
     else:
@@ -65,17 +64,26 @@ def write_shards(
 
 
 def write_csv_records(
-    shards: Shards, header: str, path: str, rows_per_file: int = 1_000_000, mode: str = "errorifexists"
+    shards: Shards,
+    header: str,
+    path: str,
+    rows_per_file: int = 1_000_000,
+    mode: str = "errorifexists",
+    one_file: bool = False,
 ) -> None:
     """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
     mode = beside_others(shards.df.sparkSession, path, mode)
     first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
+    with_header = F.concat(F.lit(header + "\n"), F.col("value"))
+    if one_file:
+        line = F.when(first_of_shard, with_header).otherwise(F.col("value")).alias("value")
+        _save(one_each(shards.df.select(line, "shard_id", "row_idx"), shards.n).write.mode(mode), "text", path)
+        return
     if stays_in_place(shards, rows_per_file):
         placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
     else:
         rows = chunk_rows(shards, rows_per_file)
         placed, first_of_task, spread = by_chunks(shards, rows), F.col("row_idx") % rows == 0, 0
-    with_header = F.concat(F.lit(header + "\n"), F.col("value"))
     line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
     _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", path, mode)
 
@@ -106,6 +114,11 @@ def chunk_rows(shards: Shards, rows_per_file: int) -> int:
     return max(1, min(rows_per_file, (shards.total // shards.n) * MAX_OPEN_FILES // 2))
 
 
+def one_each(df: DataFrame, n: int) -> DataFrame:
+    """One partition per shard, rows in order."""
+    return df.repartitionById(n, "shard_id").sortWithinPartitions("row_idx").drop("shard_id", "row_idx")
+
+
 def by_chunks(shards: Shards, rows: int) -> DataFrame:
     """One partition per run of ``rows`` rows, in row order, whatever the shards' sizes."""
     chunk = int_div(F.col("row_idx"), rows).cast("int")

@@ -27,13 +27,14 @@ from rowloom.operators.row_index import (
     IndexedScan,
     attach_blocks,
     before,
+    broadcasts,
     count_blocks,
     files_of,
     position_columns,
     rises,
     widest,
 )
-from rowloom.scratch import BROADCAST_ROWS, checkpointed
+from rowloom.scratch import checkpointed
 
 LEAD = PREFIX + "lead"
 
@@ -74,12 +75,12 @@ def index_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Tru
     header = _header(lines, counted[FILE].iloc[0])
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
     files = files_of(blocks)
-    broadcasts = len(blocks) <= BROADCAST_ROWS
-    in_order = rises(blocks["min_m"]) and broadcasts
+    in_place = broadcasts(blocks)
+    in_order = rises(blocks["min_m"]) and in_place
     most = widest(blocks.assign(rows=blocks["records"]))
     if not blocks["spans"].any():
         return CsvScan(_lines_as_records(placed, blocks), total, in_order, most, files, header)
-    if broadcasts:
+    if in_place:
         tails, size = _closing_lines(placed, blocks)
         if size <= tail_bytes:
             return CsvScan(_joined_in_place(placed, blocks, tails), total, in_order, most, files, header)
@@ -220,15 +221,17 @@ def _assembled(lines: DataFrame) -> DataFrame:
 def _closing_lines(placed: DataFrame, blocks: pd.DataFrame) -> tuple[DataFrame, int]:
     """(per holder block the lines of later blocks that complete its last record, bytes).
 
-    Less than one record for each block; written once to the shared folder.
+    Less than one record for each block. The lines are written once to the shared folder;
+    they are gathered into records only if the caller finds their size small enough.
     """
-    lines = attach_blocks(placed, blocks, ["min_m", "head", "ordinal", "holder"]).filter(
+    owned = attach_blocks(placed, blocks, ["min_m", "head", "ordinal", "holder"]).filter(
         F.col(M) - F.col("min_m") < F.col("head")
     )
+    lines = checkpointed(owned.select("holder", "ordinal", M, "value"))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", M, "value")))
     text = F.array_join(F.transform(ordered, lambda line: line["value"]), "\n")
-    tails = checkpointed(lines.groupBy("holder").agg(text.alias("text")))
-    return tails, tails.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tails = lines.groupBy("holder").agg(text.alias("text"))
+    return tails, lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
 
 
 def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame) -> DataFrame:

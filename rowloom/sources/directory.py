@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.operators.row_index import BROADCAST_ROWS, FILE
+from rowloom.operators.row_index import FILE, side_bytes
 from rowloom.operators.split import Shards
-from rowloom.scratch import small_side
+from rowloom.scratch import BROADCAST_BYTES, small_side
 from rowloom.sources.csv import index_csv, parse_records
 from rowloom.sources.files import list_files, qualified
 from rowloom.sources.formats import FORMATS, detect_format
@@ -55,8 +55,9 @@ def scan_shard_dir(spark: SparkSession, directory: str, fmt: str = "auto", expec
     shard_of = {path: i for i, path in enumerate(paths)}
     ids = {FILE: list(scan.files), "shard_id": [shard_of[unquote(file)] for file in scan.files]}
     table = spark.createDataFrame(pa.table(ids, pa.schema([(FILE, pa.string()), ("shard_id", pa.int32())])))
-    in_order = scan.in_order and len(paths) <= BROADCAST_ROWS
-    return Shards(df.join(small_side(table, len(scan.files)), FILE), len(paths), scan.total, in_order, scan.widest)
+    size = side_bytes(len(paths)) + sum(map(len, paths))
+    in_order = scan.in_order and size <= BROADCAST_BYTES
+    return Shards(df.join(small_side(table, size), FILE), len(paths), scan.total, in_order, scan.widest)
 
 
 def _reader_format(paths, fmt: str) -> str:

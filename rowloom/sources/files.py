@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,6 @@ def files_below(spark: SparkSession, directory: str, recursive: bool = True) ->
     return table.mapInArrow(tasks.tree_walker(base), LISTING)
 
 
-
 def holds(spark: SparkSession, directory: str, *patterns: str) -> list[str]:
     """Paths directly in ``directory`` whose names fit one of the shell patterns."""
     if not exists(spark, directory):
@@ -72,6 +73,21 @@ def holds(spark: SparkSession, directory: str, *patterns: str) -> list[str]:
     return [p.toString() for p in found if any(fnmatchcase(p.getName(), pattern) for pattern in patterns)]
 
 
+def name_parts(spark: SparkSession, folder: str, target: str, names: Sequence[str], replace: bool) -> None:
+    """Move part file k of ``folder`` to ``target`` under the k-th name; the folder goes."""
+    filesystem, jvm_path = _hadoop(spark, folder)
+    for status in filesystem.listStatus(jvm_path):
+        number = re.match(r"part-(\d+)-", status.getPath().getName())
+        if number is None:
+            continue
+        wanted = _hadoop(spark, f"{target}/{names[int(number[1])]}")[1]
+        if replace and filesystem.exists(wanted):
+            filesystem.delete(wanted, False)
+        if filesystem.exists(wanted) or not filesystem.rename(status.getPath(), wanted):
+            raise FileExistsError(f"{wanted.toString()} cannot be written")
+    filesystem.delete(jvm_path, True)
+
+
 def private_copy(spark: SparkSession, path: str, target: str, most_bytes: int) -> tuple[str, bool]:
     """Copy a file or folder of at most ``most_bytes`` into the folder ``target``; its new path, is it a folder."""
     filesystem, jvm_path = _hadoop(spark, path.rstrip("/"))

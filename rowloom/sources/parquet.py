@@ -16,9 +16,10 @@ from rowloom.operators.row_index import (
     position_columns,
     refuse_reserved,
     rises,
+    side_bytes,
     widest,
 )
-from rowloom.scratch import BROADCAST_ROWS, small_side
+from rowloom.scratch import BROADCAST_BYTES, small_side
 
 
 def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -42,11 +43,12 @@ def index_parquet(spark: SparkSession, path: str | list[str]) -> IndexedScan:
     files = blocks.groupby(FILE, as_index=False, sort=False)["rows"].sum()
     if len(files) > 1:
         files = files.assign(**{BASE: before(files["rows"])})[[FILE, BASE]]
+        size = side_bytes(len(files), files[FILE])
         side = spark.createDataFrame(pa.Table.from_pandas(files, preserve_index=False))
         placed = (
-            placed.join(small_side(side, len(files)), FILE)
+            placed.join(small_side(side, size), FILE)
             .withColumn("row_idx", F.col("row_idx") + F.col(BASE))
             .select(*table.columns, FILE, "row_idx")
         )
-        in_order = in_order and len(files) <= BROADCAST_ROWS
+        in_order = in_order and size <= BROADCAST_BYTES
     return IndexedScan(placed, total, in_order, widest(blocks) if total else 0, files_of(blocks))

@@ -90,3 +90,38 @@ def test_subfolders_like_partitions_are_left_out(spark, tmp_path):
     (tmp_path / "k=v" / "c.csv").write_text("id\n9\n")
     shards = scan_shard_dir(spark, str(tmp_path))
     assert shards.n == 2 and sorted(r.id for r in shards.df.collect()) == ["1", "1", "2", "2"]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "text", "parquet"])
+def test_named_shards_come_back_as_a_shard_directory(spark, tmp_path, fmt):
+    source, out = tmp_path / {"csv": "d.csv", "text": "d.log.gz", "parquet": "d.pq"}[fmt], tmp_path / "out"
+    if fmt == "parquet":
+        pd.DataFrame({"value": [str(i) for i in range(50)]}).to_parquet(source)
+    elif fmt == "csv":
+        source.write_text("value\n" + "".join(f"{i}\n" for i in range(50)))
+    else:
+        import gzip
+
+        source.write_bytes(gzip.compress("".join(f"{i}\n" for i in range(50)).encode()))
+    out.mkdir()
+    (out / ".keep").write_text("mine")
+    plan = split_file(spark, str(source), 4, str(out), fmt=fmt, one_file=True).orderBy("shard_id").collect()
+    ending = {"csv": "d.shard%04d.csv", "text": "d.log.shard%04d.txt", "parquet": "d.shard%04d.pq"}[fmt]
+    assert [r.path for r in plan] == [str(out / (ending % k)) for k in range(4)]
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == [ending % k for k in range(4)]
+    assert (out / ".keep").read_text() == "mine" and not list(out.glob(".rowloom-*"))
+    shards = scan_shard_dir(spark, str(out), expected=4)
+    want = [(min(i // 12, 3), str(i)) for i in range(50)]
+    assert [(r.shard_id, r.value) for r in shards.df.orderBy("row_idx").collect()] == want
+    with pytest.raises(FileExistsError):
+        split_file(spark, str(source), 4, str(out), fmt=fmt, one_file=True)
+    split_file(spark, str(source), 4, str(out), fmt=fmt, one_file=True, mode="overwrite")
+    assert scan_shard_dir(spark, str(out), expected=4).df.count() == 50
+
+
+@pytest.mark.parametrize("tail_bytes", [0, 1 << 20])
+def test_records_across_splits_with_any_bound_on_gathered_lines(spark, small_splits, tmp_path, tail_bytes):
+    rows = [(str(i), "x\ny" * (i % 40)) for i in range(120)]
+    (tmp_path / "t.csv").write_text("id,v\n" + "".join(f'{i},"{v}"\n' for i, v in rows))
+    scan = index_csv(spark, str(tmp_path / "t.csv"), tail_bytes=tail_bytes)
+    assert [r.value for r in scan.df.orderBy("row_idx").collect()] == [f'{i},"{v}"' for i, v in rows]

@@ -23,8 +23,8 @@ from rowloom.sources.tables import read_table
 
 
 def make_tree(root):
-    for rel, text in {"pkg/__init__.py": "", "pkg/main.py": "print('hi')\n", ".git/config": "junk",
-                      "__pycache__/main.pyc": "x", "pkg/.env": "k=v", "pkg/deep/a.pyc": "x"}.items():
+    for rel, text in {"oven/bread.txt": "", "oven/rolls/rye.py": "dough = 12345", "venv/bin/run": "left out", "oven/.heat": "230",
+                      "oven/rolls/node_modules/m.js": "left out", "oven/rolls/rye.pyc": "left out"}.items():
         (root / rel).parent.mkdir(parents=True, exist_ok=True)
         (root / rel).write_text(text)
 
@@ -58,11 +58,11 @@ def test_a_store_that_cannot_be_listed_in_full_raises(spark, tmp_path, monkeypat
 
 def test_default_excludes_keep_hidden_names_they_do_not_name(spark, tmp_path):
     make_tree(tmp_path)
-    os.symlink(tmp_path, tmp_path / "pkg" / "loop")
+    os.symlink(tmp_path, tmp_path / "oven" / "loop")
     files = file_inventory(spark, str(tmp_path))
-    assert names(files) == ["pkg/.env", "pkg/__init__.py", "pkg/main.py"]
-    assert inventory_totals(files).first()[:] == (3, 15)
-    assert names(file_inventory(spark, str(tmp_path), extra=[".env"])) == ["pkg/__init__.py", "pkg/main.py"]
+    assert names(files) == ["oven/.heat", "oven/bread.txt", "oven/rolls/rye.py"]
+    assert inventory_totals(files).first()[:] == (3, 16)
+    assert names(file_inventory(spark, str(tmp_path), extra=[".heat"])) == ["oven/bread.txt", "oven/rolls/rye.py"]
 
 
 @pytest.mark.parametrize("wide", [1, 3, 30])
@@ -80,8 +80,8 @@ def test_every_file_is_listed_once_whatever_the_shape(spark, tmp_path, wide):
 
 def test_ignore_files(spark, tmp_path):
     assert ignore_patterns(spark, str(tmp_path), ["x"]) == [*DEFAULT_EXCLUDES, "x"]
-    (tmp_path / ".gitignore").write_text("*.log\n# comment\n\n  data/  \n")
-    assert ignore_patterns(spark, str(tmp_path), ["*.tmp"]) == ["*.log", "data/", "*.tmp"]
+    (tmp_path / ".gitignore").write_text("# crumbs go\ncrumb-?\n \t\n\tflour/*.bag \n")
+    assert ignore_patterns(spark, str(tmp_path), ["old"]) == ["crumb-?", "flour/*.bag", "old"]
     (tmp_path / ".dockerignore").write_text("")
     assert ignore_patterns(spark, str(tmp_path)) == []
 
@@ -119,9 +119,9 @@ def test_tree_fingerprint(spark, tmp_path):
     for d in "ab":
         make_tree(tmp_path / d)
     one, two = (fingerprint_tree(spark, str(tmp_path / d)).first() for d in "ab")
-    assert one == two and one.file_count == 3 and one.total_bytes == 15
+    assert one == two and one.file_count == 3 and one.total_bytes == 16
     small = fingerprint_tree(spark, str(tmp_path / "a"), piece_bytes=4).first()
-    (tmp_path / "b" / "pkg" / "main.py").write_text("print('ih')\n")
+    (tmp_path / "b" / "oven" / "rolls" / "rye.py").write_text("dough = 12354")
     assert fingerprint_tree(spark, str(tmp_path / "b")).first().fingerprint != one.fingerprint
     assert fingerprint_tree(spark, str(tmp_path / "b"), piece_bytes=4).first().fingerprint != small.fingerprint
     with pytest.raises(ValueError):
