@@ -59,13 +59,22 @@ def inventory_totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("file_count"), total.alias("total_bytes"))
 
 
-def pending_outputs(spark: SparkSession, expected: DataFrame, directory: str, column: str = "rel_path") -> DataFrame:
+def pending_outputs(
+    spark: SparkSession, expected: DataFrame, directory: str, column: str = "rel_path", finished: str = ""
+) -> DataFrame:
     """Rows of ``expected`` whose relative output path does not exist below ``directory``.
 
-    A path exists when it is a file there or a directory that holds files.  Catalyst picks
-    the join; neither side passes through the driver.
+    A path exists when it is a file there or a directory that holds files.  With
+    ``finished``, the name of the file that closes an output directory (such as
+    ``_SUCCESS``), a directory counts only when it holds that file itself: one that is half
+    written stays pending.  Catalyst picks the join; neither side passes through the driver.
     """
-    listed = files_below(spark, directory).select(F.explode(ancestors(F.col("rel_path"))).alias("_done")).distinct()
+    done = ancestors(F.col("rel_path"))
+    if finished:
+        folder = F.regexp_extract("rel_path", "^(?s)(.*)/", 1)
+        closed = F.substring_index("rel_path", "/", -1) == finished
+        done = F.when(closed, F.array("rel_path", folder)).otherwise(F.array("rel_path"))
+    listed = files_below(spark, directory).select(F.explode(done).alias("_done")).distinct()
     wanted = F.rtrim(F.col(column), F.lit("/"))
     return expected.join(listed, wanted == F.col("_done"), "left_anti")
 

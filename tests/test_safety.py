@@ -6,14 +6,18 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom import scratch
+from rowloom.operators import row_index
 from rowloom.operators.apply import map_shards
 from rowloom.operators.fingerprint import fingerprint
 from rowloom.operators.row_index import with_row_index
 from rowloom.operators.split import split_contiguous
 from rowloom.plans.split_file import split_file
+from rowloom.sources import directory, parquet
 from rowloom.sources.csv import index_csv, scan_csv_verbatim
 from rowloom.sources.directory import scan_shard_dir
 from rowloom.sources.tables import read_table
+from rowloom.sources.text import index_text
 
 
 def test_split_beside_its_source_keeps_all_that_is_there(spark, tmp_path):
@@ -119,6 +123,24 @@ def test_named_shards_come_back_as_a_shard_directory(spark, tmp_path, fmt):
     assert scan_shard_dir(spark, str(out), expected=4).df.count() == 50
 
 
+@pytest.mark.parametrize("kind", ["text", "csv", "parquet", "folder"])
+def test_block_tables_too_large_to_broadcast_give_the_same_rows(spark, small_splits, tmp_path, monkeypatch, kind):
+    for module in (scratch, row_index, parquet, directory):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    values = []
+    for name, count in (("a", 30), ("b", 170)):
+        part = [f"{name}{i}" for i in range(count)]
+        values += part
+        if kind == "parquet":
+            pd.DataFrame({"value": part}).to_parquet(tmp_path / f"{name}.parquet")
+        else:
+            (tmp_path / f"{name}.csv").write_text("value\n" * (kind != "text") + "".join(f"{v}\n" for v in part))
+    read = {"text": index_text, "csv": index_csv, "parquet": parquet.index_parquet, "folder": scan_shard_dir}[kind]
+    scan = read(spark, str(tmp_path))
+    assert not scan.in_order
+    assert [r.value for r in scan.df.orderBy("row_idx").collect()] == values
+
+
 @pytest.mark.parametrize("tail_bytes", [0, 1 << 20])
 def test_records_across_splits_with_any_bound_on_gathered_lines(spark, small_splits, tmp_path, tail_bytes):
     rows = [(str(i), "x\ny" * (i % 40)) for i in range(120)]

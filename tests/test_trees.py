@@ -168,6 +168,12 @@ def test_pending_outputs(spark, tmp_path):
     expected = spark.createDataFrame([(w,) for w in wanted], "rel_path string")
     assert names(pending_outputs(spark, expected, str(tmp_path))) == ["a/y.csv", "b", "shard_id=2"]
     assert names(pending_outputs(spark, expected, str(tmp_path / "none"))) == sorted(wanted)
+    (tmp_path / "shard_id=2" / "deep").mkdir(parents=True)
+    (tmp_path / "shard_id=2" / "part-0").write_text("x")
+    (tmp_path / "shard_id=2" / "deep" / "_SUCCESS").write_text("")
+    (tmp_path / "shard_id=1" / "_SUCCESS").write_text("")
+    assert names(pending_outputs(spark, expected, str(tmp_path))) == ["a/y.csv", "b"]
+    assert names(pending_outputs(spark, expected, str(tmp_path), finished="_SUCCESS")) == ["a/y.csv", "b", "shard_id=2"]
     assert spark.range(1).select(output_path("gs://b/base//", F.lit("sub/o.txt"))).first()[0] == "gs://b/base/sub/o.txt"
 
 
