@@ -74,7 +74,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     gram, text = grams(data, bounds, n)
                     for i, lang in enumerate(langs):
                         g, times = np.unique(gram[of[text] == i], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(g)), pa.array(np.full(len(g), n)), pa.array(g.view(np.int64)), pa.array(times)], names=["lang", "n", "gram", "times"])
+                        yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(g), pa.string()), pa.array(np.full(len(g), n)), pa.array(g.view(np.int64)), pa.array(times)], names=["lang", "n", "gram", "times"])
 
     counted = sample.mapInArrow(count, "lang string, n bigint, gram bigint, times bigint").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     each = Window.partitionBy("lang", "n")
