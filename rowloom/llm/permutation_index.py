@@ -20,7 +20,7 @@ VISITED = 24
 # Vectors of a shard and queries of a block; candidates of a shard that are ranked exactly.
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
-CANDIDATES = 96
+CANDIDATES = 320
 
 
 def orders(units, pivots):
