@@ -235,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     of ``width`` words, or of a whole shorter item); ``items`` (sorted ids of the items with an
     occurring window); ``spans`` (byte offsets from, to, from, to ... of the merged occurrences).
     Null and empty texts have no words and no hits. Items without words or id are left out;
-    repeated ids count once. A benchmark larger than ``block_words`` words is searched in blocks,
+    repeated ids count once, and items of equal text are spread over the blocks. A benchmark larger than ``block_words`` words is searched in blocks,
     each of which every task gets; an item is never split. Columns that are not
     carried are left out.
     """
@@ -253,7 +253,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
                 rows = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(item_column), pa.array(rows, pa.binary()), pa.array(np.diff(first))], names=["item", "words", "n"])
 
-    items = wanted.where(F.col(item_column).isNotNull()).mapInArrow(hashed, "item string, words binary, n bigint").where("n > 0")
+    items = wanted.where(F.col(item_column).isNotNull()).mapInArrow(hashed, "item string, words binary, n bigint").where("n > 0").distinct()
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // block_words) or 1
     spark = docs.sparkSession
@@ -261,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     fields = [*carry, "__text"]
     state = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "__text string, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"])
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
+        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(vars(Windows([(r.item, np.frombuffer(r.words, np.uint64)) for r in rows], width)))
         found = found.select(*fields, "items", "spans").mapInArrow(lambda batches, s=shared: scan(batches, Windows.of(s.value), fields, "__text"), state)
     return found.drop("__text")
