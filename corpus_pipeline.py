@@ -35,10 +35,16 @@ def keep_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near duplicates, the document with the smallest id.
+
+    Rows with equal ids count as one document. A row without an id goes by a number above 2**62
+    made from its text, so one such row stays where no row of the group has an id.
+    """
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    docs = docs.select(*COLUMNS, F.coalesce("doc_id", made).alias("__key"))
+    groups = simhash.near_duplicates(docs, "__key")
+    first = groups.where("__key = component_id").select("__key").distinct()
+    return docs.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def keep_uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

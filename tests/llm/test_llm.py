@@ -446,3 +446,34 @@ def test_pipeline_keeps_what_its_stages_decide(spark):
         n, hit, _ = plain_hits(r.text, windows)
         assert (i in seen[3][2]) == (not (hit and 20 * hit >= n))
     assert seen[4][2] == set(seen[4][1])
+
+
+def test_stages_on_odd_input(spark, odd, none):
+    import corpus_pipeline as pipeline
+
+    rows = sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, odd, SF_DIR)
+        got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+        assert set(got) <= set(rows) and len(got) <= len(rows), name
+        assert out.columns == pipeline.COLUMNS or name == "mixing"
+        assert len(got) == len(rows) or name not in ("decontamination", "mixing"), name
+        assert stage(spark, none, SF_DIR).collect() == []
+
+
+def test_first_copies_of_rows_without_id(spark):
+    import corpus_pipeline as pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(7, one), (3, one), (None, one), (None, two), (None, two), (9, three), (9, three)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, root string")
+    kept_rows = pipeline.keep_first_copies(spark, docs, SF_DIR).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept_rows) == sorted([(3, one), (0, two), (9, three)])
+
+
+def test_repeated_benchmark_texts_are_spread(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(f"q{i:02}", text) for i in range(30)] * 2, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "x y")], "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in fm_index.contamination(docs, benchmark, block_words=200).collect()}
+    assert found == {1: (22, 20, [f"q{i:02}" for i in range(30)]), 2: (2, 0, [])}
