@@ -3,7 +3,8 @@
 Every vector is represented by the order of its nearest pivots. The table is cut into shards; each
 shard posts its vectors in the inverted files of their nearest pivots. A query visits the files of
 its own nearest pivots, ranks what it finds there by the footrule distance of the orders, and the
-best of each shard are ranked again by exact cosine.
+best of each shard are ranked again by exact cosine. All other rows whose angles to the query's
+nearest pivots allow a cosine as high as the ``k``-th of these are ranked too, so nothing is missed.
 """
 
 from __future__ import annotations
@@ -17,18 +18,36 @@ PIVOTS = 256
 # Pivots that a vector is posted under, and whose files a query visits.
 POSTED = 16
 VISITED = 24
-# Vectors of a shard and queries of a block; candidates of a shard that are ranked exactly.
+# Vectors of a shard and queries of a block; candidates of a shard that are ranked exactly first.
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 CANDIDATES = 320
+# What rounding of single precision may take from a bound or an estimate of a cosine, with room.
+SLACK = 1e-5
+
+
+def spread_out(units, count):
+    """Up to ``count`` of the vectors: the first, then each time the one farthest from all chosen."""
+    if not len(units):
+        return units
+    chosen, closest = [0], units @ units[0]
+    while len(chosen) < min(count, len(units)) and closest.min() < 1 - 1e-12:
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, units @ units[chosen[-1]])
+    return units[chosen]
 
 
 def orders(units, pivots):
-    """Rank of every pivot for every vector, and the pivots by nearness."""
-    by_nearness = np.argsort(-(units @ pivots.T), axis=1, kind="stable")
+    """Rank of every pivot for every vector, the pivots by nearness, and the cosines to them."""
+    cosine = np.clip(units @ pivots.T, -1, 1)
+    by_nearness = np.argsort(-cosine, axis=1, kind="stable")
     rank = np.empty(by_nearness.shape, np.uint8)
     np.put_along_axis(rank, by_nearness, np.arange(by_nearness.shape[1], dtype=np.uint8)[None, :], axis=1)
-    return rank, by_nearness
+    return rank, by_nearness, cosine
+
+
+def cosine_and_sine(cosine):
+    return cosine.astype(np.float32), np.sqrt(1 - cosine * cosine).astype(np.float32)
 
 
 def search_shard(ids, vectors, query_ids, queries, pivots, k):
@@ -36,8 +55,12 @@ def search_shard(ids, vectors, query_ids, queries, pivots, k):
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
     norm, query_norm = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (vectors, queries))
-    rank, near = orders(vectors / norm[:, None], pivots)
-    query_rank, query_near = orders(queries / query_norm[:, None], pivots)
+    units, query_units = vectors / norm[:, None], queries / query_norm[:, None]
+    rank, near, to_pivot = orders(units, pivots)
+    query_rank, query_near, query_to_pivot = orders(query_units, pivots)
+    units, query_units = units.astype(np.float32), query_units.astype(np.float32)
+    cos, sin = (np.ascontiguousarray(x.T) for x in cosine_and_sine(to_pivot))
+    query_cos, query_sin = cosine_and_sine(query_to_pivot)
     # inverted files: the rows of each pivot
     posted = near[:, :POSTED]
     owner = np.repeat(np.arange(len(ids)), posted.shape[1])
@@ -55,9 +78,25 @@ def search_shard(ids, vectors, query_ids, queries, pivots, k):
         theirs, mine = rank[rows], query_rank[q]
         footrule = (np.maximum(theirs, mine) - np.minimum(theirs, mine)).sum(axis=1, dtype=np.int32)
         rows = rows[np.argsort(footrule, kind="stable")[: CANDIDATES + 1]]
-        rows = rows[ids[rows] != query_ids[q]]
-        # einsum adds up each row in the same order, so equal vectors tie exactly
-        cosine = np.einsum("ij,j->i", vectors[rows], queries[q]) / (norm[rows] * query_norm[q])
+        rest = ids != query_ids[q]
+        rows = rows[rest[rows]]
+        rest[rows] = False
+
+        def exact(rows):
+            # einsum adds up each row in the same order, so equal vectors tie exactly
+            return np.einsum("ij,j->i", vectors[rows], queries[q]) / (norm[rows] * query_norm[q])
+
+        cosine = exact(rows)
+        if len(rows) >= k:
+            # an angle is no less than the difference of both vectors' angles to any pivot
+            least = np.partition(cosine, len(rows) - k)[len(rows) - k] - SLACK
+            by = query_near[q, :VISITED]
+            bound = (cos[by] * query_cos[q, by, None] + sin[by] * query_sin[q, by, None]).min(axis=0)
+            rest = np.flatnonzero(rest & ~(bound < least))
+            rest = rest[~(units[rest] @ query_units[q] < least)]
+        else:
+            rest = np.flatnonzero(rest)
+        rows, cosine = np.append(rows, rest), np.append(cosine, exact(rest))
         best = np.lexsort((ids[rows], -cosine))[:k]
         out.append((np.full(len(best), query_ids[q]), ids[rows[best]], cosine[best]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, int), np.empty(0, int), np.empty(0)]
@@ -72,13 +111,13 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows of ``vectors`` that are found for every row of ``queries``, by cosine.
+    """The ``k`` nearest rows of ``vectors`` for every row of ``queries``, by cosine.
 
     ``query_id``, ``rank`` (from 1, nearest first, ties to the smaller id), ``id_column``,
     ``score``. A query meets all rows with other ids; with fewer than ``k`` of them it gets all.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those
-    whose length is not the most common one. Up to ``PIVOTS`` distinct vectors, the first by hash of
-    the id, are pivots. Repeated query rows are answered once.
+    whose length is not the most common one. Up to ``PIVOTS`` vectors that lie far from each other,
+    out of ``8 * PIVOTS`` by hash of the id, are pivots. Repeated query rows are answered once.
     """
     base, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
     lengths = base.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -88,9 +127,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     rows, blocks = base.count(), max(1, -(-asked.count() // BLOCK_ROWS))
     shards = max(1, -(-rows // SHARD_ROWS))
     first = base.orderBy(F.xxhash64("id"), "id").limit(8 * PIVOTS).collect()
-    distinct = list(dict.fromkeys(tuple(r.vector) for r in first))[:PIVOTS]
-    pivots = np.array(distinct, float).reshape(len(distinct), width)
-    pivots /= np.sqrt((pivots**2).sum(1, keepdims=True))
+    sample = np.array([r.vector for r in first], float).reshape(len(first), width)
+    pivots = spread_out(sample / np.sqrt((sample**2).sum(1, keepdims=True)), PIVOTS)
 
     def dealt(df, own, count, other, others):
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)

@@ -349,6 +349,23 @@ def test_nearest_odd_vectors(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in permutation_index.nearest(table, asked).collect()) == got
 
 
+def test_nearest_with_a_third_near_copies(spark):
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect())
+    rng = np.random.default_rng(3)
+    m = np.array([r.embedding for r in rows], float)
+    copies = np.arange(0, len(m), 3)
+    m[copies] = m[1] + rng.normal(0, 0.1 * m.std(), (len(copies), m.shape[1]))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>").repartition(4).cache()
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in permutation_index.nearest(table, table.where("vec_id % 10 = 0")).collect())
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = []
+    for q in range(0, len(m), 10):
+        s = m @ m[q]
+        s[q] = -2
+        want += [(q, n + 1, int(i)) for n, i in enumerate(np.argsort(-s)[:5])]
+    assert len(set(got) & set(want)) == len(want) == len(got)
+
+
 # op3
 
 
