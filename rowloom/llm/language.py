@@ -22,9 +22,9 @@ HASHES = 2
 # Rows of each language to learn from, and n-grams of each language and length in the filter.
 SAMPLE_ROWS = 2000
 TOP_GRAMS = 4000
-# Share of all languages' relative frequencies that an n-gram needs for a language to have it.
-SHARE = 0.5
-# Languages that are learned at most.
+# Relative frequency among a language's n-grams of one length that an n-gram needs for it to have it.
+LEAST_RATE = 1e-4
+# Languages that are accepted at most.
 MOST_LANGS = 1024
 UNDETERMINED = "und"
 BYTES = np.arange(256)
@@ -53,13 +53,15 @@ def slots_of(gram, i):
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_rows: int = SAMPLE_ROWS, top_grams: int = TOP_GRAMS) -> dict:
     """The filter, from about ``sample_rows`` labelled rows of each language, chosen by hash of the id.
 
-    Languages beyond the ``MOST_LANGS`` most frequent ones are not learned.
+    More than ``MOST_LANGS`` languages raise an error.
 
-    A language has an n-gram that is among its ``top_grams`` and has at least ``SHARE`` of the
-    relative frequencies of that n-gram over all languages. The filter has a fixed size.
+    A language has every n-gram that is among its ``top_grams`` and makes up at least ``LEAST_RATE``
+    of its n-grams of that length, whatever other languages have it. The filter has a fixed size.
     """
     source = prepared(docs, **{id_column: "bigint", text_column: "string", lang_column: "string"}).where(f"{lang_column} is not null and {text_column} is not null")
-    counts = source.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(MOST_LANGS).collect()
+    counts = source.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return {"langs": [], "table": np.zeros((0, 1 << SLOT_BITS), np.uint64), "fill": np.zeros(0)}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang_column], sample_rows / max(r["count"], sample_rows))])
@@ -79,8 +81,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     counted = sample.mapInArrow(count, "lang string, n bigint, gram bigint, times bigint").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     each = Window.partitionBy("lang", "n")
     rates = counted.withColumn("rate", F.col("times") / F.sum("times").over(each))
-    shares = rates.withColumn("share", F.col("rate") / F.sum("rate").over(Window.partitionBy("gram")))
-    best = shares.where(F.col("share") >= SHARE).withColumn("place", F.row_number().over(each.orderBy(F.desc("rate"), "gram"))).where(F.col("place") <= top_grams)
+    best = rates.where(F.col("rate") >= LEAST_RATE).withColumn("place", F.row_number().over(each.orderBy(F.desc("rate"), "gram"))).where(F.col("place") <= top_grams)
     rows = best.select("lang", "gram").toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     of = np.searchsorted(np.array(langs, object).astype(str), np.array(rows.column("lang").to_pylist(), object).astype(str))
@@ -105,6 +106,8 @@ def popcounts(masks, text, texts, langs):
 def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """The columns ``carry``, ``lang_pred`` and ``score`` (the share of the evidence it has, 0 to 1).
 
+    The evidence is the n-grams of the text that any language has; several languages may have one.
+
     ``und`` with score 0 for null, for texts without a letter and where nothing was learned. A text
     none of whose n-grams any language has gets the first language, with score 1 / languages; ties
     go to the language that sorts first.
@@ -117,6 +120,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
     def task(batches):
         langs, table, fill = (shared.value[k] for k in ("langs", "table", "fill"))
         false = fill**HASHES
+        false_any = 1 - np.prod(1 - false)
         for batch in batches:
             for part in slices(batch, "__text", SLICE_BYTES // 2):
                 lettered = np.asarray(part.column("__letters").to_numpy(zero_copy_only=False), bool)
@@ -124,6 +128,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
                 if langs:
                     data, bounds = text_bytes(part.column("__text"))
                     hits, total = np.zeros((part.num_rows, len(langs))), np.zeros(part.num_rows)
+                    known = np.zeros(part.num_rows)
                     for n in GRAMS:
                         gram, text = grams(data, bounds, n)
                         masks = [row[slots_of(gram, 0)] for row in table]
@@ -132,9 +137,10 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
                             masks = [m & row[at] for m, row in zip(masks, table)]
                         hits += popcounts(masks, text, part.num_rows, len(langs))
                         total += np.bincount(text, minlength=part.num_rows)
+                        known += np.bincount(text[np.bitwise_or.reduce(masks) != 0], minlength=part.num_rows)
                     true = np.maximum((hits - total[:, None] * false) / (1 - np.minimum(false, 0.999)), 0)
-                    sums = true.sum(1)
-                    share = np.where(sums[:, None] > 0, true / np.where(sums > 0, sums, 1)[:, None], 1 / len(langs))
+                    evidence = np.maximum((known - total * false_any) / (1 - min(false_any, 0.999)), true.max(1))
+                    share = np.where(true.any(1)[:, None], true / np.where(evidence > 0, evidence, 1)[:, None], 1 / len(langs))
                     best = share.argmax(1)
                     names[lettered] = np.array(langs, object)[best[lettered]]
                     scores[lettered] = share[np.arange(len(best)), best][lettered]

@@ -272,6 +272,19 @@ def test_language_odd_input(docs, odd, none):
     assert language.predict(many, wide).count() == docs.count()
 
 
+def test_languages_that_share_ngrams(spark, docs, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    region = F.when(F.col("lang") == "en", F.concat(F.lit("en-"), (F.xxhash64("doc_id", "text") % 3 + 3).cast("string"))).otherwise(F.col("lang"))
+    d = d.withColumn("lang", region).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 2)
+    model = language.learn(d.where("not held"))
+    assert np.bitwise_count(model["table"][0]).max() >= 3
+    rows = language.predict(d.where("held"), model, ("doc_id", "lang")).collect()
+    assert np.mean([r.lang[:2] == r.lang_pred[:2] for r in rows]) > 0.97 and min(r.score for r in rows) >= 0.3
+    monkeypatch.setattr(language, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        language.learn(docs)
+
+
 @pytest.mark.parametrize("name, label, least", [("op7_toxicity", "toxic", 0.9), ("op9_quality", "quality", 0.9)])
 def test_classifier_held_out(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
