@@ -39,15 +39,24 @@ def hash_share(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(share) * (1 << 30)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, rows: int) -> DataFrame:
+def usable_labels(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    return prepared(labels, **{id_column: "bigint", label_column: "int"}).where(f"{id_column} is not null and {label_column} in (0, 1)")
+
+
+def sample_shares(labels: DataFrame, id_column: str, label_column: str, rows: int) -> dict[int, float]:
+    """Of each label, the share of the rows that makes about ``rows``."""
+    counts = {r[label_column]: r["count"] for r in usable_labels(labels, id_column, label_column).groupBy(label_column).count().collect()}
+    return {label: rows / max(counts.get(label, 0), rows) for label in (0, 1)}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, rows: int, shares: dict[int, float] | None = None) -> DataFrame:
     """``text`` and ``label`` of about ``rows`` labelled documents of each label, chosen by hash of the id.
 
     Every label row that has an id and a label 0 or 1 can be chosen; what is sent to all tasks is
-    bounded by ``rows``.
+    bounded by ``rows``. ``shares`` are those of ``sample_shares``, if the caller needs them too.
     """
-    given = prepared(labels, **{id_column: "bigint", label_column: "int"}).where(f"{id_column} is not null and {label_column} in (0, 1)")
-    counts = {r[label_column]: r["count"] for r in given.groupBy(label_column).count().collect()}
-    share = F.when(F.col(label_column) == 1, rows / max(counts.get(1, 0), rows)).otherwise(rows / max(counts.get(0, 0), rows))
-    chosen = given.where(hash_share(F.col(id_column), share)).select(F.col(id_column).alias("__id"), F.col(label_column).alias("label"))
+    shares = shares or sample_shares(labels, id_column, label_column, rows)
+    share = F.when(F.col(label_column) == 1, shares[1]).otherwise(shares[0])
+    chosen = usable_labels(labels, id_column, label_column).where(hash_share(F.col(id_column), share)).select(F.col(id_column).alias("__id"), F.col(label_column).alias("label"))
     texts = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("__id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "__id").select("text", "label")

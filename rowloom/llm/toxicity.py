@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import kept, labelled_sample
+from rowloom.llm.common import kept, labelled_sample, sample_shares
 from rowloom.llm.kernels import ALNUM_WORD, LOWER, find_words, hash_words, mix64, slices, text_bytes
 
 # Terms of one kind stand for each other.
@@ -76,8 +76,11 @@ def swapped(features, kinds):
     return copies
 
 
-def fit(rows, labels, pairs, k, steps=300):
-    """Weights and bias of ``k`` columns; ``rows`` are sets of columns, ``pairs`` (row, columns of a copy)."""
+def fit(rows, labels, pairs, k, counts_as, steps=300):
+    """Weights and bias of ``k`` columns; ``rows`` are sets of columns, ``pairs`` (row, columns of a copy).
+
+    A row counts as many times as ``counts_as`` says.
+    """
     everything = rows + [c for _, c in pairs]
     n = len(rows)
     column = np.concatenate(everything)
@@ -85,13 +88,14 @@ def fit(rows, labels, pairs, k, steps=300):
     left = np.array([r for r, _ in pairs], int)
     right = n + np.arange(len(pairs))
     w, first, second = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    p = labels.mean()
+    all_count = counts_as.sum()
+    p = (counts_as * labels).sum() / all_count
     w[k] = np.log(p / (1 - p))
     for t in range(1, steps + 1):
         z = np.bincount(row, w[column], minlength=len(everything)) + w[k]
         dz = np.zeros(len(everything))
-        dz[:n] = (1 / (1 + np.exp(-np.clip(z[:n], -30, 30))) - labels) / n
-        change = FAIRNESS * 2 * (z[left] - z[right]) / n
+        dz[:n] = (1 / (1 + np.exp(-np.clip(z[:n], -30, 30))) - labels) * counts_as / all_count
+        change = FAIRNESS * 2 * (z[left] - z[right]) * counts_as[left] / all_count
         np.add.at(dz, left, change)
         dz[right] -= change
         g = np.append(np.bincount(column, dz[row], minlength=k) + RIDGE * w[:k], dz.sum())
@@ -100,8 +104,12 @@ def fit(rows, labels, pairs, k, steps=300):
     return w[:k], float(w[k])
 
 
-def informative(sets: DataFrame, share: float) -> np.ndarray:
-    """The ``FEATURES`` features that go most with the label (chi-squared), sorted."""
+def informative(sets: DataFrame, share: float, weight: dict[int, float]) -> np.ndarray:
+    """The ``FEATURES`` features that go most with the label (chi-squared), sorted.
+
+    A row counts as the ``weight`` of its label, ``share`` is the share of toxic rows so counted. The
+    variance is that of the rows there are, so larger weights alone make no feature significant.
+    """
 
     def count(batches):
         n = np.zeros((2, 1 << FEATURE_BITS), np.int32)
@@ -112,14 +120,18 @@ def informative(sets: DataFrame, share: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at].astype(np.int64)), pa.array(n[:, at].sum(0))], names=["feature", "toxic", "n"])
 
     sums = sets.mapInArrow(count, "feature bigint, toxic bigint, n bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    gap = F.col("toxic") - F.col("n") * share
-    chi = sums.where(F.col("n") >= LEAST_TEXTS).withColumn("chi", gap * gap / (F.col("n") * share * (1 - share))).where("chi > 3.84")
+    toxic = F.col("toxic") * weight[1]
+    n = toxic + (F.col("n") - F.col("toxic")) * weight[0]
+    gap = toxic - n * share
+    variance = n * share * (1 - share) * (weight[1] * (1 - share) + weight[0] * share)
+    chi = sums.where(F.col("n") >= LEAST_TEXTS).withColumn("chi", gap * gap / variance).where("chi > 3.84")
     return np.sort(np.array([r.feature for r in chi.orderBy(F.desc("chi"), "feature").limit(FEATURES).select("feature").collect()], np.int64))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = SAMPLE_ROWS, terms: dict[str, list[str]] | None = None) -> dict:
     """The model, from about ``rows`` labelled documents of each label.
 
+    Rows count as the inverse of their label's share in the sample, so scores keep to the labels' true shares.
     With rows of one label only, every score is that label; without any it is 0. Only the chosen
     features of the sampled rows and of their copies come to the driver, where the fit runs.
     """
@@ -133,12 +145,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 sets = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), part.column("label")], names=["features", "label"])
 
-    sample = labelled_sample(docs, labels, id_column, text_column, label_column, rows)
+    shares = sample_shares(labels, id_column, label_column, rows)
+    weight = {label: 1 / share for label, share in shares.items()}
+    sample = labelled_sample(docs, labels, id_column, text_column, label_column, rows, shares)
     sets = kept(sample.mapInArrow(task, "features binary, label int"), "features")
     counts = {r.label: r["count"] for r in sets.groupBy("label").count().collect()}
     if len(counts) < 2:
         return {"features": np.empty(0, int), "weights": np.empty(0), "bias": 30.0 if counts.get(1) else -30.0}
-    chosen = informative(sets, counts[1] / sum(counts.values()))
+    chosen = informative(sets, weight[1] * counts[1] / sum(weight[label] * n for label, n in counts.items()), weight)
 
     def columns(batches):
         for batch in batches:
@@ -153,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     found = sets.mapInArrow(columns, "label int, columns binary, copies array<binary>").orderBy("columns", "label").toArrow()
     own = [np.frombuffer(b, "<i2").astype(np.int32) for b in found.column("columns").to_pylist()]
     pairs = [(i, np.frombuffer(c, "<i2").astype(np.int32)) for i, copies in enumerate(found.column("copies").to_pylist()) for c in copies]
-    weights, bias = fit(own, np.array(found.column("label").to_pylist(), float), pairs, len(chosen))
+    label = np.array(found.column("label").to_pylist(), float)
+    weights, bias = fit(own, label, pairs, len(chosen), np.where(label == 1, weight[1], weight[0]))
     return {"features": chosen, "weights": weights, "bias": bias}
 
 

@@ -316,6 +316,19 @@ def test_swapped_identities_score_alike(spark):
     assert gap(0.0) > 0.3 and abs(gap(1.0)) < 0.1
 
 
+def test_toxicity_keeps_true_shares_in_a_sample(spark):
+    rng = np.random.default_rng(1)
+    words = ["the", "people", "went", "home", "early", "today"]
+    rows = []
+    for i in range(6000):
+        bad = rng.random() < 0.1
+        rows.append((i, " ".join(rng.choice(words, 5)) + (" awful" if bad else " fine"), int(rng.random() < (0.5 if bad else 0.02))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    plain = spark.createDataFrame([(0, "the people went home fine")], "doc_id bigint, text string")
+    whole, sampled = (toxicity.score(plain, toxicity.learn(docs.drop("toxic"), docs, rows=n)).first().score for n in (8000, 300))
+    assert whole < 0.04 and abs(sampled - whole) < 0.03
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_on_odd_input(spark, odd, none, module, label):
     def labels(*rows):
