@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, kneser_ney, language, license_scan, mixing, permutation_index, quality, simhash, token_files, toxicity
+from rowloom.llm import fm_index, hard_negatives, kneser_ney, language, license_scan, mixing, permutation_index, quality, simhash, token_files, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -76,9 +76,15 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_permutation_index, op2_language, op3_fair_queueing, op4_licenses, op5_kneser_ney, op6_decontamination, op7_toxicity,
-    op8_token_counts, op9_quality, op10_simhash,
+    op8_token_counts, op9_quality, op10_simhash, op12_hard_negatives,
 )}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -114,7 +120,22 @@ got AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM run WHERE total <
 SELECT doc_id, {columns}size, CAST(source_size AS BIGINT) AS source_size, target, coalesce(taken, 0) AS taken FROM cum LEFT JOIN got USING (doc_id)"""
 
 
+DOT = "CAST(list_dot_product(a.v, b.v) AS BIGINT)"
+
 SQL = {
+    "op12_hard_negatives": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {DOT} AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
     "op3_fair_queueing": "WITH " + mix_of("documents", "").strip(),
     "op4_licenses": f"""
 WITH t(license, body) AS (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())}),
