@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, hard_negatives, kneser_ney, language, license_scan, mixing, permutation_index, quality, simhash, token_files, toxicity
+from rowloom.llm import fm_index, hard_negatives, kneser_ney, language, license_scan, mixing, permutation_index, quality, ranked_search, simhash, token_files, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -76,6 +76,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
@@ -84,7 +88,7 @@ def op12_hard_negatives(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     op1_permutation_index, op2_language, op3_fair_queueing, op4_licenses, op5_kneser_ney, op6_decontamination, op7_toxicity,
-    op8_token_counts, op9_quality, op10_simhash, op12_hard_negatives,
+    op8_token_counts, op9_quality, op10_simhash, op11_ranked_search, op12_hard_negatives,
 )}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -120,6 +124,7 @@ got AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM run WHERE total <
 SELECT doc_id, {columns}size, CAST(source_size AS BIGINT) AS source_size, target, coalesce(taken, 0) AS taken FROM cum LEFT JOIN got USING (doc_id)"""
 
 
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 DOT = "CAST(list_dot_product(a.v, b.v) AS BIGINT)"
 
 SQL = {
@@ -136,6 +141,19 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
     vec_id AS negative_id, positive_score, score AS negative_score
 FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
+    "op11_ranked_search": f"""
+WITH words AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all({LOWERED.format('text')}, {TERMS}) AS w FROM documents WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, row_no, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM doc),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED.format('text')}, {TERMS})) AS t FROM benchmark WHERE item_id IS NOT NULL),
+post AS (SELECT row_no, t, count(*) AS tf FROM (SELECT row_no, unnest(w) AS t FROM words) WHERE t IN (SELECT t FROM asked) GROUP BY row_no, t),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM (SELECT t, count(*) AS df FROM post GROUP BY t), tot),
+imp AS (SELECT row_no, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len))) AS impact
+    FROM post JOIN wt USING (t) JOIN doc USING (row_no), tot),
+sc AS (SELECT item_id, row_no, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN imp USING (t) WHERE doc_id IS NOT NULL GROUP BY item_id, row_no, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
     "op3_fair_queueing": "WITH " + mix_of("documents", "").strip(),
     "op4_licenses": f"""
 WITH t(license, body) AS (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())}),
