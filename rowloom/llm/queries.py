@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.llm import fm_index, hard_negatives, kneser_ney, language, license_scan, mixing, permutation_index, quality, ranked_search, simhash, token_files, toxicity
+from rowloom.llm import fm_index, hard_negatives, kneser_ney, language, license_scan, mixing, ngram_join, permutation_index, quality, ranked_search, simhash, token_files, toxicity
 from rowloom.llm.common import remainder
 
 
@@ -86,9 +86,13 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_permutation_index, op2_language, op3_fair_queueing, op4_licenses, op5_kneser_ney, op6_decontamination, op7_toxicity,
-    op8_token_counts, op9_quality, op10_simhash, op11_ranked_search, op12_hard_negatives,
+    op8_token_counts, op9_quality, op10_simhash, op11_ranked_search, op12_hard_negatives, op13_ngram_join,
 )}
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -154,6 +158,19 @@ imp AS (SELECT row_no, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (5
 sc AS (SELECT item_id, row_no, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN imp USING (t) WHERE doc_id IS NOT NULL GROUP BY item_id, row_no, doc_id)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
+    "op13_ngram_join": f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, {SPACED}) AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda p: list_slice(w, p, p + 3))) END AS s FROM words),
+classes AS MATERIALIZED (SELECT min(doc_id) AS c, len(s) AS n, any_value(s) AS s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY md5(CAST(s AS VARCHAR)), len(s)),
+sh AS MATERIALIZED (SELECT c, n, unnest(s) AS v FROM classes),
+links AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM sh x JOIN sh y ON x.v = y.v AND x.c <> y.c AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+    GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON reach.r = links.a),
+roots AS (SELECT c, min(r) AS root FROM reach GROUP BY c),
+named AS (SELECT md5(CAST(s AS VARCHAR)) AS h, n, root FROM classes JOIN roots USING (c))
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM (SELECT doc_id, list_sort(s) AS s FROM sets) d LEFT JOIN named ON named.h = md5(CAST(d.s AS VARCHAR)) AND named.n = len(d.s)""",
     "op3_fair_queueing": "WITH " + mix_of("documents", "").strip(),
     "op4_licenses": f"""
 WITH t(license, body) AS (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in license_scan.TEMPLATES.items())}),
