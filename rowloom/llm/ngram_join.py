@@ -3,12 +3,13 @@
 All sets are ordered alike, rare shingles first. Two sets as similar as asked share a shingle among
 the first few of each, so only these prefixes are posted. Documents of the same size and prefix are
 one group, and groups meet in the lists of their shingles; pairs of groups pass the filters on size
-and position, are expanded to their members, and every pair of members is verified on the whole sets.
+and position, are expanded to their members, pass a filter on how their shingles spread over 256
+ranges of the hash, and are verified on the whole sets.
 
-Copies and families of near copies would make lists and groups with millions of pairs. Documents of
-equal sets are one class from the start. Where a list or a group is crowded, its classes are first
-linked with each other in blocks, and only pairs of classes that no links connect so far are
-verified one by one: no pair that could still join two classes is left out.
+Documents of equal sets are one class from the start. Classes that may be linked, directly or by
+others, are verified together, each set sent once, and give links that connect whatever is similar.
+Families too large for a task are first linked in blocks; after that only pairs of classes that no
+links connect so far are verified one by one. No pair that could still join two classes is left out.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from rowloom.scratch import small_side
 CELLS = 1 << 20
 # Shingles whose hashes are worked out at once.
 SHINGLES_AT_ONCE = 1 << 18
-# A list of more groups, or a group of more classes, is linked in blocks before pairs are made of it.
+# A list of more groups gives no pairs unless its family is too large for a task.
 CROWDED = 48
-# Classes of such a block, and how often each is dealt to a block.
+# Classes and shingles that are verified in one task at once; larger families are cut in blocks.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22
+# How often each class of a larger family is dealt to a block.
 DEALS = 3
+# Ranges of the hash over which the shingles of a set are counted, to a byte each.
+RANGES = 256
 # Lists of more entries are split, each part meets each other one.
 LIST = 4096
 
@@ -119,8 +124,19 @@ def estimate(source, text_column, k):
     return levels
 
 
+def binaries(values, bounds):
+    """A binary column of the bytes of ``values`` between neighbouring ``bounds``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def spreads(found, text, texts):
+    """How the shingles of every text spread over the ranges of the hash; 255 stands for that or more."""
+    counts = np.bincount(text * RANGES + (found >> np.uint64(56)).astype(np.int64), minlength=texts * RANGES)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 def set_facts(source, id_column, text_column, k, levels, part, whole):
-    """A row for every document: size, two digests of the set, the group (``node``) and the prefix."""
+    """A row for every document: size, two digests of the set, its spread, the group (``node``) and the prefix."""
 
     def task(batches):
         for batch in batches:
@@ -134,15 +150,15 @@ def set_facts(source, id_column, text_column, k, levels, part, whole):
                 in_prefix = np.arange(len(found)) - first[text] < ahead[text]
                 prefix, bounds = ordered[in_prefix], np.concatenate([[0], np.cumsum(ahead)])
                 node = sums_by_text(mix64(prefix), bounds) + mix64(size.astype(np.uint64))
-                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(prefix)])
+                raw = binaries(prefix, 8 * bounds)
                 yield pa.RecordBatch.from_arrays([
                     piece.column(id_column), piece.column("text_hash"), pa.array(size, pa.int64()),
                     pa.array(sums_by_text(mix64(found), first).view(np.int64)),
                     pa.array(sums_by_text(mix64(found ^ np.uint64(0x5851F42D4C957F2D)), first).view(np.int64)),
-                    pa.array(node.view(np.int64)), raw,
-                ], names=["id", "text_hash", "n", "d0", "d1", "node", "prefix"])
+                    pa.array(node.view(np.int64)), raw, binaries(spreads(found, text, len(size)), np.arange(len(size) + 1) * RANGES),
+                ], names=["id", "text_hash", "n", "d0", "d1", "node", "prefix", "spread"])
 
-    kind = "id bigint, text_hash bigint, n bigint, d0 bigint, d1 bigint, node bigint, prefix binary"
+    kind = "id bigint, text_hash bigint, n bigint, d0 bigint, d1 bigint, node bigint, prefix binary, spread binary"
     return source.mapInArrow(task, kind)
 
 
@@ -244,21 +260,28 @@ def lists_of(entries, part, whole):
 
 
 def whole_sets(docs, wanted, id_column, text_column, k):
-    """``cid`` and ``shingles`` (sorted hashes, 8 bytes each) of the classes of ``wanted``, from the texts again."""
+    """The columns of ``wanted`` and ``shingles`` (sorted hashes, 8 bytes each) of its classes, from the texts again.
+
+    A class of repeated rows may come once from several tasks.
+    """
+    facts = [c for c in wanted.columns if c not in ("first_id", "text_hash")]
 
     def task(batches):
+        seen = set()
         for batch in batches:
-            for piece in slices(batch, text_column):
+            fresh = []
+            for cid in batch.column("cid").to_pylist():
+                fresh.append(cid not in seen)
+                seen.add(cid)
+            for piece in slices(batch.filter(pa.array(fresh)), text_column):
                 found, size = shingles(piece.column(text_column), k)
-                bounds = np.concatenate([[0], np.cumsum(size)])
-                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(found)])
-                yield pa.RecordBatch.from_arrays([piece.column("cid"), raw], names=["cid", "shingles"])
+                raw = binaries(found, 8 * np.concatenate([[0], np.cumsum(size)]))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in facts), raw], names=[*facts, "shingles"])
 
-    size = 32 * wanted.count()
     same = (F.col("text_hash") == F.col("wanted_hash")) & F.col(id_column).eqNullSafe(F.col("wanted_id"))
-    named = small_side(wanted.select("cid", F.col("first_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")), size)
-    rows = docs.join(named, same).select("cid", text_column)
-    return rows.mapInArrow(task, "cid bigint, shingles binary").groupBy("cid").agg(F.max("shingles").alias("shingles"))
+    named = wanted.withColumnsRenamed({"first_id": "wanted_id", "text_hash": "wanted_hash"})
+    rows = docs.join(small_side(named, 64 * wanted.count()), same).select(*facts, text_column)
+    return rows.mapInArrow(task, ", ".join(f"{c} bigint" for c in facts) + ", shingles binary")
 
 
 def unpacked(column):
@@ -267,67 +290,108 @@ def unpacked(column):
     return np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
 
 
-def links_in_block(cid, sets, part, whole):
-    """Links that connect what is linked with one of the classes picked as centres, in one block.
+def links_in_block(cid, sets, part, whole, exact):
+    """Links between the classes of a block that connect what is similar.
 
-    A class is picked unless an earlier centre was linked with it.
+    One class after the other is compared with all, unless it was found similar to an earlier one;
+    with ``exact`` those outside the largest component are compared too, so that no two components
+    are left with a similar pair between them.
     """
     bounds = np.concatenate([[0], np.cumsum([len(s) // 8 for s in sets])])
     tokens, number = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
     size = np.diff(bounds)
     root = np.arange(len(cid))
     out = []
-    free = np.ones(len(cid), bool)
-    # sets of commoner shingles first: the middle of a family rather than its edge
-    common = np.add.reduceat(np.bincount(number, minlength=len(tokens))[number], bounds[:-1]) / size
     mark = np.zeros(len(tokens), np.int64)
-    for i in np.argsort(-common, kind="stable"):
-        if not free[i]:
-            continue
+
+    def compare(i):
         mine = number[bounds[i] : bounds[i + 1]]
         mark[mine] = 1
         shared = np.add.reduceat(mark[number], bounds[:-1])
         mark[mine] = 0
         hits = np.flatnonzero(linked(shared, size[i], size, part, whole))
-        free[hits] = False
         roots, first = np.unique(root[hits], return_index=True)
         for r, j in zip(roots, hits[first]):
             if r != root[i]:
                 out.append((cid[i], cid[j]))
         root[np.isin(root, roots)] = root[i]
+        return hits
+
+    free = np.ones(len(cid), bool)
+    centre = np.zeros(len(cid), bool)
+    # sets of commoner shingles first: the middle of a family rather than its edge
+    common = np.add.reduceat(np.bincount(number, minlength=len(tokens))[number], bounds[:-1]) / size
+    for i in np.argsort(-common, kind="stable"):
+        if free[i]:
+            centre[i] = True
+            free[compare(i)] = False
+    if exact:
+        largest = np.bincount(root).argmax()
+        for i in np.flatnonzero(~centre & (root != largest)):
+            compare(i)
     return out
 
 
-def linked_in_blocks(homes, classes, sets, part, whole):
-    """Links inside every crowd: ``homes`` deals nodes to crowds; large crowds are cut in blocks of classes."""
-    members = homes.join(classes.select("node", "cid"), "node").select("home", "deal", "cid")
-    blocks = members.groupBy("home", "deal").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
-    dealt = members.join(blocks, ["home", "deal"], "left")
-    salt = F.pmod(F.xxhash64("cid", "deal", F.lit("block")), F.coalesce("blocks", F.lit(1)))
-    rows = dealt.select("home", "deal", salt.alias("salt"), "cid").join(sets, "cid")
+def linked_together(rows, keys, part, whole, exact):
+    """Links inside every block: ``rows`` has the columns ``keys`` that name it, ``cid`` and ``shingles``."""
 
     def task(batches):
         key, cid, raw = None, [], []
 
         def done():
-            found = np.array(links_in_block(np.array(cid), raw, part, whole), np.int64).reshape(-1, 2)
+            found = np.array(links_in_block(np.array(cid), raw, part, whole, exact), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for home, deal, salt, c, s in zip(*(batch.column(x).to_pylist() for x in ("home", "deal", "salt", "cid", "shingles"))):
-                if key != (home, deal, salt):
+            names = zip(*(batch.column(x).to_pylist() for x in keys))
+            for name, c, s in zip(names, batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
+                if key != name:
                     if len(cid) > 1:
                         yield done()
-                    key, cid, raw = (home, deal, salt), [], []
-                cid.append(c)
-                raw.append(s)
+                    key, cid, raw = name, [], []
+                if not cid or cid[-1] != c:
+                    cid.append(c)
+                    raw.append(s)
         if len(cid) > 1:
             yield done()
 
-    spread = rows.select("home", "deal", "salt", "cid", "shingles").repartition("home", "deal", "salt").sortWithinPartitions("home", "deal", "salt", "cid")
+    spread = rows.select(*keys, "cid", "shingles").repartition(*keys).sortWithinPartitions(*keys, "cid")
     return spread.mapInArrow(task, "a bigint, b bigint")
 
 
+def linked_in_blocks(homes, members, sets, part, whole):
+    """Links inside crowds: ``homes`` deals nodes to crowds, large crowds are cut in blocks of classes."""
+    dealt = homes.join(members.select("node", "cid", "n"), "node").select("home", "deal", "cid", "n")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    blocks = dealt.groupBy("home", "deal").agg(parts).where("blocks > 1")
+    salt = F.pmod(F.xxhash64("cid", "deal", F.lit("block")), F.coalesce("blocks", F.lit(1)))
+    rows = dealt.join(blocks, ["home", "deal"], "left").select("home", "deal", salt.alias("salt"), "cid").join(sets, "cid")
+    return linked_together(rows, ["home", "deal", "salt"], part, whole, False)
+
+
+def promising(pairs, classes, part, whole):
+    """The pairs ``a``, ``b`` of classes that may be similar by the spread of their shingles."""
+
+    def task(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("left", "right"))
+            n, m = (np.asarray(batch.column(c)) for c in ("n", "m"))
+            most = np.minimum(left, right)
+            good = linked(most.sum(axis=1, dtype=np.int64), n, m, part, whole) | (most == 255).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("spread").alias("left"))
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("spread").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(task, "a bigint, b bigint")
+
+
+def expanded(pairs, members):
+    """Pairs of the classes of two groups, smaller number first; ``members`` has ``node``, ``cid``, ``root``: equal roots are left out."""
+    sides = [members.select(F.col("node").alias(x), F.col("cid").alias(f"c{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where("ra <> rb")
+    return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+
+
 def pairs_across(entries, part, whole):
     """Pairs of groups in one list that no links connect so far (``label`` differs; 0: of several kinds)."""
     varied = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("entries"))
@@ -372,6 +436,41 @@ def verified(pairs, sets, part, whole):
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a bigint, b bigint")
 
 
+def large_families(source, members, crowded, pairs, classes, id_column, text_column, k, part, whole):
+    """Links that connect whatever is similar in families that do not fit a task.
+
+    Each group of a crowded list is dealt to some of its lists, a group of several classes is a
+    crowd itself, and crowds are linked in blocks. Then every pair of classes that met in a list or
+    a group and that these links leave apart is verified.
+    """
+    sets = kept(whole_sets(source, members.select("cid", "first_id", "text_hash"), id_column, text_column, k), "whole-sets")
+    here = crowded.join(members.select("node").distinct(), "node", "left_semi")
+    picks = [F.min(F.struct(F.xxhash64("token", F.lit(d)).alias("h"), "token")).alias(f"p{d}") for d in range(DEALS)]
+    deals = F.explode(F.array(*[F.struct(F.col(f"p{d}.token").alias("home"), F.lit(d).alias("deal")) for d in range(DEALS)])).alias("p")
+    homes = here.groupBy("node").agg(*picks).select("node", deals).select("node", "p.home", "p.deal")
+    several = members.groupBy("node").count().where("count > 1")
+    several = several.select("node", F.col("node").alias("home"), F.explode(F.sequence(F.lit(DEALS), F.lit(2 * DEALS - 1))).alias("deal"))
+    inner = kept(linked_in_blocks(homes.unionByName(several), members, sets, part, whole), "inner-links")
+    roots = star_components(inner).select(F.col("node").alias("cid"), "root")
+    labels = members.select("cid", "node").join(roots, "cid", "left").select("cid", "node", F.coalesce("root", "cid").alias("root"))
+    labels = kept(labels, "labels")
+
+    # a label for every group: its root, shifted clear of 0, or 0 for classes of several
+    of_node = labels.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    of_node = of_node.select("node", F.when(F.col("low") == F.col("high"), F.col("low") + 1).otherwise(F.lit(0)).alias("label"))
+    across = expanded(pairs_across(here.join(of_node, "node"), part, whole), labels)
+    # of the classes of one group only those outside its largest component are paired with the others
+    ranked = labels.join(of_node.where("label = 0").select("node"), "node", "left_semi").groupBy("node", "root").agg(F.count("*").alias("members"))
+    largest = ranked.groupBy("node").agg(F.max_by("root", F.struct("members", "root")).alias("most"))
+    outside = labels.join(largest, "node").where("root <> most").select("node", F.col("cid").alias("ca"), F.col("root").alias("ra"))
+    beside = outside.join(labels.select("node", F.col("cid").alias("cb"), F.col("root").alias("rb")), "node").where("ra <> rb")
+    beside = beside.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    left, right = (labels.select(F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    apart = pairs.join(left, "a").join(right, "b").where("ra <> rb").select("a", "b")
+    asked = kept(apart.unionByName(promising(across.unionByName(beside).distinct(), classes, part, whole)).distinct(), "asked")
+    return inner.unionByName(verified(asked, sets, part, whole))
+
+
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, part: int = 85, whole: int = 100) -> DataFrame:
     """``id_column``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -392,10 +491,10 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     filled = facts.where("n > 0")
     first = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first")
-    equal = filled.groupBy("d0", "d1").agg(first, F.max("node").alias("node"))
-    equal = equal.select("d0", "d1", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "node")
+    equal = filled.groupBy("d0", "d1").agg(first, F.max("n").alias("n"), F.max("node").alias("node"), F.max("spread").alias("spread"))
+    equal = equal.select("d0", "d1", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "n", "node", "spread")
     classes = kept(equal.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = kept(filled.groupBy("node").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")), "groups")
+    groups = filled.groupBy("node").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix"))
 
     entries = posted(groups, levels)
     busy = entries.where("busy").groupBy("token").agg(F.count("*").alias("entries"))
@@ -404,42 +503,28 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         busy_entries.where(F.col("entries") <= LIST).select("token", "n", "node", "place"))
     long = busy_entries.where(F.col("entries") > LIST).select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "token", "n", "place")
     met = kept(lists_of(short, part, whole).unionByName(long), "met")
-    pairs = met.where("b is not null").select("a", "b").distinct()
     crowded = met.where("b is null").select("token", F.col("a").alias("node"), "n", "place")
 
-    # every group of a crowded list is dealt to some of its lists; a group of several classes is a crowd itself
-    picks = [F.min(F.struct(F.xxhash64("token", F.lit(d)).alias("h"), "token")).alias(f"p{d}") for d in range(DEALS)]
-    homes = crowded.groupBy("node").agg(*picks)
-    deals = F.explode(F.array(*[F.struct(F.col(f"p{d}.token").alias("home"), F.lit(d).alias("deal")) for d in range(DEALS)])).alias("p")
-    homes = homes.select("node", deals).select("node", "p.home", "p.deal")
-    full = classes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    several = full.select("node", F.col("node").alias("home"), F.explode(F.sequence(F.lit(DEALS), F.lit(2 * DEALS - 1))).alias("deal"))
-    homes = kept(homes.unionByName(several), "homes")
-
-    needed = homes.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = kept(classes.join(needed, "node", "left_semi").select("cid", "first_id", "text_hash"), "wanted")
-    sets = kept(whole_sets(source, wanted, id_column, text_column, k), "whole-sets")
-
-    inner = kept(linked_in_blocks(homes, classes, sets, part, whole), "inner-links")
-    roots = star_components(inner)
-    labels = classes.select("cid", "node").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "node", F.coalesce("root", "cid").alias("root"))
-    labels = kept(labels, "labels")
-
-    # a label for every group: one root, shifted clear of 0, or 0 for classes of several
-    of_node = labels.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    of_node = of_node.select("node", F.when(F.col("low") == F.col("high"), F.col("low") + 1).otherwise(F.lit(0)).alias("label"))
-    across = pairs_across(crowded.join(of_node, "node"), part, whole)
-    # of the classes of one group only those outside its largest component are paired with the others
-    ranked = labels.join(of_node.where("label = 0").select("node"), "node", "left_semi").groupBy("node", "root").agg(F.count("*").alias("members"))
-    largest = ranked.groupBy("node").agg(F.max_by("root", F.struct("members", "root")).alias("most"))
-    outside = labels.join(largest, "node").where("root <> most").select("node", F.col("cid").alias("ca"), F.col("root").alias("ra"))
-    within_groups = outside.join(labels.select("node", F.col("cid").alias("cb"), F.col("root").alias("rb")), "node").where("ra <> rb").select("ca", "cb")
-    sides = [labels.select(F.col("node").alias(x), F.col("cid").alias(f"c{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
-    expanded = pairs.unionByName(across).distinct().join(sides[0], "a").join(sides[1], "b").where("ra <> rb").select("ca", "cb")
-    asked = kept(expanded.unionByName(within_groups).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "asked")
-    outer = verified(asked, sets, part, whole)
-
-    joined = star_components(inner.unionByName(outer))
+    # families: what may be linked, directly or by others
+    own = classes.select("node", "cid", F.col("cid").alias("root"))
+    pairs = kept(promising(expanded(met.where("b is not null").select("a", "b").distinct(), own).distinct(), classes, part, whole), "pairs")
+    heads = classes.groupBy("node").agg(F.min("cid").alias("b"), F.count("*").alias("members"))
+    same_group = classes.join(heads.where("members > 1"), "node").select(F.col("cid").alias("a"), "b")
+    at = crowded.join(heads.select("node", F.col("b").alias("a")), "node").select("token", "a")
+    same_list = at.join(at.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b")
+    roots = star_components(pairs.unionByName(same_group).unionByName(same_list)).select(F.col("node").alias("cid"), F.col("root").alias("family"))
+    roots = roots.unionByName(roots.select(F.col("family").alias("cid"), "family").distinct())
+    related = kept(classes.join(roots, "cid").select("cid", "family", "node", "n", "first_id", "text_hash"), "families")
+    fits = (F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)
+    sizes = related.groupBy("family").agg(fits.alias("fits"))
+    placed = kept(related.join(sizes, "family"), "families")
+    small = placed.where("fits").select("cid", "family", "first_id", "text_hash")
+    links = kept(linked_together(whole_sets(source, small, id_column, text_column, k), ["family"], part, whole, True), "links")
+
+    large = placed.where("not fits")
+    if not large.isEmpty():
+        links = links.unionByName(large_families(source, large, crowded, pairs, classes, id_column, text_column, k, part, whole))
+    joined = star_components(links)
     rooted = classes.select("d0", "d1", "cid", "first_id").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("d0", "d1", "component_id")
