@@ -22,7 +22,7 @@ from rowloom.llm.common import kept
 from rowloom.scratch import new_scratch
 
 # Components held by a shard and by a file of anchors; both have one row at least.
-SHARD_VALUES = 1 << 20
+SHARD_VALUES = 1 << 19
 BLOCK_VALUES = 1 << 18
 # Places of each list that the first round reads; every round reads as many as all before it.
 FIRST_READ = 8
@@ -52,7 +52,9 @@ class Lists:
 
     def __init__(self, ids, labels, values):
         self.ids, self.labels, self.values = ids, labels, values
-        self.order = np.argsort(values.astype(np.float64), axis=0, kind="stable").T
+        by_size = np.argsort(values.astype(np.float64), axis=0, kind="stable").T.astype(np.int32)
+        # of every dimension its order from the lowest and from the highest component
+        self.order = np.stack([by_size, by_size[:, ::-1]])
 
     def rounds(self, anchor):
         """After every round the rows met in it, their scores, and the most that other rows can score."""
@@ -63,16 +65,15 @@ class Lists:
         if not len(used):  # every score is zero and no list says anything
             yield np.arange(n), np.zeros(n, self.values.dtype), None
             return
-        from_top = np.asarray(anchor[used] > 0)[:, None]
+        end = np.asarray(anchor[used] > 0).astype(np.int64)
         met = np.zeros(n, bool)
         read, upto = 0, min(FIRST_READ, n)
         while read < n:
-            places = np.arange(read, upto)
-            rows = np.where(from_top, self.order[used][:, n - 1 - places], self.order[used][:, places])
-            fresh = np.zeros(n, bool)
-            fresh[rows.ravel()] = True
-            new = np.flatnonzero(fresh & ~met)
-            met[new] = True
+            rows = self.order[end, used, read:upto]
+            fresh = ~met
+            met[rows.ravel()] = True
+            fresh &= met
+            new = np.flatnonzero(fresh)
             last = rows[:, -1]
             threshold = (anchor[used] * self.values[last, used]).sum()
             yield new, self.values[new] @ anchor, threshold
@@ -163,12 +164,16 @@ def unpacked(table, width):
 
 
 def sharded(rows: DataFrame, values: int, name: str) -> DataFrame:
-    """Rows with a number ``name`` by hash of the id, so many that each has about ``values`` components."""
+    """Rows in parts, numbered ``name`` by hash of the id, of about ``values`` components each.
+
+    A part is a partition of its own as far as the hash of its number allows.
+    """
     widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("rows"))
     share = F.greatest(F.ceil(F.col("rows") * F.greatest("width", F.lit(1)) / F.lit(values)), F.lit(1))
     plan = widths.select("width", share.cast("bigint").alias("shares"))
     placed = rows.withColumn("width", F.size("vector")).join(plan, "width")
-    return placed.withColumn(name, F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares")
+    placed = placed.withColumn(name, F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares")
+    return placed.repartition(max(1, 2 * (plan.agg(F.sum("shares")).first()[0] or 0)), "width", name)
 
 
 def anchor_files(anchors: DataFrame, path: str) -> list[tuple[int, str]]:
@@ -276,7 +281,7 @@ def hard_negatives(
     A score beyond the range of a long raises.
     """
     spark = rows.sparkSession
-    base = sharded(usable(rows, id_column, label_column, vector_column), shard_values, "shard")
+    base = sharded(kept(usable(rows, id_column, label_column, vector_column), "vectors"), shard_values, "shard")
     asked = kept(usable(anchors, id_column, label_column, vector_column), "anchors")
     path = new_scratch(spark, "anchors")
     first = anchor_files(asked.withColumn("scores", F.array().cast("array<bigint>")), f"{path}/first")
