@@ -30,12 +30,14 @@ CELLS = 1 << 20
 # Shingles whose hashes are worked out at once.
 SHINGLES_AT_ONCE = 1 << 18
 # A list of more groups gives no pairs unless its family is too large for a task.
-CROWDED = 48
+CROWDED = 16
 # Classes and shingles that are verified in one task at once; larger families are cut in blocks.
-BLOCK = 1024
+BLOCK = 4096
 BLOCK_SHINGLES = 1 << 22
 # How often each class of a larger family is dealt to a block.
 DEALS = 3
+# Classes outside a large family's largest component are sent to all its blocks if that is so many rows per class at most.
+SPARE = 4
 # Ranges of the hash over which the shingles of a set are counted, to a byte each.
 RANGES = 256
 # Lists of more entries are split, each part meets each other one.
@@ -290,18 +292,17 @@ def unpacked(column):
     return np.frombuffer(b"".join(raw), np.uint64), np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
 
 
-def links_in_block(cid, sets, part, whole, exact):
-    """Links between the classes of a block that connect what is similar.
+def links_in_block(cid, sets, part, whole, asked=None):
+    """Components of what is similar in a block: (class, smallest class of its component) of all but these.
 
     One class after the other is compared with all, unless it was found similar to an earlier one;
-    with ``exact`` those outside the largest component are compared too, so that no two components
-    are left with a similar pair between them.
+    then those outside the largest component are compared too, so that no two components are left
+    with a similar pair between them. ``asked``: only these are compared with all.
     """
     bounds = np.concatenate([[0], np.cumsum([len(s) // 8 for s in sets])])
     tokens, number = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
     size = np.diff(bounds)
     root = np.arange(len(cid))
-    out = []
     mark = np.zeros(len(tokens), np.int64)
 
     def compare(i):
@@ -310,52 +311,57 @@ def links_in_block(cid, sets, part, whole, exact):
         shared = np.add.reduceat(mark[number], bounds[:-1])
         mark[mine] = 0
         hits = np.flatnonzero(linked(shared, size[i], size, part, whole))
-        roots, first = np.unique(root[hits], return_index=True)
-        for r, j in zip(roots, hits[first]):
-            if r != root[i]:
-                out.append((cid[i], cid[j]))
-        root[np.isin(root, roots)] = root[i]
+        root[np.isin(root, np.unique(root[hits]))] = root[i]
         return hits
 
-    free = np.ones(len(cid), bool)
-    centre = np.zeros(len(cid), bool)
-    # sets of commoner shingles first: the middle of a family rather than its edge
-    common = np.add.reduceat(np.bincount(number, minlength=len(tokens))[number], bounds[:-1]) / size
-    for i in np.argsort(-common, kind="stable"):
-        if free[i]:
-            centre[i] = True
-            free[compare(i)] = False
-    if exact:
-        largest = np.bincount(root).argmax()
-        for i in np.flatnonzero(~centre & (root != largest)):
-            compare(i)
-    return out
-
-
-def linked_together(rows, keys, part, whole, exact):
-    """Links inside every block: ``rows`` has the columns ``keys`` that name it, ``cid`` and ``shingles``."""
+    if asked is None:
+        free = np.ones(len(cid), bool)
+        centre = np.zeros(len(cid), bool)
+        # sets of commoner shingles first: the middle of a family rather than its edge
+        common = np.add.reduceat(np.bincount(number, minlength=len(tokens))[number], bounds[:-1]) / size
+        for i in np.argsort(-common, kind="stable"):
+            if free[i]:
+                centre[i] = True
+                free[compare(i)] = False
+        asked = ~centre & (root != np.bincount(root).argmax())
+    for i in np.flatnonzero(asked):
+        compare(i)
+    least = np.full(len(cid), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, cid)
+    least = least[root]
+    return cid[least != cid], least[least != cid]
+
+
+def linked_together(rows, keys, part, whole, asked=False):
+    """Links inside every block: ``rows`` has the columns ``keys`` that name it, ``cid`` and ``shingles``.
+
+    With ``asked`` they have a column of that name: only classes with 1 there are compared with all.
+    """
 
     def task(batches):
-        key, cid, raw = None, [], []
+        key, cid, raw, some = None, [], [], []
 
         def done():
-            found = np.array(links_in_block(np.array(cid), raw, part, whole, exact), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            found = links_in_block(np.array(cid), raw, part, whole, np.array(some) == 1 if asked else None)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
         for batch in batches:
             names = zip(*(batch.column(x).to_pylist() for x in keys))
-            for name, c, s in zip(names, batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
+            flags = batch.column("asked").to_pylist() if asked else [1] * batch.num_rows
+            for name, c, s, flag in zip(names, batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), flags):
                 if key != name:
                     if len(cid) > 1:
                         yield done()
-                    key, cid, raw = name, [], []
+                    key, cid, raw, some = name, [], [], []
                 if not cid or cid[-1] != c:
                     cid.append(c)
                     raw.append(s)
+                    some.append(flag)
         if len(cid) > 1:
             yield done()
 
-    spread = rows.select(*keys, "cid", "shingles").repartition(*keys).sortWithinPartitions(*keys, "cid")
+    wanted = rows.select(*keys, "cid", "shingles", *(["asked"] if asked else []))
+    spread = wanted.repartition(*keys).sortWithinPartitions(*keys, "cid")
     return spread.mapInArrow(task, "a bigint, b bigint")
 
 
@@ -366,7 +372,7 @@ def linked_in_blocks(homes, members, sets, part, whole):
     blocks = dealt.groupBy("home", "deal").agg(parts).where("blocks > 1")
     salt = F.pmod(F.xxhash64("cid", "deal", F.lit("block")), F.coalesce("blocks", F.lit(1)))
     rows = dealt.join(blocks, ["home", "deal"], "left").select("home", "deal", salt.alias("salt"), "cid").join(sets, "cid")
-    return linked_together(rows, ["home", "deal", "salt"], part, whole, False)
+    return linked_together(rows, ["home", "deal", "salt"], part, whole)
 
 
 def promising(pairs, classes, part, whole):
@@ -440,8 +446,9 @@ def large_families(source, members, crowded, pairs, classes, id_column, text_col
     """Links that connect whatever is similar in families that do not fit a task.
 
     Each group of a crowded list is dealt to some of its lists, a group of several classes is a
-    crowd itself, and crowds are linked in blocks. Then every pair of classes that met in a list or
-    a group and that these links leave apart is verified.
+    crowd itself, and crowds are linked in blocks. Where that leaves few classes outside a family's
+    largest component, these are compared with all blocks of the family. In other families every pair
+    of classes that met in a list or a group and that the links leave apart is verified.
     """
     sets = kept(whole_sets(source, members.select("cid", "first_id", "text_hash"), id_column, text_column, k), "whole-sets")
     here = crowded.join(members.select("node").distinct(), "node", "left_semi")
@@ -452,17 +459,31 @@ def large_families(source, members, crowded, pairs, classes, id_column, text_col
     several = several.select("node", F.col("node").alias("home"), F.explode(F.sequence(F.lit(DEALS), F.lit(2 * DEALS - 1))).alias("deal"))
     inner = kept(linked_in_blocks(homes.unionByName(several), members, sets, part, whole), "inner-links")
     roots = star_components(inner).select(F.col("node").alias("cid"), "root")
-    labels = members.select("cid", "node").join(roots, "cid", "left").select("cid", "node", F.coalesce("root", "cid").alias("root"))
+    labels = members.select("cid", "node", "family", "n").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     labels = kept(labels, "labels")
 
+    by_root = labels.groupBy("family", "root").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+    of_family = by_root.groupBy("family").agg(F.sum("classes").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("classes", "root")).alias("most"))
+    parts = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES))
+    of_family = of_family.select("family", parts.alias("parts"), F.col("most.root").alias("most"), ((F.col("classes") - F.col("most.classes")) * parts <= SPARE * F.col("classes")).alias("merged"))
+    labels = kept(labels.join(of_family, "family").withColumn("asked", (F.col("root") != F.col("most")).cast("int")), "labels")
+    merged = labels.where("merged").select("family", "cid", "asked", "parts")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    own_part = merged.where("asked = 0").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    dealt = own_part.unionByName(merged.where("asked = 1").withColumn("salt", every))
+    beyond = kept(linked_together(dealt.join(sets, "cid"), ["family", "salt"], part, whole, asked=True), "inner-links")
+    inner = inner.unionByName(beyond)
+    labels = labels.where("not merged")
+    here = here.join(labels.select("node").distinct(), "node", "left_semi")
+
     # a label for every group: its root, shifted clear of 0, or 0 for classes of several
     of_node = labels.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     of_node = of_node.select("node", F.when(F.col("low") == F.col("high"), F.col("low") + 1).otherwise(F.lit(0)).alias("label"))
     across = expanded(pairs_across(here.join(of_node, "node"), part, whole), labels)
     # of the classes of one group only those outside its largest component are paired with the others
     ranked = labels.join(of_node.where("label = 0").select("node"), "node", "left_semi").groupBy("node", "root").agg(F.count("*").alias("members"))
-    largest = ranked.groupBy("node").agg(F.max_by("root", F.struct("members", "root")).alias("most"))
-    outside = labels.join(largest, "node").where("root <> most").select("node", F.col("cid").alias("ca"), F.col("root").alias("ra"))
+    largest = ranked.groupBy("node").agg(F.max_by("root", F.struct("members", "root")).alias("first"))
+    outside = labels.join(largest, "node").where("root <> first").select("node", F.col("cid").alias("ca"), F.col("root").alias("ra"))
     beside = outside.join(labels.select("node", F.col("cid").alias("cb"), F.col("root").alias("rb")), "node").where("ra <> rb")
     beside = beside.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
     left, right = (labels.select(F.col("cid").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
@@ -519,12 +540,12 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     sizes = related.groupBy("family").agg(fits.alias("fits"))
     placed = kept(related.join(sizes, "family"), "families")
     small = placed.where("fits").select("cid", "family", "first_id", "text_hash")
-    links = kept(linked_together(whole_sets(source, small, id_column, text_column, k), ["family"], part, whole, True), "links")
+    links = kept(linked_together(whole_sets(source, small, id_column, text_column, k), ["family"], part, whole), "links")
+    joined = links.toDF("node", "root")
 
     large = placed.where("not fits")
     if not large.isEmpty():
-        links = links.unionByName(large_families(source, large, crowded, pairs, classes, id_column, text_column, k, part, whole))
-    joined = star_components(links)
+        joined = joined.unionByName(star_components(large_families(source, large, crowded, pairs, classes, id_column, text_column, k, part, whole)))
     rooted = classes.select("d0", "d1", "cid", "first_id").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("d0", "d1", "component_id")
