@@ -32,11 +32,11 @@ from rowloom.operators.split import Shards, split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.plans.split_file import split_file
 from rowloom.scratch import new_scratch
-from rowloom.sinks.shards import CSV_OPTIONS, write_shards
+from rowloom.sinks.shards import CSV_OPTIONS, write_named_shards, write_shards
 from rowloom.sinks.tables import write_table
-from rowloom.sources.csv import scan_csv_verbatim
+from rowloom.sources.csv import index_csv, scan_csv_verbatim
 from rowloom.sources.directory import scan_shard_dir
-from rowloom.sources.files import list_files
+from rowloom.sources.files import list_files, walked
 from rowloom.sources.parquet import index_parquet
 from rowloom.sources.tables import read_table
 from rowloom.sources.text import index_text
@@ -44,9 +44,9 @@ from rowloom.sources.text import index_text
 try:
     import corpus_pipeline
     from rowloom.llm import queries as llm
-except ModuleNotFoundError as missing:
-    # the subpackage and its pipeline may be left out; anything else missing is an error
-    if missing.name not in ("corpus_pipeline", "rowloom.llm"):
+except ImportError as missing:
+    # the subpackage and its pipeline may be left out, also as an empty folder; anything else is an error
+    if missing.name not in ("corpus_pipeline", "rowloom.llm", "rowloom.llm.queries"):
         raise
     llm = None
 
@@ -277,6 +277,17 @@ def list_files_suffix(spark, sf_dir):
     return files.groupBy(directory).agg(F.count("*").alias("files"), F.count_if(F.col("length") > 0).alias("filled"))
 
 
+def pruned_walk_documents(spark, sf_dir):
+    """Folders of a tree that a walk opens, and the data files it finds in them, when some folders are excluded."""
+    path = new_scratch(spark, "many")
+    documents = spark.read.parquet(table(sf_dir, "documents"))
+    documents.repartition("source", "lang").write.partitionBy("source", "lang").parquet(path)
+    found = walked(spark, path, patterns=["source=src1?", "lang=fr/"])
+    folder = F.when(F.col("kind") == "opened", F.col("rel_path")).otherwise(F.regexp_extract("rel_path", "^(.*)/", 1))
+    shown = found.where("kind = 'opened' or rel_path like '%.parquet'")
+    return shown.groupBy(folder.alias("folder")).agg(F.count_if(F.col("kind") == "opened").alias("opened"), F.count_if(F.col("kind") == "file").alias("files"))
+
+
 def url_paths(spark, sf_dir):
     pages = spark.read.parquet(table(sf_dir, "pages"))
     rel = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
@@ -366,15 +377,48 @@ def changed_event_shards(spark, sf_dir):
     return changed_only(event_prints(edited), event_prints(events)).select("shard_id", "row_count")
 
 
+def map_files_raw(spark, sf_dir):
+    """Programs that open files as they are: CSV with two headers, and Parquet, in one folder."""
+    out = new_scratch(spark, "raw")
+    for name, columns, n in (("customer", ["c_custkey", "c_nationkey"], 3), ("part", ["p_partkey"], 2)):
+        records = index_csv(spark, csv_copy(spark, sf_dir, name, columns, columns[0]))
+        write_named_shards(split_contiguous(records, n), out, name, ".csv", records.header)
+    embeddings = sharded(spark, sf_dir, "embeddings", 4)
+    write_named_shards(embeddings, out, "vectors", ".parquet", fmt="parquet")
+
+    def look(shard_id, stream):
+        import pyarrow.parquet as pq
+
+        if stream.peek(4)[:4] == b"PAR1":
+            first, rows = "PAR1", pq.ParquetFile(stream).metadata.num_rows
+        else:
+            first, rows = stream.readline().decode().strip(), sum(1 for _ in stream)
+        yield pd.DataFrame({"file": [stream.path.rsplit("/", 1)[1]], "first": [first], "rows": [rows]})
+
+    return map_files(spark, out, look, "file string, first string, rows bigint", "raw", expected=9)
+
+
+def table_rewrite(spark, sf_dir):
+    """A table read, changed and written to its own place, twice."""
+    path = new_scratch(spark, "table") + ".csv"
+    write_table(spark.read.parquet(table(sf_dir, "customer")).select("c_custkey", "c_nationkey"), path)
+    for _ in range(2):
+        rows = read_table(spark, path)
+        write_table(rows.withColumn("c_nationkey", F.col("c_nationkey") + 1).where("c_custkey % 7 <> 0 or c_nationkey > 3"), path)
+    return read_table(spark, path)
+
+
 def pending_orders(spark, sf_dir):
-    """Output paths still missing when only shards with an even number were written."""
+    """Outputs to be written when shards with an even number were, and one with an odd number only in part."""
     shards = sharded(spark, sf_dir, "orders", 30)
     out = new_scratch(spark, "partial")
     even = Shards(shards.df.filter(F.col("shard_id") % 2 == 0), shards.n, shards.total, shards.in_order)
     write_shards(even, out)
     plan = shard_plan(spark, shards.total, shards.n, "orders", ".parquet")
     rel = F.concat(F.lit("shard_id="), F.col("shard_id").cast("string"))
-    left = pending_outputs(spark, plan.withColumn("rel_path", rel), out)
+    half = shards.df.filter("shard_id = 5 and row_idx % 2 = 0").drop("shard_id", "row_idx")
+    half.write.parquet(f"{out}/shard_id=5")
+    left = pending_outputs(spark, plan.withColumn("rel_path", rel), out, manifest=True)
     return left.select(
         "shard_id", "row_count",
         output_path("gs://bucket/out/", F.col("rel_path")).alias("path"),
@@ -416,10 +460,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         split_csv_named_documents, split_text_named_events,
         index_text_events, scan_csv_documents,
         map_shards_events, map_shard_pieces_events, map_shards_side, map_shards_outcome, map_shards_good_rows,
-        scan_shard_dir_events, map_files_events, map_file_pieces_events,
-        list_files_suffix, exclude_paths_pages, exclude_documents_tree, exclude_default_patterns, file_inventory_totals, shard_file_digests,
+        scan_shard_dir_events, map_files_events, map_file_pieces_events, map_files_raw,
+        list_files_suffix, pruned_walk_documents, exclude_paths_pages, exclude_documents_tree, exclude_default_patterns, file_inventory_totals, shard_file_digests,
         fingerprint_documents, fingerprint_tree_events, fingerprint_event_shards, changed_event_shards, pending_orders,
-        table_roundtrip_part, table_roundtrip_csv, table_inferred_types,
+        table_roundtrip_part, table_roundtrip_csv, table_inferred_types, table_rewrite,
     ]
     named = {query.__name__: query for query in found}
     return named | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else named
@@ -533,10 +577,32 @@ def oracle_sql() -> dict[str, str]:
         "scan_shard_dir_events": ranges("events", "event_id", 11),
         "map_files_events": ranges("events", "event_id", 11),
         "map_file_pieces_events": ranges("events", "event_id", 11),
+        "map_files_raw": (
+            "SELECT CAST(row_number() OVER (ORDER BY file) - 1 AS INT) AS shard_id, file, \"first\", rows FROM ("
+            + " UNION ALL ".join(
+                f"SELECT '{stem}.shard000' || CAST(shard_id AS VARCHAR) || '{ending}' AS file, '{first}' AS \"first\", "
+                f"count(*) AS rows FROM {numbered(name, key, n)} GROUP BY shard_id"
+                for name, key, n, stem, ending, first in (
+                    ("customer", "c_custkey", 3, "customer", ".csv", "c_custkey,c_nationkey"),
+                    ("part", "p_partkey", 2, "part", ".csv", "p_partkey"),
+                    ("embeddings", "vec_id", 4, "vectors", ".parquet", "PAR1"),
+                )
+            ) + ")"
+        ),
+        "table_rewrite": (
+            "SELECT c_custkey, CAST(c_nationkey + 2 AS BIGINT) AS c_nationkey FROM customer "
+            "WHERE (c_custkey % 7 <> 0 OR c_nationkey + 1 > 3) AND (c_custkey % 7 <> 0 OR c_nationkey + 2 > 3)"
+        ),
         "list_files_suffix": (
             "SELECT DISTINCT 'source=' || source || '/lang=' || lang AS directory, CAST(1 AS BIGINT) AS files, "
             "CAST(1 AS BIGINT) AS filled FROM documents"
         ),
+        "pruned_walk_documents": (
+            "WITH d AS (SELECT DISTINCT source, lang FROM documents WHERE NOT (length(source) = 5 AND starts_with(source, 'src1'))) "
+            "SELECT '' AS folder, CAST(1 AS BIGINT) AS opened, CAST(0 AS BIGINT) AS files UNION ALL "
+            "SELECT DISTINCT 'source=' || source, 1, 0 FROM d UNION ALL "
+            "SELECT 'source=' || source || '/lang=' || lang, 1, 1 FROM d WHERE lang <> 'fr'"
+        ),
         "exclude_paths_pages": (
             f"SELECT page_id, rel_path FROM (SELECT page_id, {url_rel} AS rel_path FROM pages) "
             "WHERE NOT regexp_matches(rel_path, '(^|/)blog\\.') AND NOT regexp_matches(rel_path, '\\.html(/|$)') "

@@ -71,6 +71,12 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "\\z"
 
 
+def path_regexes(patterns: Sequence[str]) -> list[str]:
+    """Python regexes (to be matched with DOTALL) of the patterns, in the meaning of ``glob_regex``."""
+    cleaned = [p.strip().rstrip("/") for p in patterns]
+    return [glob_regex(p).removeprefix("(?s)^").removesuffix("\\z") + "\\Z" for p in dict.fromkeys(cleaned) if p]
+
+
 def _literal(char: str) -> str:
     return char if char.isalnum() or char in "_/ " or ord(char) > 127 else "\\" + char
 

@@ -309,60 +309,206 @@ def open_filesystem(path):
     return fs.FileSystem.from_uri(uri)
 
 
-def _entries(filesystem, directory):
-    from pyarrow import fs
+def write_shard_file(batches, folder, name, kind):
+    """Write the rows of one partition to ``folder/name``; (name, 1, bytes, rows, sha256).
 
-    return filesystem.get_file_info(fs.FileSelector(directory))
+    ``text``: the lines of the column ``value``.  ``parquet``: all columns.  The file gets its name
+    when it is whole, so that the attempts of a task do not meet.
+    """
+    import hashlib
+    import uuid
 
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
 
-def _is_directory(filesystem, info):
-    """Links to directories are not followed."""
-    import os
+    class Sink:
+        """Counts and hashes what passes through."""
 
-    from pyarrow import fs
+        closed = False
+
+        def __init__(self, out):
+            self.out, self.size, self.digest = out, 0, hashlib.sha256()
+
+        def write(self, data):
+            self.out.write(data)
+            self.digest.update(data)
+            self.size += len(data)
+            return len(data)
 
-    if info.type != fs.FileType.Directory:
-        return False
-    return not (isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(info.path))
+        def tell(self):
+            return self.size
 
+        def flush(self):
+            self.out.flush()
 
-def tree_starts(base, wanted):
-    """Where tasks begin to list: (directory, walk below it) pairs.
+    filesystem, inner = open_filesystem(folder)
+    part = f"{inner}/{uuid.uuid4().hex}.part"
+    rows, writer = 0, None
+    with filesystem.open_output_stream(part) as out:
+        sink = Sink(out)
+        for batch in batches:
+            rows += batch.num_rows
+            if kind == "text":
+                lines = batch.column("value").cast(pa.large_string())
+                closed = pc.binary_join_element_wise(pc.fill_null(lines, ""), *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+                first, last = closed.offset, closed.offset + len(closed)
+                bounds = closed.buffers()[1].slice(8 * first, 8 * (len(closed) + 1))
+                low, high = memoryview(bounds).cast("q")[0], memoryview(bounds).cast("q")[last - first]
+                if high > low:
+                    sink.write(memoryview(closed.buffers()[2])[low:high])
+            else:
+                writer = writer or pq.ParquetWriter(sink, batch.schema)
+                writer.write_batch(batch)
+        if writer:
+            writer.close()
+    filesystem.move(part, f"{inner}/{name}")
+    return name, 1, sink.size, rows, sink.digest.hexdigest()
 
-    The top levels are listed one by one until there are ``wanted`` directories to walk.
+
+def move_files(folder, target, stem, suffix, replace):
+    """Body of ``mapInArrow``: move the shard file of every number to its place; done ones are left."""
+
+    def move(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        filesystem, source = open_filesystem(folder)
+        base = open_filesystem(target)[1]
+        for batch in batches:
+            for shard in batch["id"].to_pylist():
+                name = f"{stem}.shard{shard:04d}{suffix}"
+                here, there = filesystem.get_file_info([f"{source}/{name}", f"{base}/{name}"])
+                missing = here.type == fs.FileType.NotFound
+                if missing and there.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(f"{source}/{name}")
+                if not missing:
+                    if there.type != fs.FileType.NotFound and not replace:
+                        raise FileExistsError(f"{base}/{name} cannot be written")
+                    filesystem.move(f"{source}/{name}", f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"moved": batch["id"]})
+
+    return move
+
+
+def entries_of(filesystem, directory, batch=4096):
+    """(name, is file, is directory, size, modified) of a directory, a bounded batch at a time.
+
+    Links to directories are not followed.  A store's client gives its listing as a whole.
     """
-    filesystem, root = open_filesystem(base)
-    root = root.rstrip("/")
-    alone, walked = [], [root]
-    while walked and len(walked) < wanted:
-        alone += walked
-        infos = [info for directory in walked for info in _entries(filesystem, directory or "/")]
-        walked = [info.path for info in infos if _is_directory(filesystem, info)]
-    return [(path[len(root) + 1 :], False) for path in alone] + [(path[len(root) + 1 :], True) for path in walked]
+    import datetime
+    import os
 
+    from pyarrow import fs
 
-def tree_walker(base):
-    """Body of ``mapInArrow``: rows (start, descend) in, the files at or below ``start`` out."""
+    if not isinstance(filesystem, fs.LocalFileSystem):
+        infos = filesystem.get_file_info(fs.FileSelector(directory))
+        for at in range(0, len(infos), batch):
+            yield [(i.base_name, i.is_file, i.type == fs.FileType.Directory, i.size, i.mtime) for i in infos[at : at + batch]]
+        return
+    found = []
+    with os.scandir(directory) as entries:
+        for entry in entries:
+            if entry.is_file():
+                facts = entry.stat()
+                found.append((entry.name, True, False, facts.st_size, datetime.datetime.fromtimestamp(facts.st_mtime, datetime.timezone.utc)))
+            elif entry.is_dir(follow_symlinks=False):
+                found.append((entry.name, False, True, 0, None))
+            if len(found) == batch:
+                yield found
+                found = []
+    if found:
+        yield found
+
+
+def tree_walker(base, budget, regexes=(), recursive=True):
+    """Body of ``mapInArrow``: directories in, files below them out, one round of a walk.
+
+    Input column ``rel_path``.  Output: kind "file" (with length, modified), "opened" (a directory
+    that was listed) or "left" (one still to be listed: a task opens about ``budget`` directories,
+    so that a lopsided tree is dealt out anew).  A directory whose path or name fits one of
+    ``regexes`` is never opened.
+    """
 
     def walk(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("path", pa.string()), ("rel_path", pa.string()), ("length", pa.int64()),
+        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("rel_path", pa.string()), ("length", pa.int64()),
                             ("modified", pa.timestamp("us", "UTC"))])
+        one = re.compile("|".join(f"(?:{r})" for r in regexes), re.DOTALL) if regexes else None
         filesystem, root = open_filesystem(base)
         root = root.rstrip("/")
+
+        def out(kind, rows):
+            columns = [[kind] * len(rows), [f"{base}/{r[0]}" for r in rows], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+        left = budget
         for batch in batches:
-            for start, descend in zip(batch["start"].to_pylist(), batch["descend"].to_pylist()):
-                waiting = [f"{root}/{start}".rstrip("/")]
-                while waiting:
-                    infos = _entries(filesystem, waiting.pop() or "/")
-                    files = [info for info in infos if info.is_file]
-                    if descend:
-                        waiting += [info.path for info in infos if _is_directory(filesystem, info)]
-                    rels = [info.path[len(root) + 1 :] for info in files]
-                    columns = [[f"{base}/{rel}" for rel in rels], rels,
-                               [info.size for info in files], [info.mtime for info in files]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            waiting = batch["rel_path"].to_pylist()
+            while waiting and left > 0:
+                rel = waiting.pop()
+                left -= 1
+                yield out("opened", [(rel, None, None)])
+                lead = f"{rel}/" if rel else ""
+                for entries in entries_of(filesystem, f"{root}/{rel}".rstrip("/") or "/"):
+                    files = [(lead + name, size, modified) for name, is_file, _, size, modified in entries if is_file]
+                    if files:
+                        yield out("file", files)
+                    if recursive:
+                        below = [(lead + name, name) for name, _, is_directory, _, _ in entries if is_directory]
+                        waiting += [path for path, name in below if one is None or not (one.match(path) or one.match(name))]
+            if waiting:
+                yield out("left", [(rel, None, None) for rel in waiting])
 
     return walk
+
+
+def file_worker(fn, names, side_name, record):
+    """Body of ``mapInPandas`` for ``map_raw_files``: (shard_id, path) in, what ``fn`` makes of each file out."""
+
+    def work(batches):
+        import io
+
+        import pandas as pd
+        import pyarrow as pa
+        from pyspark import SparkFiles, TaskContext
+
+        class Stream(io.BufferedReader):
+            """A binary file; ``path`` says which."""
+
+            path = ""
+
+        context = TaskContext.get()
+        extra = (SparkFiles.get(side_name),) if side_name else ()
+
+        def as_frame(out, shard_id):
+            frame = out.to_pandas() if isinstance(out, (pa.RecordBatch, pa.Table)) else out
+            frame = frame[names].copy()
+            frame.insert(0, "shard_id", shard_id)
+            if record:
+                frame = frame.assign(_rowloom_attempt=None, _rowloom_status=None, _rowloom_error=None, _rowloom_rows_out=None)
+            return frame
+
+        for frame in batches:
+            for shard_id, path in zip(frame["shard_id"], frame["path"]):
+                rows_out, error = 0, None
+                try:
+                    filesystem, inner = open_filesystem(path)
+                    with filesystem.open_input_file(inner) as raw, Stream(raw, 1 << 20) as stream:
+                        stream.path = path
+                        for out in fn(int(shard_id), stream, *extra):
+                            made = as_frame(out, int(shard_id))
+                            rows_out += len(made)
+                            yield made
+                except Exception as exc:
+                    if not record:
+                        raise
+                    error = f"{type(exc).__name__}: {exc}"
+                if record:
+                    outcome = {name: [None] for name in names}
+                    outcome.update(shard_id=[int(shard_id)], _rowloom_attempt=[context.attemptNumber()], _rowloom_error=[error],
+                                   _rowloom_status=["failed" if error else "ok"], _rowloom_rows_out=[rows_out])
+                    yield pd.DataFrame(outcome)
+
+    return work

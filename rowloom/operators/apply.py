@@ -7,16 +7,23 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import tasks
-from rowloom.operators.row_index import PREFIX, RESERVED
+from rowloom.functions.expressions import int_div
+from rowloom.operators.row_index import PID, PREFIX, RESERVED, before
 from rowloom.operators.split import Shards
-from rowloom.sources.files import private_copy
+from rowloom.sources.files import list_files, private_copy, qualified
 from rowloom.scratch import checkpointed, new_scratch, small_side
-from rowloom.sources.directory import scan_shard_dir
+from rowloom.sources.directory import MARKERS, scan_shard_dir
+
+# A side file goes to every executor; larger ones are refused.
+SIDE_BYTES = 1 << 30
+# Bytes of files that share a task, and what opening a file counts for.
+TASK_BYTES = 128 << 20
+OPEN_COST = 1 << 20
 
 # fn(shard_id, batches) or, with a side file, fn(shard_id, batches, local_path)
 ShardProgram = Callable[..., Iterator[pd.DataFrame]]
@@ -71,8 +78,13 @@ def record_shards(
     rows_out, config.  The program runs once; its output is kept in the shared folder and
     both frames read it from there.
     """
-    names = T.StructType.fromDDL(schema).names
     done = checkpointed(_run(shards, fn, schema, side, True, columns, record=True))
+    return _recorded(done, schema, shards.n, run_id, config)
+
+
+def _recorded(done: DataFrame, schema: str, shards: int, run_id: str, config: dict[str, str] | None) -> ShardRun:
+    """Rows and outcomes of a run whose output, with outcome rows among it, is ``done``."""
+    names = T.StructType.fromDDL(schema).names
     outcome = done.filter(F.col("_rowloom_status").isNotNull()).select(
         F.lit(run_id).alias("run_id"),
         run_name(run_id, F.col("shard_id"), F.col("_rowloom_attempt")).alias("run_name"),
@@ -89,7 +101,7 @@ def record_shards(
     outcome = outcome.withColumn("config", overlay(ids, config or {}))
     good = outcome.filter("status = 'ok'").select("shard_id")
     rows = done.filter(F.col("_rowloom_status").isNull()).select("shard_id", *names)
-    return ShardRun(rows.join(small_side(good, 16 * shards.n), "shard_id", "left_semi"), outcome)
+    return ShardRun(rows.join(small_side(good, 16 * shards), "shard_id", "left_semi"), outcome)
 
 
 def run_name(run_id: str, shard_id: Column, attempt: Column) -> Column:
@@ -115,29 +127,103 @@ def map_files(
     side: DataFrame | str | None = None,
     whole: bool = True,
     columns: Sequence[str] | None = None,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
-    """``map_shards`` over a directory of ready-made files, one shard per file."""
+    """``map_shards`` over a directory of ready-made files, one shard per file.
+
+    ``fmt="raw"`` hands each file over as it is, whatever it holds: ``fn(shard_id, stream)``, or
+    with a side file ``fn(shard_id, stream, local_path)``, gets a binary file that is opened in
+    the task (``stream.path`` is its path, a seek is allowed) and yields pandas or Arrow batches.
+    Nothing is read beforehand and no format, header or encoding is assumed.  Neighbouring small
+    files share a task up to ``task_bytes``; memory does not grow with a file unless ``fn`` makes it.
+    """
+    if fmt == "raw":
+        if columns or not whole:
+            raise ValueError("raw files have no columns and are not cut in pieces")
+        return _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=False)[0]
     return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole, columns)
 
 
-# A side file goes to every executor; larger ones are refused.
-SIDE_BYTES = 1 << 30
+def record_files(
+    spark: SparkSession,
+    directory: str,
+    fn: ShardProgram,
+    schema: str,
+    expected: int = 0,
+    side: DataFrame | str | None = None,
+    run_id: str = "run",
+    config: dict[str, str] | None = None,
+    task_bytes: int = TASK_BYTES,
+) -> ShardRun:
+    """``record_shards`` over the files of a directory as they are (``map_files`` with ``fmt="raw"``)."""
+    made, count = _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=True)
+    return _recorded(checkpointed(made), schema, count, run_id, config)
+
+
+def packed_files(spark: SparkSession, directory: str, expected: int = 0, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, int, int]:
+    """The shard files of a directory with ``shard_id`` (place by path) and ``bin``; numbers of files and bins.
+
+    Files follow each other in bins of about ``task_bytes``, each file counted with what opening it
+    costs, or smaller ones where that leaves cores idle; a file is never cut, a larger one has a bin
+    to itself.  Prefix sums go by partitions of the sorted listing: the driver gets a row for each.
+    """
+    base = qualified(spark, directory)
+    name = F.col("rel_path")
+    listing = list_files(spark, base, recursive=False).filter(~name.startswith(".") & ~name.isin(*MARKERS))
+    cost = F.col("length") + F.lit(OPEN_COST)
+    ordered = checkpointed(listing.select("path", "rel_path", "length")).withColumn(PID, F.spark_partition_id())
+    parts = ordered.groupBy(PID).agg(F.count("*").alias("rows"), F.sum(cost).alias("cost")).toPandas().sort_values(PID, ignore_index=True)
+    count = int(parts["rows"].sum())
+    if not count:
+        raise ValueError(f"no shard files in {directory}")
+    if expected not in (0, count):
+        raise ValueError(f"{expected} shards expected, but {directory} holds {count} files")
+    total = int(parts["cost"].sum())
+    size = max(1, min(task_bytes, -(-total // (4 * spark.sparkContext.defaultParallelism))))
+    parts = parts.assign(rows=before(parts["rows"]), cost=before(parts["cost"]))
+    starts = spark.createDataFrame(parts.astype("int64"), f"{PID} int, rows bigint, cost bigint")
+    upto = Window.partitionBy(PID).orderBy("path")
+    placed = ordered.join(F.broadcast(starts), PID).select(
+        "path", "rel_path", "length", PID,
+        (F.col("rows") + F.row_number().over(upto) - 1).cast("int").alias("shard_id"),
+        int_div(F.col("cost") + F.sum(cost).over(upto) - cost, size).alias("bin"),
+    )
+    # number the bins that have files, in order: partitions may share a bin at their ends
+    bins = placed.groupBy(PID).agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.countDistinct("bin").alias("bins"))
+    bins = bins.toPandas().sort_values(PID, ignore_index=True)
+    shared = (bins["first"] == bins["last"].shift(1)).cumsum()
+    lead = spark.createDataFrame(bins.assign(lead=before(bins["bins"]) - shared)[[PID, "lead"]].astype("int64"), f"{PID} int, lead bigint")
+    number = (F.col("lead") + F.dense_rank().over(Window.partitionBy(PID).orderBy("bin")) - 1).cast("int").alias("bin")
+    dense = placed.join(F.broadcast(lead), PID).select("path", "rel_path", "length", "shard_id", number)
+    return dense, count, int(bins["bins"].sum() - shared.iloc[-1])
+
+
+def _run_files(spark, directory, fn, schema, expected, side, task_bytes, record) -> tuple[DataFrame, int]:
+    placed, count, bins = packed_files(spark, directory, expected, task_bytes)
+    dealt = placed.repartitionById(bins, "bin").sortWithinPartitions("shard_id").select("shard_id", "path")
+    side_name = _ship(spark, side) if side is not None else None
+    names = T.StructType.fromDDL(schema).names
+    return dealt.mapInPandas(tasks.file_worker(fn, names, side_name, record), _output(schema, record)), count
+
 
 OUTCOME = "_rowloom_attempt int, _rowloom_status string, _rowloom_error string, _rowloom_rows_out bigint"
 
 
 def _run(shards: Shards, fn, schema: str, side, whole: bool, columns, record: bool) -> DataFrame:
-    fields = T.StructType.fromDDL(schema)
-    out = T.StructType([T.StructField("shard_id", T.IntegerType())] + fields.fields)
-    if record:
-        out = T.StructType(out.fields + T.StructType.fromDDL(OUTCOME).fields)
+    names = T.StructType.fromDDL(schema).names
     data = columns or [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
     df = shards.df.select(*data, "shard_id", "row_idx")
     if whole:
         df = df.repartitionById(shards.n, "shard_id").sortWithinPartitions("shard_id", "row_idx")
     df = df.drop("row_idx")
     side_name = _ship(df.sparkSession, side) if side is not None else None
-    return df.mapInPandas(tasks.shard_worker(fn, fields.names, side_name, whole, record), out)
+    return df.mapInPandas(tasks.shard_worker(fn, names, side_name, whole, record), _output(schema, record))
+
+
+def _output(schema: str, record: bool) -> T.StructType:
+    """What the task code returns: shard_id, the columns of ``schema`` and those of the outcome."""
+    fields = [T.StructField("shard_id", T.IntegerType())] + T.StructType.fromDDL(schema).fields
+    return T.StructType(fields + (T.StructType.fromDDL(OUTCOME).fields if record else []))
 
 
 def _ship(spark: SparkSession, side: DataFrame | str) -> str:

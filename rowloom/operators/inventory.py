@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import ancestors, matches_any
+from rowloom.sinks.manifest import MANIFEST, finished_outputs
 from rowloom.sources.files import exists, files_below, read_small_text
 
 # Patterns left out when a tree names none, and the files that may name some.
@@ -47,10 +48,12 @@ def file_inventory(
 ) -> DataFrame:
     """Files of a tree (path, rel_path, length, modified) after the exclude patterns.
 
-    Contents are not read.
+    Contents are not read, and excluded directories are not opened.  The manifest that this library
+    keeps of its own shards is no file of the tree.
     """
     chosen = ignore_patterns(spark, directory, extra) if patterns is None else [*patterns, *extra]
-    return exclude_paths(files_below(spark, directory), chosen)
+    chosen = [*chosen, MANIFEST]
+    return exclude_paths(files_below(spark, directory, patterns=chosen), chosen)
 
 
 def inventory_totals(files: DataFrame) -> DataFrame:
@@ -60,22 +63,27 @@ def inventory_totals(files: DataFrame) -> DataFrame:
 
 
 def pending_outputs(
-    spark: SparkSession, expected: DataFrame, directory: str, column: str = "rel_path", finished: str = ""
+    spark: SparkSession, expected: DataFrame, directory: str, column: str = "rel_path", finished: str = "", manifest: bool = False
 ) -> DataFrame:
     """Rows of ``expected`` whose relative output path does not exist below ``directory``.
 
     A path exists when it is a file there or a directory that holds files.  With
     ``finished``, the name of the file that closes an output directory (such as
     ``_SUCCESS``), a directory counts only when it holds that file itself: one that is half
-    written stays pending.  Catalyst picks the join; neither side passes through the driver.
+    written stays pending.  With ``manifest``, for shards that this library writes, an output counts
+    only when the manifest of the write names it and its files still have the number and size
+    given there.  Catalyst picks the join; neither side passes through the driver.
     """
+    wanted = F.rtrim(F.col(column), F.lit("/"))
+    if manifest:
+        whole = finished_outputs(spark, directory).select(F.col("rel_path").alias("_done"))
+        return expected.join(whole, wanted == F.col("_done"), "left_anti")
     done = ancestors(F.col("rel_path"))
     if finished:
         folder = F.regexp_extract("rel_path", "^(?s)(.*)/", 1)
         closed = F.substring_index("rel_path", "/", -1) == finished
         done = F.when(closed, F.array("rel_path", folder)).otherwise(F.array("rel_path"))
     listed = files_below(spark, directory).select(F.explode(done).alias("_done")).distinct()
-    wanted = F.rtrim(F.col(column), F.lit("/"))
     return expected.join(listed, wanted == F.col("_done"), "left_anti")
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import int_div
 from rowloom.operators.row_index import PREFIX, RESERVED
 from rowloom.operators.split import Shards
+from rowloom.sinks.manifest import record_directories
+from rowloom.sinks.named import write_named
+from rowloom.sinks.replace import refuse_sources_in, replacing, sources_of
 from rowloom.sources.csv import LEAD
 from rowloom.sources.files import holds
 from rowloom.sources.formats import FORMATS
@@ -48,19 +53,22 @@ def write_shards(
     the unit of work, so choose ``n`` to fit them.
 
     A folder that already holds shards is refused, other files in it stay.
-    ``mode="overwrite"`` replaces the whole folder.
+    ``mode="overwrite"`` replaces the whole folder once the new one is whole; a folder with one of
+    the files that ``shards`` reads is refused.  A manifest of the finished shards is written last.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown shard format {fmt!r}, use one of {', '.join(FORMATS)}")
     data = [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
-    mode = beside_others(shards.df.sparkSession, path, mode)
     shards = replace(shards, df=shards.df.select(*data, "shard_id", "row_idx"))
-    if one_file:
-        _save(one_each(shards.df, shards.n).write.mode(mode), fmt, path)
-    elif stays_in_place(shards, rows_per_file):
-        _save_by_shard(shards.df, shards.spread, fmt, path, mode)
-    else:
-        _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), 0, fmt, path, mode)
+    with placing(shards.df, path, mode) as folder:
+        if one_file:
+            _save(one_each(shards.df, shards.n).write.mode("append"), fmt, folder)
+        elif stays_in_place(shards, rows_per_file):
+            _save_by_shard(shards.df, shards.spread, fmt, folder)
+        else:
+            _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), 0, fmt, folder)
+        if not one_file:
+            record_directories(shards.df.sparkSession, folder, folder, fmt)
 
 
 def write_csv_records(
@@ -72,30 +80,53 @@ def write_csv_records(
     one_file: bool = False,
 ) -> None:
     """Write the CSV records of ``index_csv`` as they were read, the header first in every file."""
-    mode = beside_others(shards.df.sparkSession, path, mode)
     first_of_shard = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
     with_header = F.concat(F.lit(header + "\n"), F.col("value"))
-    if one_file:
-        line = F.when(first_of_shard, with_header).otherwise(F.col("value")).alias("value")
-        _save(one_each(shards.df.select(line, "shard_id", "row_idx"), shards.n).write.mode(mode), "text", path)
-        return
-    if stays_in_place(shards, rows_per_file):
-        placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
-    else:
-        rows = chunk_rows(shards, rows_per_file)
-        placed, first_of_task, spread = by_chunks(shards, rows), F.col("row_idx") % rows == 0, 0
-    line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
-    _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", path, mode)
+    with placing(shards.df, path, mode) as folder:
+        if one_file:
+            line = F.when(first_of_shard, with_header).otherwise(F.col("value")).alias("value")
+            _save(one_each(shards.df.select(line, "shard_id", "row_idx"), shards.n).write.mode("append"), "text", folder)
+            return
+        if stays_in_place(shards, rows_per_file):
+            placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
+        else:
+            rows = chunk_rows(shards, rows_per_file)
+            placed, first_of_task, spread = by_chunks(shards, rows), F.col("row_idx") % rows == 0, 0
+        line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
+        _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", folder)
+        record_directories(shards.df.sparkSession, folder, folder, "csv")
+
+
+def write_named_shards(shards: Shards, path: str, stem: str, suffix: str, header: str | None = None, fmt: str = "text", replace_files: bool = False) -> None:
+    """Write shard k to the file ``path/stem.shardKKKK suffix``, written and named by its task.
+
+    ``fmt``: parquet, or text for lines and CSV records (``header`` goes first in every file).
+    Files of the same names are refused, or replaced once all new ones are whole.  The files are in
+    the manifest of ``path``.
+    """
+    df = shards.df
+    if header is not None:
+        first = F.col("row_idx") == F.col("shard_id") * F.lit(shards.total // shards.n).cast("bigint")
+        df = df.withColumn("value", F.when(first, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value")))
+    data = ["value"] if fmt == "text" else [c for c in df.columns if c not in RESERVED and not c.startswith(PREFIX)]
+    write_named(one_each(df.select(*data, "shard_id", "row_idx"), shards.n), shards.n, path, stem, suffix, fmt, replace_files)
 
 
-def beside_others(spark: SparkSession, path: str, mode: str) -> str:
-    """Spark's save mode: shards are added to a folder that holds none yet."""
-    if mode != "errorifexists":
-        return mode
-    found = holds(spark, path, "shard_id=*", "part-*")
-    if found:
-        raise FileExistsError(f'{path} already holds {found[0]}: write elsewhere or with mode="overwrite"')
-    return "append"
+@contextmanager
+def placing(df: DataFrame, path: str, mode: str) -> Iterator[str]:
+    """The folder to write to: ``path`` itself if it holds no shards yet, else what will replace it."""
+    spark = df.sparkSession
+    if mode == "errorifexists":
+        found = holds(spark, path, "shard_id=*", "part-*")
+        if found:
+            raise FileExistsError(f'{path} already holds {found[0]}: write elsewhere or with mode="overwrite"')
+        yield path
+        return
+    if mode != "overwrite":
+        raise ValueError(f"unknown mode {mode!r}, use errorifexists or overwrite")
+    refuse_sources_in(spark, sources_of(df), path)
+    with replacing(spark, path) as folder:
+        yield folder
 
 
 def stays_in_place(shards: Shards, rows_per_file: int) -> bool:
@@ -125,7 +156,7 @@ def by_chunks(shards: Shards, rows: int) -> DataFrame:
     return shards.df.repartitionById(max(1, -(-shards.total // rows)), chunk)
 
 
-def _save_by_shard(df: DataFrame, spread: int, fmt: str, path: str, mode: str) -> None:
+def _save_by_shard(df: DataFrame, spread: int, fmt: str, path: str) -> None:
     """One directory per shard.
 
     Partitions in row order touch at most ``spread`` shards: their files are open side by
@@ -138,7 +169,7 @@ def _save_by_shard(df: DataFrame, spread: int, fmt: str, path: str, mode: str) -
     before = spark.conf.get(OPEN_FILES)
     spark.conf.set(OPEN_FILES, str(spread + 1 if spread else 0))
     try:
-        _save(df.drop("row_idx").write.mode(mode).partitionBy("shard_id"), fmt, path)
+        _save(df.drop("row_idx").write.mode("append").partitionBy("shard_id"), fmt, path)
     finally:
         spark.conf.set(OPEN_FILES, before)
 

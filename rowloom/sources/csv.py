@@ -187,7 +187,11 @@ def _without_return(value: Column) -> Column:
 
 
 def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
-    """Every line is a record: number the lines, drop the header lines."""
+    """Every line is a record: number the lines, drop the header lines.
+
+    The text of a header line is null here, so that filters which Catalyst moves ahead of ours
+    never see it as a value.
+    """
     first = blocks["first"].astype("int64")
     numbered = blocks.assign(
         base=blocks["base"] - blocks["min_m"] - first,
@@ -201,7 +205,7 @@ def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
         attach_blocks(placed, numbered, ["base", "header_m", "lead_m"])
         .filter(F.col(M) != F.col("header_m"))
         .select(
-            _without_return(F.col("value")).alias("value"),
+            F.when(F.col(M) != F.col("header_m"), _without_return(F.col("value"))).alias("value"),
             (F.col("base") + F.col(M)).alias("row_idx"),
             (F.col(M) == F.col("lead_m")).alias(LEAD),
             FILE,

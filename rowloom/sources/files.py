@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import tasks
+from rowloom.functions.expressions import path_regexes
+from rowloom.scratch import new_scratch
 
 LISTING = "path string, rel_path string, length bigint, modified timestamp"
+# Directories that the first task of a walk, and every later one, opens before the rest is dealt out anew.
+FIRST_OPENED, OPENED = 64, 4096
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -52,16 +56,36 @@ def list_files(spark: SparkSession, directory: str, suffix: str = "", recursive:
     return files_below(spark, directory, recursive).filter(F.col("path").endswith(suffix)).orderBy("path")
 
 
-def files_below(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """``list_files`` in no order."""
+def files_below(spark: SparkSession, directory: str, recursive: bool = True, patterns: Sequence[str] = ()) -> DataFrame:
+    """``list_files`` in no order, without what lies below directories that fit one of ``patterns``."""
+    return walked(spark, directory, recursive, patterns).where("kind = 'file'").drop("kind")
+
+
+def walked(spark: SparkSession, directory: str, recursive: bool = True, patterns: Sequence[str] = ()) -> DataFrame:
+    """A walk of a tree: rows of kind "file" and, for every directory that was listed, "opened".
+
+    The walk goes in rounds. A round's directories are a table dealt to tasks; a task goes down
+    from its own up to a number of directories and gives back those it did not come to, which the
+    next round deals out anew, so that deep and lopsided trees spread. Directories whose path or
+    name fits one of ``patterns`` are not opened. Rounds are written to the shared folder; the
+    driver gets no more of them than a count.
+    """
+    schema = "kind string, " + LISTING
     if not exists(spark, directory):
-        return spark.createDataFrame([], LISTING)
+        return spark.createDataFrame([], schema)
     base = qualified(spark, directory)
-    cores = spark.sparkContext.defaultParallelism
     tasks.open_filesystem(base)
-    starts = tasks.tree_starts(base, cores) if recursive else [("", False)]
-    table = spark.createDataFrame(starts, "start string, descend boolean").repartition(min(len(starts), 4 * cores))
-    return table.mapInArrow(tasks.tree_walker(base), LISTING)
+    most = 4 * spark.sparkContext.defaultParallelism
+    place, rounds = new_scratch(spark, "walk"), []
+    frontier, budget = spark.createDataFrame([("",)], "rel_path string"), FIRST_OPENED
+    while True:
+        rounds.append(f"{place}/{len(rounds)}")
+        frontier.mapInArrow(tasks.tree_walker(base, budget, path_regexes(patterns), recursive), schema).write.parquet(rounds[-1])
+        left = spark.read.schema(schema).parquet(rounds[-1]).where("kind = 'left'").select("rel_path")
+        count = left.count()
+        if not count:
+            return spark.read.schema(schema).parquet(*rounds).where("kind <> 'left'")
+        frontier, budget = left.repartition(min(count, most), "rel_path"), OPENED
 
 
 def holds(spark: SparkSession, directory: str, *patterns: str) -> list[str]:

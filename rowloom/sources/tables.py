@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.sinks.replace import settle
 from rowloom.sources.csv import index_csv, parse_records
 from rowloom.sources.formats import is_parquet
 
@@ -29,6 +30,8 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_
     decimal(38,0), or text if they have more digits.  ``schema`` (DDL) skips that pass.  Short rows are
     padded with missing values, rows with too many fields raise an error.
     """
+    if not set("*?[{") & set(path):
+        settle(spark, path)
     if is_parquet(path):
         return spark.read.parquet(path)
     texts = _texts(spark, path, multi_line)
