@@ -29,7 +29,7 @@ from rowloom.scratch import small_side
 CELLS = 1 << 20
 # Shingles whose hashes are worked out at once.
 SHINGLES_AT_ONCE = 1 << 18
-# A list of more groups gives no pairs unless its family is too large for a task.
+# A list of more groups gives links that connect what may be similar; its pairs count only if a family is too large for a task.
 CROWDED = 16
 # Classes and shingles that are verified in one task at once; larger families are cut in blocks.
 BLOCK = 4096
@@ -37,7 +37,7 @@ BLOCK_SHINGLES = 1 << 22
 # How often each class of a larger family is dealt to a block.
 DEALS = 3
 # Classes outside a large family's largest component are sent to all its blocks if that is so many rows per class at most.
-SPARE = 4
+SPARE = 1
 # Ranges of the hash over which the shingles of a set are counted, to a byte each.
 RANGES = 256
 # Lists of more entries are split, each part meets each other one.
@@ -375,15 +375,75 @@ def linked_in_blocks(homes, members, sets, part, whole):
     return linked_together(rows, ["home", "deal", "salt"], part, whole)
 
 
+def may_be_similar(left, right, n, m, part, whole):
+    """Can sets with these spreads and sizes be as similar as asked?"""
+    most = np.minimum(left, right)
+    return linked(most.sum(axis=-1, dtype=np.int64), n, m, part, whole) | (most == 255).any(axis=-1)
+
+
+def forest_of_list(cid, n, place, spread, part, whole, role):
+    """Links that connect the classes of one list, sorted by size, which may be similar: one per class at most.
+
+    ``role``: only pairs of one entry of role 0 and one of role 1 count.
+    """
+    upto = np.searchsorted(n, whole * n // part, "right")
+    root = np.arange(len(cid))
+    a, b = [], []
+    for i in np.flatnonzero(place < indexing_prefix(n, part, whole)):
+        j = np.arange(i + 1, upto[i])
+        j = j[root[j] != root[i]]
+        if role is not None:
+            j = j[role[j] != role[i]]
+        best = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        j = j[linked(best, n[i], n[j], part, whole)]
+        j = j[may_be_similar(spread[i], spread[j], n[i], n[j], part, whole)] if len(j) else j
+        roots, first = np.unique(root[j], return_index=True)
+        a.append(np.full(len(roots), cid[i]))
+        b.append(cid[j[first]])
+        root[np.isin(root, roots)] = root[i]
+    return (np.concatenate(a), np.concatenate(b)) if a else (cid[:0], cid[:0])
+
+
+def crowd_links(crowded, classes, part, whole):
+    """Links between the classes of crowded lists that connect what may be similar; no more than entries of a part."""
+    entries = crowded.join(classes.select("node", "cid", "spread"), "node").select("token", "n", "cid", "place", "spread")
+    parts = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST).alias("parts"))
+    placed = entries.join(parts, "token").withColumn("spot", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    # part x of a long list meets part y (x <= y) in a cell of their own
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cells = cells.select("token", F.least("spot", "other").alias("x"), F.greatest("spot", "other").alias("y"), "n", "cid", "place", (F.col("spot") > F.col("other")).cast("int").alias("role"), "spread")
+
+    def task(batches):
+        key, rows = None, []
+
+        def done():
+            n, cid, place, role = (np.array(c) for c in zip(*(r[:4] for r in rows)))
+            spread = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, RANGES)
+            found = forest_of_list(cid, n, place, spread, part, whole, role if key[1] != key[2] else None)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("token", "x", "y", "n", "cid", "place", "role", "spread")]
+            for name, row in zip(zip(*columns[:3]), zip(*columns[3:])):
+                if name != key:
+                    if len(rows) > 1:
+                        yield done()
+                    key, rows = name, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield done()
+
+    dealt = cells.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "cid")
+    return dealt.mapInArrow(task, "a bigint, b bigint").distinct()
+
+
 def promising(pairs, classes, part, whole):
     """The pairs ``a``, ``b`` of classes that may be similar by the spread of their shingles."""
 
     def task(batches):
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("left", "right"))
-            n, m = (np.asarray(batch.column(c)) for c in ("n", "m"))
-            most = np.minimum(left, right)
-            good = linked(most.sum(axis=1, dtype=np.int64), n, m, part, whole) | (most == 255).any(axis=1)
+            good = may_be_similar(left, right, *(np.asarray(batch.column(c)) for c in ("n", "m")), part, whole)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("spread").alias("left"))
@@ -531,8 +591,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     pairs = kept(promising(expanded(met.where("b is not null").select("a", "b").distinct(), own).distinct(), classes, part, whole), "pairs")
     heads = classes.groupBy("node").agg(F.min("cid").alias("b"), F.count("*").alias("members"))
     same_group = classes.join(heads.where("members > 1"), "node").select(F.col("cid").alias("a"), "b")
-    at = crowded.join(heads.select("node", F.col("b").alias("a")), "node").select("token", "a")
-    same_list = at.join(at.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b")
+    same_list = crowd_links(crowded, classes, part, whole)
     roots = star_components(pairs.unionByName(same_group).unionByName(same_list)).select(F.col("node").alias("cid"), F.col("root").alias("family"))
     roots = roots.unionByName(roots.select(F.col("family").alias("cid"), "family").distinct())
     related = kept(classes.join(roots, "cid").select("cid", "family", "node", "n", "first_id", "text_hash"), "families")

@@ -184,7 +184,7 @@ def families(seed):
     return [(1000 + i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CROWDED": 3, "BLOCK": 6, "LIST": 16}, {"BLOCK": 40}, {"BLOCK_SHINGLES": 400, "LIST": 8, "SPARE": 0}])
+@pytest.mark.parametrize("limits", [{}, {"CROWDED": 3, "BLOCK": 6, "LIST": 16}, {"BLOCK": 40}, {"BLOCK_SHINGLES": 400, "LIST": 8, "SPARE": 9}])
 def test_ngram_join(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ngram_join, name, value)
