@@ -21,14 +21,22 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least QUALITY."""
+    """Documents whose quality score is at least QUALITY.
+
+    Null and empty texts have a score like any other text. Repeated rows stay or go together.
+    Labels without a document, an id or a 0 or 1 teach nothing; an empty table gives an empty table.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 5) != 0)
     model = quality.learn(docs.where(remainder("doc_id", 5) != 0), labels)
     return quality.score(docs, model, tuple(COLUMNS)).where(F.col("score") >= QUALITY).select(*COLUMNS)
 
 
 def keep_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in one of the learned languages, with at least LANGUAGE of the evidence."""
+    """Documents that are in one of the learned languages, with at least LANGUAGE of the evidence.
+
+    Null texts and texts without letters are in no language and go. Repeated rows stay or go
+    together; rows without a language teach nothing; an empty table gives an empty table.
+    """
     model = language.learn(docs.where(remainder("doc_id", 4) != 2))
     found = language.predict(docs, model, tuple(COLUMNS))
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LANGUAGE)).select(*COLUMNS)
@@ -37,18 +45,24 @@ def keep_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id.
 
-    Rows with equal ids count as one document. A row without an id goes by a number above 2**62
-    made from its text, so one such row stays where no row of the group has an id.
+    Rows are told apart by id and text: rows equal in both count as one document, different texts
+    under one id as several, each in the group of its own text. Rows without an id come last in a
+    group, in the order of a hash of their text. Null and wordless texts are near duplicates of
+    each other. An empty table gives an empty table.
     """
-    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    docs = docs.select(*COLUMNS, F.coalesce("doc_id", made).alias("__key"))
-    groups = simhash.near_duplicates(docs, "__key")
-    first = groups.where("__key = component_id").select("__key").distinct()
-    return docs.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"))
+    groups = simhash.near_duplicates(keyed, "__key").select("__key", "component_id").distinct()
+    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    first = keyed.select("doc_id", "__key").join(groups, "__key").groupBy("component_id").agg(order).select("first.__key")
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def keep_uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule does not tell to drop."""
+    """Documents that the contamination rule does not tell to drop.
+
+    Null and wordless texts have no hits and stay, repeated rows stay or go together, and an empty
+    table gives an empty table.
+    """
     found = fm_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(COLUMNS))
     return found.where(~fm_index.contaminated()).select(*COLUMNS)
 
