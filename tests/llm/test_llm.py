@@ -520,3 +520,13 @@ def test_repeated_benchmark_texts_are_spread(spark):
     docs = spark.createDataFrame([(1, f"x {text} y"), (2, "x y")], "doc_id bigint, text string")
     found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in fm_index.contamination(docs, benchmark, block_words=200).collect()}
     assert found == {1: (22, 20, [f"q{i:02}" for i in range(30)]), 2: (2, 0, [])}
+
+
+def test_one_id_on_different_texts_loses_no_document(spark):
+    import corpus_pipeline as pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (3, a), (5, b), (None, b), (None, "c d e f g h"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in pipeline.keep_first_copies(spark, docs, SF_DIR).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, "c d e f g h"), (7, None)], key=str)
