@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from rowloom.sources.files import exists, files_below
 
-# Readers skip names with a leading underscore.
-MANIFEST = "_rowloom_manifest"
+# Readers and shard directories skip hidden names.
+MANIFEST = ".shard-manifest"
 SCHEMA = "rel_path string, files bigint, bytes bigint, rows bigint, digest string"
 
 
