@@ -1,33 +1,44 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays.
 
-Three passes over the texts. The first counts words by hash and writes the hashes in sorted files;
-a word's number is its place in them. The second counts pairs of numbers, dealt to cells by both
-words so that a very frequent word is spread over many cells, and writes each cell's pairs as a
-sorted file. The third maps these files into memory and scores every text.
+The first pass over the texts counts words by hash and writes the hashes in sorted files; a word's
+number is its place in them. The second pass counts n-grams of numbers and deals them to cells.
+Each cell sums up its n-grams, writes them as a sorted file and sends what they add to the n-grams
+one shorter (distinct words before, followers by count) to the cells of those, down to the words.
+The third pass maps these files into memory and scores every text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.arrays import get_array, put_array
+from rowloom.llm.arrays import get_array, local_path, put_array
 from rowloom.llm.common import kept, prepared
-from rowloom.llm.kernels import LOWER, SPACED_WORD, find_words, hash_words, mix64, slices, text_bytes, within
+from rowloom.llm.kernels import LOWER, SPACED_WORD, find_words, mix64, slices, text_bytes, within, xxh64
 from rowloom.scratch import new_scratch
 
 # The hash that stands for the end of a text.
 END = np.uint64(0x2545F4914F6CDD1D)
-# Words of one file of the vocabulary; tokens whose pairs a task gathers before it sends them on.
+# Longest n-grams of the model.
+ORDER = 3
+# Words of one file of the vocabulary; tokens whose n-grams a task gathers before it sends them on.
 FILE_WORDS = 1 << 19
-GATHERED = 6_000_000
-# Pairs that one cell should hold.
-CELL_PAIRS = 1 << 20
-UNKNOWN = -1
+GATHERED = 4_000_000
+# Tokens whose n-grams one cell should hold; n-grams around rarer words stay together in a cell.
+CELL_TOKENS = 1 << 21
+# Reducers at most; each takes its cells one after the other.
+REDUCERS = 1 << 16
+# Instead of a word's number: not in training, before the start of the text.
+UNKNOWN, OUTSIDE = -1, -2
+# Sums kept of an n-gram: its count (below the longest: distinct words before it), the counts of
+# all that follows it, followers that occur once, twice, more often. The longest have the first.
+SUMS = 5
+ROWS = "level int, cell bigint, n bigint, data binary"
 
 
 def token_hashes(column):
@@ -38,12 +49,16 @@ def token_hashes(column):
     texts = len(bounds) - 1
     out = np.full(len(start) + texts, END, np.uint64)
     of = np.repeat(np.arange(texts), np.diff(first))
-    out[np.arange(len(start)) + of] = hash_words(low, start, end)
+    out[np.arange(len(start)) + of] = xxh64(low, start, end - start)
     return out, first + np.arange(texts + 1)
 
 
-def cell_of(v, w, side):
-    return (mix64(v) % np.uint64(side) * np.uint64(side) + mix64(w + np.uint64(1 << 40)) % np.uint64(side)).astype(np.int64)
+def mixed(rows):
+    """A hash of every column of a table of whole numbers."""
+    out = np.zeros(rows.shape[1], np.uint64)
+    for row in rows:
+        out = mix64((out ^ row.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 @dataclass
@@ -54,10 +69,10 @@ class Model:
     base: list[int]  # first number of every vocabulary file, and the number of words
     shift: int  # bits that the file number leaves of a hash
     tokens: int
-    texts: int
-    side: int = 1
-    pair_discount: tuple = (0.0, 0.0, 0.0)
-    word_discount: tuple = (0.0, 0.0, 0.0)
+    order: int = ORDER
+    cells: int = 1
+    hot: int = 0  # n-grams whose inner words all occur more often are dealt one by one
+    discounts: dict = field(default_factory=dict)  # by length
     pair_types: int = 0
     word_mass: float = 0.0
 
@@ -72,10 +87,15 @@ class Files:
     def __init__(self, model):
         self.model, self.open = model, {}
 
-    def get(self, name):
-        if name not in self.open:
-            self.open[name] = get_array(f"{self.model.path}/{name}.npy")
-        return self.open[name]
+    def get(self, name, keep=True):
+        """An array; one that is not kept is unmapped after use, unless it had to be copied."""
+        if name in self.open:
+            return self.open[name]
+        path = f"{self.model.path}/{name}.npy"
+        values = get_array(path)
+        if keep or local_path(path) is None:
+            self.open[name] = values
+        return values
 
     def numbers(self, hashes):
         """Numbers of sorted distinct hashes, UNKNOWN where training has none."""
@@ -88,37 +108,67 @@ class Files:
                 out[a:b] = np.where(known, at + m.base[i], UNKNOWN)
         return out
 
-    def take(self, name, numbers):
-        """Values of an array, in files by vocabulary file, at sorted numbers (0 where unknown)."""
-        m = self.model
-        out = np.zeros(len(numbers), np.int64)
-        cuts = np.searchsorted(numbers, m.base)
+    def take(self, name, numbers, rows=1):
+        """Rows of values, in files by vocabulary file, at all numbers (0 where unknown)."""
+        ids, of = np.unique(numbers, return_inverse=True)
+        out = np.zeros((rows, len(ids)), np.int64)
+        cuts = np.searchsorted(ids, self.model.base)
+        cuts[-1] = len(ids)  # the start of texts has the number after the last word
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b:
-                out[a:b] = self.get(f"{name}-{i}")[numbers[a:b] - m.base[i]]
-        return out
+                out[:, a:b] = np.atleast_2d(self.get(f"{name}-{i}"))[:, ids[a:b] - self.model.base[i]]
+        return out[:, of.reshape(numbers.shape)]
+
+    def cells(self, words):
+        """The cell of every n-gram, a column of ``words``; of single words, the vocabulary file.
 
-    def pair_counts(self, v, w):
-        """Count of every pair of numbers; the pairs are distinct."""
-        key = (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-        cell = cell_of(v.astype(np.uint64), w.astype(np.uint64), self.model.side)
-        out = np.zeros(len(key), np.int64)
+        N-grams with the same inner words go to one cell, as they share what precedes and follows;
+        those around words that are frequent by the counts of training are spread one by one.
+        """
+        m = self.model
+        if len(words) == 1:
+            return np.minimum(np.searchsorted(m.base, words[0], "right") - 1, len(m.base) - 2)
+        deal = mixed(words)
+        if len(words) > 2:
+            rare = self.take("count", words[1:-1])[0].min(axis=0) <= m.hot
+            deal[rare] = mixed(words[1:-1, rare])
+        return (mix64(deal + np.uint64(len(words))) % np.uint64(m.cells)).astype(np.int64)
+
+    def sums(self, words):
+        """The sums of every n-gram, 0 where training has none."""
+        known = np.flatnonzero((words >= 0).all(axis=0))
+        rows = 1 if len(words) == self.model.order else SUMS
+        out = np.zeros((rows, words.shape[1]), np.int64)
+        if len(words) == 1:
+            out[:, known] = self.take("word", words[0, known], SUMS)
+            return out
+        key, first, of = np.unique(mixed(words[:, known]), return_index=True, return_inverse=True)
+        cell = self.cells(words[:, known[first]])
+        found = np.zeros((rows, len(key)), np.int64)
         order = np.argsort(cell, kind="stable")
-        cuts = np.searchsorted(cell[order], np.arange(self.model.side**2 + 1))
-        for c in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            rows = order[cuts[c] : cuts[c + 1]]
-            keys = self.get(f"pair-{c}")
-            at, known = within(key[rows], keys)
-            out[rows[known]] = self.get(f"times-{c}")[at[known]]
+        present, begins = np.unique(cell[order], return_index=True)
+        for c, a, b in zip(present, begins, [*begins[1:], len(order)]):
+            own = order[a:b]
+            name = f"{len(words)}-{c}"
+            try:
+                at, hit = within(key[own], self.get(f"gram-{name}", keep=False))
+            except FileNotFoundError:
+                continue  # training has no n-gram in this cell
+            code = self.get(f"code-{name}", keep=False)[at[hit]]
+            found[:, own[hit]] = self.get(f"sums-{name}", keep=False)[:, code]
+        out[:, known] = found[:, of]
         return out
 
 
-def pairs_of(numbers, bounds, start):
-    """The number before every token: of the word before, or ``start`` at the head of a text."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    before[bounds[:-1]] = start
-    return before
+def grams(numbers, bounds, k, start):
+    """The ``k`` words up to every token: ``start`` at the head of a text, OUTSIDE before it."""
+    place = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = np.full((k, len(numbers)), OUTSIDE, np.int64)
+    for row, back in zip(out, range(k - 1, -1, -1)):
+        row[back:] = numbers[: len(numbers) - back]
+        row[place == back - 1] = start
+        row[place < back - 1] = OUTSIDE
+    return out
 
 
 def discounts(types):
@@ -144,11 +194,51 @@ def summed(keys, counts):
     return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
-def train(docs: DataFrame, text_column: str = "text") -> Model:
-    """Count all rows of ``docs`` and write the model to the shared folder.
+def merged(words, sums):
+    """Distinct columns of ``words``, in order, and the added-up columns of ``sums``."""
+    if not words.shape[1]:
+        return words, sums
+    order = np.lexsort(words[::-1])
+    words = words[:, order]
+    heads = np.flatnonzero(np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)]))
+    return words[:, heads], np.add.reduceat(sums[:, order], heads, axis=1)
+
+
+def packed(files, words, sums):
+    """A row for every cell: its n-grams and their sums, byte by byte so that they compress."""
+    cell = files.cells(words)
+    order = np.argsort(cell, kind="stable")
+    present, begins = np.unique(cell[order], return_index=True)
+    level, n, data = [len(words)] * len(present), [], []
+    for a, b in zip(begins, [*begins[1:], len(order)]):
+        own = order[a:b]
+        table = np.ascontiguousarray(np.concatenate([words[:, own], sums[:, own]]))
+        table[0] = np.diff(table[0], prepend=0)
+        planes = table.view(np.uint8).reshape(len(table), -1, 8).transpose(0, 2, 1)
+        n.append(b - a)
+        data.append(pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
+    return as_rows(level, present, n, data)
+
+
+def unpacked(data, n, rows):
+    planes = np.frombuffer(pa.decompress(data, rows * n * 8, "zstd", asbytes=True), np.uint8)
+    table = planes.reshape(rows, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(rows, n)
+    table[0] = np.cumsum(table[0])
+    return table
+
+
+def as_rows(level, cell, n, data):
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((level, cell, n, data), kinds)], names=["level", "cell", "n", "data"])
+
+
+def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Model:
+    """Count all rows of ``docs`` and write the model of n-grams up to ``order`` words, two at least.
 
     Null is an empty text, which still has an end. Repeated rows count as often as they occur.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     texts = prepared(docs, **{text_column: "string"})
     spark = docs.sparkSession
     path = new_scratch(spark, "model")
@@ -173,11 +263,8 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
 
     counted = texts.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counted = kept(counted, "words")
-    end = int(END.astype(np.int64))
-    words, tokens, ends = counted.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("h") == end, F.col("n")))).first()
+    words, tokens = counted.agg(F.count("*"), F.sum("n")).first()
     bits = max(0, (max(words, 1) // FILE_WORDS).bit_length())
-    if words >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
     shift = 64 - bits
 
     def write_words(batches):
@@ -198,109 +285,99 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     dealt = counted.select(file.alias("file"), "h", "n").repartition(1 << bits, "file")
     sizes = dict(dealt.mapInArrow(write_words, "file bigint, n bigint").collect())
     base = [0, *np.cumsum([sizes.get(i, 0) for i in range(1 << bits)]).tolist()]
-    model = Model(path, base, shift, tokens or 0, ends or 0)
-    if not words:
-        return model
-    return count_pairs(model, texts, text_column)
+    cells = max(1, -(-(tokens or 0) // CELL_TOKENS))
+    model = Model(path, base, shift, tokens or 0, order, cells, CELL_TOKENS // 8)
+    return count_grams(model, texts, text_column) if words else model
 
 
-def count_pairs(model, texts, text_column):
-    """Count, write and add up the pairs: what the words need is dealt by vocabulary file."""
-    path, base, start = model.path, model.base, model.words
-    files = len(base) - 1
-    side = 1
-    while side * side * CELL_PAIRS < model.tokens / 2:
-        side *= 2
-    model.side = side
+def count_grams(model, texts, text_column):
+    """Count the longest n-grams, then pass down, length by length, what they add to shorter ones.
+
+    N-grams that begin a text have no word before: their own count stands in for that of words
+    before them, so shorter ones are counted there too.
+    """
+    path, base, longest = model.path, model.base, model.order
 
     def send(batches):
         mapped = Files(model)
-        gathered: list = []
+        gathered: dict = {}
+        tokens = 0
 
         def out():
-            key, n = np.unique(np.concatenate(gathered), return_counts=True)
+            for words in gathered.values():
+                words = np.concatenate(words, axis=1)
+                sums = np.zeros((1 if len(words) == longest else SUMS, words.shape[1]), np.int64)
+                sums[0] = 1
+                yield packed(mapped, *merged(words, sums))
             gathered.clear()
-            v, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-            cell = cell_of(v, w, side)
-            order = np.argsort(cell, kind="stable")
-            cuts = np.searchsorted(cell[order], np.arange(side * side + 1))
-            rows: dict = {"cell": [], "v": [], "w": [], "n": []}
-            for c in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                own = order[cuts[c] : cuts[c + 1]]
-                rows["cell"].append(int(c))
-                # sorted by v: differences are small and compress well
-                rows["v"].append(np.diff(v[own], prepend=np.uint64(0)).astype("<u4").tobytes())
-                rows["w"].append(w[own].astype("<u4").tobytes())
-                rows["n"].append(n[own].astype("<u4").tobytes())
-            return pa.RecordBatch.from_pydict(rows, pa.schema([("cell", pa.int64()), ("v", pa.binary()), ("w", pa.binary()), ("n", pa.binary())]))
 
         for batch in batches:
             for part in slices(batch, text_column):
                 h, bounds = token_hashes(part.column(text_column))
                 distinct, of = np.unique(h, return_inverse=True)
                 number = mapped.numbers(distinct)[of]
-                before = pairs_of(number, bounds, start)
-                gathered.append((before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
-                if sum(map(len, gathered)) > GATHERED:
-                    yield out()
+                for k in range(2, longest + 1):
+                    words = grams(number, bounds, k, model.words)
+                    counted = words[0] != OUTSIDE if k == longest else words[0] == model.words
+                    gathered.setdefault(k, []).append(words[:, counted])
+                tokens += len(h)
+                if tokens > GATHERED:
+                    yield from out()
+                    tokens = 0
         if gathered:
-            yield out()
-
-    def write_pairs(batches):
-        """Files of the cells; what they add to the words, by vocabulary file; types by count."""
-        held: dict = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["cell"], []).append([np.frombuffer(row[c], "<u4") for c in ("v", "w", "n")])
-        for c in list(held):
-            found = held.pop(c)
-            key = np.concatenate([(np.cumsum(v, dtype=np.uint64) << np.uint64(32)) | w.astype(np.uint64) for v, w, _ in found])
-            key, n = summed(key, np.concatenate([x[2] for x in found]).astype(np.int64))
-            put_array(f"{path}/pair-{c}.npy", key)
-            put_array(f"{path}/times-{c}.npy", n.astype(np.uint32))
-            types = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            v, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            rows = [{"file": -1, "what": -1, "id": b"", "n": np.array([*types, len(key)], "<u4").tobytes()}]
-            for what, ids in ((0, w), (1, v[n == 1]), (2, v[n == 2]), (3, v[n > 2])):
-                ids, times = np.unique(ids, return_counts=True)
-                cuts = np.searchsorted(ids, base)
-                cuts[-1] = len(ids)  # the start of texts has the number after the last word
-                for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                    own = slice(cuts[i], cuts[i + 1])
-                    rows.append({"file": int(i), "what": what, "id": np.diff(ids[own] - base[i], prepend=0).astype("<u4").tobytes(), "n": times[own].astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.int64()), ("what", pa.int64()), ("id", pa.binary()), ("n", pa.binary())]))
-
-    def add_up(batches):
-        """Arrays by word of one vocabulary file: preceding words, and followers seen 1, 2, 3+ times."""
-        held: dict = {}
-        types = np.zeros(5, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = np.frombuffer(row["n"], "<u4").astype(np.int64)
-                if row["file"] < 0:
-                    types += n
-                    continue
-                i = row["file"]
-                if i not in held:
-                    held[i] = np.zeros((4, base[i + 1] - base[i] + (i == files - 1)), np.int64)
-                held[i][row["what"], np.cumsum(np.frombuffer(row["id"], "<u4"), dtype=np.int64)] += n
-        out = [("pairs", types)]
-        for i, sums in held.items():
-            for k, name in enumerate(("before", "once", "twice", "often")):
-                put_array(f"{path}/{name}-{i}.npy", sums[k].astype(np.uint32))
-            out.append(("words", np.array([*[(sums[0] == k).sum() for k in (1, 2, 3, 4)], (sums[0] > 0).sum()])))
-        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in out], "types": [t.tolist() for _, t in out]})
-
-    sent = texts.mapInArrow(send, "cell bigint, v binary, w binary, n binary").repartition(side * side, "cell")
-    parts = sent.mapInArrow(write_pairs, "file bigint, what bigint, id binary, n binary")
-    added = parts.repartition(files + 1, "file").mapInArrow(add_up, "kind string, types array<bigint>")
-    sums = {"pairs": np.zeros(5, np.int64), "words": np.zeros(5, np.int64)}
-    for kind, types in added.collect():
-        sums[kind] += np.array(types)
-    model.pair_discount, model.word_discount = discounts(sums["pairs"][:4]), discounts(sums["words"][:4])
-    model.pair_types = int(sums["pairs"][4])
-    d, n = model.word_discount, sums["words"]
-    model.word_mass = float(d[0] * n[0] + d[1] * n[1] + d[2] * (n[4] - n[0] - n[1]))
+            yield from out()
+
+    def add_up(level):
+        def finish(mapped, cell, found):
+            """Write one cell and yield what it adds to shorter n-grams and to the totals."""
+            words, sums = merged(np.concatenate([x[:level] for x in found], axis=1), np.concatenate([x[level:] for x in found], axis=1))
+            seen = sums[0]
+            totals = [(seen == k).sum() for k in (1, 2, 3, 4)] + [(seen > 0).sum(), seen.sum()]
+            yield as_rows([0] * 6, [level * 8 + i for i in range(6)], totals, [b""] * 6)
+            if level == 1:
+                values = np.zeros((SUMS, base[cell + 1] - base[cell] + (cell == len(base) - 2)), np.int64)
+                values[:, words[0] - base[cell]] = sums
+                put_array(f"{path}/word-{cell}.npy", values.astype(np.min_scalar_type(values.max())))
+                return
+            key = mixed(words)
+            order = np.argsort(key)
+            _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
+            put_array(f"{path}/gram-{level}-{cell}.npy", key[order])
+            put_array(f"{path}/code-{level}-{cell}.npy", code[order].astype(np.min_scalar_type(len(first))))
+            put_array(f"{path}/sums-{level}-{cell}.npy", sums[:, first])
+            shorter = np.zeros((SUMS, 2 * len(seen)), np.int64)
+            shorter[0, : len(seen)] = 1
+            shorter[1:, len(seen) :] = seen, seen == 1, seen == 2, seen > 2
+            yield packed(mapped, *merged(np.concatenate([words[1:], words[:-1]], axis=1), shorter))
+
+        def task(batches):
+            mapped = Files(model)
+            cell, found = None, []
+            for batch in batches:
+                own = pc.equal(batch.column("level"), level)
+                yield batch.filter(pc.invert(own))
+                for row in batch.filter(own).to_pylist():
+                    if row["cell"] != cell and found:
+                        yield from finish(mapped, cell, found)
+                        found = []
+                    cell = row["cell"]
+                    found.append(unpacked(row["data"], row["n"], level + (1 if level == longest else SUMS)))
+            if found:
+                yield from finish(mapped, cell, found)
+
+        return task
+
+    rows = texts.mapInArrow(send, ROWS)
+    for level in range(longest, 0, -1):
+        reducers = min(model.cells if level > 1 else len(base) - 1, REDUCERS)
+        rows = rows.repartition(reducers, "cell").sortWithinPartitions("level", "cell").mapInArrow(add_up(level), ROWS)
+    totals = {r.cell: r.total for r in rows.where("level = 0").groupBy("cell").agg(F.sum("n").alias("total")).collect()}
+    for level in range(1, longest + 1):
+        model.discounts[level] = discounts([totals[level * 8 + i] for i in range(4)])
+    once, twice, types = totals[8], totals[9], totals[12]
+    d = model.discounts[1]
+    model.pair_types = totals[13]
+    model.word_mass = d[0] * once + d[1] * twice + d[2] * (types - once - twice)
     return model
 
 
@@ -308,31 +385,18 @@ def score_tokens(files, hashes, bounds):
     """log10 probability, base log10 probability and training count of every token."""
     m = files.model
     distinct, of = np.unique(hashes, return_inverse=True)
-    number = files.numbers(distinct)
-    order = np.argsort(number, kind="stable")
-    count, before, spread = np.zeros(len(distinct)), np.zeros(len(distinct)), np.zeros(len(distinct))
-    ids = number[order]
-    count[order] = files.take("count", ids)
-    if m.words:
-        before[order] = files.take("before", ids)
-        for name, d in zip(("once", "twice", "often"), m.pair_discount):
-            spread[order] += d * files.take(name, ids)
-    base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))[of]
+    number = files.numbers(distinct)[of]
+    count = files.take("count", number)[0]
+    base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
     if not m.words:
-        return np.zeros(len(hashes)), base, count[of]
-    lower = (before - discount_of(before, m.word_discount) + m.word_mass / (m.words + 1)) / m.pair_types
-    number, lower, count, spread = number[of], lower[of], count[of], spread[of]
-    v = pairs_of(number, bounds, m.words)
-    total, mass = pairs_of(count, bounds, float(m.texts)), pairs_of(spread, bounds, 0.0)
-    last = len(m.base) - 2
-    mass[bounds[:-1]] = sum(d * float(files.get(f"{name}-{last}")[m.words - m.base[-2]]) for name, d in zip(("once", "twice", "often"), m.pair_discount))
-    both = (v >= 0) & (number >= 0)
-    key = (v[both].astype(np.uint64) << np.uint64(32)) | number[both].astype(np.uint64)
-    key, place = np.unique(key, return_inverse=True)
-    times = np.zeros(len(hashes))
-    times[both] = files.pair_counts(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF))[place]
-    seen = total > 0
-    p = np.where(seen, (times - discount_of(times, m.pair_discount) + mass * lower) / np.where(seen, total, 1), lower)
+        return np.zeros(len(hashes)), base, count
+    seen = files.sums(number[None])[0]
+    p = (seen - discount_of(seen, m.discounts[1]) + m.word_mass / (m.words + 1)) / m.pair_types
+    for k in range(2, m.order + 1):
+        words = grams(number, bounds, k, m.words)
+        seen, context, d = files.sums(words)[0], files.sums(words[:-1]), m.discounts[k]
+        mass = d[0] * context[2] + d[1] * context[3] + d[2] * context[4]
+        p = np.where(context[1] > 0, (seen - discount_of(seen, d) + mass * p) / np.maximum(context[1], 1), p)
     return np.log10(p), base, count
 
 

@@ -202,46 +202,63 @@ def test_contamination_odd_input(spark, odd, none):
 # op5
 
 
-def test_kneser_ney_against_brute_force(docs):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_brute_force(docs, order):
     held = {i for (i,) in docs.select("doc_id").collect() if zlib.crc32(str(i).encode()) % 10 == 0}
     texts = {i: words(t) + ["</s>"] for i, t in docs.select("doc_id", "text").collect()}
     train = [t for i, t in texts.items() if i not in held]
     one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip(["<s>"] + t, t))
-    before, context = Counter(w for _, w in two), Counter()
-    for (v, _), n in two.items():
-        context[v] += n
-    times, kinds = Counter(two.values()), Counter(before.values())
-    d2, d1 = (kneser_ney.discounts([c[k] for k in (1, 2, 3, 4)]) for c in (times, kinds))
-    mass = Counter()
-    for (v, _), n in two.items():
-        mass[v] += d2[min(n, 3) - 1]
-    rest = sum(d1[min(n, 3) - 1] for n in before.values()) / (len(one) + 1)
-
-    def p(v, w):
-        lower_p = (before[w] - (d1[min(before[w], 3) - 1] if before[w] else 0) + rest) / len(two)
-        n = two[v, w]
-        return (n - (d2[min(n, 3) - 1] if n else 0) + mass[v] * lower_p) / context[v] if context[v] else lower_p
-
     total = sum(one.values())
-    model = kneser_ney.train(docs.where(~F.col("doc_id").isin(sorted(held))))
+    # seen[k]: counts of the longest n-grams; of shorter ones the words before, or the count at the head of a text
+    seen = {order: Counter(g for t in train for g in zip(*[(["<s>"] + t)[i:] for i in range(order)]))}
+    for k in range(order - 1, 0, -1):
+        seen[k] = Counter(g[1:] for g in seen[k + 1])
+        if k > 1:
+            seen[k] += Counter(("<s>", *t[: k - 1]) for t in train if len(t) >= k - 1)
+    cut = {k: kneser_ney.discounts([list(c.values()).count(n) for n in (1, 2, 3, 4)]) for k, c in seen.items()}
+    after, mass = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, n in seen[k].items():
+            after[g[:-1]] += n
+            mass[g[:-1]] += cut[k][min(n, 3) - 1]
+    rest = sum(cut[1][min(n, 3) - 1] for n in seen[1].values()) / (len(one) + 1)
+
+    def p(*g):
+        n = seen[len(g)][g]
+        n -= cut[len(g)][min(n, 3) - 1] if n else 0
+        if len(g) == 1:
+            return (n + rest) / sum(seen[1].values())
+        return (n + mass[g[:-1]] * p(*g[1:])) / after[g[:-1]] if after[g[:-1]] else p(*g[1:])
+
+    model = kneser_ney.train(docs.where(~F.col("doc_id").isin(sorted(held))), order=order)
     rows = kneser_ney.score(docs, model).collect()
     assert model.tokens == total and len(rows) == len(texts)
     for r in rows:
         t = texts[r.doc_id]
         assert (r.n_tokens, r.n_known) == (len(t), sum(w in one for w in t))
         assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.1) / (total + 0.1 * (len(one) + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(v, w)) for v, w in zip(["<s>"] + t, t)), rel_tol=1e-9)
-    assert math.isclose(sum(p("the", w) for w in one) + p("the", "unheard-of"), 1)
+        padded = ["<s>"] + t
+        assert math.isclose(r.score, sum(math.log10(p(*padded[max(0, i + 1 - order) : i + 1])) for i in range(1, len(padded))), rel_tol=1e-9)
+    context = next(g[:-1] for t in train for g in zip(*[t[i:] for i in range(order)]))
+    assert math.isclose(sum(p(*context, w) for w in one) + p(*context, "unheard-of"), 1)
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    model = kneser_ney.train(spark.createDataFrame([(1, x)], "doc_id int, text string"))
+    found = kneser_ney.score(spark.createDataFrame([(1, x), (2, y)], "doc_id int, text string"), model)
+    assert {r.doc_id: r.n_known for r in found.collect()} == {1: 2, 2: 1}
 
 
 def test_kneser_ney_in_many_files(odd, none, docs, monkeypatch):
     whole = {r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.train(docs)).collect()}
     monkeypatch.setattr(kneser_ney, "FILE_WORDS", 500)
-    monkeypatch.setattr(kneser_ney, "CELL_PAIRS", 5000)
+    monkeypatch.setattr(kneser_ney, "CELL_TOKENS", 5000)
     monkeypatch.setattr(kneser_ney, "GATHERED", 3000)
     model = kneser_ney.train(docs)
-    assert model.side > 1 and len(model.base) > 3
+    assert model.cells > 1 and len(model.base) > 3
     for r in kneser_ney.score(docs, model).collect():
         assert math.isclose(r.score, whole[r.doc_id], rel_tol=1e-9)
     rows = kneser_ney.score(odd, kneser_ney.train(odd), ("doc_id", "a b")).collect()
