@@ -28,9 +28,9 @@ END = np.uint64(0x2545F4914F6CDD1D)
 ORDER = 3
 # Words of one file of the vocabulary; tokens whose n-grams a task gathers before it sends them on.
 FILE_WORDS = 1 << 19
-GATHERED = 4_000_000
+GATHERED = 1_500_000
 # Tokens whose n-grams one cell should hold; n-grams around rarer words stay together in a cell.
-CELL_TOKENS = 1 << 21
+CELL_TOKENS = 1 << 20
 # Reducers at most; each takes its cells one after the other.
 REDUCERS = 1 << 16
 # Instead of a word's number: not in training, before the start of the text.
@@ -108,45 +108,53 @@ class Files:
                 out[a:b] = np.where(known, at + m.base[i], UNKNOWN)
         return out
 
-    def take(self, name, numbers, rows=1):
-        """Rows of values, in files by vocabulary file, at all numbers (0 where unknown)."""
-        ids, of = np.unique(numbers, return_inverse=True)
-        out = np.zeros((rows, len(ids)), np.int64)
-        cuts = np.searchsorted(ids, self.model.base)
+    def by_word(self, name, ids):
+        """Values of an array, in files by vocabulary file, at ascending numbers (0 where unknown)."""
+        m = self.model
+        out = None
+        cuts = np.searchsorted(ids, m.base)
         cuts[-1] = len(ids)  # the start of texts has the number after the last word
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b:
-                out[:, a:b] = np.atleast_2d(self.get(f"{name}-{i}"))[:, ids[a:b] - self.model.base[i]]
-        return out[:, of.reshape(numbers.shape)]
-
-    def cells(self, words):
+                found = self.get(f"{name}-{i}")[ids[a:b] - m.base[i]]
+                if name == "word":
+                    found = self.get(f"word-sums-{i}")[:, found]
+                if out is None:
+                    out = np.zeros((*found.shape[:-1], len(ids)), np.int64)
+                out[..., a:b] = found
+        return out if out is not None else np.zeros((SUMS, len(ids)) if name == "word" else len(ids), np.int64)
+
+    def cells(self, words, often=None):
         """The cell of every n-gram, a column of ``words``; of single words, the vocabulary file.
 
         N-grams with the same inner words go to one cell, as they share what precedes and follows;
         those around words that are frequent by the counts of training are spread one by one.
+        ``often`` is the least of these counts, if known.
         """
         m = self.model
         if len(words) == 1:
             return np.minimum(np.searchsorted(m.base, words[0], "right") - 1, len(m.base) - 2)
         deal = mixed(words)
         if len(words) > 2:
-            rare = self.take("count", words[1:-1])[0].min(axis=0) <= m.hot
+            if often is None:
+                ids, of = np.unique(words[1:-1], return_inverse=True)
+                often = self.by_word("count", ids)[of.reshape(len(words) - 2, -1)].min(axis=0)
+            rare = often <= m.hot
             deal[rare] = mixed(words[1:-1, rare])
         return (mix64(deal + np.uint64(len(words))) % np.uint64(m.cells)).astype(np.int64)
 
-    def sums(self, words):
-        """The sums of every n-gram, 0 where training has none."""
+    def sums(self, words, often=None):
+        """The sums of every n-gram of two words or more, 0 where training has none."""
+        out = np.zeros((1 if len(words) == self.model.order else SUMS, words.shape[1]), np.int64)
         known = np.flatnonzero((words >= 0).all(axis=0))
-        rows = 1 if len(words) == self.model.order else SUMS
-        out = np.zeros((rows, words.shape[1]), np.int64)
-        if len(words) == 1:
-            out[:, known] = self.take("word", words[0, known], SUMS)
-            return out
-        key, first, of = np.unique(mixed(words[:, known]), return_index=True, return_inverse=True)
-        cell = self.cells(words[:, known[first]])
-        found = np.zeros((rows, len(key)), np.int64)
-        order = np.argsort(cell, kind="stable")
-        present, begins = np.unique(cell[order], return_index=True)
+        words = words[:, known]
+        key = mixed(words)
+        order = np.argsort(key)
+        cell = self.cells(words, None if often is None else often[known])[order]
+        by_cell = np.argsort(cell.astype(np.min_scalar_type(self.model.cells)), kind="stable")
+        order, cell = order[by_cell], cell[by_cell]
+        found = np.zeros((len(out), len(key)), np.int64)
+        present, begins = np.unique(cell, return_index=True)
         for c, a, b in zip(present, begins, [*begins[1:], len(order)]):
             own = order[a:b]
             name = f"{len(words)}-{c}"
@@ -156,7 +164,7 @@ class Files:
                 continue  # training has no n-gram in this cell
             code = self.get(f"code-{name}", keep=False)[at[hit]]
             found[:, own[hit]] = self.get(f"sums-{name}", keep=False)[:, code]
-        out[:, known] = found[:, of]
+        out[:, known] = found
         return out
 
 
@@ -195,21 +203,24 @@ def summed(keys, counts):
 
 
 def merged(words, sums):
-    """Distinct columns of ``words``, in order, and the added-up columns of ``sums``."""
-    if not words.shape[1]:
-        return words, sums
-    order = np.lexsort(words[::-1])
-    words = words[:, order]
-    heads = np.flatnonzero(np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)]))
-    return words[:, heads], np.add.reduceat(sums[:, order], heads, axis=1)
+    """Hashes of the distinct columns of ``words``, in order, these columns, and the added-up ``sums``."""
+    key = mixed(words)
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+    added = np.empty((len(sums), len(heads)), np.int64)
+    for i in range(len(sums) if len(heads) else 0):
+        added[i] = np.add.reduceat(sums[i][order], heads)
+    return key[heads], words[:, order[heads]], added
 
 
 def packed(files, words, sums):
     """A row for every cell: its n-grams and their sums, byte by byte so that they compress."""
     cell = files.cells(words)
-    order = np.argsort(cell, kind="stable")
+    order = np.argsort(words[0])
+    order = order[np.argsort(cell[order].astype(np.min_scalar_type(cell.max(initial=0))), kind="stable")]
     present, begins = np.unique(cell[order], return_index=True)
-    level, n, data = [len(words)] * len(present), [], []
+    n, data = [], []
     for a, b in zip(begins, [*begins[1:], len(order)]):
         own = order[a:b]
         table = np.ascontiguousarray(np.concatenate([words[:, own], sums[:, own]]))
@@ -217,7 +228,7 @@ def packed(files, words, sums):
         planes = table.view(np.uint8).reshape(len(table), -1, 8).transpose(0, 2, 1)
         n.append(b - a)
         data.append(pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
-    return as_rows(level, present, n, data)
+    return as_rows([len(words)] * len(present), present, n, data)
 
 
 def unpacked(data, n, rows):
@@ -278,7 +289,7 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
             h = h.view(np.uint64)
             order = np.argsort(h)
             put_array(f"{path}/hash-{i}.npy", h[order])
-            put_array(f"{path}/count-{i}.npy", n[order])
+            put_array(f"{path}/count-{i}.npy", n[order].astype(np.min_scalar_type(n.max())))
             yield pa.RecordBatch.from_pydict({"file": [i], "n": [len(h)]})
 
     file = F.shiftrightunsigned("h", shift) if bits else F.lit(0).cast("bigint")
@@ -304,12 +315,11 @@ def count_grams(model, texts, text_column):
         tokens = 0
 
         def out():
-            for words in gathered.values():
-                words = np.concatenate(words, axis=1)
-                sums = np.zeros((1 if len(words) == longest else SUMS, words.shape[1]), np.int64)
+            for k in list(gathered):
+                words = np.concatenate(gathered.pop(k), axis=1)
+                sums = np.zeros((1 if k == longest else SUMS, words.shape[1]), np.int64)
                 sums[0] = 1
-                yield packed(mapped, *merged(words, sums))
-            gathered.clear()
+                yield packed(mapped, *merged(words, sums)[1:])
 
         for batch in batches:
             for part in slices(batch, text_column):
@@ -330,25 +340,29 @@ def count_grams(model, texts, text_column):
     def add_up(level):
         def finish(mapped, cell, found):
             """Write one cell and yield what it adds to shorter n-grams and to the totals."""
-            words, sums = merged(np.concatenate([x[:level] for x in found], axis=1), np.concatenate([x[level:] for x in found], axis=1))
+            table = np.concatenate(found, axis=1)
+            found.clear()
+            key, words, sums = merged(table[:level], table[level:])
+            del table
             seen = sums[0]
             totals = [(seen == k).sum() for k in (1, 2, 3, 4)] + [(seen > 0).sum(), seen.sum()]
             yield as_rows([0] * 6, [level * 8 + i for i in range(6)], totals, [b""] * 6)
+            _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
             if level == 1:
-                values = np.zeros((SUMS, base[cell + 1] - base[cell] + (cell == len(base) - 2)), np.int64)
-                values[:, words[0] - base[cell]] = sums
-                put_array(f"{path}/word-{cell}.npy", values.astype(np.min_scalar_type(values.max())))
+                # none has the code 0 but numbers that never occur
+                codes = np.zeros(base[cell + 1] - base[cell] + (cell == len(base) - 2), np.min_scalar_type(len(first)))
+                codes[words[0] - base[cell]] = code + 1
+                put_array(f"{path}/word-{cell}.npy", codes)
+                put_array(f"{path}/word-sums-{cell}.npy", np.concatenate([np.zeros((SUMS, 1), np.int64), sums[:, first]], axis=1))
                 return
-            key = mixed(words)
-            order = np.argsort(key)
-            _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
-            put_array(f"{path}/gram-{level}-{cell}.npy", key[order])
-            put_array(f"{path}/code-{level}-{cell}.npy", code[order].astype(np.min_scalar_type(len(first))))
+            put_array(f"{path}/gram-{level}-{cell}.npy", key)
+            put_array(f"{path}/code-{level}-{cell}.npy", code.astype(np.min_scalar_type(len(first))))
             put_array(f"{path}/sums-{level}-{cell}.npy", sums[:, first])
+            del key, code, sums
             shorter = np.zeros((SUMS, 2 * len(seen)), np.int64)
             shorter[0, : len(seen)] = 1
             shorter[1:, len(seen) :] = seen, seen == 1, seen == 2, seen > 2
-            yield packed(mapped, *merged(np.concatenate([words[1:], words[:-1]], axis=1), shorter))
+            yield packed(mapped, *merged(np.concatenate([words[1:], words[:-1]], axis=1), shorter)[1:])
 
         def task(batches):
             mapped = Files(model)
@@ -385,18 +399,35 @@ def score_tokens(files, hashes, bounds):
     """log10 probability, base log10 probability and training count of every token."""
     m = files.model
     distinct, of = np.unique(hashes, return_inverse=True)
-    number = files.numbers(distinct)[of]
-    count = files.take("count", number)[0]
+    ids = files.numbers(distinct)
+    # numbers rise with the hashes, unknown ones between them
+    known = np.flatnonzero(ids >= 0)
+    count = np.zeros(len(ids), np.int64)
+    count[known] = files.by_word("count", ids[known])
+    count = count[of]
     base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
     if not m.words:
         return np.zeros(len(hashes)), base, count
-    seen = files.sums(number[None])[0]
+    sums = np.zeros((SUMS, len(ids)), np.int64)
+    sums[:, known] = files.by_word("word", ids[known])
+    sums, number = sums[:, of], ids[of]
+    seen = sums[0]
     p = (seen - discount_of(seen, m.discounts[1]) + m.word_mass / (m.words + 1)) / m.pair_types
+    heads = bounds[:-1]
+    begin = files.by_word("word", np.array([m.words]))
+    often = None
     for k in range(2, m.order + 1):
-        words = grams(number, bounds, k, m.words)
-        seen, context, d = files.sums(words)[0], files.sums(words[:-1]), m.discounts[k]
-        mass = d[0] * context[2] + d[1] * context[3] + d[2] * context[4]
-        p = np.where(context[1] > 0, (seen - discount_of(seen, d) + mass * p) / np.maximum(context[1], 1), p)
+        # what follows the words before a token is among the sums of the token before it
+        context = np.roll(sums[1:], 1, axis=1)
+        context[:, heads] = begin[1:] if k == 2 else 0
+        if k > 2:
+            # the rarest inner word: that of the n-gram one shorter, or the word before
+            before = np.roll(count, 1)
+            often = before if often is None else np.minimum(before, np.roll(often, 1))
+        sums = files.sums(grams(number, bounds, k, m.words), often)
+        seen, d = sums[0], m.discounts[k]
+        mass = d[0] * context[1] + d[1] * context[2] + d[2] * context[3]
+        p = np.where(context[0] > 0, (seen - discount_of(seen, d) + mass * p) / np.maximum(context[0], 1), p)
     return np.log10(p), base, count
 
 
