@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays.
 
-The first pass over the texts counts words by hash and writes the hashes in sorted files; a word's
-number is its place in them. The second pass counts n-grams of numbers and deals them to cells.
+The first pass over the texts counts words by hash and writes the hashes in sorted files; words are
+numbered file by file, frequent ones first, so that n-grams of numbers compress well. The second pass counts n-grams of numbers and deals them to cells.
 Each cell sums up its n-grams, writes them as a sorted file and sends what they add to the n-grams
 one shorter (distinct words before, followers by count) to the cells of those, down to the words.
 The third pass maps these files into memory and scores every text.
@@ -105,11 +105,11 @@ class Files:
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b and m.base[i] < m.base[i + 1]:
                 at, known = within(hashes[a:b], self.get(f"hash-{i}"))
-                out[a:b] = np.where(known, at + m.base[i], UNKNOWN)
+                out[a:b] = np.where(known, self.get(f"place-{i}")[at].astype(np.int64) + m.base[i], UNKNOWN)
         return out
 
     def by_word(self, name, ids):
-        """Values of an array, in files by vocabulary file, at ascending numbers (0 where unknown)."""
+        """Values of an array, in files by vocabulary file, at numbers that come file by file (0 where unknown)."""
         m = self.model
         out = None
         cuts = np.searchsorted(ids, m.base)
@@ -217,24 +217,27 @@ def merged(words, sums):
 def packed(files, words, sums):
     """A row for every cell: its n-grams and their sums, byte by byte so that they compress."""
     cell = files.cells(words)
-    order = np.argsort(words[0])
+    middle = len(words) // 2
+    order = np.argsort(words[middle])
     order = order[np.argsort(cell[order].astype(np.min_scalar_type(cell.max(initial=0))), kind="stable")]
     present, begins = np.unique(cell[order], return_index=True)
     n, data = [], []
     for a, b in zip(begins, [*begins[1:], len(order)]):
         own = order[a:b]
         table = np.ascontiguousarray(np.concatenate([words[:, own], sums[:, own]]))
-        table[0] = np.diff(table[0], prepend=0)
+        table[middle] = np.diff(table[middle], prepend=0)
         planes = table.view(np.uint8).reshape(len(table), -1, 8).transpose(0, 2, 1)
         n.append(b - a)
         data.append(pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
     return as_rows([len(words)] * len(present), present, n, data)
 
 
-def unpacked(data, n, rows):
+def unpacked(data, n, words, sums):
+    rows = words + sums
     planes = np.frombuffer(pa.decompress(data, rows * n * 8, "zstd", asbytes=True), np.uint8)
     table = planes.reshape(rows, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(rows, n)
-    table[0] = np.cumsum(table[0])
+    middle = words // 2
+    table[middle] = np.cumsum(table[middle])
     return table
 
 
@@ -267,7 +270,7 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
                 h, n = np.unique(token_hashes(part.column(text_column))[0], return_counts=True)
                 hashes.append(h)
                 counts.append(n)
-                if sum(map(len, hashes)) > GATHERED // 4:
+                if sum(map(len, hashes)) > GATHERED:
                     yield out()
         if hashes:
             yield out()
@@ -288,8 +291,13 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
             h, n = (np.concatenate(x) for x in zip(*found))
             h = h.view(np.uint64)
             order = np.argsort(h)
-            put_array(f"{path}/hash-{i}.npy", h[order])
-            put_array(f"{path}/count-{i}.npy", n[order].astype(np.min_scalar_type(n.max())))
+            h, n = h[order], n[order]
+            often = np.argsort(-n, kind="stable")
+            place = np.empty(len(h), np.uint32)
+            place[often] = np.arange(len(h))
+            put_array(f"{path}/hash-{i}.npy", h)
+            put_array(f"{path}/place-{i}.npy", place)
+            put_array(f"{path}/count-{i}.npy", n[often].astype(np.min_scalar_type(n.max())))
             yield pa.RecordBatch.from_pydict({"file": [i], "n": [len(h)]})
 
     file = F.shiftrightunsigned("h", shift) if bits else F.lit(0).cast("bigint")
@@ -375,7 +383,7 @@ def count_grams(model, texts, text_column):
                         yield from finish(mapped, cell, found)
                         found = []
                     cell = row["cell"]
-                    found.append(unpacked(row["data"], row["n"], level + (1 if level == longest else SUMS)))
+                    found.append(unpacked(row["data"], row["n"], level, 1 if level == longest else SUMS))
             if found:
                 yield from finish(mapped, cell, found)
 
@@ -400,7 +408,7 @@ def score_tokens(files, hashes, bounds):
     m = files.model
     distinct, of = np.unique(hashes, return_inverse=True)
     ids = files.numbers(distinct)
-    # numbers rise with the hashes, unknown ones between them
+    # numbers come file by file as the hashes do, unknown ones between them
     known = np.flatnonzero(ids >= 0)
     count = np.zeros(len(ids), np.int64)
     count[known] = files.by_word("count", ids[known])
