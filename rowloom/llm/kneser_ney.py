@@ -367,10 +367,12 @@ def count_grams(model, texts, text_column):
             put_array(f"{path}/code-{level}-{cell}.npy", code.astype(np.min_scalar_type(len(first))))
             put_array(f"{path}/sums-{level}-{cell}.npy", sums[:, first])
             del key, code, sums
-            shorter = np.zeros((SUMS, 2 * len(seen)), np.int64)
-            shorter[0, : len(seen)] = 1
-            shorter[1:, len(seen) :] = seen, seen == 1, seen == 2, seen > 2
-            yield packed(mapped, *merged(np.concatenate([words[1:], words[:-1]], axis=1), shorter)[1:])
+            # apart from each other: columns that are alike compress well
+            shorter = np.zeros((SUMS, len(seen)), np.int64)
+            shorter[0] = 1
+            yield packed(mapped, *merged(words[1:], shorter)[1:])
+            shorter[:] = np.zeros_like(seen), seen, seen == 1, seen == 2, seen > 2
+            yield packed(mapped, *merged(words[:-1], shorter)[1:])
 
         def task(batches):
             mapped = Files(model)
