@@ -69,7 +69,7 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, text_column):
+            for part in slices(batch, text_column, SLICE_BYTES // 4):
                 data, bounds = text_bytes(part.column(text_column))
                 langs, of = np.unique(np.array(part.column(lang_column).to_pylist(), object).astype(str), return_inverse=True)
                 for n in GRAMS:
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
         false = fill**HASHES
         false_any = 1 - np.prod(1 - false)
         for batch in batches:
-            for part in slices(batch, "__text", SLICE_BYTES // 2):
+            for part in slices(batch, "__text", SLICE_BYTES // 8):
                 lettered = np.asarray(part.column("__letters").to_numpy(zero_copy_only=False), bool)
                 names, scores = np.full(part.num_rows, UNDETERMINED, object), np.zeros(part.num_rows)
                 if langs:
