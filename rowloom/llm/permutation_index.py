@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import kept
+
 PIVOTS = 256
 # Pivots that a vector is posted under, and whose files a query visits.
 POSTED = 16
@@ -37,6 +39,14 @@ def spread_out(units, count):
     return units[chosen]
 
 
+def scaled(vectors):
+    """The vectors with each divided by a power of two: exact, and no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    # two steps, as the power itself may lie beyond the range
+    half = exponent // 2
+    return np.ldexp(np.ldexp(vectors, -half[:, None]), (half - exponent)[:, None])
+
+
 def orders(units, pivots):
     """Rank of every pivot for every vector, the pivots by nearness, and the cosines to them."""
     cosine = np.clip(units @ pivots.T, -1, 1)
@@ -51,11 +61,16 @@ def cosine_and_sine(cosine):
 
 
 def search_shard(ids, vectors, query_ids, queries, pivots, k):
-    """Up to ``k`` nearest rows of a shard for every query: (query id, id, cosine)."""
+    """Up to ``k`` nearest rows of a shard for every query: (query id, id, cosine).
+
+    Without ``pivots`` the shard chooses its own.
+    """
     by_id = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by_id], vectors[by_id]
+    ids, vectors, queries = ids[by_id], scaled(vectors[by_id]), scaled(queries)
     norm, query_norm = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (vectors, queries))
     units, query_units = vectors / norm[:, None], queries / query_norm[:, None]
+    if pivots is None:
+        pivots = spread_out(units[:: max(1, len(units) // (8 * PIVOTS))], PIVOTS)
     rank, near, to_pivot = orders(units, pivots)
     query_rank, query_near, query_to_pivot = orders(query_units, pivots)
     units, query_units = units.astype(np.float32), query_units.astype(np.float32)
@@ -115,35 +130,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
 
     ``query_id``, ``rank`` (from 1, nearest first, ties to the smaller id), ``id_column``,
     ``score``. A query meets all rows with other ids; with fewer than ``k`` of them it gets all.
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those
-    whose length is not the most common one. Up to ``PIVOTS`` vectors that lie far from each other,
-    out of ``8 * PIVOTS`` by hash of the id, are pivots. Repeated query rows are answered once.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+    without an id. A query meets the vectors of its own length. Up to ``PIVOTS`` vectors that lie far
+    from each other, out of ``8 * PIVOTS`` by hash of the id, are pivots of the most common length;
+    shards of other lengths choose theirs among their own rows. Query rows of one id are one query,
+    by the smallest of their vectors; rows of one id and score are one row of the result.
     """
     base, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
-    lengths = base.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    width = lengths["n"] if lengths else 0
-    base = base.where(F.size("vector") == width)
-    asked = asked.where(F.size("vector") == width).dropDuplicates(["id"])
-    rows, blocks = base.count(), max(1, -(-asked.count() // BLOCK_ROWS))
-    shards = max(1, -(-rows // SHARD_ROWS))
-    first = base.orderBy(F.xxhash64("id"), "id").limit(8 * PIVOTS).collect()
-    sample = np.array([r.vector for r in first], float).reshape(len(first), width)
+    width = F.size("vector").alias("width")
+    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
+
+    def parts(df, rows, name):
+        return df.groupBy(width).agg(F.count("*").alias("rows")).select("width", "rows", F.ceil(F.col("rows") / rows).cast("int").alias(name))
+
+    # n different lengths take n * n / 2 components, so this table is small whatever the input
+    lengths = kept(parts(base, SHARD_ROWS, "shards").join(parts(asked, BLOCK_ROWS, "blocks").drop("rows"), "width"), "lengths")
+    common = lengths.orderBy(F.desc("rows"), F.desc("width")).first()
+    common = common.width if common else 0
+    first = base.where(F.size("vector") == common).orderBy(F.xxhash64("id"), "id").limit(8 * PIVOTS).collect()
+    sample = np.array([r.vector for r in first], float).reshape(len(first), common)
+    if len(sample):
+        sample = scaled(sample)
     pivots = spread_out(sample / np.sqrt((sample**2).sum(1, keepdims=True)), PIVOTS)
 
     def dealt(df, own, count, other, others):
-        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own), every)
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
+        sized = df.select("id", "vector", width).join(F.broadcast(lengths.drop("rows")), "width")
+        return sized.select("id", "vector", "width", F.pmod(F.xxhash64("id"), F.col(count)).cast("int").alias(own), every)
 
-    left = dealt(base, "shard", shards, "block", blocks)
-    right = dealt(asked, "block", blocks, "shard", shards)
+    left = dealt(base, "shard", "shards", "block", "blocks")
+    right = dealt(asked, "block", "blocks", "shard", "shards")
 
     def task(own, wanted):
         if not len(own) or not len(wanted):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        found = search_shard(own.id.to_numpy(), np.stack(own.vector), wanted.id.to_numpy(), np.stack(wanted.vector), pivots, k)
+        theirs = pivots if own.width.iloc[0] == common else None
+        found = search_shard(own.id.to_numpy(), np.stack(own.vector), wanted.id.to_numpy(), np.stack(wanted.vector), theirs, k)
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), found)))
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(task, "query_id bigint, id bigint, score double")
+    found = left.groupBy("width", "shard", "block").cogroup(right.groupBy("width", "shard", "block")).applyInPandas(task, "query_id bigint, id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     best = found.distinct().withColumn("rank", place).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_column), "score")
