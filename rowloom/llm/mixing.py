@@ -15,6 +15,8 @@ from rowloom.llm.common import kept
 
 # Times that a document may be taken; its source's target is at most as many times its size.
 REPEATS = 3
+# Copies of one row that are numbered by one task at once.
+COPIES = 4096
 # Documents that share one window; cells of virtual time in each of two rounds.
 WINDOW_ROWS = 20_000
 CELLS = 4096
@@ -45,6 +47,35 @@ def targets(sizes: list[int], weights: list[int], most: int = REPEATS) -> list[f
     return [out[i] for i in range(len(sizes))]
 
 
+def shuffle_key(text):
+    """60 bits by which documents are shuffled."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def spread(rows: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (id, source, size, print, key) without ``print``, with new keys where one id has too many rows.
+
+    Such ids are looked for only in buckets that are far too full; they are fewer than the rows by
+    ``WINDOW_ROWS``. Their copies are counted, then numbered by ranges that are dealt to all tasks.
+    """
+    if not bits:
+        return rows.drop("print")
+    bucket = F.shiftright("key", 60 - bits).alias("bucket")
+    full = rows.groupBy(bucket).count().where(F.col("count") > 4 * WINDOW_ROWS).select("bucket")
+    many = rows.select("id", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("id").count().where(F.col("count") > WINDOW_ROWS)
+    many = kept(many.select(F.col("id").alias("often")), "often")
+
+    def of(how):
+        return rows.join(F.broadcast(many), F.col("id").eqNullSafe(F.col("often")), how)
+
+    alike = of("left_semi").groupBy("id", "source", "size", "print").agg(F.count("*").alias("copies"))
+    ranges = alike.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+    copy = F.explode(F.sequence("from", F.least("copies", F.col("from") + COPIES) - 1)).alias("copy")
+    dealt = ranges.repartition("id", "print", "from").select("id", "source", "size", "print", copy)
+    key = shuffle_key(F.concat_ws(":", F.col("id").cast("string"), F.col("print").cast("string"), F.col("copy").cast("string")))
+    return of("left_anti").drop("print").unionByName(dealt.select("id", "source", "size", key.alias("key")))
+
+
 def fair_queue_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights=cycled_weights) -> DataFrame:
     """``id_column``, source, ``size``, ``source_size``, ``target``, ``taken`` of every row of ``docs``.
 
@@ -52,20 +83,19 @@ def fair_queue_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of the row's source (null is a source of its own, the last one), ``taken`` is the number of
     words that the mix takes from the row: 0 to 3 times its size. ``weights`` gives whole weights
     above 0 for the list of sources in code point order. The shuffle follows the id, so reruns
-    agree; rows with equal ids follow each other by size. Without any word all is 0. Other columns
-    are left out.
+    agree; rows with equal ids follow each other by size. Only where more than ``WINDOW_ROWS`` rows
+    have one id, or none, it follows the text and the number of the copy too, so that they are
+    spread like all others. Without any word all is 0. Other columns are left out.
     """
-    key = F.md5(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary"))
-    sized = kept(
-        docs.select(
-            F.col(f"`{id_column}`").cast("bigint").alias("id"),
-            F.col(f"`{source_column}`").cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(f"`{text_column}`").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
-            F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint").alias("key"),
-        ),
-        "sizes",
+    text = F.col(f"`{text_column}`").cast("string")
+    rows = docs.select(
+        F.col(f"`{id_column}`").cast("bigint").alias("id"),
+        F.col(f"`{source_column}`").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64(text).alias("print"),
     )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    rows = kept(rows.withColumn("key", shuffle_key(F.coalesce(F.col("id").cast("string"), F.lit("")))), "sizes")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -75,8 +105,8 @@ def fair_queue_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str
     table = spark.createDataFrame(
         [(r.source, i, s, t) for i, (r, s, t) in enumerate(zip(totals, sizes, wanted))], "name string, no int, source_size bigint, target double"
     )
-    numbered = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     bits = max(0, (sum(r.rows for r in totals) // WINDOW_ROWS).bit_length())
+    numbered = spread(rows, bits).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     numbered = numbered.withColumn("bucket", F.shiftright("key", 60 - bits) if bits else F.lit(0).cast("bigint"))
     order = ["key", F.coalesce("id", F.lit(0)), "size"]
     # words before each bucket of a source, then before each document of a bucket
