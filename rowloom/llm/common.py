@@ -26,6 +26,12 @@ def prepared(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def carried(carry, *made: str) -> tuple[str, ...]:
+    """The columns to carry along; one with the name of a result column ``made`` gives way to that."""
+    own = {name.lower() for name in made}
+    return tuple(c for c in carry if c.lower() not in own)
+
+
 def tasks_at_once(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

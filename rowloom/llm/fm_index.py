@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import prepared
-from rowloom.llm.kernels import ALNUM_WORD, LOWER, find_words, hash_words, slices, sums_by_text, text_bytes, within
+from rowloom.llm.common import carried, prepared
+from rowloom.llm.kernels import ALNUM_WORD, LOWER, find_words, slices, sums_by_text, text_bytes, within, xxh64_words
 
 # Words of the benchmark that are searched, and broadcast, at once.
 BLOCK_WORDS = 1 << 19
@@ -198,7 +198,7 @@ def scan(batches, windows, fields, text_column):
             low = LOWER[data]
             start, end, first = find_words(low, bounds, ALNUM_WORD)
             texts = np.repeat(np.arange(part.num_rows), np.diff(first))
-            begin, size, of_text, of_item = windows.occurrences(hash_words(low, start, end), texts)
+            begin, size, of_text, of_item = windows.occurrences(xxh64_words(low, start, end), texts)
             change = np.zeros(len(start) + 1, np.int64)
             np.add.at(change, begin, 1)
             np.add.at(change, begin + size, -1)
@@ -237,8 +237,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     Null and empty texts have no words and no hits. Items without words or id are left out;
     repeated ids count once, and items of equal text are spread over the blocks. A benchmark larger than ``block_words`` words is searched in blocks,
     each of which every task gets; an item is never split. Columns that are not
-    carried are left out.
+    carried, and carried ones named like a result column, are left out. Words are told apart by XXH64.
     """
+    carry = carried(carry, "n_words", "n_hit", "items", "spans")
     kinds = dict(docs.select(*carry).dtypes)
     source = docs.select(*carry, F.col(f"`{text_column}`").cast("string").alias("__text"))
     wanted = prepared(benchmark, **{item_column: "string", item_text: "string"})
@@ -249,7 +250,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
                 data, bounds = text_bytes(part.column(item_text))
                 low = LOWER[data]
                 start, end, first = find_words(low, bounds, ALNUM_WORD)
-                h = hash_words(low, start, end)
+                h = xxh64_words(low, start, end)
                 rows = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(item_column), pa.array(rows, pa.binary()), pa.array(np.diff(first))], names=["item", "words", "n"])
 

@@ -206,6 +206,17 @@ def xxh64(data, start, length, seed=42):
     return out
 
 
+def xxh64_words(low, start, end):
+    """XXH64 of the bytes of every word, by pieces of the text."""
+    out = np.empty(len(start), np.uint64)
+    if not len(start):
+        return out
+    cuts = np.unique(np.searchsorted(start, np.arange(0, start[-1] + PIECE_BYTES + 1, PIECE_BYTES)))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        out[a:b] = xxh64(low[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a:b])
+    return out
+
+
 def with_columns(batch, fields, **new):
     """A record batch of the named columns of ``batch`` and new ones."""
     columns = {f: batch.column(f) for f in fields} | {k: pa.array(v) for k, v in new.items()}

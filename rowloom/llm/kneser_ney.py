@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.arrays import get_array, local_path, put_array
-from rowloom.llm.common import kept, prepared
+from rowloom.llm.common import carried, kept, prepared
 from rowloom.llm.kernels import LOWER, SPACED_WORD, find_words, mix64, slices, text_bytes, within, xxh64
 from rowloom.scratch import new_scratch
 
@@ -447,7 +447,9 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), t
     ``n_tokens`` (words and one end), ``n_known`` (those that occur in training), ``base_score``
     (log10 of the smoothed unigram probability), ``score`` (log10 of the model's), ``perplexity``.
     Null is an empty text. With nothing to train on every token has probability 1.
+    Carried columns named like a result column are left out.
     """
+    carry = carried(carry, "n_tokens", "n_known", "base_score", "score", "perplexity")
     kinds = dict(docs.select(*carry).dtypes)
     source = docs.select(*carry, F.col(f"`{text_column}`").cast("string").alias("__text"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import hash_share, prepared
+from rowloom.llm.common import carried, hash_share, prepared
 from rowloom.llm.kernels import SLICE_BYTES, mix64, slices, text_bytes
 
 # Lengths of n-grams in bytes, slots as a power of two, hashes per n-gram.
@@ -110,8 +110,9 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",),
 
     ``und`` with score 0 for null, for texts without a letter and where nothing was learned. A text
     none of whose n-grams any language has gets the first language, with score 1 / languages; ties
-    go to the language that sorts first.
+    go to the language that sorts first. Carried columns named like a result column are left out.
     """
+    carry = carried(carry, "lang_pred", "score")
     kinds = dict(docs.select(*carry).dtypes)
     text = F.col(f"`{text_column}`").cast("string")
     source = docs.select(*carry, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))

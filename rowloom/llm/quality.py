@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import hash_share, labelled_sample, prepared
+from rowloom.llm.common import carried, hash_share, labelled_sample, prepared
 from rowloom.llm.kernels import LOWER, SPACED_WORD, find_words, hash_shingles, hash_words, slices, sums_by_text, text_bytes
 
 # Rows of trusted positives and of unlabelled text to learn from; bins of each measure.
@@ -141,7 +141,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, model: dict, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
-    """The columns ``carry`` and ``score`` (0 to 1) of every row; null counts as an empty text."""
+    """The columns ``carry`` and ``score`` (0 to 1) of every row; null counts as an empty text.
+
+    A carried column named like a result column is left out.
+    """
+    carry = carried(carry, "score")
     kinds = dict(docs.select(*carry).dtypes)
     source = docs.select(*carry, F.col(f"`{text_column}`").cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
