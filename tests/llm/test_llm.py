@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from check_queries import compare, duck
+from rowloom.llm.common import kept
 from rowloom.llm import fm_index, kernels, kneser_ney, language, license_scan, mixing, permutation_index, quality, simhash, token_files, toxicity
 from rowloom.llm.queries import QUERIES, SQL
 
@@ -199,6 +200,28 @@ def test_contamination_odd_input(spark, odd, none):
     assert {r.n_hit for r in fm_index.contamination(odd, items.limit(0)).collect()} == {0}
 
 
+def test_contamination_tells_words_of_equal_polynomial_hashes_apart(spark):
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    table = spark.createDataFrame([(1, x, "t"), (2, y, "t")], "doc_id int, text string, items string")
+    rows = fm_index.contamination(table, table.where("doc_id = 1"), carry=("doc_id", "items"), item_column="doc_id").collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in rows} == {1: (1, ["1"]), 2: (0, [])}
+
+
+def test_carried_columns_give_way_to_results(odd, docs):
+    trained = kneser_ney.train(odd)
+    labels = odd.selectExpr("doc_id", "int(doc_id % 2) quality", "int(doc_id % 2) toxic")
+    for found in (
+        kneser_ney.score(odd, trained, carry=("doc_id", "score")),
+        language.predict(odd, language.learn(docs), carry=("doc_id", "score")),
+        quality.score(odd, quality.learn(odd, labels), carry=("doc_id", "score")),
+        toxicity.score(odd, toxicity.learn(odd, labels), carry=("doc_id", "score")),
+    ):
+        assert found.columns.count("score") == 1 and found.count() == len(ROWS)
+        assert any(r.score != 0.5 for r in found.select("score").collect()) or found.columns == ["doc_id", "score"]
+
+
 # op5
 
 
@@ -384,12 +407,41 @@ def test_nearest_odd_vectors(spark, monkeypatch):
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, None, 1), (7, [None, 1.0], 1), (8, [1.0], 1), (None, [1.0, 1.0], 1), (50, [0.0, -1.0], 1)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
     asked = table.where("vec_id % 50 = 0")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in permutation_index.nearest(table, asked).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in permutation_index.nearest(table, asked).collect())
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
     assert permutation_index.nearest(table.limit(0), asked.limit(0)).collect() == []
     monkeypatch.setattr(permutation_index, "SHARD_ROWS", 3)
     monkeypatch.setattr(permutation_index, "BLOCK_ROWS", 1)
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in permutation_index.nearest(table, asked).collect()) == got
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in permutation_index.nearest(table, asked).collect()) == got
+
+
+def test_every_length_is_searched_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(permutation_index, "SHARD_ROWS", 7)
+    rng = np.random.default_rng(8)
+    rows = {i: rng.normal(size=2 + i % 3 if i % 5 else 4).tolist() for i in range(150)}
+    rows |= {50: [1.0, 2.0, 3.0], 51: [1.0, 2.0, 3.1], 200: [7.0] * 9}
+    table = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in permutation_index.nearest(table, table.where("vec_id % 50 = 0"), 3).collect())
+    want = []
+    for q in (0, 50, 100, 200):
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items() if len(v) == len(rows[q]) and i != q}
+        best = sorted(unit, key=lambda i: (-(unit[i] @ rows[q]), i))[:3]
+        want += [(q, n + 1, i) for n, i in enumerate(best)]
+    assert got == want and (50, 1, 51) in got
+
+
+def test_components_of_any_magnitude(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e200, -1e200]), (3, [3e-320, 0.0]), (4, [1.0, 0.0]), (5, [1.7e308, 1.7e308])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 12)) for r in permutation_index.nearest(table, table.where("vec_id = 0")).collect())
+    half = round(math.sqrt(0.5), 12)
+    assert got == [(1, 1, 1.0), (2, 5, 1.0), (3, 3, half), (4, 4, half), (5, 2, 0.0)]
+
+
+def test_query_rows_of_one_id_are_one_query(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [1.0, 0.1])], "vec_id bigint, embedding array<double>")
+    rows = permutation_index.nearest(table, table.where("vec_id = 0")).collect()
+    assert sorted((r["rank"], r.vec_id) for r in rows) == [(1, 1), (2, 2)]
 
 
 def test_nearest_with_a_third_near_copies(spark):
@@ -430,6 +482,25 @@ def test_mix_odd_input(odd, none):
     assert {r.taken for r in mixing.fair_queue_mix(odd.where("doc_id < 3")).collect()} == {0}
 
 
+def test_mix_in_any_number_of_buckets(docs, monkeypatch):
+    whole = sorted(mixing.fair_queue_mix(docs).collect())
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 20)
+    assert sorted(mixing.fair_queue_mix(docs).collect()) == whole
+
+
+@pytest.mark.parametrize("text", ["'a b'", "cast(id as string)", "null"])
+def test_rows_without_id_are_spread_over_buckets(spark, monkeypatch, text):
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 20)
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    table = spark.range(1000).selectExpr("cast(null as bigint) doc_id", f"{text} text", "'s' source")
+    written = []
+    monkeypatch.setattr(mixing, "kept", lambda df, label: written.append(kept(df, label)) or written[-1])
+    rows = mixing.fair_queue_mix(table).collect()
+    assert len(rows) == 1000 and sum(r.taken for r in rows) == sum(r["size"] for r in rows)
+    keys = [r.key for r in written[-1].collect()]
+    assert len(set(keys)) == 1000 and max(Counter(k >> 54 for k in keys).values()) < 40
+
+
 # op4
 
 
