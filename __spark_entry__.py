@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.expressions import output_path, shard_name
 from rowloom.operators.apply import map_files, map_shards, record_shards
 from rowloom.operators.fingerprint import file_digests, fingerprint, fingerprint_tree
+from rowloom.operators.hash_tree import changed_ranges, hash_tree, schema_digest
 from rowloom.operators.inventory import (
     changed_only,
     exclude_paths,
@@ -27,7 +28,7 @@ from rowloom.operators.inventory import (
     inventory_totals,
     pending_outputs,
 )
-from rowloom.operators.row_index import with_row_index
+from rowloom.operators.row_index import IndexedScan, with_row_index
 from rowloom.operators.split import Shards, split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.plans.split_file import split_file
@@ -244,6 +245,22 @@ def map_shards_good_rows(spark, sf_dir):
     return failing_run(spark, sf_dir).rows
 
 
+def map_shards_attempts(spark, sf_dir):
+    """Every attempt of shards of which some fail once and one always does, with the rows that count."""
+
+    def shaky(shard_id, batches):
+        import os
+
+        for batch in batches:
+            yield batch[["event_id"]]
+        if shard_id == 5 or shard_id % 3 == 0 and os.environ["ROWLOOM_ATTEMPT"] == "0":
+            raise RuntimeError("broken shard")
+
+    run = record_shards(sharded(spark, sf_dir, "events", 10), shaky, "event_id bigint", run_id="events", columns=["event_id"], attempts=3)
+    good = run.rows.groupBy("shard_id").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+    return run.outcome.select("run_name", "shard_id", "attempt", "status").join(good, "shard_id", "left")
+
+
 def shard_directory(spark, sf_dir, n):
     path = new_scratch(spark, "ready")
     write_shards(sharded(spark, sf_dir, "events", n), path, one_file=True)
@@ -369,6 +386,27 @@ def fingerprint_event_shards(spark, sf_dir):
     return event_prints(sharded(spark, sf_dir, "events", 20))
 
 
+TREE_LEAF, TREE_FANOUT = 50, 8
+
+
+def events_with(props):
+    """Fixed edit of the props of some events, for the queries that compare two states of the table."""
+    return F.when(F.col("event_id") % 1777 == 5, F.lit("{}")).otherwise(props)
+
+
+def hash_tree_events(spark, sf_dir):
+    """Every node of the tree over all rows and columns of ``events``."""
+    return hash_tree(index_parquet(spark, table(sf_dir, "events")), TREE_LEAF, TREE_FANOUT)
+
+
+def changed_ranges_events(spark, sf_dir):
+    """Row ranges of ``events`` that must be done again after some props changed."""
+    events = index_parquet(spark, table(sf_dir, "events"))
+    edited = IndexedScan(events.df.withColumn("props", events_with(F.col("props"))), events.total, events.in_order)
+    trees = [hash_tree(scan, TREE_LEAF, TREE_FANOUT) for scan in (events, edited)]
+    return changed_ranges(*trees, TREE_FANOUT)
+
+
 def changed_event_shards(spark, sf_dir):
     """Shards to redo after the props of some events changed."""
     events = sharded(spark, sf_dir, "events", 20)
@@ -459,10 +497,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         split_parquet_embeddings, split_csv_documents, split_text_events,
         split_csv_named_documents, split_text_named_events,
         index_text_events, scan_csv_documents,
-        map_shards_events, map_shard_pieces_events, map_shards_side, map_shards_outcome, map_shards_good_rows,
+        map_shards_events, map_shard_pieces_events, map_shards_side, map_shards_outcome, map_shards_good_rows, map_shards_attempts,
         scan_shard_dir_events, map_files_events, map_file_pieces_events, map_files_raw,
         list_files_suffix, pruned_walk_documents, exclude_paths_pages, exclude_documents_tree, exclude_default_patterns, file_inventory_totals, shard_file_digests,
-        fingerprint_documents, fingerprint_tree_events, fingerprint_event_shards, changed_event_shards, pending_orders,
+        fingerprint_documents, fingerprint_tree_events, fingerprint_event_shards, changed_event_shards, hash_tree_events, changed_ranges_events, pending_orders,
         table_roundtrip_part, table_roundtrip_csv, table_inferred_types, table_rewrite,
     ]
     named = {query.__name__: query for query in found}
@@ -506,6 +544,24 @@ def event_digests(props: str) -> str:
     return f"SELECT shard_id, sha256({row}) AS d FROM {numbered('events', 'event_id', 20)}"
 
 
+def event_tree() -> str:
+    """All nodes of the tree over ``events``; a level is there while the one below has several nodes."""
+    kinds = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")]
+    texts = [name if kind == "string" else f"CAST({name} AS VARCHAR)" for name, kind in kinds]
+    row = f"sha256({' || '.join(tagged(t) for t in texts)})"
+    numbered_rows = f"SELECT i // {TREE_LEAF} AS node, sha256(CAST(i AS VARCHAR) || ':' || {row}) AS d FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)"
+    levels = [
+        f"l0 AS (SELECT node, node * {TREE_LEAF} AS first_row, row_count AS rows, "
+        f"sha256('{schema_digest(kinds)}:' || CAST(node AS VARCHAR) || ':' || fingerprint) AS digest FROM ({summed_prints(numbered_rows, 'node')}))"
+    ]
+    levels += [
+        f"l{k} AS (SELECT node // {TREE_FANOUT} AS node, min(first_row) AS first_row, CAST(sum(rows) AS BIGINT) AS rows, "
+        f"sha256(string_agg(digest, '' ORDER BY l{k - 1}.node)) AS digest FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1 GROUP BY ALL)"
+        for k in range(1, 9)
+    ]
+    return f"WITH {', '.join(levels)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS level, * FROM l{k}" for k in range(9))
+
+
 def oracle_sql() -> dict[str, str]:
     shards_of_500 = "greatest(1, (SELECT count(*) FROM events) // 500)"
     event_line = "CAST(event_id AS VARCHAR) || '|' || props"
@@ -574,6 +630,13 @@ def oracle_sql() -> dict[str, str]:
         "map_shards_good_rows": (
             f"SELECT shard_id, event_id, user_id FROM {numbered('events', 'event_id', 10)} WHERE shard_id <> 3"
         ),
+        "map_shards_attempts": (
+            "SELECT 'events-shard-' || CAST(shard_id AS VARCHAR) || '-a-' || CAST(attempt AS VARCHAR) AS run_name, shard_id, CAST(attempt AS INT) AS attempt, "
+            "CASE WHEN shard_id = 5 OR shard_id % 3 = 0 AND attempt = 0 THEN 'failed' ELSE 'ok' END AS status, rows, ids FROM ("
+            "SELECT shard_id, CASE WHEN shard_id <> 5 THEN count(*) END AS rows, CAST(CASE WHEN shard_id <> 5 THEN sum(event_id) END AS BIGINT) AS ids "
+            f"FROM {numbered('events', 'event_id', 10)} GROUP BY shard_id), range(3) r(attempt) "
+            "WHERE attempt = 0 OR shard_id = 5 OR shard_id % 3 = 0 AND attempt = 1"
+        ),
         "scan_shard_dir_events": ranges("events", "event_id", 11),
         "map_files_events": ranges("events", "event_id", 11),
         "map_file_pieces_events": ranges("events", "event_id", 11),
@@ -633,6 +696,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "fingerprint_documents": summed_prints(f"SELECT sha256({doc_row}) AS d FROM documents"),
         "fingerprint_event_shards": summed_prints(event_digests("props"), "shard_id"),
+        "hash_tree_events": event_tree(),
+        "changed_ranges_events": (
+            f"SELECT i // {TREE_LEAF} * {TREE_LEAF} AS first_row, count(*) AS old_rows, count(*) AS new_rows "
+            "FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) "
+            "GROUP BY ALL HAVING bool_or(event_id % 1777 = 5 AND props <> '{}')"
+        ),
         "changed_event_shards": (
             f"SELECT shard_id, count(*) AS row_count FROM {numbered('events', 'event_id', 20)} GROUP BY shard_id "
             "HAVING bool_or(event_id % 1777 = 5 AND props <> '{}')"

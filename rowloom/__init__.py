@@ -5,6 +5,7 @@ from pyspark import cloudpickle
 from rowloom.functions import tasks as _tasks
 from rowloom.operators.apply import ShardRun, map_files, map_shards, packed_files, record_files, record_shards
 from rowloom.operators.fingerprint import file_digests, fingerprint, fingerprint_tree
+from rowloom.operators.hash_tree import changed_ranges, hash_tree
 from rowloom.operators.inventory import (
     changed_only,
     exclude_paths,
@@ -30,8 +31,8 @@ from rowloom.sources.tables import read_table
 from rowloom.sources.text import index_text, scan_text
 
 __all__ = [
-    "IndexedScan", "ShardRun", "Shards", "changed_only", "detect_format", "exclude_paths", "file_digests",
-    "file_inventory", "fingerprint", "finished_outputs", "fingerprint_tree", "ignore_patterns", "index_csv", "index_parquet",
+    "IndexedScan", "ShardRun", "Shards", "changed_only", "changed_ranges", "detect_format", "exclude_paths", "file_digests",
+    "file_inventory", "fingerprint", "finished_outputs", "fingerprint_tree", "hash_tree", "ignore_patterns", "index_csv", "index_parquet",
     "index_text", "inventory_totals", "list_files", "map_files", "map_shards", "packed_files", "parse_records", "pending_outputs",
     "read_manifest", "read_table", "record_files", "record_shards", "scan_csv_verbatim", "scan_parquet", "scan_shard_dir", "scan_text", "shard_plan",
     "split_contiguous", "split_file", "with_row_index", "write_csv_records", "write_named_shards", "write_shards", "write_table",

@@ -93,8 +93,10 @@ class RecordJoiner:
     lines between them are records, or the inside of one field, as a whole.
     """
 
-    def __init__(self):
+    def __init__(self, most):
+        self.most = most  # characters of a record that spans lines
         self.pending = []  # pieces of the record that is still open
+        self.open = 0  # their characters
         self.records = []  # Arrow arrays of finished records
 
     def feed(self, values):
@@ -115,7 +117,7 @@ class RecordJoiner:
         import pyarrow.compute as pc
 
         if len(values) and self.pending:
-            self.pending.append("\n".join(values.to_pylist()) + "\n")
+            self._keep("\n".join(values.to_pylist()) + "\n")
         elif len(values):
             self.records.append(pc.utf8_rtrim(values, "\r"))
 
@@ -126,19 +128,25 @@ class RecordJoiner:
             if ends_in_quote(piece, bool(self.pending)):
                 last = i == len(pieces) - 1
                 ending = ("\r\n" if line.endswith("\r") else "\n") if last else "\r"
-                self.pending.append(piece + ending)
+                self._keep(piece + ending)
             else:
                 done.append("".join(self.pending) + piece)
-                self.pending = []
+                self.pending, self.open = [], 0
         return done
 
+    def _keep(self, piece):
+        self.pending.append(piece)
+        self.open += len(piece)
+        if self.open > self.most:
+            raise ValueError(f"a CSV record with an open quote has more than {self.most} characters: {self.pending[0][:200]!r}")
+
     def close(self):
         """A quote still open at the end of the file ends there."""
         import pyarrow as pa
 
         if self.pending:
             self.records.append(pa.array(["".join(self.pending)], pa.string()))
-            self.pending = []
+            self.pending, self.open = [], 0
 
     def take(self):
         import pyarrow as pa
@@ -147,7 +155,7 @@ class RecordJoiner:
         return pa.concat_arrays(records) if records else pa.array([], pa.string())
 
 
-def assemble_records(batches):
+def assemble_records(batches, most):
     """Join the lines of one partition into CSV records and number them.
 
     Input columns: value, tail, base, header, file.  ``tail`` is set on the last line of an
@@ -159,7 +167,7 @@ def assemble_records(batches):
     import pyarrow.compute as pc
 
     schema = pa.schema([("value", pa.string()), ("row_idx", pa.int64()), ("lead", pa.bool_()), ("file", pa.string())])
-    joiner = RecordJoiner()
+    joiner = RecordJoiner(most)
     next_idx = file = None
     skip, lead = False, True
 
@@ -231,8 +239,19 @@ def _cut(frame):
         start = stop
 
 
-def shard_worker(fn, names, side_name, whole, record):
-    """Body of ``mapInPandas`` for the per-shard map; see ``operators.apply``."""
+def announce(attempt):
+    """Tell the program about to run which attempt of its shard this is."""
+    import os
+
+    os.environ["ROWLOOM_ATTEMPT"] = str(attempt)
+
+
+def shard_worker(fn, names, side_name, whole, record, again=None):
+    """Body of ``mapInPandas`` for the per-shard map; see ``operators.apply``.
+
+    ``again``: partition k is not shard k but the k-th of these (shard, number of its first attempt).
+    """
+    firsts = dict(again or ())
 
     def work(frames):
         from pyspark import SparkFiles, TaskContext
@@ -244,12 +263,15 @@ def shard_worker(fn, names, side_name, whole, record):
             empty = False
             yield from run(shard_id, pieces, extra, context)
         if empty and whole:  # partition k is shard k: a shard without rows still runs
-            yield from run(context.partitionId(), iter(()), extra, context)
+            part = context.partitionId()
+            yield from run(again[part][0] if again else part, iter(()), extra, context)
 
     def run(shard_id, pieces, extra, context):
         import pandas as pd
 
         rows_out, error = 0, None
+        attempt = firsts.get(shard_id, 0) + context.attemptNumber()
+        announce(attempt)
         try:
             for out in fn(shard_id, (p.drop(columns="shard_id") for p in pieces), *extra):
                 out = out[names].copy()
@@ -264,7 +286,7 @@ def shard_worker(fn, names, side_name, whole, record):
             error = f"{type(exc).__name__}: {exc}"
         if record:
             outcome = {name: [None] for name in names}
-            outcome.update(shard_id=[shard_id], _rowloom_attempt=[context.attemptNumber()], _rowloom_error=[error],
+            outcome.update(shard_id=[shard_id], _rowloom_attempt=[attempt], _rowloom_error=[error],
                            _rowloom_status=["failed" if error else "ok"], _rowloom_rows_out=[rows_out])
             yield pd.DataFrame(outcome)
 
@@ -464,8 +486,12 @@ def tree_walker(base, budget, regexes=(), recursive=True):
     return walk
 
 
-def file_worker(fn, names, side_name, record):
-    """Body of ``mapInPandas`` for ``map_raw_files``: (shard_id, path) in, what ``fn`` makes of each file out."""
+def file_worker(fn, names, side_name, record, again=None):
+    """Body of ``mapInPandas`` for ``map_raw_files``: (shard_id, path) in, what ``fn`` makes of each file out.
+
+    ``again``: (shard, number of its first attempt) of those that run again.
+    """
+    firsts = dict(again or ())
 
     def work(batches):
         import io
@@ -493,6 +519,8 @@ def file_worker(fn, names, side_name, record):
         for frame in batches:
             for shard_id, path in zip(frame["shard_id"], frame["path"]):
                 rows_out, error = 0, None
+                attempt = firsts.get(int(shard_id), 0) + context.attemptNumber()
+                announce(attempt)
                 try:
                     filesystem, inner = open_filesystem(path)
                     with filesystem.open_input_file(inner) as raw, Stream(raw, 1 << 20) as stream:
@@ -507,7 +535,7 @@ def file_worker(fn, names, side_name, record):
                     error = f"{type(exc).__name__}: {exc}"
                 if record:
                     outcome = {name: [None] for name in names}
-                    outcome.update(shard_id=[int(shard_id)], _rowloom_attempt=[context.attemptNumber()], _rowloom_error=[error],
+                    outcome.update(shard_id=[int(shard_id)], _rowloom_attempt=[attempt], _rowloom_error=[error],
                                    _rowloom_status=["failed" if error else "ok"], _rowloom_rows_out=[rows_out])
                     yield pd.DataFrame(outcome)
 

@@ -52,7 +52,8 @@ def map_shards(
     DataFrame as a directory of Parquet files.  ``columns`` names what ``fn`` needs; other
     columns are not read.
     """
-    return _run(shards, fn, schema, side, whole, columns, record=False)
+    side_name = _ship(shards.df.sparkSession, side) if side is not None else None
+    return _run(shards, fn, schema, side_name, whole, columns, record=False)
 
 
 @dataclass(frozen=True)
@@ -71,15 +72,43 @@ def record_shards(
     run_id: str = "run",
     config: dict[str, str] | None = None,
     columns: Sequence[str] | None = None,
+    attempts: int = 1,
 ) -> ShardRun:
     """Like ``map_shards``, but a shard whose program raises does not stop the others.
 
-    ``outcome`` has one row per shard: run_id, run_name, shard_id, attempt, status, error,
-    rows_out, config.  The program runs once; its output is kept in the shared folder and
-    both frames read it from there.
+    A shard that failed runs again, with no others but those that failed too, until it succeeds or
+    has had ``attempts`` runs.  ``outcome`` has one row per attempt: run_id, run_name, shard_id,
+    attempt, status, error, rows_out, config; ``rows`` are those of the attempts that succeeded.
+    The program finds the number of its attempt in the environment, ``ROWLOOM_ATTEMPT``.  What
+    it returns is kept in the shared folder and both frames read it from there.
     """
-    done = checkpointed(_run(shards, fn, schema, side, True, columns, record=True))
-    return _recorded(done, schema, shards.n, run_id, config)
+    side_name = _ship(shards.df.sparkSession, side) if side is not None else None
+    return _rounds(lambda again: _run(shards, fn, schema, side_name, True, columns, True, again), schema, shards.n, run_id, config, attempts)
+
+
+def _rounds(run, schema: str, shards: int, run_id: str, config: dict[str, str] | None, attempts: int) -> ShardRun:
+    """Run all shards, then those that failed, up to ``attempts`` times; all rounds together.
+
+    The driver gets one row per failed shard, no more than it had tasks.
+    """
+    if attempts < 1:
+        raise ValueError(f"attempts must be at least 1, got {attempts}")
+    rows, outcome, again = None, None, None
+    for _ in range(attempts):
+        part = _recorded(checkpointed(run(again)), schema, shards, run_id, config)
+        rows = part.rows if rows is None else rows.unionByName(part.rows)
+        outcome = part.outcome if outcome is None else outcome.unionByName(part.outcome)
+        failed = part.outcome.filter("status = 'failed'").select("shard_id", F.col("attempt") + 1) if attempts > 1 else None
+        again = sorted(tuple(r) for r in failed.collect()) if failed is not None else []
+        if not again:
+            break
+    return ShardRun(rows, outcome)
+
+
+def _only(df: DataFrame, again: list[tuple[int, int]]) -> DataFrame:
+    """Rows of the shards that run again, with their place among these."""
+    table = df.sparkSession.createDataFrame([(shard, i) for i, (shard, _) in enumerate(again)], f"shard_id int, {PREFIX}place int")
+    return df.join(small_side(table, 16 * len(again)), "shard_id")
 
 
 def _recorded(done: DataFrame, schema: str, shards: int, run_id: str, config: dict[str, str] | None) -> ShardRun:
@@ -140,7 +169,7 @@ def map_files(
     if fmt == "raw":
         if columns or not whole:
             raise ValueError("raw files have no columns and are not cut in pieces")
-        return _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=False)[0]
+        return _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=False)[0](None)
     return map_shards(scan_shard_dir(spark, directory, fmt, expected), fn, schema, side, whole, columns)
 
 
@@ -154,10 +183,11 @@ def record_files(
     run_id: str = "run",
     config: dict[str, str] | None = None,
     task_bytes: int = TASK_BYTES,
+    attempts: int = 1,
 ) -> ShardRun:
     """``record_shards`` over the files of a directory as they are (``map_files`` with ``fmt="raw"``)."""
-    made, count = _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=True)
-    return _recorded(checkpointed(made), schema, count, run_id, config)
+    run, count = _run_files(spark, directory, fn, schema, expected, side, task_bytes, record=True)
+    return _rounds(run, schema, count, run_id, config, attempts)
 
 
 def packed_files(spark: SparkSession, directory: str, expected: int = 0, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, int, int]:
@@ -198,26 +228,33 @@ def packed_files(spark: SparkSession, directory: str, expected: int = 0, task_by
     return dense, count, int(bins["bins"].sum() - shared.iloc[-1])
 
 
-def _run_files(spark, directory, fn, schema, expected, side, task_bytes, record) -> tuple[DataFrame, int]:
+def _run_files(spark, directory, fn, schema, expected, side, task_bytes, record) -> tuple[Callable, int]:
+    """A function that runs ``fn`` on the files, all (None) or those that run again; their number."""
     placed, count, bins = packed_files(spark, directory, expected, task_bytes)
-    dealt = placed.repartitionById(bins, "bin").sortWithinPartitions("shard_id").select("shard_id", "path")
     side_name = _ship(spark, side) if side is not None else None
     names = T.StructType.fromDDL(schema).names
-    return dealt.mapInPandas(tasks.file_worker(fn, names, side_name, record), _output(schema, record)), count
+
+    def run(again):
+        chosen = placed.repartitionById(bins, "bin") if again is None else _only(placed, again).repartitionById(len(again), f"{PREFIX}place")
+        dealt = chosen.sortWithinPartitions("shard_id").select("shard_id", "path")
+        return dealt.mapInPandas(tasks.file_worker(fn, names, side_name, record, again), _output(schema, record))
+
+    return run, count
 
 
 OUTCOME = "_rowloom_attempt int, _rowloom_status string, _rowloom_error string, _rowloom_rows_out bigint"
 
 
-def _run(shards: Shards, fn, schema: str, side, whole: bool, columns, record: bool) -> DataFrame:
+def _run(shards: Shards, fn, schema: str, side_name: str | None, whole: bool, columns, record: bool, again=None) -> DataFrame:
     names = T.StructType.fromDDL(schema).names
     data = columns or [c for c in shards.df.columns if c not in RESERVED and not c.startswith(PREFIX)]
     df = shards.df.select(*data, "shard_id", "row_idx")
-    if whole:
+    if again:
+        df = _only(df, again).repartitionById(len(again), f"{PREFIX}place").drop(f"{PREFIX}place").sortWithinPartitions("row_idx")
+    elif whole:
         df = df.repartitionById(shards.n, "shard_id").sortWithinPartitions("shard_id", "row_idx")
-    df = df.drop("row_idx")
-    side_name = _ship(df.sparkSession, side) if side is not None else None
-    return df.mapInPandas(tasks.shard_worker(fn, names, side_name, whole, record), _output(schema, record))
+    df = df.drop("row_idx").select("shard_id", *data) if again else df.drop("row_idx")
+    return df.mapInPandas(tasks.shard_worker(fn, names, side_name, whole, record, again), _output(schema, record))
 
 
 def _output(schema: str, record: bool) -> T.StructType:

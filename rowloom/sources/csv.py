@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import tasks
 from rowloom.operators.row_index import (
     FILE,
+    LENGTH,
     M,
     PREFIX,
     START,
@@ -38,6 +39,8 @@ from rowloom.scratch import checkpointed
 
 LEAD = PREFIX + "lead"
 
+# Characters of a record that spans lines.
+RECORD_CHARS = 64 << 20
 # Closing lines of records that cross a split are broadcast up to this size.
 TAIL_BYTES = 64 << 20
 
@@ -54,11 +57,14 @@ class CsvScan(IndexedScan):
     header: str = ""
 
 
-def index_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, tail_bytes: int = TAIL_BYTES) -> CsvScan:
+def index_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, tail_bytes: int = TAIL_BYTES, record_chars: int = RECORD_CHARS
+) -> CsvScan:
     """Records of a CSV file, or of several with one header each, in file order.
 
     ``multi_line=False`` promises that no field holds a line break and saves the look at
-    the quotes.
+    the quotes.  A record that spans lines and has more than ``record_chars`` characters, as a
+    stray quote makes it, is an error: here where it covers whole splits, else when it is read.
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     placed = lines.select("value", *position_columns())
@@ -71,8 +77,9 @@ def index_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Tru
     if counted.empty:
         raise ValueError(f"{path} is empty: a CSV file needs a header line")
     _same_headers(counted)
-    blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None)
+    blocks = _chain(counted, _quote_summary(placed, special) if counted["special"].sum() else None, record_chars)
     header = _header(lines, counted[FILE].iloc[0])
+    _same_header_records(placed, counted, header)
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
     files = files_of(blocks)
     in_place = broadcasts(blocks)
@@ -83,9 +90,9 @@ def index_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Tru
     if in_place:
         tails, size = _closing_lines(placed, blocks)
         if size <= tail_bytes:
-            return CsvScan(_joined_in_place(placed, blocks, tails), total, in_order, most, files, header)
+            return CsvScan(_joined_in_place(placed, blocks, tails, record_chars), total, in_order, most, files, header)
     most = int(blocks["records"].max())
-    return CsvScan(_joined_after_shuffle(placed, blocks), total, True, most, files, header)
+    return CsvScan(_joined_after_shuffle(placed, blocks, record_chars), total, True, most, files, header)
 
 
 def _inner_return(value: Column) -> Column:
@@ -104,6 +111,21 @@ def _same_headers(counted: pd.DataFrame) -> None:
         )
 
 
+def _same_header_records(placed: DataFrame, counted: pd.DataFrame, header: str) -> None:
+    """Refuse files that differ in a later line of a header of several lines."""
+    count = header.count("\n") + 1
+    if count == 1 or counted[FILE].nunique() == 1:
+        return
+    numbered = counted.assign(line=counted.groupby(FILE, sort=False)["rows"].transform(before) - counted["min_m"])
+    heads = attach_blocks(placed, numbered, ["line"]).select(FILE, "value", (F.col("line") + F.col(M)).alias("line")).filter(F.col("line") < count)
+    in_order = F.array_sort(F.collect_list(F.struct("line", "value")))  # ``count`` lines
+    texts = heads.groupBy(FILE).agg(F.array_join(F.transform(in_order, lambda x: x["value"]), "\n").alias("head"))
+    same = (F.col("head") == F.lit(header)) | F.col("head").startswith(header + "\r")
+    other = texts.filter(~same).orderBy(FILE).first()
+    if other is not None:
+        raise ValueError(f"{other[FILE]} begins with {other.head[:200]!r}, others with {header[:200]!r}: give files of one header")
+
+
 def _header(lines: DataFrame, first_file: str) -> str:
     """Header record of the first file; reads more lines only while a quote stays open."""
     first = lines.filter(F.col("_metadata.file_path") == first_file)
@@ -131,7 +153,7 @@ def _quote_summary(placed: DataFrame, special: Column) -> pd.DataFrame:
     return quoted.mapInArrow(tasks.summarize_quotes, SUMMARY).toPandas()
 
 
-def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
+def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None, record_chars: int) -> pd.DataFrame:
     """Add to each block what its lines need to find their record.
 
     head: leading lines that belong to a record begun in an earlier block, ``holder``;
@@ -143,7 +165,8 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
         facts = {(s.file, s.start): s for s in summary.itertuples(index=False)}
     n = len(blocks)
     head, holders, records, spans, first, file_no = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n, [0] * n
-    file, holder, is_open = None, 0, False
+    file, holder, is_open, inside = None, 0, False, 0
+    lengths = list(blocks[LENGTH])
     columns = zip(blocks[FILE], blocks[START], blocks["min_m"], blocks["rows"])
     for i, (block_file, start, min_m, rows) in enumerate(columns):
         if block_file != file:
@@ -162,6 +185,10 @@ def _chain(blocks: pd.DataFrame, summary: pd.DataFrame | None) -> pd.DataFrame:
             if is_open:
                 head_begun = fact.head_recs
                 head[i] = rows if fact.close_m < 0 else fact.close_m - min_m + 1
+        # a block that lies in one field as a whole; a character has up to four bytes
+        inside = inside + lengths[i] if is_open and head[i] == rows else 0
+        if inside > 4 * record_chars:
+            raise ValueError(f"{block_file} has a CSV record of more than {record_chars} characters that lasts past byte {start}")
         holders[i] = holder
         records[holder] += head_begun
         if head[i] < rows:
@@ -216,9 +243,9 @@ def _lines_as_records(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
 ASSEMBLED = "value string, row_idx bigint, lead boolean, file string"
 
 
-def _assembled(lines: DataFrame) -> DataFrame:
+def _assembled(lines: DataFrame, record_chars: int) -> DataFrame:
     return lines.select("value", "tail", "base", "header", "file").mapInArrow(
-        tasks.assemble_records, ASSEMBLED
+        lambda batches, assemble=tasks.assemble_records: assemble(batches, record_chars), ASSEMBLED
     ).withColumnsRenamed({"file": FILE, "lead": LEAD})
 
 
@@ -238,7 +265,7 @@ def _closing_lines(placed: DataFrame, blocks: pd.DataFrame) -> tuple[DataFrame,
     return tails, lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
 
 
-def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame) -> DataFrame:
+def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame, record_chars: int) -> DataFrame:
     """Join lines into records where they were read; ``tails`` is small."""
     ended = blocks.assign(last_m=blocks["min_m"] + blocks["rows"] - 1)
     own = attach_blocks(placed, ended, ["min_m", "head", "ordinal", "base", "first", "last_m"]).filter(
@@ -252,10 +279,10 @@ def _joined_in_place(placed: DataFrame, blocks: pd.DataFrame, tails: DataFrame)
         F.col("first").alias("header"),
         F.col(FILE).alias("file"),
     )
-    return _assembled(lines)
+    return _assembled(lines, record_chars)
 
 
-def _joined_after_shuffle(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
+def _joined_after_shuffle(placed: DataFrame, blocks: pd.DataFrame, record_chars: int) -> DataFrame:
     """Send each line to the block that owns its record, then join lines into records.
 
     Almost every line stays with its own block, so a reducer reads from one or two map
@@ -275,7 +302,7 @@ def _joined_after_shuffle(placed: DataFrame, blocks: pd.DataFrame) -> DataFrame:
         F.when(continues, F.col("holder_base")).otherwise(F.col("base")).alias("base"),
         F.when(continues, F.col("holder_first")).otherwise(F.col("first")).alias("header"),
     )
-    return _assembled(owned.repartitionById(len(blocks), "owner").sortWithinPartitions("ordinal", M))
+    return _assembled(owned.repartitionById(len(blocks), "owner").sortWithinPartitions("ordinal", M), record_chars)
 
 
 def header_names(header: str) -> list[str]:
@@ -305,12 +332,12 @@ def parse_records(scan: CsvScan, mode: str = "FAILFAST") -> DataFrame:
 
 
 def scan_csv_verbatim(
-    spark: SparkSession, path: str, multi_line: bool = True, mode: str = "FAILFAST"
+    spark: SparkSession, path: str, multi_line: bool = True, mode: str = "FAILFAST", record_chars: int = RECORD_CHARS
 ) -> DataFrame:
     """CSV with a header as string columns, no type inference, text kept as it is.
 
     Rows with too few or too many fields raise an error; ``mode="PERMISSIVE"`` pads or
-    cuts them.
+    cuts them.  ``record_chars`` as for ``index_csv``.
     """
-    scan = index_csv(spark, path, multi_line)
+    scan = index_csv(spark, path, multi_line, record_chars=record_chars)
     return parse_records(scan, mode).drop("row_idx", FILE)
