@@ -48,20 +48,24 @@ def hash_tree(scan: IndexedScan, leaf_rows: int = LEAF_ROWS, fanout: int = FANOU
     sums = _summed(scan.df.select(int_div(F.col("row_idx"), leaf_rows).alias("node"), row.alias("_digest")), ["node"])
     level = checkpointed(
         sums.select(
-            F.lit(0).alias("level"), "node", (F.col("node") * leaf_rows).alias("first_row"), F.col("row_count").alias("rows"),
+            "node", (F.col("node") * leaf_rows).alias("first_row"), F.col("row_count").alias("rows"),
             F.sha2(F.concat_ws(":", schema, F.col("node").cast("string"), "fingerprint"), 256).alias("digest"),
         )
     )
     levels, nodes = [level], -(-scan.total // leaf_rows)
     while nodes > 1:
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # up to ``fanout``
-        level = level.groupBy(F.lit(len(levels)).alias("level"), int_div(F.col("node"), fanout).alias("node")).agg(
-            F.min("first_row").alias("first_row"), F.sum("rows").alias("rows"),
-            F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"),
+        # every level is kept, so that the plan of one does not hold those of all below it
+        level = checkpointed(
+            level.groupBy(int_div(F.col("node"), fanout).alias("node")).agg(
+                F.min("first_row").alias("first_row"), F.sum("rows").alias("rows"),
+                F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"),
+            )
         )
         levels, nodes = [*levels, level], -(-nodes // fanout)
-    whole = levels[0]
-    for level in levels[1:]:
+    # the level is a literal again: a filter on it reads no other level
+    whole, *above = (level.select(F.lit(i).alias("level"), "node", "first_row", "rows", "digest") for i, level in enumerate(levels))
+    for level in above:
         whole = whole.unionByName(level)
     return whole
 
@@ -70,7 +74,9 @@ def changed_ranges(old: DataFrame, new: DataFrame, fanout: int = FANOUT) -> Data
     """first_row, old_rows, new_rows of the leaves that differ between two trees of one shape.
 
     Goes down from the highest level that both have and looks only at children of nodes that
-    differ.  ``old_rows`` or ``new_rows`` is 0 where only one table has rows.
+    differ.  ``old_rows`` or ``new_rows`` is 0 where only one table has rows.  The nodes that differ are
+    kept level by level: both sides of the level below need them, so a plan over all levels
+    would double with each.
     """
     top = min(tree.agg(F.max("level")).first()[0] for tree in (old, new))
 
@@ -83,7 +89,7 @@ def changed_ranges(old: DataFrame, new: DataFrame, fanout: int = FANOUT) -> Data
 
     found = differing(top, None)
     for level in range(top - 1, -1, -1):
-        found = differing(level, found.select(F.col("node").alias("parent")))
+        found = differing(level, checkpointed(found.select(F.col("node").alias("parent"))))
     rows = [F.coalesce(F.col(f"{name}_rows"), F.lit(0)).cast("bigint").alias(f"{name}_rows") for name in ("old", "new")]
     ranges = found.select(F.coalesce("new_first_row", "old_first_row").alias("first_row"), *rows)
     return ranges.filter("old_rows > 0 or new_rows > 0")

@@ -49,6 +49,17 @@ def test_changed_ranges(spark, tmp_path):
         assert sorted(tuple(r) for r in changed_ranges(old, other, 4).collect()) == want
 
 
+def test_plans_of_high_trees_stay_small(spark, tmp_path):
+    rows = spark.range(300).withColumn("v", F.col("id") * 2)
+    edited = rows.withColumn("v", F.when(F.col("id").isin(0, 299), -1).otherwise(F.col("v")))
+    old, new = (hash_tree(stored(spark, tmp_path / name, df, 2), 2, 2) for name, df in (("old", rows), ("new", edited)))
+    assert old.agg(F.max("level")).first()[0] == 8
+    changed = changed_ranges(old, new, 2)
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3 and plan.count("Aggregate") == 0 and plan.count("LogicalRDD") == 4
+    assert sorted(tuple(r) for r in changed.collect()) == [(0, 2, 2), (298, 2, 2)]
+
+
 def test_tree_of_nothing(spark):
     none = IndexedScan(spark.range(0).withColumn("row_idx", F.col("id")), 0, True)
     tree = hash_tree(none)
