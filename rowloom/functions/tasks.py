@@ -246,6 +246,15 @@ def announce(attempt):
     os.environ["ROWLOOM_ATTEMPT"] = str(attempt)
 
 
+def side_path(side):
+    """Where a task finds a side file: an absolute path is in the shared folder, a name was shipped by Spark."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return side if os.path.isabs(side) else SparkFiles.get(side)
+
+
 def shard_worker(fn, names, side_name, whole, record, again=None):
     """Body of ``mapInPandas`` for the per-shard map; see ``operators.apply``.
 
@@ -254,10 +263,10 @@ def shard_worker(fn, names, side_name, whole, record, again=None):
     firsts = dict(again or ())
 
     def work(frames):
-        from pyspark import SparkFiles, TaskContext
+        from pyspark import TaskContext
 
         context = TaskContext.get()
-        extra = (SparkFiles.get(side_name),) if side_name else ()
+        extra = (side_path(side_name),) if side_name else ()
         empty = True
         for shard_id, pieces in shard_runs(frames):
             empty = False
@@ -498,7 +507,7 @@ def file_worker(fn, names, side_name, record, again=None):
 
         import pandas as pd
         import pyarrow as pa
-        from pyspark import SparkFiles, TaskContext
+        from pyspark import TaskContext
 
         class Stream(io.BufferedReader):
             """A binary file; ``path`` says which."""
@@ -506,7 +515,7 @@ def file_worker(fn, names, side_name, record, again=None):
             path = ""
 
         context = TaskContext.get()
-        extra = (SparkFiles.get(side_name),) if side_name else ()
+        extra = (side_path(side_name),) if side_name else ()
 
         def as_frame(out, shard_id):
             frame = out.to_pandas() if isinstance(out, (pa.RecordBatch, pa.Table)) else out

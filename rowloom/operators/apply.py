@@ -266,12 +266,17 @@ def _output(schema: str, record: bool) -> T.StructType:
 def _ship(spark: SparkSession, side: DataFrame | str) -> str:
     """Register a side file with the session; executors fetch it once each.
 
-    Every call ships a copy under a name of its own: a session takes each name once.
+    Every call ships a copy under a name of its own: a session takes each name once.  Spark ships
+    no local folders between machines: tasks open those, by the path returned, in the shared
+    folder, which every machine has mounted then.
     """
     path = side
     if isinstance(side, DataFrame):
         path = new_scratch(spark, "side")
         side.write.parquet(path)
     path, recursive = private_copy(spark, path, new_scratch(spark, "shipped"), SIDE_BYTES)
+    place = qualified(spark, path)
+    if recursive and place.startswith("file:"):
+        return "/" + place.removeprefix("file:").lstrip("/")
     spark.sparkContext.addFile(path, recursive=recursive)
     return posixpath.basename(path)

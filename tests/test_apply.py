@@ -1,3 +1,5 @@
+import os
+import subprocess
 import sys
 
 import pandas as pd
@@ -79,6 +81,45 @@ def test_side_table_and_side_file(spark, shards, tmp_path):
     assert {r.w for r in map_shards(shards, word, "w string", side=str(tmp_path / "words.txt")).collect()} == {"hello"}
 
 
+ON_EXECUTORS = """
+import sys
+import pandas as pd
+from pyspark.sql import SparkSession
+from rowloom import index_parquet, map_files, map_shards, split_contiguous
+
+tmp = sys.argv[1]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": sys.argv[2]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+side = spark.createDataFrame([(0, "zero"), (1, "one"), (2, "two")], "g int, name string")
+
+def named(shard_id, batches, path):
+    names = pd.read_parquet(path).set_index("g")["name"]
+    for b in batches:
+        yield b.assign(name=b["g"].map(names))[["id", "name"]]
+
+def sized(shard_id, stream, path):
+    yield pd.DataFrame({"rows": [len(pd.read_parquet(path))]})
+
+shards = split_contiguous(index_parquet(spark, tmp + "/d.parquet"), 7)
+got = map_shards(shards, named, "id bigint, name string", side=side)
+assert got.filter("name = element_at(array('zero', 'one', 'two'), cast(id % 3 as int) + 1)").count() == 1000
+assert [r.rows for r in map_files(spark, tmp + "/files", sized, "rows bigint", "raw", side=side).collect()] == [3]
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_side_table_reaches_executors(shards, tmp_path, scheme):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_text("x")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    args = [sys.executable, "-c", ON_EXECUTORS, str(tmp_path), f"{scheme}{tmp_path}/shared"]
+    # a session of its own, in a process of its own: executors are not the driver
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}
+    done = subprocess.run(args, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_outcomes(spark, shards):
     def shaky(shard_id, batches):
         for b in batches:
