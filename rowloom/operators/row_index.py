@@ -34,7 +34,8 @@ class IndexedScan:
 
     ``in_order`` says that rows lie in ``row_idx`` order within and across partitions, so
     that writers can keep the order without a shuffle.  ``widest`` bounds the rows of a
-    partition (0: not known).
+    partition (0: not known).  ``blocks`` has the first row and the bytes of every input block,
+    in row order (empty: not known).
     """
 
     df: DataFrame
@@ -42,6 +43,7 @@ class IndexedScan:
     in_order: bool
     widest: int = 0
     files: tuple[str, ...] = ()  # as ``FILE`` spells them, in row order
+    blocks: tuple[tuple[int, int], ...] = ()
 
 
 def position_columns() -> list[Column]:
@@ -77,6 +79,10 @@ def files_of(blocks: pd.DataFrame) -> tuple[str, ...]:
     return tuple(blocks[FILE].unique())
 
 
+def block_sizes(blocks: pd.DataFrame, first_rows: pd.Series) -> tuple[tuple[int, int], ...]:
+    return tuple(zip(first_rows.astype("int64").tolist(), blocks[LENGTH].astype("int64").tolist()))
+
+
 def widest(blocks: pd.DataFrame) -> int:
     """Rows of the largest partition; the upper bits of ``min_m`` number the partitions."""
     return int(blocks["rows"].groupby(blocks["min_m"] // 2**33).sum().max())
@@ -127,10 +133,11 @@ def index_blocks(placed: DataFrame, blocks: pd.DataFrame) -> IndexedScan:
     """``row_idx`` for a scan whose lines or rows are the records."""
     if blocks.empty:
         return IndexedScan(placed.withColumn("row_idx", F.col(M)), 0, True)
-    blocks = blocks.assign(**{BASE: before(blocks["rows"]) - blocks["min_m"]})
+    first_rows = before(blocks["rows"])
+    blocks = blocks.assign(**{BASE: first_rows - blocks["min_m"]})
     df = attach_blocks(placed, blocks, [BASE]).withColumn("row_idx", F.col(BASE) + F.col(M)).drop(BASE)
     in_order = rises(blocks["min_m"]) and broadcasts(blocks)
-    return IndexedScan(df, int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks))
+    return IndexedScan(df, int(blocks["rows"].sum()), in_order, widest(blocks), files_of(blocks), block_sizes(blocks, first_rows))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str]) -> IndexedScan:

@@ -6,14 +6,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.expressions import int_div
-from rowloom.operators.row_index import PREFIX, RESERVED
+from rowloom.operators.row_index import PREFIX, RESERVED, side_bytes
 from rowloom.operators.split import Shards
 from rowloom.sinks.manifest import record_directories
 from rowloom.sinks.named import write_named
+from rowloom.scratch import small_side
 from rowloom.sinks.replace import refuse_sources_in, replacing, sources_of
 from rowloom.sources.csv import LEAD
 from rowloom.sources.files import holds
@@ -32,6 +35,10 @@ CSV_OPTIONS = {
 
 OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 MAX_OPEN_FILES = 64
+# Bytes of input in a run of rows that one task writes after the shuffle, and how finely runs are cut.
+RUN_BYTES = 128 << 20
+CELLS_PER_RUN = 64
+RUN = PREFIX + "run"  # first row of a run
 
 
 def write_shards(
@@ -47,7 +54,8 @@ def write_shards(
     A shard may be far larger than one task: its files, in the order of their part
     numbers, hold consecutive runs of rows.  Partitions that are already in row order are
     written where they are.  Otherwise one shuffle sends each run of at most
-    ``rows_per_file`` rows to its own task.
+    ``rows_per_file`` rows, and of about ``RUN_BYTES`` of the input where its blocks are
+    known, to its own task.
 
     ``one_file=True`` writes ``path/part-K``, exactly one file per shard; shards are then
     the unit of work, so choose ``n`` to fit them.
@@ -66,7 +74,7 @@ def write_shards(
         elif stays_in_place(shards, rows_per_file):
             _save_by_shard(shards.df, shards.spread, fmt, folder)
         else:
-            _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)), 0, fmt, folder)
+            _save_by_shard(by_chunks(shards, chunk_rows(shards, rows_per_file)).drop(RUN), 0, fmt, folder)
         if not one_file:
             record_directories(shards.df.sparkSession, folder, folder, fmt)
 
@@ -90,8 +98,8 @@ def write_csv_records(
         if stays_in_place(shards, rows_per_file):
             placed, first_of_task, spread = shards.df, F.col(LEAD), shards.spread
         else:
-            rows = chunk_rows(shards, rows_per_file)
-            placed, first_of_task, spread = by_chunks(shards, rows), F.col("row_idx") % rows == 0, 0
+            placed = by_chunks(shards, chunk_rows(shards, rows_per_file))
+            first_of_task, spread = F.col("row_idx") == F.col(RUN), 0
         line = F.when(first_of_shard | first_of_task, with_header).otherwise(F.col("value"))
         _save_by_shard(placed.select(line.alias("value"), "shard_id", "row_idx"), spread, "text", folder)
         record_directories(shards.df.sparkSession, folder, folder, "csv")
@@ -151,9 +159,42 @@ def one_each(df: DataFrame, n: int) -> DataFrame:
 
 
 def by_chunks(shards: Shards, rows: int) -> DataFrame:
-    """One partition per run of ``rows`` rows, in row order, whatever the shards' sizes."""
-    chunk = int_div(F.col("row_idx"), rows).cast("int")
-    return shards.df.repartitionById(max(1, -(-shards.total // rows)), chunk)
+    """One partition per run of at most ``rows`` rows, in row order, whatever the shards' sizes.
+
+    Where the bytes of the input blocks are known, runs of long rows are shorter.  They are cut
+    between cells of equal numbers of rows; the table of cells has some rows per ``RUN_BYTES``.
+    """
+    size = sum(length for _, length in shards.blocks)
+    if size <= RUN_BYTES:
+        chunk = int_div(F.col("row_idx"), rows)
+        placed = shards.df.withColumn(RUN, chunk * F.lit(rows).cast("bigint"))
+        return placed.repartitionById(max(1, -(-shards.total // rows)), chunk.cast("int"))
+    width = max(1, min(rows, shards.total * RUN_BYTES // (size * CELLS_PER_RUN)))
+    runs = cell_runs(shards, rows, width)
+    heads = np.flatnonzero(np.diff(runs, prepend=-1))
+    cells = pa.table({PREFIX + "cell": np.arange(len(runs)), PREFIX + "chunk": runs.astype("int32"), RUN: heads[runs] * width})
+    table = shards.df.sparkSession.createDataFrame(cells)
+    placed = shards.df.withColumn(PREFIX + "cell", int_div(F.col("row_idx"), width)).join(small_side(table, side_bytes(len(runs))), PREFIX + "cell")
+    return placed.repartitionById(len(heads), PREFIX + "chunk").drop(PREFIX + "cell", PREFIX + "chunk")
+
+
+def cell_runs(shards: Shards, rows: int, width: int) -> np.ndarray:
+    """The run of every cell of ``width`` rows: as many cells as stay within ``rows`` and ``RUN_BYTES``.
+
+    Within a block all rows count alike; one in which no row begins counts to the block before.
+    """
+    first, length = (np.array(x) for x in zip(*shards.blocks))
+    before = np.cumsum(length) - length
+    last = np.append(first[1:] != first[:-1], True)
+    edges = np.append(np.arange(0, shards.total, width), shards.total)
+    upto = np.interp(edges, np.append(first[last], shards.total), np.append(before[last], length.sum()))
+    upto[0] = 0
+    runs, run, head = np.zeros(len(edges) - 1, np.int64), 0, 0
+    for i in range(1, len(runs)):
+        if upto[i + 1] - upto[head] > RUN_BYTES or edges[i + 1] - edges[head] > rows:
+            run, head = run + 1, i
+        runs[i] = run
+    return runs
 
 
 def _save_by_shard(df: DataFrame, spread: int, fmt: str, path: str) -> None:

@@ -28,6 +28,7 @@ from rowloom.operators.row_index import (
     IndexedScan,
     attach_blocks,
     before,
+    block_sizes,
     broadcasts,
     count_blocks,
     files_of,
@@ -81,18 +82,18 @@ def index_csv(
     header = _header(lines, counted[FILE].iloc[0])
     _same_header_records(placed, counted, header)
     total = int(blocks["records"].sum()) - blocks[FILE].nunique()
-    files = files_of(blocks)
+    files, sizes = files_of(blocks), block_sizes(blocks, blocks["base"])
     in_place = broadcasts(blocks)
     in_order = rises(blocks["min_m"]) and in_place
     most = widest(blocks.assign(rows=blocks["records"]))
     if not blocks["spans"].any():
-        return CsvScan(_lines_as_records(placed, blocks), total, in_order, most, files, header)
+        return CsvScan(_lines_as_records(placed, blocks), total, in_order, most, files, sizes, header)
     if in_place:
         tails, size = _closing_lines(placed, blocks)
         if size <= tail_bytes:
-            return CsvScan(_joined_in_place(placed, blocks, tails, record_chars), total, in_order, most, files, header)
+            return CsvScan(_joined_in_place(placed, blocks, tails, record_chars), total, in_order, most, files, sizes, header)
     most = int(blocks["records"].max())
-    return CsvScan(_joined_after_shuffle(placed, blocks, record_chars), total, True, most, files, header)
+    return CsvScan(_joined_after_shuffle(placed, blocks, record_chars), total, True, most, files, sizes, header)
 
 
 def _inner_return(value: Column) -> Column:

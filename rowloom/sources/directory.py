@@ -57,7 +57,7 @@ def scan_shard_dir(spark: SparkSession, directory: str, fmt: str = "auto", expec
     table = spark.createDataFrame(pa.table(ids, pa.schema([(FILE, pa.string()), ("shard_id", pa.int32())])))
     size = side_bytes(len(paths)) + sum(map(len, paths))
     in_order = scan.in_order and size <= BROADCAST_BYTES
-    return Shards(df.join(small_side(table, size), FILE), len(paths), scan.total, in_order, scan.widest)
+    return Shards(df.join(small_side(table, size), FILE), len(paths), scan.total, in_order, scan.widest, blocks=scan.blocks)
 
 
 def _reader_format(paths, fmt: str) -> str:

@@ -11,6 +11,7 @@ from rowloom.operators.row_index import (
     FILE,
     IndexedScan,
     before,
+    block_sizes,
     count_blocks,
     files_of,
     position_columns,
@@ -51,4 +52,4 @@ def index_parquet(spark: SparkSession, path: str | list[str]) -> IndexedScan:
             .select(*table.columns, FILE, "row_idx")
         )
         in_order = in_order and size <= BROADCAST_BYTES
-    return IndexedScan(placed, total, in_order, widest(blocks) if total else 0, files_of(blocks))
+    return IndexedScan(placed, total, in_order, widest(blocks) if total else 0, files_of(blocks), block_sizes(blocks, before(blocks["rows"])))

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators.row_index import IndexedScan, with_row_index
-from rowloom.operators.split import split_contiguous
+from rowloom.operators.split import Shards, split_contiguous
 from rowloom.plans.shard_plan import shard_plan
 from rowloom.plans.split_file import split_file
+from rowloom.sinks import shards as sinks
 from rowloom.sinks.shards import stays_in_place, write_shards
 from rowloom.sources.csv import index_csv
 from rowloom.sources.formats import detect_format
@@ -260,3 +261,38 @@ def test_changed_packing_of_whole_files_is_an_error(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "text", "parquet"])
+def test_runs_of_long_rows_are_shorter(spark, tmp_path, monkeypatch, fmt):
+    monkeypatch.setattr(sinks, "RUN_BYTES", 4000)
+    # files that Spark reads in another order than that of their names; long rows in the last
+    values = [f"{i}" + "x" * (100 if i >= 300 else 0) for i in range(400)]
+    src = tmp_path / f"d.{fmt}"
+    src.mkdir()
+    for name, part in (("a", values[:20]), ("b", values[20:300]), ("c", values[300:])):
+        if fmt == "parquet":
+            pq.write_table(pa.table({"value": part}), src / f"{name}.parquet", compression="none", use_dictionary=False)
+        else:
+            (src / f"{name}.txt").write_text("value\n" * (fmt == "csv") + "".join(f"{v}\n" for v in part))
+    scan = {"csv": index_csv, "text": index_text, "parquet": index_parquet}[fmt](spark, str(src))
+    assert not scan.in_order and scan.total == 400 and sum(size for _, size in scan.blocks) > 10_000
+    runs = sinks.by_chunks(split_contiguous(scan, 3), 1000)
+    sizes = runs.groupBy(F.spark_partition_id(), sinks.RUN).agg(F.sum(F.length("value") + 1).alias("size"), F.min("row_idx").alias("low"), F.max("row_idx").alias("high"), F.count("*").alias("rows"))
+    found = sorted(tuple(r)[1:] for r in sizes.collect())
+    assert max(size for _, size, *_ in found) <= 4500 and 3 <= len(found) <= 8
+    assert all(run == low and high - low + 1 == rows for run, _, low, high, rows in found) and sum(r[-1] for r in found) == 400
+    split_file(spark, str(src), 3, str(tmp_path / "out"), fmt=fmt)
+    want = blocks(values, 3)
+    for k in range(3):
+        if fmt == "parquet":
+            got = [v for f in shard_files(tmp_path / "out", k) for v in pq.read_table(f, partitioning=None)["value"].to_pylist()]
+        else:
+            got = lines_of(tmp_path / "out", k) if fmt == "text" else [r[0] for r in rows_of(tmp_path / "out", k, ["value"])]
+        assert got == want[k]
+
+
+def test_runs_with_blocks_in_which_no_row_begins():
+    wide = Shards(None, 2, 6, False, blocks=((0, 100), (2, 100 << 20), (2, 100 << 20), (2, 100), (6, 50)))
+    assert sinks.cell_runs(wide, 1000, 1).tolist() == [0, 1, 1, 1, 1, 1]
+    assert sinks.cell_runs(wide, 2, 1).tolist() == [0, 1, 1, 2, 2, 3]
