@@ -2,8 +2,9 @@
 
 The first pass over the texts counts words by hash and writes the hashes in sorted files; words are
 numbered file by file, frequent ones first, so that n-grams of numbers compress well. The second pass counts n-grams of numbers and deals them to cells.
-Each cell sums up its n-grams, writes them as a sorted file and sends what they add to the n-grams
-one shorter (distinct words before, followers by count) to the cells of those, down to the words.
+Each cell sums up its n-grams and writes them as a sorted file. All n-grams around a word lie in one
+cell, so it also knows what they add to those one shorter (distinct words before, followers by count)
+and writes that too; only n-grams around frequent words, which are spread, are sent on and added up.
 The third pass maps these files into memory and scores every text.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.arrays import get_array, local_path, put_array
-from rowloom.llm.common import carried, kept, prepared
+from rowloom.llm.common import carried, kept, prepared, shuffles_dropped
 from rowloom.llm.kernels import LOWER, SPACED_WORD, find_words, mix64, slices, text_bytes, within, xxh64
 from rowloom.scratch import new_scratch
 
@@ -35,9 +36,14 @@ CELL_TOKENS = 1 << 20
 REDUCERS = 1 << 16
 # Instead of a word's number: not in training, before the start of the text.
 UNKNOWN, OUTSIDE = -1, -2
-# Sums kept of an n-gram: its count (below the longest: distinct words before it), the counts of
-# all that follows it, followers that occur once, twice, more often. The longest have the first.
-SUMS = 5
+# Sums kept of what follows an n-gram: the counts of all, those that occur once, twice, more often.
+FOLLOWERS = 4
+# Sums kept of a word: distinct words before it, and those of what follows it.
+SUMS = 1 + FOLLOWERS
+# Entries from which a table leaves out the bits that the place in it tells, and how many those are.
+SPLIT_ENTRIES, SPLIT_BITS = 1 << 17, 16
+# Files that a task keeps mapped at most.
+MAPPED = 1 << 14
 ROWS = "level int, cell bigint, n bigint, data binary"
 
 
@@ -85,15 +91,15 @@ class Files:
     """The mapped arrays of a model in one task, opened when first needed."""
 
     def __init__(self, model):
-        self.model, self.open = model, {}
+        self.model, self.open, self.edges = model, {}, None
 
-    def get(self, name, keep=True):
-        """An array; one that is not kept is unmapped after use, unless it had to be copied."""
+    def get(self, name):
+        """An array; beyond so many it is unmapped after use, unless it had to be copied."""
         if name in self.open:
             return self.open[name]
         path = f"{self.model.path}/{name}.npy"
-        values = get_array(path)
-        if keep or local_path(path) is None:
+        values = np.asarray(get_array(path))
+        if len(self.open) < MAPPED or local_path(path) is None:
             self.open[name] = values
         return values
 
@@ -124,49 +130,125 @@ class Files:
                 out[..., a:b] = found
         return out if out is not None else np.zeros((SUMS, len(ids)) if name == "word" else len(ids), np.int64)
 
-    def cells(self, words, often=None):
+    def frequent(self, words):
+        """Whether words occur so often that n-grams around them are spread; the start counts as one."""
+        if self.edges is None:
+            m, edges = self.model, []
+            for i, first in enumerate(m.base[:-1]):
+                # a file has frequent words first
+                count = self.get(f"count-{i}") if first < m.base[i + 1] else np.empty(0, int)
+                edges += [first, first + len(count) - np.searchsorted(count[::-1], m.hot, "right")]
+            self.edges = np.array([*edges, m.words])
+        return np.searchsorted(self.edges, words, "right") % 2 == 1
+
+    def cells(self, words, inner=None, level=None):
         """The cell of every n-gram, a column of ``words``; of single words, the vocabulary file.
 
         N-grams with the same inner words go to one cell, as they share what precedes and follows;
-        those around words that are frequent by the counts of training are spread one by one.
-        ``often`` is the least of these counts, if known.
+        those around words that are frequent in training are spread one by one.
+        ``inner`` and ``level``: the words that the longer n-grams, of ``level`` words, around
+        these have inside; what is not around rare words has numbers of ``model.cells`` on.
         """
         m = self.model
         if len(words) == 1:
             return np.minimum(np.searchsorted(m.base, words[0], "right") - 1, len(m.base) - 2)
+        own = inner is None
+        if own:
+            inner, level = words[1:-1], len(words)
         deal = mixed(words)
-        if len(words) > 2:
-            if often is None:
-                ids, of = np.unique(words[1:-1], return_inverse=True)
-                often = self.by_word("count", ids)[of.reshape(len(words) - 2, -1)].min(axis=0)
-            rare = often <= m.hot
-            deal[rare] = mixed(words[1:-1, rare])
-        return (mix64(deal + np.uint64(len(words))) % np.uint64(m.cells)).astype(np.int64)
-
-    def sums(self, words, often=None):
-        """The sums of every n-gram of two words or more, 0 where training has none."""
-        out = np.zeros((1 if len(words) == self.model.order else SUMS, words.shape[1]), np.int64)
+        rare = np.zeros(words.shape[1], bool)
+        if len(inner):
+            rare = ~np.logical_and.reduce([self.frequent(x) for x in inner])
+            deal[rare] = mixed(inner[:, rare])
+        cell = (mix64(deal + np.uint64(level)) % np.uint64(m.cells)).astype(np.int64)
+        return cell if own else np.where(rare, cell, cell + m.cells)
+
+    def gram_cells(self, words):
+        """Where ``gram`` has n-grams: pairs stand with the triples around their first word."""
+        return self.cells(words, words[:-1], 3) if len(words) == 2 < self.model.order else self.cells(words)
+
+    def context_cells(self, words):
+        """Where ``context`` has n-grams: with those one longer, whose inner words end them."""
+        return self.cells(words, words[1:], len(words) + 1)
+
+    def lookup(self, kind, words):
+        """The sums of every n-gram of two words or more, 0 where there are none."""
+        out = np.zeros((1 if kind == "gram" else FOLLOWERS, words.shape[1]), np.int64)
         known = np.flatnonzero((words >= 0).all(axis=0))
         words = words[:, known]
-        key = mixed(words)
-        order = np.argsort(key)
-        cell = self.cells(words, None if often is None else often[known])[order]
-        by_cell = np.argsort(cell.astype(np.min_scalar_type(self.model.cells)), kind="stable")
-        order, cell = order[by_cell], cell[by_cell]
+        cell = (self.gram_cells if kind == "gram" else self.context_cells)(words)
+        order = np.argsort(cell.astype(np.min_scalar_type(2 * self.model.cells)), kind="stable")
+        cell, key = cell[order], mixed(words)[order]
         found = np.zeros((len(out), len(key)), np.int64)
-        present, begins = np.unique(cell, return_index=True)
-        for c, a, b in zip(present, begins, [*begins[1:], len(order)]):
-            own = order[a:b]
-            name = f"{len(words)}-{c}"
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        for a, b in zip(begins, [*begins[1:], len(order)]):
+            name = f"{kind}-{len(words)}-{cell[a]}"
+            own = np.argsort(key[a:b])
             try:
-                at, hit = within(key[own], self.get(f"gram-{name}", keep=False))
+                at, hit = self.find(name, key[a:b][own])
             except FileNotFoundError:
                 continue  # training has no n-gram in this cell
-            code = self.get(f"code-{name}", keep=False)[at[hit]]
-            found[:, own[hit]] = self.get(f"sums-{name}", keep=False)[:, code]
-        out[:, known] = found
+            order[a:b] = order[a:b][own]
+            sums = self.get(f"{name}-sums")
+            # the sums at 0 are those of what is not there
+            code = np.where(hit, self.get(f"{name}-code")[at], 0)
+            for row, values in zip(found, sums):
+                row[a:b] = values[code]
+        out[:, known[order]] = found
         return out
 
+    def find(self, name, keys):
+        """Position of every key in a table that ``put_table`` wrote, and whether it is there."""
+        begin, near = self.get(f"{name}-begin"), self.get(f"{name}-near")
+        if not len(begin):
+            return within(keys, self.get(f"{name}-key"))
+        high, low = self.get(f"{name}-high"), self.get(f"{name}-low")
+        first = (keys >> np.uint64(64 - SPLIT_BITS)).astype(np.int64)
+        key_high = (keys >> np.uint64(16)).astype(np.uint32)
+        key_low = keys.astype(np.uint16)
+        a, b = (begin[x >> 8] + near[x].astype(np.int64) for x in (first, first + 1))
+        end = b
+        while (open_ := a < b).any():
+            middle = np.where(open_, (a + b) >> 1, 0)
+            x = high[middle]
+            less = (x < key_high) | (x == key_high) & (low[middle] < key_low)
+            a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
+        hit = a < end
+        at = np.where(hit, a, 0)
+        return at, hit & (high[at] == key_high) & (low[at] == key_low)
+
+
+def put_table(name, key, sums):
+    """Write sorted keys and their sums: of many keys 48 bits, as their places tell the first 16; sums as codes from 1."""
+    if len(sums) == 1 and (most := sums.max(initial=0)) < 1 << 20:
+        there = np.bincount(sums[0], minlength=most + 1) > 0
+        distinct = np.flatnonzero(there)[None]
+        code = np.cumsum(there)[sums[0]]
+    else:
+        _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
+        distinct, code = sums[:, first], code + 1
+    begin, near = np.empty(0, np.int64), np.empty(0, np.uint8)
+    if len(key) >= SPLIT_ENTRIES:
+        # where the keys with equal first bits begin: of every 256th in full, of others from there
+        near = np.searchsorted(key >> np.uint64(64 - SPLIT_BITS), np.arange((1 << SPLIT_BITS) + 1, dtype=np.uint64))
+        begin = near[::256].copy()
+        near -= np.repeat(begin, 256)[: len(near)]
+        put_array(f"{name}-high.npy", (key >> np.uint64(16)).astype(np.uint32))
+        put_array(f"{name}-low.npy", key.astype(np.uint16))
+    else:
+        put_array(f"{name}-key.npy", key)
+    put_array(f"{name}-begin.npy", begin)
+    put_array(f"{name}-near.npy", near.astype(np.min_scalar_type(near.max(initial=0))))
+    put_array(f"{name}-code.npy", code.astype(np.min_scalar_type(distinct.shape[1])))
+    put_array(f"{name}-sums.npy", np.concatenate([np.zeros((len(sums), 1), np.int64), distinct], axis=1))
+
+
+def put_contexts(name, key, sums):
+    """Write what follows n-grams, but for those that one token follows once: whatever occurs is followed by that or by what is written."""
+    more = sums[0] > 1
+    if more.any():
+        put_table(name, key[more], sums[:, more])
+
 
 def grams(numbers, bounds, k, start):
     """The ``k`` words up to every token: ``start`` at the head of a text, OUTSIDE before it."""
@@ -214,30 +296,42 @@ def merged(words, sums):
     return key[heads], words[:, order[heads]], added
 
 
-def packed(files, words, sums):
-    """A row for every cell: its n-grams and their sums, byte by byte so that they compress."""
-    cell = files.cells(words)
-    middle = len(words) // 2
-    order = np.argsort(words[middle])
+def packed(files, words, sums, cell=None, level=None):
+    """A row for every cell: its n-grams and their sums, byte by byte so that they compress.
+
+    Words are numbered anew across the vocabulary files, so that frequent ones have small numbers.
+    """
+    cell = files.cells(words) if cell is None else cell
+    base, middle = np.array(files.model.base), len(words) // 2
+    table = np.concatenate([words, sums])
+    for row in table[: len(words)]:
+        file = np.minimum(np.searchsorted(base, row, "right") - 1, len(base) - 2)
+        row[:] = (row - base[file]) * (len(base) - 1) + file
+    if table.max(initial=0) < 1 << 31:
+        table = table.astype(np.int32)
+    width = table.itemsize
+    order = np.argsort(table[middle])
     order = order[np.argsort(cell[order].astype(np.min_scalar_type(cell.max(initial=0))), kind="stable")]
+    table = table[:, order]
     present, begins = np.unique(cell[order], return_index=True)
     n, data = [], []
     for a, b in zip(begins, [*begins[1:], len(order)]):
-        own = order[a:b]
-        table = np.ascontiguousarray(np.concatenate([words[:, own], sums[:, own]]))
-        table[middle] = np.diff(table[middle], prepend=0)
-        planes = table.view(np.uint8).reshape(len(table), -1, 8).transpose(0, 2, 1)
+        own = np.ascontiguousarray(table[:, a:b])
+        own[middle] = np.diff(own[middle], prepend=0)
+        planes = own.view(np.uint8).reshape(len(own), -1, width).transpose(0, 2, 1)
         n.append(b - a)
-        data.append(pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
-    return as_rows([len(words)] * len(present), present, n, data)
+        data.append(bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
+    return as_rows([len(words) if level is None else level] * len(present), present, n, data)
 
 
-def unpacked(data, n, words, sums):
-    rows = words + sums
-    planes = np.frombuffer(pa.decompress(data, rows * n * 8, "zstd", asbytes=True), np.uint8)
-    table = planes.reshape(rows, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(rows, n)
+def unpacked(data, n, words, sums, base):
+    rows, width = words + sums, data[0]
+    planes = np.frombuffer(pa.decompress(memoryview(data)[1:], rows * n * width, "zstd", asbytes=True), np.uint8)
+    table = planes.reshape(rows, width, n).transpose(0, 2, 1).copy().view(f"i{width}").reshape(rows, n).astype(np.int64)
     middle = words // 2
     table[middle] = np.cumsum(table[middle])
+    files = len(base) - 1
+    table[:words] = table[:words] // files + np.array(base)[table[:words] % files]
     return table
 
 
@@ -254,10 +348,16 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
     if order < 2:
         raise ValueError("the order is two at least")
     texts = prepared(docs, **{text_column: "string"})
-    spark = docs.sparkSession
-    path = new_scratch(spark, "model")
+    with shuffles_dropped(docs.sparkSession):
+        model = count_words(texts, text_column, order)
+        return count_grams(model, texts, text_column) if model.words else model
+
 
-    def count_words(batches):
+def count_words(texts, text_column, order):
+    """Count the words and write the vocabulary files."""
+    path = new_scratch(texts.sparkSession, "model")
+
+    def count(batches):
         hashes, counts = [], []
 
         def out():
@@ -275,7 +375,7 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
         if hashes:
             yield out()
 
-    counted = texts.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counted = kept(counted, "words")
     words, tokens = counted.agg(F.count("*"), F.sum("n")).first()
     bits = max(0, (max(words, 1) // FILE_WORDS).bit_length())
@@ -305,8 +405,7 @@ def train(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> Mod
     sizes = dict(dealt.mapInArrow(write_words, "file bigint, n bigint").collect())
     base = [0, *np.cumsum([sizes.get(i, 0) for i in range(1 << bits)]).tolist()]
     cells = max(1, -(-(tokens or 0) // CELL_TOKENS))
-    model = Model(path, base, shift, tokens or 0, order, cells, CELL_TOKENS // 8)
-    return count_grams(model, texts, text_column) if words else model
+    return Model(path, base, shift, tokens or 0, order, cells, CELL_TOKENS // 8)
 
 
 def count_grams(model, texts, text_column):
@@ -325,9 +424,8 @@ def count_grams(model, texts, text_column):
         def out():
             for k in list(gathered):
                 words = np.concatenate(gathered.pop(k), axis=1)
-                sums = np.zeros((1 if k == longest else SUMS, words.shape[1]), np.int64)
-                sums[0] = 1
-                yield packed(mapped, *merged(words, sums)[1:])
+                words, sums = merged(words, np.ones((1, words.shape[1]), np.int64))[1:]
+                yield packed(mapped, words, sums, mapped.gram_cells(words))
 
         for batch in batches:
             for part in slices(batch, text_column):
@@ -345,49 +443,81 @@ def count_grams(model, texts, text_column):
         if gathered:
             yield from out()
 
+    def totals(level, seen):
+        found = [(seen == k).sum() for k in (1, 2, 3, 4)] + [(seen > 0).sum(), seen.sum()]
+        return as_rows([0] * 6, [level * 8 + i for i in range(6)], found, [b""] * 6)
+
+    def followers(words, seen):
+        """The n-grams one shorter and what follows them; their keys first."""
+        return merged(words[:-1], np.stack([seen, seen == 1, seen == 2, seen > 2]).astype(np.int64))
+
+    def finish_words(cell, table):
+        _, words, sums = merged(table[:1], table[1:])
+        yield totals(1, sums[0])
+        _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
+        # none has the code 0 but numbers that never occur
+        codes = np.zeros(base[cell + 1] - base[cell] + (cell == len(base) - 2), np.min_scalar_type(len(first)))
+        codes[words[0] - base[cell]] = code + 1
+        put_array(f"{path}/word-{cell}.npy", codes)
+        put_array(f"{path}/word-sums-{cell}.npy", np.concatenate([np.zeros((SUMS, 1), np.int64), sums[:, first]], axis=1))
+
+    def finish_pairs(mapped, cell, key, words, seen):
+        yield totals(2, seen[0])
+        put_table(f"{path}/gram-2-{cell}", key, seen)
+        last, before = merged(words[1:], np.ones((1, len(key)), np.int64))[1:]
+        first, after = followers(words, seen[0])[1:]
+        # apart from each other: columns that are alike compress well
+        yield packed(mapped, last, np.pad(before, ((0, FOLLOWERS), (0, 0))))
+        yield packed(mapped, first, np.pad(after, ((1, 0), (0, 0))))
+
+    def finish_grams(mapped, level, cell, table):
+        """Write one cell and yield what it adds to shorter n-grams and to the totals."""
+        key, words, seen = merged(table[:level], table[level:])
+        if level == 2:
+            yield from finish_pairs(mapped, cell, key, words, seen)
+            return
+        yield totals(level, seen[0])
+        put_table(f"{path}/gram-{level}-{cell}", key, seen)
+        key, shorter, sums = followers(words, seen[0])
+        of = mapped.context_cells(shorter)
+        here = of == cell
+        put_contexts(f"{path}/context-{level - 1}-{cell}", key[here], sums[:, here])
+        yield packed(mapped, shorter[:, ~here], sums[:, ~here], of[~here], 1 - level)
+        key, shorter, sums = merged(words[1:], np.ones((1, words.shape[1]), np.int64))
+        of = mapped.gram_cells(shorter)
+        here = (of == cell) & (level == 3)
+        yield packed(mapped, shorter[:, ~here], sums[:, ~here], of[~here])
+        if here.any():
+            yield from finish_pairs(mapped, cell, key[here], shorter[:, here], sums[:, here])
+
     def add_up(level):
-        def finish(mapped, cell, found):
-            """Write one cell and yield what it adds to shorter n-grams and to the totals."""
+        """Finish the cells of n-grams of ``level`` words and, where it is negative, of contexts."""
+
+        def finish(mapped, kind, cell, found):
             table = np.concatenate(found, axis=1)
             found.clear()
-            key, words, sums = merged(table[:level], table[level:])
-            del table
-            seen = sums[0]
-            totals = [(seen == k).sum() for k in (1, 2, 3, 4)] + [(seen > 0).sum(), seen.sum()]
-            yield as_rows([0] * 6, [level * 8 + i for i in range(6)], totals, [b""] * 6)
-            _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
-            if level == 1:
-                # none has the code 0 but numbers that never occur
-                codes = np.zeros(base[cell + 1] - base[cell] + (cell == len(base) - 2), np.min_scalar_type(len(first)))
-                codes[words[0] - base[cell]] = code + 1
-                put_array(f"{path}/word-{cell}.npy", codes)
-                put_array(f"{path}/word-sums-{cell}.npy", np.concatenate([np.zeros((SUMS, 1), np.int64), sums[:, first]], axis=1))
-                return
-            put_array(f"{path}/gram-{level}-{cell}.npy", key)
-            put_array(f"{path}/code-{level}-{cell}.npy", code.astype(np.min_scalar_type(len(first))))
-            put_array(f"{path}/sums-{level}-{cell}.npy", sums[:, first])
-            del key, code, sums
-            # apart from each other: columns that are alike compress well
-            shorter = np.zeros((SUMS, len(seen)), np.int64)
-            shorter[0] = 1
-            yield packed(mapped, *merged(words[1:], shorter)[1:])
-            shorter[:] = np.zeros_like(seen), seen, seen == 1, seen == 2, seen > 2
-            yield packed(mapped, *merged(words[:-1], shorter)[1:])
+            if kind < 0:
+                key, _, sums = merged(table[:level], table[level:])
+                put_contexts(f"{path}/context-{level}-{cell}", key, sums)
+            elif level == 1:
+                yield from finish_words(cell, table)
+            else:
+                yield from finish_grams(mapped, level, cell, table)
 
         def task(batches):
             mapped = Files(model)
-            cell, found = None, []
+            at, found = None, []
             for batch in batches:
-                own = pc.equal(batch.column("level"), level)
+                own = pc.equal(pc.abs(batch.column("level")), level)
                 yield batch.filter(pc.invert(own))
                 for row in batch.filter(own).to_pylist():
-                    if row["cell"] != cell and found:
-                        yield from finish(mapped, cell, found)
+                    if (row["level"], row["cell"]) != at and found:
+                        yield from finish(mapped, *at, found)
                         found = []
-                    cell = row["cell"]
-                    found.append(unpacked(row["data"], row["n"], level, 1 if level == longest else SUMS))
+                    at = row["level"], row["cell"]
+                    found.append(unpacked(row["data"], row["n"], level, SUMS if level == 1 else FOLLOWERS if row["level"] < 0 else 1, base))
             if found:
-                yield from finish(mapped, cell, found)
+                yield from finish(mapped, *at, found)
 
         return task
 
@@ -395,12 +525,12 @@ def count_grams(model, texts, text_column):
     for level in range(longest, 0, -1):
         reducers = min(model.cells if level > 1 else len(base) - 1, REDUCERS)
         rows = rows.repartition(reducers, "cell").sortWithinPartitions("level", "cell").mapInArrow(add_up(level), ROWS)
-    totals = {r.cell: r.total for r in rows.where("level = 0").groupBy("cell").agg(F.sum("n").alias("total")).collect()}
+    found = {r.cell: r.total for r in rows.where("level = 0").groupBy("cell").agg(F.sum("n").alias("total")).collect()}
     for level in range(1, longest + 1):
-        model.discounts[level] = discounts([totals[level * 8 + i] for i in range(4)])
-    once, twice, types = totals[8], totals[9], totals[12]
+        model.discounts[level] = discounts([found[level * 8 + i] for i in range(4)])
+    once, twice, types = found[8], found[9], found[12]
     d = model.discounts[1]
-    model.pair_types = totals[13]
+    model.pair_types = found[13]
     model.word_mass = d[0] * once + d[1] * twice + d[2] * (types - once - twice)
     return model
 
@@ -425,19 +555,20 @@ def score_tokens(files, hashes, bounds):
     p = (seen - discount_of(seen, m.discounts[1]) + m.word_mass / (m.words + 1)) / m.pair_types
     heads = bounds[:-1]
     begin = files.by_word("word", np.array([m.words]))
-    often = None
+    follow = sums[1:]
     for k in range(2, m.order + 1):
-        # what follows the words before a token is among the sums of the token before it
-        context = np.roll(sums[1:], 1, axis=1)
+        # what follows the words before a token is what follows the n-gram that ends before it
+        context = np.roll(follow, 1, axis=1)
         context[:, heads] = begin[1:] if k == 2 else 0
-        if k > 2:
-            # the rarest inner word: that of the n-gram one shorter, or the word before
-            before = np.roll(count, 1)
-            often = before if often is None else np.minimum(before, np.roll(often, 1))
-        sums = files.sums(grams(number, bounds, k, m.words), often)
-        seen, d = sums[0], m.discounts[k]
+        words = grams(number, bounds, k, m.words)
+        # with nothing after the words before, there is no such n-gram
+        seen, d = files.lookup("gram", np.where(context[0] > 0, words, UNKNOWN))[0], m.discounts[k]
         mass = d[0] * context[1] + d[1] * context[2] + d[2] * context[3]
         p = np.where(context[0] > 0, (seen - discount_of(seen, d) + mass * p) / np.maximum(context[0], 1), p)
+        if k < m.order:
+            follow = files.lookup("context", np.where(seen > 0, words, UNKNOWN))
+            # what occurs and is not written is followed once (at the end of a text by nothing, which nobody asks)
+            follow[:2, (seen > 0) & (follow[0] == 0)] = 1
     return np.log10(p), base, count
 
 

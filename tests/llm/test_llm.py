@@ -275,6 +275,41 @@ def test_words_with_equal_polynomial_hashes(spark):
     assert {r.doc_id: r.n_known for r in found.collect()} == {1: 2, 2: 1}
 
 
+@pytest.mark.parametrize("n", [1, 5000, kneser_ney.SPLIT_ENTRIES + 77])
+def test_kneser_ney_tables(tmp_path, n):
+    rng = np.random.default_rng(n)
+    key = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    key[: len(key) // 3] >>= np.uint64(12)  # crowded first bits
+    key = np.unique(key)
+    sums = rng.integers(1, 400, (1, len(key)))
+    kneser_ney.put_table(f"{tmp_path}/x", key, sums)
+    files = kneser_ney.Files(kneser_ney.Model(str(tmp_path), [0, 1], 64, 1))
+    absent = np.setdiff1d(np.concatenate([key + np.uint64(1), key ^ np.uint64(1 << 15), key ^ np.uint64(1 << 40), rng.integers(0, 1 << 64, n, dtype=np.uint64)]), key)
+    asked = rng.permutation(np.concatenate([key, absent, np.array([0, (1 << 64) - 1], np.uint64)]))
+    at, hit = files.find("x", asked)
+    assert (hit == np.isin(asked, key)).all() and (key[at[hit]] == asked[hit]).all()
+    assert (files.get("x-sums")[:, files.get("x-code")[at[hit]]] == sums[:, at[hit]]).all()
+    if n > kneser_ney.SPLIT_ENTRIES:
+        assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 9.5 * len(key)
+
+
+def test_kneser_ney_disk(docs, spark, tmp_path, monkeypatch):
+    """What follows n-grams once is not written, and pairs around rare words are not sent on."""
+    monkeypatch.setattr(kneser_ney, "new_scratch", lambda spark, label: f"{tmp_path}/{label}")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    model = kneser_ney.train(docs)
+    assert spark.conf.get(setting, None) == before
+    texts = [words(t) + ["</s>"] for _, t in docs.select("doc_id", "text").collect()]
+    triples = {g for t in texts for g in zip(*[(["<s>"] + t)[i:] for i in range(3)])}
+    pairs = {g for t in texts for g in zip(["<s>"] + t, t)}
+    follow = Counter(g for t in texts for g in list(zip(["<s>"] + t, t))[:-1])
+    entries = lambda kind: sum(len(np.load(f)) for f in tmp_path.glob(f"model/{kind}-*-code.npy"))
+    assert model.cells == 1
+    assert entries("gram-3") == len(triples) and entries("gram-2") == len(pairs)
+    assert 0 < entries("context-2") == sum(n > 1 for n in follow.values()) < len(follow)
+
+
 def test_kneser_ney_in_many_files(odd, none, docs, monkeypatch):
     whole = {r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.train(docs)).collect()}
     monkeypatch.setattr(kneser_ney, "FILE_WORDS", 500)
