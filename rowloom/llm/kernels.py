@@ -197,6 +197,8 @@ def xxh64(data, start, length, seed=42):
     padded[: len(data)] = data
     words = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,)).copy()
     out = np.empty(len(start), np.uint64)
+    # short numbers sort faster
+    length = length.astype(np.min_scalar_type(length.max(initial=0)))
     order = np.argsort(length, kind="stable")
     lengths, begins = np.unique(length[order], return_index=True)
     with np.errstate(over="ignore"):

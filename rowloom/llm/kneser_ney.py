@@ -59,20 +59,54 @@ def token_hashes(column):
     return out, first + np.arange(texts + 1)
 
 
+def mixed_on(out, row):
+    """``mixed`` of columns that have one number more, from that of what stands before it."""
+    return mix64((out ^ row.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+
+
 def mixed(rows):
     """A hash of every column of a table of whole numbers."""
     out = np.zeros(rows.shape[1], np.uint64)
     for row in rows:
-        out = mix64((out ^ row.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+        out = mixed_on(out, row)
     return out
 
 
+def sorting(keys):
+    """The order that sorts unsigned keys, and the sorted keys. The first bits of a key with its place behind sort faster than places do."""
+    bits = np.uint64(max(len(keys) - 1, 0).bit_length())
+    order = keys >> bits << bits
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.view(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():  # keys that differ in their last bits only
+        again = np.argsort(found, kind="stable")
+        order, found = order[again], found[again]
+    return order, found
+
+
+def changes(values):
+    """Where another value begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+
+
+def distinct_of(keys):
+    """The distinct keys, sorted, and which of them every key is."""
+    order, found = sorting(keys)
+    heads = changes(found)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(keys)))
+    return found[heads], of
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the totals. All fields are plain values that travel with tasks."""
 
     path: str
-    base: list[int]  # first number of every vocabulary file, and the number of words
+    base: list[int]  # words before those of every vocabulary file, and the number of words
     shift: int  # bits that the file number leaves of a hash
     tokens: int
     order: int = ORDER
@@ -86,12 +120,25 @@ class Model:
     def words(self):
         return self.base[-1]
 
+    # A word's number is its place in its file, frequent ones first, with the number of the file in the last bits.
+    @property
+    def bits(self):
+        return (len(self.base) - 2).bit_length()
+
+    @property
+    def start(self):
+        """The number that stands for the start of a text, after all of the last file."""
+        return (self.base[-1] - self.base[-2]) << self.bits | len(self.base) - 2
+
+    def file(self, words):
+        return words & (1 << self.bits) - 1
+
 
 class Files:
     """The mapped arrays of a model in one task, opened when first needed."""
 
     def __init__(self, model):
-        self.model, self.open, self.edges = model, {}, None
+        self.model, self.open, self.often = model, {}, None
 
     def get(self, name):
         """An array; beyond so many it is unmapped after use, unless it had to be copied."""
@@ -111,18 +158,17 @@ class Files:
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b and m.base[i] < m.base[i + 1]:
                 at, known = within(hashes[a:b], self.get(f"hash-{i}"))
-                out[a:b] = np.where(known, self.get(f"place-{i}")[at].astype(np.int64) + m.base[i], UNKNOWN)
+                out[a:b] = np.where(known, self.get(f"place-{i}")[at].astype(np.int64) << m.bits | i, UNKNOWN)
         return out
 
     def by_word(self, name, ids):
         """Values of an array, in files by vocabulary file, at numbers that come file by file (0 where unknown)."""
         m = self.model
         out = None
-        cuts = np.searchsorted(ids, m.base)
-        cuts[-1] = len(ids)  # the start of texts has the number after the last word
+        cuts = np.searchsorted(m.file(ids), np.arange(len(m.base)))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b:
-                found = self.get(f"{name}-{i}")[ids[a:b] - m.base[i]]
+                found = self.get(f"{name}-{i}")[ids[a:b] >> m.bits]
                 if name == "word":
                     found = self.get(f"word-sums-{i}")[:, found]
                 if out is None:
@@ -132,30 +178,29 @@ class Files:
 
     def frequent(self, words):
         """Whether words occur so often that n-grams around them are spread; the start counts as one."""
-        if self.edges is None:
-            m, edges = self.model, []
-            for i, first in enumerate(m.base[:-1]):
-                # a file has frequent words first
-                count = self.get(f"count-{i}") if first < m.base[i + 1] else np.empty(0, int)
-                edges += [first, first + len(count) - np.searchsorted(count[::-1], m.hot, "right")]
-            self.edges = np.array([*edges, m.words])
-        return np.searchsorted(self.edges, words, "right") % 2 == 1
-
-    def cells(self, words, inner=None, level=None):
+        m = self.model
+        if self.often is None:
+            # a file has frequent words first
+            counts = [self.get(f"count-{i}") if a < b else np.empty(0, int) for i, (a, b) in enumerate(zip(m.base[:-1], m.base[1:]))]
+            self.often = np.array([len(count) - np.searchsorted(count[::-1], m.hot, "right") for count in counts])
+        return (words >> m.bits < self.often[m.file(words)]) | (words == m.start)
+
+    def cells(self, words, inner=None, level=None, key=None):
         """The cell of every n-gram, a column of ``words``; of single words, the vocabulary file.
 
         N-grams with the same inner words go to one cell, as they share what precedes and follows;
         those around words that are frequent in training are spread one by one.
         ``inner`` and ``level``: the words that the longer n-grams, of ``level`` words, around
         these have inside; what is not around rare words has numbers of ``model.cells`` on.
+        ``key``: ``mixed`` of ``words``, where that is known.
         """
         m = self.model
         if len(words) == 1:
-            return np.minimum(np.searchsorted(m.base, words[0], "right") - 1, len(m.base) - 2)
+            return m.file(words[0]).astype(np.int64)
         own = inner is None
         if own:
             inner, level = words[1:-1], len(words)
-        deal = mixed(words)
+        deal = mixed(words) if key is None else key.copy()
         rare = np.zeros(words.shape[1], bool)
         if len(inner):
             rare = ~np.logical_and.reduce([self.frequent(x) for x in inner])
@@ -163,38 +208,33 @@ class Files:
         cell = (mix64(deal + np.uint64(level)) % np.uint64(m.cells)).astype(np.int64)
         return cell if own else np.where(rare, cell, cell + m.cells)
 
-    def gram_cells(self, words):
+    def gram_cells(self, words, key=None):
         """Where ``gram`` has n-grams: pairs stand with the triples around their first word."""
-        return self.cells(words, words[:-1], 3) if len(words) == 2 < self.model.order else self.cells(words)
+        return self.cells(words, words[:-1], 3, key) if len(words) == 2 < self.model.order else self.cells(words, key=key)
 
-    def context_cells(self, words):
+    def context_cells(self, words, key=None):
         """Where ``context`` has n-grams: with those one longer, whose inner words end them."""
-        return self.cells(words, words[1:], len(words) + 1)
-
-    def lookup(self, kind, words):
-        """The sums of every n-gram of two words or more, 0 where there are none."""
-        out = np.zeros((1 if kind == "gram" else FOLLOWERS, words.shape[1]), np.int64)
-        known = np.flatnonzero((words >= 0).all(axis=0))
-        words = words[:, known]
-        cell = (self.gram_cells if kind == "gram" else self.context_cells)(words)
-        order = np.argsort(cell.astype(np.min_scalar_type(2 * self.model.cells)), kind="stable")
-        cell, key = cell[order], mixed(words)[order]
-        found = np.zeros((len(out), len(key)), np.int64)
-        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        return self.cells(words, words[1:], len(words) + 1, key)
+
+    def lookup(self, kind, words, key):
+        """The sums of known n-grams of two words or more, which come in the order of ``key``; 0 where there are none."""
+        out = np.zeros((1 if kind == "gram" else FOLLOWERS, len(key)), np.int64)
+        cell = (self.gram_cells if kind == "gram" else self.context_cells)(words, key)
+        cell = cell.astype(np.min_scalar_type(2 * self.model.cells))
+        order = np.argsort(cell, kind="stable")
+        cell, key = cell[order], key[order]
+        begins = changes(cell)
         for a, b in zip(begins, [*begins[1:], len(order)]):
             name = f"{kind}-{len(words)}-{cell[a]}"
-            own = np.argsort(key[a:b])
             try:
-                at, hit = self.find(name, key[a:b][own])
+                at, hit = self.find(name, key[a:b])
             except FileNotFoundError:
                 continue  # training has no n-gram in this cell
-            order[a:b] = order[a:b][own]
-            sums = self.get(f"{name}-sums")
             # the sums at 0 are those of what is not there
-            code = np.where(hit, self.get(f"{name}-code")[at], 0)
-            for row, values in zip(found, sums):
-                row[a:b] = values[code]
-        out[:, known[order]] = found
+            code = self.get(f"{name}-code")[at].astype(np.int64)
+            code[~hit] = 0
+            for row, values in zip(out, self.get(f"{name}-sums")):
+                row[order[a:b]] = values[code]
         return out
 
     def find(self, name, keys):
@@ -206,16 +246,23 @@ class Files:
         first = (keys >> np.uint64(64 - SPLIT_BITS)).astype(np.int64)
         key_high = (keys >> np.uint64(16)).astype(np.uint32)
         key_low = keys.astype(np.uint16)
-        a, b = (begin[x >> 8] + near[x].astype(np.int64) for x in (first, first + 1))
-        end = b
-        while (open_ := a < b).any():
-            middle = np.where(open_, (a + b) >> 1, 0)
-            x = high[middle]
-            less = (x < key_high) | (x == key_high) & (low[middle] < key_low)
-            a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
-        hit = a < end
-        at = np.where(hit, a, 0)
-        return at, hit & (high[at] == key_high) & (low[at] == key_low)
+        at, end = (begin[x >> 8] + near[x].astype(np.int64) for x in (first, first + 1))
+        size, last = end - at, len(high) - 1
+        # the first place that has not less in its high bits, halving what is left of the keys with equal first bits
+        for _ in range(int(size.max(initial=0)).bit_length()):
+            half = size >> 1
+            middle = at + half
+            less = (high[np.minimum(middle, last)] < key_high) & (size > 0)
+            at = np.where(less, middle + 1, at)
+            size = np.where(less, size - half - 1, half)
+        # of several with equal high bits, the one with the low bits
+        while True:
+            place = np.minimum(at, last)
+            hit = (at < end) & (high[place] == key_high)
+            on = hit & (low[place] < key_low)
+            if not on.any():
+                return place, hit & (low[place] == key_low)
+            at = at + on
 
 
 def put_table(name, key, sums):
@@ -253,7 +300,7 @@ def put_contexts(name, key, sums):
 def grams(numbers, bounds, k, start):
     """The ``k`` words up to every token: ``start`` at the head of a text, OUTSIDE before it."""
     place = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = np.full((k, len(numbers)), OUTSIDE, np.int64)
+    out = np.full((k, len(numbers)), OUTSIDE, numbers.dtype)
     for row, back in zip(out, range(k - 1, -1, -1)):
         row[back:] = numbers[: len(numbers) - back]
         row[place == back - 1] = start
@@ -273,47 +320,53 @@ def discounts(types):
 
 
 def discount_of(count, d):
-    return np.where(count <= 0, 0.0, np.where(count == 1, d[0], np.where(count == 2, d[1], d[2])))
+    return np.array([0.0, *d])[np.clip(count, 0, 3)]
+
+
+def mass_of(follow, d):
+    """What the discounts take from the counts of all that follows."""
+    return d[0] * follow[1] + d[1] * follow[2] + d[2] * follow[3]
+
+
+def added(values, heads):
+    """Sums of the runs of values that begin at ``heads``."""
+    return np.add.reduceat(values, heads, dtype=np.int64) if len(heads) else np.empty(0, np.int64)
 
 
 def summed(keys, counts):
     """Distinct keys, sorted, and the sum of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+    order, keys = sorting(keys)
+    heads = changes(keys)
+    return keys[heads], added(counts[order], heads)
 
 
-def merged(words, sums):
-    """Hashes of the distinct columns of ``words``, in order, these columns, and the added-up ``sums``."""
-    key = mixed(words)
-    order = np.argsort(key)
-    key = key[order]
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
-    added = np.empty((len(sums), len(heads)), np.int64)
-    for i in range(len(sums) if len(heads) else 0):
-        added[i] = np.add.reduceat(sums[i][order], heads)
-    return key[heads], words[:, order[heads]], added
+def grouped(words):
+    """Hashes of the distinct columns of ``words``, in order, these columns, the order of all and where each begins in it."""
+    order, key = sorting(mixed(words))
+    heads = changes(key)
+    return key[heads], np.take(words, order[heads], axis=1), order, heads
 
 
-def packed(files, words, sums, cell=None, level=None):
-    """A row for every cell: its n-grams and their sums, byte by byte so that they compress.
+def merged(words, sums=None):
+    """Hashes of the distinct columns of ``words``, in order, these columns, and the added-up ``sums``; without these, how often each occurs."""
+    key, distinct, order, heads = grouped(words)
+    if sums is None:
+        return key, distinct, np.diff(heads, append=len(order))[None]
+    return key, distinct, np.stack([added(row[order], heads) for row in sums])
 
-    Words are numbered anew across the vocabulary files, so that frequent ones have small numbers.
-    """
+
+def packed(files, words, sums, cell=None, level=None):
+    """A row for every cell: its n-grams and their sums, byte by byte so that they compress."""
     cell = files.cells(words) if cell is None else cell
-    base, middle = np.array(files.model.base), len(words) // 2
-    table = np.concatenate([words, sums])
-    for row in table[: len(words)]:
-        file = np.minimum(np.searchsorted(base, row, "right") - 1, len(base) - 2)
-        row[:] = (row - base[file]) * (len(base) - 1) + file
-    if table.max(initial=0) < 1 << 31:
-        table = table.astype(np.int32)
-    width = table.itemsize
-    order = np.argsort(table[middle])
-    order = order[np.argsort(cell[order].astype(np.min_scalar_type(cell.max(initial=0))), kind="stable")]
-    table = table[:, order]
-    present, begins = np.unique(cell[order], return_index=True)
+    middle = len(words) // 2
+    deal = cell * (int(words[middle].max(initial=0)) + 1) + words[middle]
+    order, _ = sorting(deal.astype(np.uint64) << np.uint64(64 - max(1, int(deal.max(initial=0)).bit_length())))
+    narrow = max(words.max(initial=0), sums.max(initial=0)) < 1 << 31
+    table = np.empty((len(words) + len(sums), len(order)), np.int32 if narrow else np.int64)
+    for row, values in zip(table, [*words, *sums]):
+        row[:] = values[order]
+    width, cell = table.itemsize, cell[order]
+    begins = changes(cell)
     n, data = [], []
     for a, b in zip(begins, [*begins[1:], len(order)]):
         own = np.ascontiguousarray(table[:, a:b])
@@ -321,17 +374,15 @@ def packed(files, words, sums, cell=None, level=None):
         planes = own.view(np.uint8).reshape(len(own), -1, width).transpose(0, 2, 1)
         n.append(b - a)
         data.append(bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True))
-    return as_rows([len(words) if level is None else level] * len(present), present, n, data)
+    return as_rows([len(words) if level is None else level] * len(begins), cell[begins], n, data)
 
 
-def unpacked(data, n, words, sums, base):
+def unpacked(data, n, words, sums):
     rows, width = words + sums, data[0]
     planes = np.frombuffer(pa.decompress(memoryview(data)[1:], rows * n * width, "zstd", asbytes=True), np.uint8)
-    table = planes.reshape(rows, width, n).transpose(0, 2, 1).copy().view(f"i{width}").reshape(rows, n).astype(np.int64)
+    table = planes.reshape(rows, width, n).transpose(0, 2, 1).copy().view(f"i{width}").reshape(rows, n)
     middle = words // 2
-    table[middle] = np.cumsum(table[middle])
-    files = len(base) - 1
-    table[:words] = table[:words] // files + np.array(base)[table[:words] % files]
+    np.cumsum(table[middle], out=table[middle])
     return table
 
 
@@ -415,6 +466,7 @@ def count_grams(model, texts, text_column):
     before them, so shorter ones are counted there too.
     """
     path, base, longest = model.path, model.base, model.order
+    kind = np.int32 if max(b - a for a, b in zip(base, base[1:])) + 1 << model.bits < 1 << 31 else np.int64
 
     def send(batches):
         mapped = Files(model)
@@ -424,17 +476,17 @@ def count_grams(model, texts, text_column):
         def out():
             for k in list(gathered):
                 words = np.concatenate(gathered.pop(k), axis=1)
-                words, sums = merged(words, np.ones((1, words.shape[1]), np.int64))[1:]
-                yield packed(mapped, words, sums, mapped.gram_cells(words))
+                key, words, sums = merged(words)
+                yield packed(mapped, words, sums, mapped.gram_cells(words, key))
 
         for batch in batches:
             for part in slices(batch, text_column):
                 h, bounds = token_hashes(part.column(text_column))
-                distinct, of = np.unique(h, return_inverse=True)
-                number = mapped.numbers(distinct)[of]
+                distinct, of = distinct_of(h)
+                number = mapped.numbers(distinct).astype(kind)[of]
                 for k in range(2, longest + 1):
-                    words = grams(number, bounds, k, model.words)
-                    counted = words[0] != OUTSIDE if k == longest else words[0] == model.words
+                    words = grams(number, bounds, k, model.start)
+                    counted = words[0] != OUTSIDE if k == longest else words[0] == model.start
                     gathered.setdefault(k, []).append(words[:, counted])
                 tokens += len(h)
                 if tokens > GATHERED:
@@ -449,7 +501,10 @@ def count_grams(model, texts, text_column):
 
     def followers(words, seen):
         """The n-grams one shorter and what follows them; their keys first."""
-        return merged(words[:-1], np.stack([seen, seen == 1, seen == 2, seen > 2]).astype(np.int64))
+        key, shorter, order, heads = grouped(words[:-1])
+        seen = seen[order]
+        once, twice = added(seen == 1, heads), added(seen == 2, heads)
+        return key, shorter, np.stack([added(seen, heads), once, twice, np.diff(heads, append=len(seen)) - once - twice])
 
     def finish_words(cell, table):
         _, words, sums = merged(table[:1], table[1:])
@@ -457,14 +512,14 @@ def count_grams(model, texts, text_column):
         _, first, code = np.unique(mixed(sums), return_index=True, return_inverse=True)
         # none has the code 0 but numbers that never occur
         codes = np.zeros(base[cell + 1] - base[cell] + (cell == len(base) - 2), np.min_scalar_type(len(first)))
-        codes[words[0] - base[cell]] = code + 1
+        codes[words[0] >> model.bits] = code + 1
         put_array(f"{path}/word-{cell}.npy", codes)
         put_array(f"{path}/word-sums-{cell}.npy", np.concatenate([np.zeros((SUMS, 1), np.int64), sums[:, first]], axis=1))
 
     def finish_pairs(mapped, cell, key, words, seen):
         yield totals(2, seen[0])
         put_table(f"{path}/gram-2-{cell}", key, seen)
-        last, before = merged(words[1:], np.ones((1, len(key)), np.int64))[1:]
+        last, before = merged(words[1:])[1:]
         first, after = followers(words, seen[0])[1:]
         # apart from each other: columns that are alike compress well
         yield packed(mapped, last, np.pad(before, ((0, FOLLOWERS), (0, 0))))
@@ -479,12 +534,12 @@ def count_grams(model, texts, text_column):
         yield totals(level, seen[0])
         put_table(f"{path}/gram-{level}-{cell}", key, seen)
         key, shorter, sums = followers(words, seen[0])
-        of = mapped.context_cells(shorter)
+        of = mapped.context_cells(shorter, key)
         here = of == cell
         put_contexts(f"{path}/context-{level - 1}-{cell}", key[here], sums[:, here])
         yield packed(mapped, shorter[:, ~here], sums[:, ~here], of[~here], 1 - level)
-        key, shorter, sums = merged(words[1:], np.ones((1, words.shape[1]), np.int64))
-        of = mapped.gram_cells(shorter)
+        key, shorter, sums = merged(words[1:])
+        of = mapped.gram_cells(shorter, key)
         here = (of == cell) & (level == 3)
         yield packed(mapped, shorter[:, ~here], sums[:, ~here], of[~here])
         if here.any():
@@ -515,7 +570,7 @@ def count_grams(model, texts, text_column):
                         yield from finish(mapped, *at, found)
                         found = []
                     at = row["level"], row["cell"]
-                    found.append(unpacked(row["data"], row["n"], level, SUMS if level == 1 else FOLLOWERS if row["level"] < 0 else 1, base))
+                    found.append(unpacked(row["data"], row["n"], level, SUMS if level == 1 else FOLLOWERS if row["level"] < 0 else 1))
             if found:
                 yield from finish(mapped, *at, found)
 
@@ -538,38 +593,55 @@ def count_grams(model, texts, text_column):
 def score_tokens(files, hashes, bounds):
     """log10 probability, base log10 probability and training count of every token."""
     m = files.model
-    distinct, of = np.unique(hashes, return_inverse=True)
+    distinct, of = distinct_of(hashes)
     ids = files.numbers(distinct)
     # numbers come file by file as the hashes do, unknown ones between them
     known = np.flatnonzero(ids >= 0)
     count = np.zeros(len(ids), np.int64)
     count[known] = files.by_word("count", ids[known])
+    base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))[of]
     count = count[of]
-    base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
     if not m.words:
         return np.zeros(len(hashes)), base, count
-    sums = np.zeros((SUMS, len(ids)), np.int64)
+    # the last of the distinct words is the start, which stands before every text
+    sums = np.zeros((SUMS, len(ids) + 1), np.int64)
     sums[:, known] = files.by_word("word", ids[known])
-    sums, number = sums[:, of], ids[of]
-    seen = sums[0]
-    p = (seen - discount_of(seen, m.discounts[1]) + m.word_mass / (m.words + 1)) / m.pair_types
-    heads = bounds[:-1]
-    begin = files.by_word("word", np.array([m.words]))
-    follow = sums[1:]
+    sums[:, -1:] = files.by_word("word", np.array([m.start]))
+    heads = bounds[:-1] + np.arange(len(bounds) - 1)
+    token = np.ones(len(of) + len(heads), bool)
+    token[heads] = False
+    padded = np.full(len(token), len(ids))
+    padded[token] = of
+    seen, ids = sums[0], np.append(ids, m.start)
+    p = ((seen - discount_of(seen, m.discounts[1]) + m.word_mass / (m.words + 1)) / m.pair_types)[padded]
+    number, key = ids[padded], mixed(ids[None])[padded]
+    after, mass = sums[1][padded], mass_of(sums[1:], m.discounts[2])[padded]
     for k in range(2, m.order + 1):
-        # what follows the words before a token is what follows the n-gram that ends before it
-        context = np.roll(follow, 1, axis=1)
-        context[:, heads] = begin[1:] if k == 2 else 0
-        words = grams(number, bounds, k, m.words)
+        # what follows the words before a token is what follows the n-gram that ends before it;
         # with nothing after the words before, there is no such n-gram
-        seen, d = files.lookup("gram", np.where(context[0] > 0, words, UNKNOWN))[0], m.discounts[k]
-        mass = d[0] * context[1] + d[1] * context[2] + d[2] * context[3]
-        p = np.where(context[0] > 0, (seen - discount_of(seen, d) + mass * p) / np.maximum(context[0], 1), p)
+        asked = np.flatnonzero(token[1:] & (after[:-1] > 0)) + 1
+        d = m.discounts[k]
+        # nothing of an n-gram has an unknown word, those before the token occur as they stand
+        there = asked[number[asked] >= 0]
+        own = mixed_on(key[there - 1], number[there])
+        order, own = sorting(own)
+        there, head = there[order], changes(own)
+        times, at = np.diff(head, append=len(own)), there[head]
+        words = np.stack([number[at - back] for back in range(k - 1, -1, -1)])
+        found = files.lookup("gram", words, own[head])[0]
+        seen = np.zeros(len(token), np.int64)
+        seen[there] = np.repeat(found, times)
+        n, before = seen[asked], asked - 1
+        p[asked] = (n - discount_of(n, d) + mass[before] * p[asked]) / after[before]
         if k < m.order:
-            follow = files.lookup("context", np.where(seen > 0, words, UNKNOWN))
+            occurs = found > 0
+            follow = np.zeros((FOLLOWERS, len(found)), np.int64)
+            follow[:, occurs] = files.lookup("context", words[:, occurs], own[head][occurs])
             # what occurs and is not written is followed once (at the end of a text by nothing, which nobody asks)
-            follow[:2, (seen > 0) & (follow[0] == 0)] = 1
-    return np.log10(p), base, count
+            follow[:2, occurs & (follow[0] == 0)] = 1
+            after, mass, key = np.zeros(len(token), np.int64), np.zeros(len(token)), np.zeros(len(token), np.uint64)
+            after[there], mass[there], key[there] = np.repeat(follow[0], times), np.repeat(mass_of(follow, m.discounts[k + 1]), times), own
+    return np.log10(p[token]), base, count
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:

@@ -293,6 +293,45 @@ def test_kneser_ney_tables(tmp_path, n):
         assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 9.5 * len(key)
 
 
+def test_kneser_ney_asks_once(spark, monkeypatch):
+    """A slice looks up every distinct n-gram once, however often it occurs."""
+    texts = ["one two three four"] * 50 + ["one two one two"] * 30
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = []
+    find = kneser_ney.Files.find
+    monkeypatch.setattr(kneser_ney.Files, "find", lambda files, name, keys: (asked.append((name.rsplit("-", 1)[0], len(keys))), find(files, name, keys))[1])
+    kneser_ney.score_tokens(kneser_ney.Files(model), *kneser_ney.token_hashes(pa.array(texts)))
+    tokens = [t.split() + ["</s>"] for t in texts]
+    pairs, triples = ({g for t in tokens for g in zip(*[(["<s>"] + t)[i:] for i in range(k)])} for k in (2, 3))
+    sums = Counter()
+    for kind, n in asked:
+        sums[kind] += n
+    assert (sums["gram-2"], sums["gram-3"]) == (len(pairs), len(triples)) and sums["context-2"] <= len(pairs)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_kneser_ney_sorting(n):
+    rng = np.random.default_rng(n)
+    key = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    # keys that differ in their last bits only, and equal ones
+    key[n // 2 :] = np.uint64(1 << 63) + rng.integers(0, 9, n - n // 2, dtype=np.uint64)
+    order, found = kneser_ney.sorting(key)
+    assert (found == np.sort(key)).all() and (key[order] == found).all() and sorted(order) == list(range(n))
+    distinct, of = kneser_ney.distinct_of(key)
+    assert (distinct == np.unique(key)).all() and (distinct[of] == key).all()
+
+
+@pytest.mark.parametrize("most", [100, 1 << 40])
+def test_kneser_ney_packed(most):
+    rng = np.random.default_rng(most)
+    words, sums, cell = rng.integers(0, most, (3, 500)), rng.integers(1, 9, (1, 500)), rng.integers(0, 4, 500)
+    rows = kneser_ney.packed(None, words, sums, cell).to_pylist()
+    assert sorted(r["cell"] for r in rows) == sorted(set(cell.tolist()))
+    back = {r["cell"]: kneser_ney.unpacked(r["data"], r["n"], 3, 1) for r in rows}
+    for c, table in back.items():
+        assert sorted(map(tuple, table.T.tolist())) == sorted(map(tuple, np.concatenate([words, sums])[:, cell == c].T.tolist()))
+
+
 def test_kneser_ney_disk(docs, spark, tmp_path, monkeypatch):
     """What follows n-grams once is not written, and pairs around rare words are not sent on."""
     monkeypatch.setattr(kneser_ney, "new_scratch", lambda spark, label: f"{tmp_path}/{label}")
