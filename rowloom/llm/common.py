@@ -16,10 +16,14 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: computed once, lineage cut."""
+def kept(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: computed once, lineage cut.
+
+    ``files``: at most so many part files, for tables that are small beside the input; executors
+    start processes for the permissions of every file.
+    """
     path = new_scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.arrays import get_array, put_array
-from rowloom.llm.common import kept, prepared
+from rowloom.llm.common import kept, prepared, tasks_at_once
 from rowloom.llm.kernels import BYTES, LOWER, find_words, slices, text_bytes, within, xxh64
 from rowloom.scratch import new_scratch
 
@@ -160,7 +160,7 @@ def search_shard(ids, lists, items, bounds, terms, k, least):
 
 
 def query_terms(items: DataFrame, item_column: str, text_column: str) -> DataFrame:
-    """Distinct (item, term) with the term as its XXH64; items without id or terms have none."""
+    """(item, term) of every term with its XXH64, repeats included; items without id or terms have none."""
     source = prepared(items, **{item_column: "string", text_column: "string"}).where(F.col(f"`{item_column}`").isNotNull())
 
     def task(batches):
@@ -170,7 +170,7 @@ def query_terms(items: DataFrame, item_column: str, text_column: str) -> DataFra
                 owner = np.repeat(np.arange(part.num_rows), np.diff(first))
                 yield pa.RecordBatch.from_arrays([part.column(item_column).take(pa.array(owner)), pa.array(found.view(np.int64))], names=["item", "term"])
 
-    return source.mapInArrow(task, "item string, term bigint").distinct()
+    return source.mapInArrow(task, "item string, term bigint")
 
 
 def term_files(terms: DataFrame, path: str, weighted: bool) -> list[str]:
@@ -221,11 +221,14 @@ def ranked_search(
     """
     spark = docs.sparkSession
     source = prepared(docs, **{id_column: "bigint", text_column: "string"})
-    wanted = kept(query_terms(items, item_column, item_text), "query-terms")
-    blocks = max(1, -(-wanted.count() // block_terms))
-    numbers = kept(wanted.select("item").distinct().select("item", F.monotonically_increasing_id().alias("number")), "items")
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    wanted = kept(wanted.join(numbers, "item").select(block.alias("block"), "number", "term"), "query-terms")
+    asked = kept(query_terms(items, item_column, item_text), "query-terms")
+    # part files go by the size of the tables, not by the shuffle partitions: one a core, more only for many items
+    parts = max(tasks_at_once(spark), -(-asked.count() // block_terms))
+    numbers = kept(asked.select("item").distinct().select("item", F.monotonically_increasing_id().alias("number")), "items", parts)
+    wanted = kept(asked.join(numbers, "item").select("number", "term").distinct(), "item-terms", parts)
+    wanted_terms = wanted.count()
+    blocks = max(1, -(-wanted_terms // block_terms))
+    wanted = wanted.select(F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block"), "number", "term")
     path = new_scratch(spark, "terms")
     files = term_files(wanted, f"{path}/plain", False)
 
@@ -243,7 +246,7 @@ def ranked_search(
 
     counted = source.mapInArrow(count, "term bigint, documents bigint, terms bigint")
     # a term of several blocks is counted in each, and alike
-    facts = kept(counted.groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")), "term-counts")
+    facts = kept(counted.groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")), "term-counts", parts)
     times = wanted.groupBy("term").agg(F.countDistinct("block").alias("times"))
     totals = facts.where("term is null").first()
     documents, length = (totals.documents, totals.terms) if totals else (0, 0)
@@ -278,4 +281,5 @@ def ranked_search(
     place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "id"))
     best = found.withColumn("rank", place).where(F.col("rank") <= k)
     kind = dict(items.dtypes)[item_column]
-    return best.join(numbers, "number").select(F.col("item").cast(kind).alias(item_column), "rank", F.col("id").alias(id_column), "score")
+    ranked = best.join(numbers, "number").select(F.col("item").cast(kind).alias(item_column), "rank", F.col("id").alias(id_column), "score")
+    return ranked.coalesce(max(tasks_at_once(spark), -(-wanted_terms * k // block_terms)))

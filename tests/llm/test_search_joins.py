@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rowloom.llm import hard_negatives, ngram_join, ranked_search
+from rowloom.llm import common, hard_negatives, ngram_join, ranked_search
 
 DOCS = "doc_id bigint, text string, lang string, score double, rank int, n bigint, node bigint"
 VECTORS = "vec_id bigint, label int, embedding array<float>, id string, rank int, score double"
@@ -83,6 +83,31 @@ def test_ranked_search_of_nothing(spark):
     assert ranked_search.ranked_search(documents(spark, [(1, None), (2, "")]), items).count() == 0
 
 
+def test_ranked_search_writes_few_files_whatever_the_shuffle_partitions(spark, monkeypatch):
+    written = []
+
+    def kept(*args):
+        table = common.kept(*args)
+        written.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(ranked_search, "kept", kept)
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key) for key in keys}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        rows = list(enumerate(sentences(1, 150)))
+        asked = list(enumerate(sentences(2, 60, 80, 12)))
+        found = ranked_search.ranked_search(documents(spark, rows), spark.createDataFrame(asked, "item_id bigint, text string"), 7)
+        assert sorted(map(tuple, found.collect())) == plain_search(rows, asked, 7)
+        at_once = common.tasks_at_once(spark)
+        assert len(written) == 4 and max(written) <= at_once and found.rdd.getNumPartitions() <= at_once
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
 def test_search_stops_before_the_ends_of_the_lists():
     n = 50_000
     owner = np.repeat(np.arange(n), 2)
